@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from queries.common import join, maps, run, step, table
+from rowferry.operators.ledger import rows_per_batch
 from rowferry.plans.blueprint import load_step, stage_step
 from rowferry.plans.migration import run_migration
 from rowferry.sinks.tables import TableStore
@@ -167,11 +168,17 @@ def chunked_load(spark, sf):
     return store.read("migrated", "result").join(chunks, "order_key")
 
 
+def chunk_metrics(spark, sf):
+    store = _store(spark)
+    staged, _ = stage_step(spark, ORDERS, {"o": table(spark, sf, "orders")}, store, "orders")
+    return rows_per_batch(staged, 1)
+
+
 def chunked_resume(spark, sf):
     """Ranges of chunks staged one after the other, then all again: what is there is skipped."""
     store, orders = _store(spark), table(spark, sf, "orders")
     for _ in range(2):
-        staged, _ = stage_step(spark, ORDERS, {"o": orders}, store, "orders", chunks_per_range=2, tag="run-")
+        staged, _ = stage_step(spark, ORDERS, {"o": orders}, store, "orders", commits=3, tag="run-")
     load_step(spark, ORDERS, staged, store, tag="run")
     return store.read("migrated", "result")
 
@@ -246,7 +253,7 @@ def batch_metrics(spark, sf):
 QUERIES = {
     "run_blueprint": run_blueprint_query, "run_migration": run_migration_query,
     "migration_customers": migration_customers, "migration_rerun": migration_rerun,
-    "migration_report": migration_report, "chunked_load": chunked_load, "chunked_resume": chunked_resume,
+    "migration_report": migration_report, "chunked_load": chunked_load, "chunked_resume": chunked_resume, "chunk_metrics": chunk_metrics,
     "structure_copy": structure_copy, "table_exists_skip": table_exists_skip, "stream_load": stream_load,
     "stream_ignore": stream_ignore, "batch_metrics": batch_metrics,
 }
@@ -292,6 +299,9 @@ ORACLE = {
     "chunked_load": f"""{_ORDER_ROWS}, ((o_orderkey - (SELECT min(o_orderkey) FROM orders)) // 2500 + 1)::BIGINT AS chunk
         FROM orders""",
     "chunked_resume": f"{_ORDER_ROWS} FROM orders",
+    "chunk_metrics": """
+        SELECT 1 AS blueprint_sequence, ((o_orderkey - (SELECT min(o_orderkey) FROM orders)) // 2500 + 1)::BIGINT AS batch_number,
+               count(*)::BIGINT AS rows_processed FROM orders GROUP BY 2""",
     "structure_copy": "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, 0::BIGINT AS rows_after_copy FROM orders",
     "table_exists_skip": "SELECT c_custkey, c_name, TRUE AS created, TRUE AS skipped_existing FROM customer",
     "stream_load": "SELECT event_id, user_id, event_type, value::DECIMAL(10,2) AS value FROM events",

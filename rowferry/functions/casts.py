@@ -13,9 +13,8 @@ INTEGER_PATTERN = r"^-?[0-9]+$"
 NUMBER_PATTERN = r"^-?[0-9]+(\.[0-9]+)?$"
 UUID_PATTERN = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 TIME_PATTERN = r"^([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]$"
+DATE_PATTERN = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
 DATETIME_PATTERN = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$"
-DATE_PARSE = "yyyy-M-d"
-DATETIME_PARSE = "yyyy-M-d H:m:s"
 DEFAULT_DECIMAL = (10, 0)
 
 TEXT_TYPES = ("VARCHAR", "CHAR", "TEXT")
@@ -91,6 +90,7 @@ def _clean(value: Column, source: T.DataType | None) -> Column:
 
 
 def _when_like(text: Column, pattern: str, then: Column) -> Column:
+    # the pattern keeps text of another form away from the parser, whose refusals cost far more
     return F.when(text.rlike(pattern), then)
 
 
@@ -114,19 +114,31 @@ def safe_cast(value: Column, to: str, source: T.DataType | None = None) -> Colum
     if base == "UUID":
         return _when_like(text, UUID_PATTERN, text)
     if base in INTEGER_TYPES:
+        top = 2 ** (63 if base == "BIGINT" else 31)
         if is_float:
-            return F.when(value == F.rint(value), value.try_cast(sql_type))
+            # -top is a double, top - 1 need not be
+            return F.when((value == F.rint(value)) & (value >= -float(top)) & (value < float(top)),
+                          value.try_cast(sql_type))
         if isinstance(source, T.IntegralType):
-            return value.try_cast(sql_type)
+            if isinstance(target, T.LongType) or not isinstance(source, T.LongType):
+                return value.cast(sql_type)
+            return F.when(value.between(-top, top - 1), value.try_cast(sql_type))
         return _when_like(text, INTEGER_PATTERN, text.try_cast(sql_type))
-    if base == "DECIMAL" or base in FLOAT_TYPES:
+    if base == "DECIMAL":
+        # values with too many digits are kept away from the cast for the same reason as bad dates
+        whole = target.precision - target.scale
+        if is_number:
+            return F.when(F.abs(value) < F.lit(float(10 ** whole)), value.try_cast(sql_type))
+        fits = text.rlike(rf"^-?0*[0-9]{{0,{whole}}}(\.[0-9]+)?$")
+        return F.when(fits & text.rlike(NUMBER_PATTERN), text.try_cast(sql_type))
+    if base in FLOAT_TYPES:
         if is_number:
-            return value.try_cast(sql_type)
+            return value.cast(sql_type)
         return _when_like(text, NUMBER_PATTERN, text.try_cast(sql_type))
     if base == "DATE":
         if is_moment:
             return value.cast("date")
-        return F.try_to_date(text, DATE_PARSE)
+        return _when_like(text, DATE_PATTERN, text.try_cast("date"))
     if base == "DATETIME":
         if is_moment:
             return value.cast("timestamp_ntz")
@@ -134,7 +146,7 @@ def safe_cast(value: Column, to: str, source: T.DataType | None = None) -> Colum
     if base == "TIMESTAMP":
         if is_moment:
             return value.cast("timestamp")
-        return F.try_to_timestamp(text, F.lit(DATETIME_PARSE))
+        return _when_like(text, DATETIME_PATTERN, text.try_cast("timestamp"))
     if base == "JSON":
         return F.when(F.try_parse_json(text).isNotNull(), text)
     # TIME
@@ -143,6 +155,13 @@ def safe_cast(value: Column, to: str, source: T.DataType | None = None) -> Colum
     return _when_like(text, TIME_PATTERN, text)
 
 
+def has_value(value: Column, source: T.DataType | None = None) -> Column:
+    """True for what is neither NULL nor blank text."""
+    if source is None or isinstance(source, T.StringType):
+        return F.coalesce(F.trim(value.cast("string")) != "", F.lit(False))
+    return value.isNotNull()
+
+
 def cast_failed(value: Column, cast: Column, source: T.DataType | None = None) -> Column:
-    """True where a non-blank value was lost by its cast."""
-    return _clean(value, source).isNotNull() & cast.isNull()
+    """True where a value was lost by its cast."""
+    return cast.isNull() & has_value(value, source)

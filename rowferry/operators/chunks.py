@@ -43,7 +43,8 @@ def chunk_plan(df: DataFrame, key: str, size: int, lower: int | None = None) ->
                  F.count(F.lit(1)).alias("rows")))
 
 
-def load_ranges(lo: int, hi: int, size: int, chunks_per_range: int) -> list[tuple[int, int]]:
-    """The ranges ``(lo, hi]`` of a resumable load: whole chunks, ``chunks_per_range`` in each."""
-    step = size * chunks_per_range
-    return [(start, min(start + step, hi)) for start in range(lo, hi, step)] if hi > lo else []
+def load_ranges(lo: int, hi: int, size: int, commits: int) -> list[tuple[int, int]]:
+    """The ranges ``(lo, hi]`` of a load in at most ``commits`` parts, each of whole chunks."""
+    chunks = -(-(hi - lo) // size)
+    step = size * max(1, -(-chunks // commits))
+    return [(start, min(start + step, hi)) for start in range(lo, hi, step)]

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowferry.operators.joins import HOT_ROWS, hot_keys
+from rowferry.operators.joins import HOT_ROWS, hot_keys, rows_with_key_in
 
 DUPLICATE_KEY = "DUPLICATE_KEY"
 DUPLICATE_IN_BATCH = "DUPLICATE_IN_BATCH"
@@ -58,10 +58,14 @@ def one_per_key(
     rows: DataFrame, keys: Sequence[str], order_by: Sequence[str] = (), *, greatest: bool = True,
 ) -> DataFrame:
     """The greatest (or least) row of each key by ``order_by``, then by all columns."""
-    first = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order_by)]
-    row = F.struct(*first, *[F.col(c) for c in rows.columns])
-    pick = (F.max if greatest else F.min)(row).alias("_row")
-    return rows.groupBy(*keys).agg(pick).select(*[F.col(f"_row.{c}").alias(c) for c in rows.columns])
+    rest = [c for c in rows.columns if c not in keys]
+    first = [c for c in order_by if c in rest]
+    ranked = [*first, *[c for c in rest if c not in first]]
+    if not ranked:
+        return rows.select(*keys).distinct().select(*rows.columns)
+    pick = (F.max if greatest else F.min)(F.struct(*ranked)).alias("_row")
+    return rows.groupBy(*keys).agg(pick).select(*[
+        F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in rows.columns])
 
 
 def _add(target: DataFrame, rows: DataFrame) -> DataFrame:
@@ -73,8 +77,20 @@ def _null_key_rows(batch: DataFrame, keys: Sequence[str]) -> DataFrame:
     return batch.filter(~has_key(keys)).withColumn("reject_reason", F.lit(NULL_KEY))
 
 
+def met_keys(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The target's keys that the batch also has.
+
+    The target is the streamed side: with a small batch its keys are broadcast and the target is
+    only scanned, with a large one both sides shuffle their key columns. What is left is no larger
+    than the batch, so later joins with it do not touch the target again.
+    """
+    keys = list(keys)
+    return rows_with_key_in(target.select(*keys), batch.filter(has_key(keys)).select(*keys).distinct(), keys)
+
+
 def captured(
     target: DataFrame, batch: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS,
+    met: DataFrame | None = None,
 ) -> DataFrame:
     """All batch rows whose key is in the target before the load.
 
@@ -83,7 +99,7 @@ def captured(
     """
     keys = list(keys)
     rows = batch.filter(has_key(keys))
-    there = target.select(*keys)
+    there = met if met is not None else met_keys(target, batch, keys)
     hot = hot_keys(rows, keys, hot_rows)
     hot_there = hot.join(there, keys, "left_semi")
     of_hot = rows.join(F.broadcast(hot_there), keys, "left_semi")
@@ -93,12 +109,14 @@ def captured(
 
 def batch_duplicates(
     target: DataFrame, batch: DataFrame, keys: Sequence[str], order_by: Sequence[str] = (),
+    met: DataFrame | None = None,
 ) -> DataFrame:
     """Rows that lose to another batch row of the same new key: one row per distinct loser, with
     ``copies`` telling how often it occurred."""
     keys = list(keys)
     columns = batch.columns
-    rows = batch.filter(has_key(keys)).join(target.select(*keys), keys, "left_anti")
+    there = met if met is not None else met_keys(target, batch, keys)
+    rows = batch.filter(has_key(keys)).join(there, keys, "left_anti")
     counted = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies"))
     # the winner of a key loses one copy; a multi-row key is told by its total
     winner = one_per_key(rows, keys, order_by, greatest=False).withColumn("_winner", F.lit(1))
@@ -108,14 +126,18 @@ def batch_duplicates(
             .filter("copies > 0").withColumn("reject_reason", F.lit(DUPLICATE_IN_BATCH)))
 
 
-def fail(target: DataFrame, batch: DataFrame, keys: Sequence[str], order_by: Sequence[str] = ()) -> Load:
+def fail(
+    target: DataFrame, batch: DataFrame, keys: Sequence[str], order_by: Sequence[str] = (),
+    met: DataFrame | None = None,
+) -> Load:
     """Plain insert; any key that repeats, is in the target, or is NULL forbids it."""
     keys = list(keys)
     append = batch
     if not keys:
         return Load(append, _add(target, append), False, _no_rejects(batch), None)
     counts = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("batch_rows"))
-    there = target.select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)], F.lit(True).alias("_hit"))
+    there = met if met is not None else met_keys(target, batch, keys)
+    there = there.select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)], F.lit(True).alias("_hit"))
     on = _every([F.col(k) == F.col(f"_t{i}") for i, k in enumerate(keys)])
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     reason = (F.when(~has_key(keys), NULL_KEY).when(hit, DUPLICATE_KEY)
@@ -130,27 +152,37 @@ def _no_rejects(batch: DataFrame) -> DataFrame:
     return batch.filter(F.lit(False)).withColumn("reject_reason", F.lit(None).cast("string"))
 
 
-def ignore(target: DataFrame, batch: DataFrame, keys: Sequence[str], order_by: Sequence[str] = ()) -> Load:
+def ignore(
+    target: DataFrame, batch: DataFrame, keys: Sequence[str], order_by: Sequence[str] = (),
+    met: DataFrame | None = None,
+) -> Load:
     """Insert rows whose key is new."""
     keys = list(keys)
     if not keys:
         return Load(batch, _add(target, batch), False, _no_rejects(batch))
     rows = one_per_key(batch.filter(has_key(keys)), keys, order_by, greatest=False)
-    append = rows.join(target.select(*keys), keys, "left_anti").select(*batch.columns)
+    there = met if met is not None else met_keys(target, batch, keys)
+    append = rows.join(there, keys, "left_anti").select(*batch.columns)
     return Load(append, _add(target, append), False, _null_key_rows(batch, keys))
 
 
-def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], order_by: Sequence[str] = ()) -> Load:
+def upsert(
+    target: DataFrame, batch: DataFrame, keys: Sequence[str], order_by: Sequence[str] = (),
+    met: DataFrame | None = None,
+) -> Load:
     """Insert new keys, replace the mapped non-key columns of existing ones.
 
-    Target columns that the batch does not have keep their value.
+    Target columns that the batch does not have keep their value. When the batch has all of them,
+    the kept target rows are found by an anti join, which only scans the target if the keys to
+    replace are few; otherwise old and new rows meet in one full join of unique keys.
     """
     keys = _needed(keys, "UPSERT")
     rows = one_per_key(batch.filter(has_key(keys)), keys, order_by, greatest=True)
     rejects = _null_key_rows(batch, keys)
     mapped = [c for c in target.columns if c in rows.columns]
     if len(mapped) == len(target.columns):
-        kept = target.join(rows.select(*keys), keys, "left_anti").select(*target.columns)
+        there = met if met is not None else rows.select(*keys)
+        kept = target.join(there, keys, "left_anti").select(*target.columns)
         return Load(rows, _add(kept, rows), True, rejects)
     new = rows.select(*[F.col(c).alias(f"_n_{c}") for c in mapped], F.lit(True).alias("_new"))
     on = _every([F.col(k) == F.col(f"_n_{k}") for k in keys])
@@ -162,15 +194,16 @@ def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], order_by: S
 
 def ignore_and_capture(
     target: DataFrame, batch: DataFrame, keys: Sequence[str], order_by: Sequence[str] = (),
-    *, log_batch_duplicates: bool = False, hot_rows: int = HOT_ROWS,
+    met: DataFrame | None = None, *, log_batch_duplicates: bool = False, hot_rows: int = HOT_ROWS,
 ) -> Load:
     """IGNORE, with the rows that met an existing key as rejects (for a log or unprocessed table)."""
     keys = _needed(keys, "a policy that captures conflicts")
-    load = ignore(target, batch, keys, order_by)
-    rejects = captured(target, batch, keys, hot_rows).unionByName(load.rejects)
+    there = met if met is not None else met_keys(target, batch, keys)
+    load = ignore(target, batch, keys, order_by, there)
+    rejects = captured(target, batch, keys, hot_rows, there).unionByName(load.rejects)
     if log_batch_duplicates:
         rejects = rejects.withColumn("copies", F.lit(1).cast("bigint")).unionByName(
-            batch_duplicates(target, batch, keys, order_by))
+            batch_duplicates(target, batch, keys, order_by, there))
     return Load(load.append, load.new_target, False, rejects)
 
 

@@ -19,7 +19,7 @@ METRICS_SCHEMA = "blueprint_sequence int, batch_number bigint, rows_processed bi
 def row_errors(evaluated: DataFrame, sequence: int, batch: int = 0) -> DataFrame:
     """One row per error found by ``evaluate``."""
     number = F.col("_batch") if "_batch" in evaluated.columns else F.lit(batch)
-    return (evaluated.select(
+    return (evaluated.filter(F.col(ERRORS).isNotNull()).select(
                 F.lit(sequence).cast("int").alias("blueprint_sequence"),
                 number.cast("bigint").alias("batch_number"),
                 F.col(IDENTITY).alias("row_identity"), F.explode(ERRORS).alias("e"))
@@ -40,7 +40,7 @@ def key_errors(evaluated: DataFrame, sequence: int, keys: Sequence[str], batch:
 
 def loadable(evaluated: DataFrame, *, reject_bad_rows: bool = False) -> DataFrame:
     """The rows to load: all of them with NULL for lost values, or only those without an error."""
-    rows = evaluated.filter(F.size(ERRORS) == 0) if reject_bad_rows else evaluated
+    rows = evaluated.filter(F.col(ERRORS).isNull()) if reject_bad_rows else evaluated
     return rows.drop(ERRORS, IDENTITY)
 
 
@@ -59,6 +59,13 @@ def batch_metrics(spark: SparkSession, sequence: int, batch: int, rows: int, dur
     return spark.createDataFrame([(sequence, batch, rows, float(duration_ms))], METRICS_SCHEMA)
 
 
+def rows_per_batch(staged: DataFrame, sequence: int) -> DataFrame:
+    """Rows per batch or chunk of a staged step, read from its batch column alone."""
+    return (staged.groupBy(F.col("_batch").alias("batch_number"))
+            .agg(F.count(F.lit(1)).alias("rows_processed"))
+            .select(F.lit(sequence).cast("int").alias("blueprint_sequence"), "batch_number", "rows_processed"))
+
+
 def execution_report(
     migration_id: str, metrics: DataFrame, ledger: DataFrame, *,
     steps: int | None = None, failed: bool = False, message: str = "",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterable, Mapping, Sequence
 
@@ -65,37 +66,47 @@ def evaluate(
     *,
     check_length: bool = False,
     check_null: bool = False,
+    identify_all: bool = False,
     also: Sequence[Column] = (),
 ) -> DataFrame:
-    """``project`` plus what went wrong per row.
+    """``project`` plus what went wrong per row, from the same pass.
 
-    ``_errors`` lists (target_column, error_code, message, raw_value); ``_identity`` maps the key
-    columns to their uncast text, so a row with a bad key can still be found. Both come from the
-    same pass as the values.
+    ``_errors`` lists (target_column, error_code, message, raw_value) and is NULL for a good row.
+    ``_identity`` maps the key columns to their uncast text, so that a row with a bad key can still
+    be found; it is filled for rows with an error or without a key, or with ``identify_all`` always.
     """
     raw, types = _raw(df, columns, also)
-    staged = raw.select("*", *[
+    cast = raw.select("*", *[
         safe_cast(F.col(f"_{i}"), c.cast_to, t).alias(f"_c{i}")
         for i, (c, t) in enumerate(zip(columns, types))
     ])
-    found, identity = [], []
+    found, identity, no_key = [], [], []
     for i, (c, t) in enumerate(zip(columns, types)):
-        value, cast = F.col(f"_{i}"), F.col(f"_c{i}")
+        value, result = F.col(f"_{i}"), F.col(f"_c{i}")
         text = as_text(value, t)
         base, args = parse_type(c.cast_to)
-        found.append(_error(cast_failed(value, cast, t), c.column, "CAST_FAILED", f"Invalid {base}", text))
+        failed = cast_failed(value, result, t)
+        found.append((failed, c.column, "CAST_FAILED", f"Invalid {base}", text))
         if check_length and base in ("VARCHAR", "CHAR") and args:
-            found.append(_error(F.length(cast) > args[0], c.column, "TOO_LONG",
-                                f"Longer than {args[0]} characters", text))
+            found.append((F.coalesce(F.length(result) > args[0], F.lit(False)), c.column, "TOO_LONG",
+                          f"Longer than {args[0]} characters", text))
         if check_null and not c.nullable:
-            found.append(_error(cast.isNull() & ~cast_failed(value, cast, t), c.column, "NULL_VALUE",
-                                "No value for a NOT NULL column", text))
+            found.append((result.isNull() & ~failed, c.column, "NULL_VALUE",
+                          "No value for a NOT NULL column", text))
         if c.column in keys:
             identity += [F.lit(c.column), text]
-    errors = F.filter(F.array(*found), lambda e: e.isNotNull())
-    pairs = F.create_map(*identity) if identity else F.lit(None).cast("map<string,string>")
+            no_key.append(result.isNull())
+    any_error = functools.reduce(lambda a, b: a | b, [when for when, *_ in found])
+    errors = F.when(any_error, F.array_compact(F.array(*[_error(*e) for e in found])))
+    if not identity:
+        pairs = F.lit(None).cast("map<string,string>")
+    elif identify_all:
+        pairs = F.create_map(*identity)
+    else:
+        wanted = functools.reduce(lambda a, b: a | b, [any_error, *no_key])
+        pairs = F.when(wanted, F.create_map(*identity))
     extra = [F.col(name) for name in raw.columns[len(columns):]]
-    return staged.select(
+    return cast.select(
         *[F.col(f"_c{i}").alias(c.column) for i, c in enumerate(columns)],
         errors.alias(ERRORS), pairs.alias(IDENTITY), *extra)
 

@@ -13,14 +13,15 @@ from pyspark.sql import types as T
 
 from rowferry.functions.casts import spark_type
 from rowferry.operators.chunks import chunk_bounds, chunk_number, load_ranges
-from rowferry.operators.conflict import POLICIES, require_no_conflicts
-from rowferry.operators.joins import join_sources, rows_with_key_in
+from rowferry.operators.conflict import POLICIES, met_keys, require_no_conflicts
+from rowferry.operators.joins import join_sources
 from rowferry.operators.ledger import key_errors, row_errors, stop_on_errors
 from rowferry.operators.shape import ERRORS, IDENTITY, derive, evaluate, keep_rows, project
 from rowferry.sinks.audit import SNAPSHOT, audit_layout, audit_rows, fit, unprocessed_layout, unprocessed_rows
 from rowferry.sinks.tables import TableStore
 from rowferry.spec import DEFAULT_AUDIT_TABLE, Step
 
+CAPTURING = ("IGNORE_AND_LOG", "IGNORE_AND_INSERT_UNPROCESSED")
 LEDGER = ("migration_admin", "row_errors")
 
 
@@ -56,19 +57,21 @@ class StepResult:
 
 def stage_step(
     spark: SparkSession, step: Step, frames: Mapping[str, DataFrame], store: TableStore, name: str, *,
-    chunks_per_range: int | None = None, tag: str = "", lower: int | None = None, **checks,
+    commits: int | None = None, tag: str = "", lower: int | None = None, **checks,
 ) -> tuple[DataFrame, list[tuple[int, int, float]]]:
     """Evaluate a step into a staged table, and give it with (batch, rows, milliseconds) per write.
 
-    Without chunking, or without ``chunks_per_range``, this is one job over all rows: tasks already
-    bound the memory, and the chunk number is a column. With it, each range of that many chunks is
-    its own write; ranges already staged under the same tag are skipped when a run is resumed.
+    Without chunking, or without ``commits``, this is one job over all rows: tasks already bound
+    the memory, and the chunk number is a column. With it, the chunks are written in that many
+    ranges, so that a run which is resumed skips the ranges already staged under its tag. Their
+    number is the caller's; it does not grow with the data.
     """
     def write(batch: int, rows: DataFrame) -> tuple[int, int, float]:
         began = time.monotonic()
         written = store.publish("staging", name, rows, mode="add", tag=f"{tag}b{batch}")
         return batch, written, (time.monotonic() - began) * 1000
 
+    checks.setdefault("identify_all", step.target.policy in CAPTURING)
     chunk = step.chunking
     if chunk is None:
         rows = evaluate(transformed(step, frames), step.columns, step.target.keys,
@@ -86,9 +89,9 @@ def stage_step(
 
     above = None if lower is None else key > lower
     # a RIGHT or FULL join would give its unmatched rows once per range
-    if chunks_per_range is None or any(j.how in ("RIGHT", "FULL") for j in step.joins):
+    if commits is None or any(j.how in ("RIGHT", "FULL") for j in step.joins):
         return _staged(store, name, [write(0, part(above))])
-    ranges = load_ranges(bounds["lo"], bounds["hi"], chunk.size, chunks_per_range)
+    ranges = load_ranges(bounds["lo"], bounds["hi"], chunk.size, commits)
     done = [write(i, part((key > lo) & (key <= hi))) for i, (lo, hi) in enumerate(ranges, 1)]
     if lower is None:
         done.append(write(0, part(key.isNull())))
@@ -102,10 +105,12 @@ def _staged(store: TableStore, name: str, done: list) -> tuple[DataFrame, list]:
 def load_step(
     spark: SparkSession, step: Step, staged: DataFrame, store: TableStore, *,
     migration_id: str = "", tag: str = "", at: datetime | None = None, order_by: Sequence[str] = (),
-    reject_bad_rows: bool = False, log_batch_duplicates: bool = False,
+    reject_bad_rows: bool = False, log_batch_duplicates: bool = False, tables=None,
 ) -> StepResult:
     """Load staged rows under the target's policy.
 
+    ``store`` keeps the error ledger; ``tables`` holds the target if that is elsewhere.
+
     Errors and refused rows are written first, then the target gets its new version, so a load that
     dies half-way leaves the target as it was and can be repeated under the same tag.
     """
@@ -118,46 +123,50 @@ def load_step(
         ledger = ledger.unionByName(key_errors(staged, step.order, target.keys))
     result.errors = store.publish(*LEDGER, ledger, mode="add", tag=_tag(tag, step, "errors"))
 
-    store.ensure(target.schema, target.table, target_layout(step))
-    before = store.read(target.schema, target.table)
-    rows = staged.filter(F.size(ERRORS) == 0) if reject_bad_rows else staged
-    captures = target.policy in ("IGNORE_AND_LOG", "IGNORE_AND_INSERT_UNPROCESSED")
+    tables = tables or store
+    there = tables.exists(target.schema, target.table)
+    before = tables.read(target.schema, target.table) if there else spark.createDataFrame([], target_layout(step))
+    rows = staged.filter(F.col(ERRORS).isNull()) if reject_bad_rows else staged
+    captures = target.policy in CAPTURING
     snapshot = [F.to_json(IDENTITY).alias(SNAPSHOT)] if captures else []
     batch = rows.select(*columns, *[c for c in order_by if c not in columns], *snapshot)
     options = {"log_batch_duplicates": log_batch_duplicates} if captures else {}
-    load = POLICIES[target.policy](before, batch, target.keys, order_by, **options)
-    require_no_conflicts(load)
-
-    if captures:
-        layout = before.schema
-        if target.policy == "IGNORE_AND_LOG":
-            table = target.audit_table or DEFAULT_AUDIT_TABLE
-            wanted = audit_layout(layout, target.keys)
-            refused = audit_rows(load.rejects, columns, migration_id, step.order, target, at)
-        else:
-            table, wanted = target.unprocessed_table, unprocessed_layout(layout)
-            refused = unprocessed_rows(load.rejects, columns, at)
-        schema, _, name = table.rpartition(".")
-        schema = schema or target.schema
-        store.ensure(schema, name, wanted)
-        wanted = store.read(schema, name).schema
-        result.rejects = store.publish(schema, name, fit(refused, wanted), mode="add", tag=_tag(tag, step, "rejects"))
-
-    load_tag = _tag(tag, step, "load")
-    if load.rewrites and _meets(before, batch, target.keys):
-        result.rows_loaded = store.publish(target.schema, target.table, load.new_target, tag=load_tag)
-    else:
-        added = fit(load.append, before.schema)
-        result.rows_loaded = store.publish(target.schema, target.table, added, mode="add", tag=load_tag)
+    # the keys the target already has serve several jobs, so they are found once
+    met = met_keys(before, batch, target.keys).persist() if there and target.keys else None
+    try:
+        load = POLICIES[target.policy](before, batch, target.keys, order_by, met, **options)
+        require_no_conflicts(load)
+        if captures:
+            result.rejects = _keep_rejects(step, load.rejects, before, tables, migration_id, tag, at)
+        # a load of new keys alone adds its rows and spares the target a rewrite
+        rewrite = load.rewrites and met is not None and not met.isEmpty()
+        result.rows_loaded = tables.publish(
+            target.schema, target.table, load.new_target if rewrite else fit(load.append, before.schema),
+            mode="full" if rewrite or not there else "add", tag=_tag(tag, step, "load"))
+    finally:
+        if met is not None:
+            met.unpersist()
     return result
 
 
-def _meets(before: DataFrame, batch: DataFrame, keys: Sequence[str]) -> bool:
-    """True when a key of the batch is in the target; reads key columns only and stops at the first.
-
-    A load of new keys alone then adds its rows and spares the target a rewrite.
-    """
-    return not rows_with_key_in(before, batch.select(*keys).distinct(), keys).isEmpty()
+def _keep_rejects(
+    step: Step, rejects: DataFrame, before: DataFrame, tables, migration_id: str, tag: str,
+    at: datetime | None,
+) -> int:
+    """Write refused rows to the audit or unprocessed table; gives their number."""
+    target, columns = step.target, [c.column for c in step.columns]
+    if target.policy == "IGNORE_AND_LOG":
+        table = target.audit_table or DEFAULT_AUDIT_TABLE
+        layout = audit_layout(before.schema, target.keys)
+        refused = audit_rows(rejects, columns, migration_id, step.order, target, at)
+    else:
+        table, layout = target.unprocessed_table, unprocessed_layout(before.schema)
+        refused = unprocessed_rows(rejects, columns, at)
+    schema, _, name = table.rpartition(".")
+    schema = schema or target.schema
+    if tables.exists(schema, name):
+        layout = tables.read(schema, name).schema
+    return tables.publish(schema, name, fit(refused, layout), mode="add", tag=_tag(tag, step, "rejects"))
 
 
 def _tag(tag: str, step: Step, what: str) -> str | None:

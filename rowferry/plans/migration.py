@@ -37,30 +37,33 @@ def run_migration(
     at: datetime | None = None,
     reject_bad_rows: bool = False,
     log_batch_duplicates: bool = False,
-    chunks_per_range: int | None = None,
+    commits: int | None = None,
+    targets: Callable[[Step], object] | None = None,
     raise_on_failure: bool = True,
 ) -> MigrationRun:
     """Run the steps in order; when step N fails, 1..N-1 stay loaded.
 
     Called again with the same ``run_id`` after a failure, it goes on where it stopped: a step
-    whose target version carries the run's tag is not loaded again.
+    whose target version carries the run's tag is not loaded again. Targets are tables of
+    ``store`` unless ``targets`` says where a step's target is.
     """
     run_id = re.sub(r"[^\w-]", "_", run_id) if run_id else uuid.uuid4().hex[:12]
     results: list[StepResult] = []
     failure: Exception | None = None
     for step in migration.steps:
         target, tag = step.target, f"{run_id}-step{step.order}"
-        if store.has_tag(target.schema, target.table, f"{tag}-load"):
+        tables = targets(step) if targets else store
+        if tables.has_tag(target.schema, target.table, f"{tag}-load"):
             results.append(StepResult(step.order, skipped=True))
             continue
         try:
             frames = sources(step) if sources else open_sources(spark, step, migration.connections, read_options)
             staged, batches = stage_step(
                 spark, step, frames, store, f"{run_id}_step{step.order}",
-                chunks_per_range=chunks_per_range, tag=f"{tag}-")
+                commits=commits, tag=f"{tag}-")
             result = load_step(
                 spark, step, staged, store, migration_id=migration.migration_id, tag=run_id, at=at,
-                reject_bad_rows=reject_bad_rows, log_batch_duplicates=log_batch_duplicates)
+                reject_bad_rows=reject_bad_rows, log_batch_duplicates=log_batch_duplicates, tables=tables)
             result.batches, result.rows_read = batches, sum(b[1] for b in batches)
             metrics = spark.createDataFrame(
                 [(step.order, batch, rows, ms) for batch, rows, ms in batches], ledgers.METRICS_SCHEMA)

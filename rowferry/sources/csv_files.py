@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import csv
-import io
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -11,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowferry.functions.casts import DATE_PARSE, DATETIME_PATTERN, INTEGER_PATTERN, NUMBER_PATTERN
+from rowferry.functions.casts import DATE_PATTERN, DATETIME_PATTERN, INTEGER_PATTERN, NUMBER_PATTERN
 
 # The bytes read for a header and the parse options of a plain file.
 HEADER_BYTES = 65_536
@@ -24,18 +22,33 @@ def _one_character(value: str, what: str) -> str:
     return value
 
 
-def header_names(sample: str, delimiter: str = DELIMITER, quote: str = QUOTE, header_row: int = 1) -> list[str]:
-    """Column names from the start of a file: trimmed, a blank one is called ``_c<position>``."""
+def _header_reader(delimiter: str, quote: str, header_row: int):
+    """A function from the start of a file to its column names.
+
+    It stands alone, so that it can be sent to workers which do not have this package.
+    """
+    def names(sample: str) -> list[str]:
+        import csv
+        import io
+        if not sample.strip():
+            raise ValueError("the file is empty")
+        for number, cells in enumerate(csv.reader(io.StringIO(sample), delimiter=delimiter, quotechar=quote), 1):
+            if number == header_row:
+                if not any(cell.strip() for cell in cells):
+                    raise ValueError("the header row is empty")
+                return [cell.strip() or f"_c{i}" for i, cell in enumerate(cells)]
+        raise ValueError(f"the file has no row {header_row}")
+
+    _one_character(delimiter, "delimiter")
+    _one_character(quote, "quote")
     if header_row < 1:
         raise ValueError("header_row must be at least 1")
-    if not sample.strip():
-        raise ValueError("the file is empty")
-    for number, cells in enumerate(csv.reader(io.StringIO(sample), delimiter=delimiter, quotechar=quote), 1):
-        if number == header_row:
-            if not any(cell.strip() for cell in cells):
-                raise ValueError("the header row is empty")
-            return [cell.strip() or f"_c{i}" for i, cell in enumerate(cells)]
-    raise ValueError(f"the file has no row {header_row}")
+    return names
+
+
+def header_names(sample: str, delimiter: str = DELIMITER, quote: str = QUOTE, header_row: int = 1) -> list[str]:
+    """Column names from the start of a file: trimmed, a blank one is called ``_c<position>``."""
+    return _header_reader(delimiter, quote, header_row)(sample)
 
 
 def list_csv_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,15 +64,6 @@ def list_csv_files(spark: SparkSession, folder: str) -> DataFrame:
             .orderBy(F.lower("name"), "key"))
 
 
-def _head(path: str, size: int) -> bytes:
-    """The first bytes of a file in any file system that Arrow knows."""
-    from pyarrow import fs
-    uri = "s3" + path[3:] if path.startswith(("s3a:", "s3n:")) else path
-    system, place = fs.FileSystem.from_uri(uri)
-    with system.open_input_stream(place) as stream:
-        return stream.read(size)
-
-
 def csv_columns(
     spark: SparkSession, folder: str, *, delimiter: str = DELIMITER, quote: str = QUOTE,
     header_row: int = 1, encoding: str = ENCODING,
@@ -69,16 +73,18 @@ def csv_columns(
     The listing is spread over tasks and each reads the first 64 KiB of its files, so the cost
     follows the number of files, not their size.
     """
-    _one_character(delimiter, "delimiter")
-    _one_character(quote, "quote")
+    names, size = _header_reader(delimiter, quote, header_row), HEADER_BYTES
 
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
         for files in batches:
             rows = []
             for name, key in zip(files["name"], files["key"]):
-                text = _head(key, HEADER_BYTES).decode(encoding, errors="replace")
-                rows += [(name, i, column) for i, column in
-                         enumerate(header_names(text, delimiter, quote, header_row))]
+                uri = "s3" + key[3:] if key.startswith(("s3a:", "s3n:")) else key
+                system, place = fs.FileSystem.from_uri(uri)
+                with system.open_input_stream(place) as stream:
+                    text = stream.read(size).decode(encoding, errors="replace")
+                rows += [(name, i, column) for i, column in enumerate(names(text))]
             yield pd.DataFrame(rows, columns=["file", "position", "column_name"])
 
     listing = list_csv_files(spark, folder).select("name", "key")
@@ -96,10 +102,7 @@ def read_csv(
     Files are split over tasks. ``multiline`` is for quoted cells with line breaks; it reads each
     file in one task, so it suits small files only.
     """
-    _one_character(delimiter, "delimiter")
-    _one_character(quote, "quote")
-    if header_row < 1:
-        raise ValueError("header_row must be at least 1")
+    _header_reader(delimiter, quote, header_row)
     if header_row > 1:
         return _read_below(spark, path, delimiter, quote, header_row, encoding, schema)
     reader = (spark.read.option("header", True).option("sep", delimiter).option("quote", quote)
@@ -164,7 +167,7 @@ def csv_types(df: DataFrame) -> DataFrame:
             "filled": text.isNotNull(),
             "BIGINT": text.rlike(INTEGER_PATTERN) & text.try_cast("bigint").isNotNull(),
             "DECIMAL": text.rlike(NUMBER_PATTERN),
-            "DATE": F.try_to_date(text, DATE_PARSE).isNotNull(),
+            "DATE": text.rlike(DATE_PATTERN) & text.try_cast("date").isNotNull(),
             "DATETIME": text.rlike(DATETIME_PATTERN) & text.try_cast("timestamp_ntz").isNotNull(),
         }
         counts += [F.count_if(test).alias(f"{kind}_{i}") for kind, test in tests.items()]

@@ -6,6 +6,8 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
+from rowferry.functions.casts import spark_type
+
 # Fixed values of the configuration format.
 CONNECTION_TYPES = ("MYSQL", "MSSQL", "POSTGRESQL", "CSV_S3_BUCKET", "LOCAL_CSV", "PARQUET")
 JOIN_TYPES = ("INNER", "LEFT", "RIGHT", "FULL")
@@ -88,6 +90,12 @@ class ColumnMap:
 
     def __post_init__(self) -> None:
         _one_of(self.kind, MAPPING_KINDS, "mapping source type")
+        if not self.value.strip():
+            raise SpecError(f"mapping of {self.column!r} has no source value")
+        try:
+            spark_type(self.cast_to)
+        except ValueError as error:
+            raise SpecError(f"mapping of {self.column!r}: {error}") from None
         if self.kind == "DERIVED" and not self.value.startswith(DERIVED_PREFIX):
             raise SpecError(f"DERIVED mapping of {self.column!r} must read '{DERIVED_PREFIX}<name>'")
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from rowferry.operators import ledger as ledgers
 from rowferry.operators.shape import evaluate
-from rowferry.plans.blueprint import StepResult, load_step, transformed
+from rowferry.plans.blueprint import CAPTURING, StepResult, load_step, transformed
 from rowferry.sinks.tables import TableStore
 from rowferry.spec import Step
 
@@ -44,6 +44,7 @@ def stage_stream(
     def take(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         began = time.monotonic()
+        checks.setdefault("identify_all", step.target.policy in CAPTURING)
         rows = transformed(step, {**(frames or {}), step.root.alias: batch})
         rows = evaluate(rows, step.columns, step.target.keys,
                         also=[F.lit(number).cast("bigint").alias("_batch")], **checks)
