@@ -33,8 +33,10 @@ def derive(df: DataFrame, derivations: Mapping[str, str]) -> DataFrame:
     """
     if not derivations:
         return df
+    # inside a struct no value can see another; beside it, each gets its bare name too
     values = [expression(text).alias(name) for name, text in derivations.items()]
-    return df.select("*", *values, F.struct(*values).alias("derivations"))
+    df = df.select("*", F.struct(*values).alias("derivations"))
+    return df.select("*", *[F.col("derivations")[name].alias(name) for name in derivations])
 
 
 def mapped_value(column: ColumnMap) -> Column:

@@ -64,11 +64,11 @@ def stage_step(
     Without chunking, or without ``commits``, this is one job over all rows: tasks already bound
     the memory, and the chunk number is a column. With it, the chunks are written in that many
     ranges, so that a run which is resumed skips the ranges already staged under its tag. Their
-    number is the caller's; it does not grow with the data.
+    number is the caller's; it does not grow with the data. Staging in one job starts afresh.
     """
-    def write(batch: int, rows: DataFrame) -> tuple[int, int, float]:
+    def write(batch: int, rows: DataFrame, mode: str = "full") -> tuple[int, int, float]:
         began = time.monotonic()
-        written = store.publish("staging", name, rows, mode="add", tag=f"{tag}b{batch}")
+        written = store.publish("staging", name, rows, mode=mode, tag=f"{tag}b{batch}" if mode == "add" else None)
         return batch, written, (time.monotonic() - began) * 1000
 
     checks.setdefault("identify_all", step.target.policy in CAPTURING)
@@ -92,9 +92,9 @@ def stage_step(
     if commits is None or any(j.how in ("RIGHT", "FULL") for j in step.joins):
         return _staged(store, name, [write(0, part(above))])
     ranges = load_ranges(bounds["lo"], bounds["hi"], chunk.size, commits)
-    done = [write(i, part((key > lo) & (key <= hi))) for i, (lo, hi) in enumerate(ranges, 1)]
+    done = [write(i, part((key > lo) & (key <= hi)), "add") for i, (lo, hi) in enumerate(ranges, 1)]
     if lower is None:
-        done.append(write(0, part(key.isNull())))
+        done.append(write(0, part(key.isNull()), "add"))
     return _staged(store, name, done)
 
 
@@ -121,8 +121,6 @@ def load_step(
         stop_on_errors(ledger)
     if target.keys:
         ledger = ledger.unionByName(key_errors(staged, step.order, target.keys))
-    result.errors = store.publish(*LEDGER, ledger, mode="add", tag=_tag(tag, step, "errors"))
-
     tables = tables or store
     there = tables.exists(target.schema, target.table)
     before = tables.read(target.schema, target.table) if there else spark.createDataFrame([], target_layout(step))
@@ -136,6 +134,7 @@ def load_step(
     try:
         load = POLICIES[target.policy](before, batch, target.keys, order_by, met, **options)
         require_no_conflicts(load)
+        result.errors = store.publish(*LEDGER, ledger, mode="add", tag=_tag(tag, step, "errors"))
         if captures:
             result.rejects = _keep_rejects(step, load.rejects, before, tables, migration_id, tag, at)
         # a load of new keys alone adds its rows and spares the target a rewrite

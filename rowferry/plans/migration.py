@@ -11,6 +11,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 
 from rowferry.operators import ledger as ledgers
+from rowferry.operators.conflict import KeyConflict
 from rowferry.plans.blueprint import LEDGER, StepResult, load_step, stage_step
 from rowferry.sinks.tables import TableStore
 from rowferry.sources.open import open_sources
@@ -45,7 +46,9 @@ def run_migration(
 
     Called again with the same ``run_id`` after a failure, it goes on where it stopped: a step
     whose target version carries the run's tag is not loaded again. Targets are tables of
-    ``store`` unless ``targets`` says where a step's target is.
+    ``store`` unless ``targets`` says where a step's target is. The staged rows of a step are
+    deleted once they are loaded, or refused by a FAIL policy; after any other failure they stay for
+    the run to go on with.
     """
     run_id = re.sub(r"[^\w-]", "_", run_id) if run_id else uuid.uuid4().hex[:12]
     results: list[StepResult] = []
@@ -56,11 +59,11 @@ def run_migration(
         if tables.has_tag(target.schema, target.table, f"{tag}-load"):
             results.append(StepResult(step.order, skipped=True))
             continue
+        name = f"{run_id}_step{step.order}"
         try:
             frames = sources(step) if sources else open_sources(spark, step, migration.connections, read_options)
             staged, batches = stage_step(
-                spark, step, frames, store, f"{run_id}_step{step.order}",
-                commits=commits, tag=f"{tag}-")
+                spark, step, frames, store, name, commits=commits, tag=f"{tag}-")
             result = load_step(
                 spark, step, staged, store, migration_id=migration.migration_id, tag=run_id, at=at,
                 reject_bad_rows=reject_bad_rows, log_batch_duplicates=log_batch_duplicates, tables=tables)
@@ -70,10 +73,13 @@ def run_migration(
             store.publish(*METRICS, metrics, mode="add", tag=f"{tag}-metrics")
         except Exception as error:  # noqa: BLE001 - the steps before stay, the report says which failed
             failure = error
+            if isinstance(error, (KeyConflict, ledgers.RowErrors)):
+                store.drop("staging", name)
             results.append(StepResult(step.order))
             if raise_on_failure:
                 raise
             break
+        store.drop("staging", name)
         results.append(result)
     return MigrationRun(run_id, results, report(spark, migration, store, run_id, failure), failure)
 

@@ -86,14 +86,16 @@ class TableStore:
         return self.spark.read.schema(layout).parquet(*paths)
 
     def publish(self, schema: str, table: str, rows: DataFrame, *, mode: str = "full", tag: str | None = None) -> int:
-        """Write ``rows`` as the next version; gives the number of rows written.
+        """Write ``rows`` as the next version; gives its number of rows.
 
-        Does nothing and gives 0 when a version with this tag is there already.
+        Writes nothing when a version with this tag is there already; the number is then that one's.
         """
         if mode not in ("full", "add"):
             raise ValueError("mode is full or add")
-        if tag and self.has_tag(schema, table, tag):
-            return 0
+        if tag:
+            for version in self.versions(schema, table):
+                if version.tag == tag:
+                    return self.spark.read.parquet(version.path).count()
         taken = [c[0] for c in self._children(schema, table)]
         name = f"{max(taken, default=0) + 1:06d}.{mode}" + (f".{tag}" if tag else "")
         written = Observation()
@@ -125,6 +127,11 @@ class TableStore:
         """Rewrite the table as one full version."""
         return self.publish(schema, table, self.read(schema, table))
 
+    def drop(self, schema: str, table: str) -> None:
+        """Delete a table with all its versions."""
+        fs, path = file_system(self.spark, self.folder(schema, table))
+        fs.delete(path, True)
+
     def drop_old_versions(self, schema: str, table: str) -> int:
         """Delete the versions that the current table no longer reads; gives their number.
 

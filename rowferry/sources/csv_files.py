@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -16,6 +17,13 @@ HEADER_BYTES = 65_536
 DELIMITER, QUOTE, ENCODING = ",", '"', "utf-8"
 
 
+def _charset(encoding: str) -> str:
+    """The name Spark has for an encoding that Python knows by several."""
+    names = {"iso8859-1": "iso-8859-1", "ascii": "us-ascii", "utf-16-le": "utf-16le", "utf-16-be": "utf-16be"}
+    known = codecs.lookup(encoding).name
+    return names.get(known, known)
+
+
 def _one_character(value: str, what: str) -> str:
     if len(value) != 1:
         raise ValueError(f"{what} must be one character")
@@ -54,14 +62,20 @@ def header_names(sample: str, delimiter: str = DELIMITER, quote: str = QUOTE, he
 def list_csv_files(spark: SparkSession, folder: str) -> DataFrame:
     """(name, key, size, modified) of the ``*.csv`` files under a folder, ordered by name.
 
-    Only the listing is read: the content column is pruned away.
+    Only the listing is read: the content column is pruned away. ``modified`` is NULL for an empty
+    file.
     """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
              .option("pathGlobFilter", "*.[cC][sS][vV]").load(folder))
-    name = F.element_at(F.split("path", "/"), -1)
-    return (files.select(name.alias("name"), F.col("path").alias("key"), F.col("length").alias("size"),
+    found = files.select(F.col("path").alias("key"), F.col("length").alias("size"),
                          F.col("modificationTime").alias("modified"))
-            .orderBy(F.lower("name"), "key"))
+    # the scan passes over files without content; the file index has their paths as URIs
+    uris = spark.createDataFrame([(uri,) for uri in files.inputFiles()], "uri string")
+    path = F.regexp_replace(F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
+    empty = uris.select(path.alias("key")).join(found, "key", "left_anti")
+    name = F.element_at(F.split("key", "/"), -1)
+    return (found.unionByName(empty.withColumn("size", F.lit(0).cast("bigint")), allowMissingColumns=True)
+            .select(name.alias("name"), "key", "size", "modified").orderBy(F.lower("name"), "key"))
 
 
 def csv_columns(
@@ -84,7 +98,10 @@ def csv_columns(
                 system, place = fs.FileSystem.from_uri(uri)
                 with system.open_input_stream(place) as stream:
                     text = stream.read(size).decode(encoding, errors="replace")
-                rows += [(name, i, column) for i, column in enumerate(names(text))]
+                try:
+                    rows += [(name, i, column) for i, column in enumerate(names(text))]
+                except ValueError as error:
+                    raise ValueError(f"{key}: {error}") from None
             yield pd.DataFrame(rows, columns=["file", "position", "column_name"])
 
     listing = list_csv_files(spark, folder).select("name", "key")
@@ -106,7 +123,7 @@ def read_csv(
     if header_row > 1:
         return _read_below(spark, path, delimiter, quote, header_row, encoding, schema)
     reader = (spark.read.option("header", True).option("sep", delimiter).option("quote", quote)
-              .option("escape", quote).option("encoding", encoding).option("multiLine", multiline)
+              .option("escape", quote).option("encoding", _charset(encoding)).option("multiLine", multiline)
               .option("enforceSchema", True))
     if schema is not None:
         reader = reader.schema(schema)
@@ -120,7 +137,7 @@ def _read_below(spark, path, delimiter, quote, header_row, encoding, schema) ->
     The lines above are the first ones of the block that starts a file. A task meets the lines of a
     block in order, so it drops them while it reads: one pass, no shuffle.
     """
-    if encoding.lower() not in ("utf-8", "utf8"):
+    if _charset(encoding) != "utf-8":
         raise ValueError("header_row above 1 needs UTF-8 files")
     starts_file = F.col("_metadata.file_block_start") == 0
     lines = spark.read.text(path if isinstance(path, str) else list(path)).select(

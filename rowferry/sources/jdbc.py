@@ -30,6 +30,8 @@ def _flag(value: Any) -> str:
 
 def jdbc_options(connection: Connection) -> dict[str, str]:
     """Reader options of a database connection: url, user, password, driver."""
+    if connection.kind not in DRIVERS:
+        raise SpecError(f"{connection.kind} is not a database connection")
     parts = urlsplit(connection.location)
     database = unquote(parts.path.lstrip("/"))
     if not database:
@@ -44,14 +46,12 @@ def jdbc_options(connection: Connection) -> dict[str, str]:
         url = f"jdbc:postgresql://{host}/{database}"
         if "sslmode" in extra:
             url += f"?sslmode={extra['sslmode']}"
-    elif connection.kind == "MSSQL":
+    else:
         url = f"jdbc:sqlserver://{host};databaseName={database}"
         if "encrypt" in extra:
             url += f";encrypt={_flag(extra['encrypt'])}"
         if "trust_server_certificate" in extra:
             url += f";trustServerCertificate={_flag(extra['trust_server_certificate'])}"
-    else:
-        raise SpecError(f"{connection.kind} is not a database connection")
     options = {"url": url, "driver": DRIVERS[connection.kind]}
     if parts.username:
         options["user"] = unquote(parts.username)

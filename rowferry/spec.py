@@ -226,7 +226,7 @@ def step_from(entry: Mapping[str, Any]) -> Step:
               "connection_ref unprocessed_table audit_table")
     audit = t["audit_table"]
     if isinstance(audit, Mapping):
-        audit = audit.get("table_name")
+        audit = ".".join(filter(None, (audit.get("schema"), audit.get("table_name"))))
     chunk = f["chunking_strategy"] or {}
     columns = []
     for m in f["mappings"]:

@@ -1,0 +1,117 @@
+from __future__ import annotations
+
+import itertools
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from rowferry.operators.joins import hot_keys, join_source, join_sources, range_join, salted_join
+from rowferry.spec import JOIN_TYPES, Condition, Join, Source, SpecError
+
+
+def made(spark, rows, ddl, alias):
+    return spark.createDataFrame(rows, ddl).alias(alias)
+
+
+def j(alias, how, *conditions, salted=False):
+    return Join(Source(alias, "x", alias), tuple(Condition(*c) for c in conditions), how, salted)
+
+
+def bag(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def brute(left, right, on, how):
+    out = [(*a, *b) for a in left for b in right if on(a, b)]
+    if how in ("LEFT", "FULL"):
+        out += [(*a, None, None) for a in left if not any(on(a, b) for b in right)]
+    if how in ("RIGHT", "FULL"):
+        out += [(None, None, *b) for b in right if not any(on(a, b) for a in left)]
+    return sorted(out, key=repr)
+
+
+@pytest.fixture(scope="module")
+def sides():
+    rng = random.Random(7)
+    # a third of the left rows share key 1; some keys are NULL, some rows are equal copies
+    left = [(1 if i % 3 == 0 else rng.choice([2, 3, 4, None]), i // 2) for i in range(60)]
+    right = [(rng.choice([1, 2, 3, 5, None]), i) for i in range(12)]
+    return left, right
+
+
+@pytest.mark.parametrize("how", JOIN_TYPES)
+@pytest.mark.parametrize("salted", [False, True])
+@pytest.mark.parametrize("extra", [False, True])
+def test_join_equals_brute_force(spark, sides, how, salted, extra):
+    left, right = sides
+    l, r = made(spark, left, "k int, v int", "l"), made(spark, right, "k int, w int", "r")
+    conditions = [Condition("r.k", "=", "l.k")] + ([Condition("l.v", ">", "r.w")] if extra else [])
+
+    def on(a, b):
+        return a[0] is not None and a[0] == b[0] and (not extra or a[1] > b[1])
+
+    if salted:
+        got = salted_join(l, r, "r", conditions, how, hot_rows=5, salts=4)
+    else:
+        got = join_source(l, r, j("r", how, *[(c.left, c.operator, c.right) for c in conditions]))
+    assert bag(got.select("l.k", "l.v", "r.k", "r.w")) == brute(left, right, on, how)
+
+
+def test_salting_spreads_a_hot_key(spark):
+    l = spark.range(0, 9000, 1, 8).select(F.lit(1).alias("k"), F.lit("same").alias("v")).alias("l")
+    r = made(spark, [(1, "x")], "k int, w string", "r")
+    joined = salted_join(l, r, "r", [Condition("l.k", "=", "r.k")], hot_rows=100, salts=8)
+    assert joined.count() == 9000
+    plan = joined._jdf.queryExecution().toString()
+    assert "_salt" in plan and "spark_partition_id" in plan.lower()
+
+
+def test_hot_keys_are_few(spark):
+    df = spark.range(10_000).select((F.col("id") % 2000).alias("k"))
+    assert hot_keys(df, ["k"], hot_rows=1).count() == 1000
+    assert hot_keys(df, ["k"], hot_rows=5).count() == 0
+
+
+def test_text_key_against_number(spark):
+    """Text that is no number matches nothing, and does not stop the job."""
+    l = made(spark, [(1,), (2,), (7,)], "id bigint", "l")
+    r = made(spark, [(" 1", "a"), ("2", "b"), ("x7", "c"), ("", "d"), (None, "e")], "id string, w string", "r")
+    got = join_source(l, r, j("r", "LEFT", ("r.id", "=", "l.id"))).select("l.id", "r.w")
+    assert bag(got) == [(1, "a"), (2, "b"), (7, None)]
+
+
+@pytest.mark.parametrize("op", ["!=", "<>", "<", "<=", ">", ">="])
+def test_other_operators(spark, op):
+    values = [1, 2, 3, None]
+    l, r = made(spark, [(v,) for v in values], "a int", "l"), made(spark, [(v,) for v in values], "b int", "r")
+    test = {"!=": "__ne__", "<>": "__ne__", "<": "__lt__", "<=": "__le__", ">": "__gt__", ">=": "__ge__"}[op]
+    wanted = [(a, b) for a, b in itertools.product(values, values)
+              if a is not None and b is not None and getattr(a, test)(b)]
+    assert bag(join_source(l, r, j("r", "INNER", ("l.a", op, "r.b")))) == sorted(wanted, key=repr)
+
+
+def test_arithmetic_is_no_join_operator():
+    for op in "+-*/%":
+        with pytest.raises(SpecError):
+            Condition("a", op, "b")
+
+
+def test_chain_uses_earlier_aliases_and_equal_names(spark):
+    a = made(spark, [(1, 10), (2, 20)], "id int, x int", "a")
+    b, c = made(spark, [(1, 5)], "id int, x int", "b"), made(spark, [(5, 99)], "id int, x int", "c")
+    got = join_sources(a, [j("b", "LEFT", ("a.id", "=", "b.id")), j("c", "LEFT", ("c.id", "=", "b.x"))], {"b": b, "c": c})
+    assert bag(got.select("a.x", "b.x", "c.x")) == [(10, 5, 99), (20, None, None)]
+
+
+@pytest.mark.parametrize("how", ["INNER", "LEFT"])
+def test_range_join(spark, how):
+    points = [(float(p),) for p in (-7, 0, 1, 9.5, 10, 25, 99, 100)] + [(None,)]
+    ranges = [(0.0, 10.0, "a"), (5.0, 95.0, "b"), (10.0, 10.0, "empty"), (20.0, 10.0, "backwards"), (-10.0, 0.0, "c"), (None, 5.0, "n")]
+    l, r = made(spark, points, "p double", "l"), made(spark, ranges, "lo double, hi double, name string", "r")
+    wanted = []
+    for (p,) in points:
+        hit = [(p, n) for lo, hi, n in ranges if p is not None and lo is not None and lo <= p < hi]
+        wanted += hit or ([(p, None)] if how == "LEFT" else [])
+    got = range_join(l, r, "l.p", "r.lo", "r.hi", 8.0, how).select("p", "name")
+    assert bag(got) == sorted(wanted, key=repr)
