@@ -73,38 +73,52 @@ def recon_diff(
 ) -> DataFrame:
     """Keys that are missing, extra or different, with the columns that differ.
 
-    Both sides are first reduced to one row per key (row count, and per column the sum of its value
-    hashes), so a key that repeats is compared as a whole and never pairs its rows.
+    ``columns`` is empty for a key whose rows hold the same values in other combinations.
+    Both sides are first reduced to one row per key: its row count, and the sums of the hashes of its
+    rows and of their values. A key that repeats is compared as a whole and never pairs its rows.
     """
     keys = list(keys)
+    parts = [list(columns), *[[c] for c in columns]]
 
     def per_key(df: DataFrame, side: str) -> DataFrame:
-        sums = [
-            F.sum(F.xxhash64(F.col(c)).cast("decimal(38,0)")).alias(f"_{side}{i}")
-            for i, c in enumerate(columns)]
+        sums = []
+        for i, part in enumerate(parts):
+            low, high = _hash_halves(part)
+            sums += [F.sum(low).alias(f"_{side}{i}l"), F.sum(high).alias(f"_{side}{i}h")]
         return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{side}_rows"), *sums)
 
+    def same(i: int) -> Column:
+        return F.col(f"_source{i}l").eqNullSafe(F.col(f"_target{i}l")) & F.col(f"_source{i}h").eqNullSafe(
+            F.col(f"_target{i}h"))
+
     s, t = per_key(source, "source"), per_key(target, "target")
     t = t.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
                  *[c for c in t.columns if c not in keys])
     on = functools.reduce(lambda a, b: a & b, [
         F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
-    unequal = [
-        F.when(~F.col(f"_source{i}").eqNullSafe(F.col(f"_target{i}")), F.lit(c))
-        for i, c in enumerate(columns)]
+    unequal = [F.when(~same(i), F.lit(c)) for i, c in enumerate(columns, 1)]
     there, here = F.col("target_rows").isNotNull(), F.col("source_rows").isNotNull()
-    different = F.concat_ws(",", *unequal)
     status = (F.when(~there, "MISSING").when(~here, "EXTRA")
-              .when((different != "") | (F.col("source_rows") != F.col("target_rows")), "DIFFERENT"))
+              .when(~same(0) | (F.col("source_rows") != F.col("target_rows")), "DIFFERENT"))
     return (s.join(t, on, "full")
             .select(*[F.coalesce(F.col(k), F.col(f"_k{i}")).alias(k) for i, k in enumerate(keys)],
                     status.alias("status"),
                     F.coalesce("source_rows", F.lit(0)).alias("source_rows"),
                     F.coalesce("target_rows", F.lit(0)).alias("target_rows"),
-                    F.when(here & there, different).alias("columns"))
+                    F.when(here & there, F.concat_ws(",", *unequal)).alias("columns"))
             .filter("status is not null"))
 
 
+def _hash_halves(columns: Sequence[str]) -> tuple[Column, Column]:
+    """48 bits of a hash as two numbers of 24, whose sums over 10**11 rows still fit a BIGINT.
+
+    xxhash64 passes over NULLs, so each value is hashed with a flag that tells whether it is one.
+    """
+    h = F.xxhash64(*[x for c in columns for x in (F.col(c).isNull(), F.col(c))])
+    low = h.bitwiseAND(F.lit(0xFFFFFF))
+    return low, F.shiftrightunsigned(h, 24).bitwiseAND(F.lit(0xFFFFFF))
+
+
 def diff_summary(diff: DataFrame) -> DataFrame:
     """Differences per status."""
     return diff.groupBy("status").agg(F.count(F.lit(1)).alias("keys"))

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowferry.operators.joins import HOT_ROWS, hot_keys, rows_with_key_in
+from rowferry.operators.joins import HOT_ROWS, hot_keys, key_counts, rows_with_key_in
 
 DUPLICATE_KEY = "DUPLICATE_KEY"
 DUPLICATE_IN_BATCH = "DUPLICATE_IN_BATCH"
@@ -85,7 +85,8 @@ def met_keys(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFr
     than the batch, so later joins with it do not touch the target again.
     """
     keys = list(keys)
-    return rows_with_key_in(target.select(*keys), batch.filter(has_key(keys)).select(*keys).distinct(), keys)
+    # the counts are those that ``hot_keys`` needs; asking for them here lets both share one shuffle
+    return rows_with_key_in(target.select(*keys), key_counts(batch, keys).filter("count > 0"), keys)
 
 
 def captured(

@@ -77,14 +77,17 @@ def join_sources(root: DataFrame, joins: Sequence[Join], frames: Mapping[str, Da
 # ---------------------------------------------------------------------------------------------
 # Hot keys
 
+def key_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows per complete key. Counts combine on the map side, so a hot key costs its tasks one row each."""
+    return rows.filter(_all_present(keys)).groupBy(*keys).count()
+
+
 def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """The keys with more than ``hot_rows`` rows, at most HOT_KEYS of them.
 
-    The count combines on the map side, so a hot key costs its tasks one row each. The result is
-    small whatever the data holds; any key left out has at most 1/HOT_KEYS of all rows.
+    The result is small whatever the data holds; any key left out has at most 1/HOT_KEYS of all rows.
     """
-    counts = rows.filter(_all_present(keys)).groupBy(*keys).count()
-    return (counts.filter(F.col("count") > hot_rows)
+    return (key_counts(rows, keys).filter(F.col("count") > hot_rows)
             .orderBy(F.desc("count"), *keys).limit(HOT_KEYS).select(*keys))
 
 

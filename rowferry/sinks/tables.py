@@ -13,6 +13,7 @@ repeated after a failure finds its tag and is not applied twice.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -50,18 +51,15 @@ class TableStore:
         return f"{self.root}/{schema}/{table}"
 
     def _children(self, schema: str, table: str) -> list[tuple[int, str, str | None, str, bool]]:
-        fs, path = file_system(self.spark, self.folder(schema, table))
+        """(number, mode, tag, path, finished) of every version folder, by number."""
+        folder = self.folder(schema, table)
+        fs, path = file_system(self.spark, folder)
         if not fs.exists(path):
             return []
-        out = []
-        for status in fs.listStatus(path):
-            name = status.getPath().getName()
-            m = _VERSION.fullmatch(name)
-            if m:
-                where = f"{self.folder(schema, table)}/{name}"
-                _, marker = file_system(self.spark, f"{where}/_SUCCESS")
-                out.append((int(m[1]), m[2], m[3], where, bool(fs.exists(marker))))
-        return sorted(out)
+        _, markers = file_system(self.spark, f"{folder}/*/_SUCCESS")
+        finished = {status.getPath().getParent().getName() for status in fs.globStatus(markers)}
+        found = [(m, m[0]) for m in (_VERSION.fullmatch(s.getPath().getName()) for s in fs.listStatus(path)) if m]
+        return sorted((int(m[1]), m[2], m[3], f"{folder}/{name}", name in finished) for m, name in found)
 
     def versions(self, schema: str, table: str) -> list[Version]:
         """Finished versions, oldest first."""
@@ -80,8 +78,9 @@ class TableStore:
         last_full = max((i for i, v in enumerate(found) if v.mode == "full"), default=0)
         return [v.path for v in found[last_full:]]
 
-    def read(self, schema: str, table: str) -> DataFrame:
-        paths = self._current(schema, table)
+    def read(self, schema: str, table: str, paths: Sequence[str] | None = None) -> DataFrame:
+        """The table, or only the given paths of its versions."""
+        paths = list(paths) if paths else self._current(schema, table)
         layout = self.spark.read.parquet(paths[0]).schema
         return self.spark.read.schema(layout).parquet(*paths)
 

@@ -7,9 +7,11 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from rowferry.sources.csv_files import DELIMITER, ENCODING, QUOTE, read_csv
-from rowferry.sources.jdbc import read_table
+from rowferry.sources.jdbc import DRIVERS, read_table
 from rowferry.spec import Connection, Source, Step
 
+READ_PARTS = 64  # tasks of a database read whose key range is known but whose size is not
+
 
 def _under(base: str, name: str) -> str:
     return base + name if base.endswith("/") else f"{base}/{name}"
@@ -42,8 +44,16 @@ def open_sources(
     spark: SparkSession, step: Step, connections: Mapping[str, Connection],
     read_options: Mapping[str, Mapping] | None = None,
 ) -> dict[str, DataFrame]:
-    """All sources of a step by alias. ``read_options`` are per alias: ``key`` and ``parts`` of a
-    partitioned database read, ``schema`` of a CSV file."""
-    extra = read_options or {}
-    every = [step.root, *(j.source for j in step.joins)]
-    return {s.alias: open_source(spark, s, connections, **extra.get(s.alias, {})) for s in every}
+    """All sources of a step by alias.
+
+    ``read_options`` are per alias: ``key`` and ``parts`` of a database read in key ranges, ``schema``
+    of a CSV file. The root of a chunked step is read in ranges of its chunk column unless they say
+    otherwise; any other database table is one task without them, so give them for large ones.
+    """
+    given = {alias: dict(options) for alias, options in (read_options or {}).items()}
+    root = step.root
+    if step.chunking and connections[root.connection].kind in DRIVERS:
+        key = step.chunking.column.rsplit(".", 1)[-1]
+        given[root.alias] = {"key": key, "parts": READ_PARTS, **given.get(root.alias, {})}
+    every = [root, *(j.source for j in step.joins)]
+    return {s.alias: open_source(spark, s, connections, **given.get(s.alias, {})) for s in every}

@@ -35,34 +35,38 @@ def stage_stream(
     stream: DataFrame, step: Step, store: TableStore, name: str, checkpoint: str, *,
     frames: dict[str, DataFrame] | None = None, on_batch: Callable[[int, int, float], None] | None = None,
     **checks,
-) -> None:
+) -> str:
     """Take everything the stream has, batch by batch, into the staged table ``name``.
 
     The root of the step is the stream; ``frames`` are its joined sources. Spark may hand a batch
-    over twice after a failure; a batch is staged under its number, so the second time does nothing.
+    over twice after a failure; a batch is staged under the number it has in its checkpoint, so the
+    second time writes nothing. Gives the identity of the checkpoint.
     """
+    spark = stream.sparkSession
+    checks.setdefault("identify_all", step.target.policy in CAPTURING)
+
     def take(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         began = time.monotonic()
-        checks.setdefault("identify_all", step.target.policy in CAPTURING)
+        tag = f"{spark.sparkContext.getLocalProperty('sql.streaming.queryId')}-b{number}"
         rows = transformed(step, {**(frames or {}), step.root.alias: batch})
         rows = evaluate(rows, step.columns, step.target.keys,
                         also=[F.lit(number).cast("bigint").alias("_batch")], **checks)
-        written = store.publish("staging", name, rows, mode="add", tag=f"b{number}")
+        written = store.publish("staging", name, rows, mode="add", tag=tag)
         took = (time.monotonic() - began) * 1000
         store.publish(*METRICS, ledgers.batch_metrics(spark, step.order, number, written, took),
-                      mode="add", tag=f"{name}-b{number}")
+                      mode="add", tag=f"{name}-{tag}")
         if on_batch:
             on_batch(number, written, took)
 
     query = (stream.writeStream.foreachBatch(take).trigger(availableNow=True)
              .option("checkpointLocation", checkpoint).start())
     query.awaitTermination()
+    return str(query.id)
 
 
 def stream_metrics(spark: SparkSession, store: TableStore, name: str) -> DataFrame:
     """(blueprint_sequence, batch_number, rows_processed, duration_ms) of a staged stream."""
-    paths = [v.path for v in store.versions(*METRICS) if v.tag and v.tag.startswith(f"{name}-b")]
+    paths = [v.path for v in store.versions(*METRICS) if v.tag and v.tag.startswith(f"{name}-")]
     if not paths:
         return ledgers.empty(spark, ledgers.METRICS_SCHEMA)
     return spark.read.schema(ledgers.METRICS_SCHEMA).parquet(*paths)
@@ -72,12 +76,20 @@ def run_stream(
     spark: SparkSession, stream: DataFrame, step: Step, store: TableStore, name: str, checkpoint: str, *,
     frames: dict[str, DataFrame] | None = None, **load_options,
 ) -> StepResult:
-    """Stage all batches, then load them under the step's policy in one go.
+    """Stage what is new, then load those batches under the step's policy in one go.
 
-    Where batches share a key, a later batch counts as later. The load is tagged by how far the
-    stream got, so it is not applied twice.
+    Where batches share a key, a later batch counts as later. The load is tagged with the last batch
+    it holds: the next run loads the batches after that one, and a load that is repeated after a
+    failure is not applied twice.
     """
-    stage_stream(stream, step, store, name, checkpoint, frames=frames)
-    staged = store.read("staging", name)
-    last = max(int(v.tag[1:]) for v in store.versions("staging", name) if v.tag)
-    return load_step(spark, step, staged, store, tag=f"{name}-upto{last}", order_by=["_batch"], **load_options)
+    query = stage_stream(stream, step, store, name, checkpoint, frames=frames)
+    target, mark = step.target, f"{name}-{query}-upto"
+    loaded = [int(v.tag.removeprefix(mark).split("-")[0]) for v in store.versions(target.schema, target.table)
+              if v.tag and v.tag.startswith(mark)]
+    staged = {int(v.tag.removeprefix(f"{query}-b")): v.path for v in store.versions("staging", name)
+              if v.tag and v.tag.startswith(f"{query}-b")}
+    new = sorted(n for n in staged if n > max(loaded, default=-1))
+    if not new:
+        return StepResult(step.order, skipped=True)
+    rows = store.read("staging", name, [staged[n] for n in new])
+    return load_step(spark, step, rows, store, tag=f"{mark}{new[-1]}", order_by=["_batch"], **load_options)

@@ -62,6 +62,10 @@ def test_diff(spark):
     got = {(r.k): (r.status, r.source_rows, r.target_rows, r.columns) for r in recon_diff(source, target, ["k"], ["a", "v"]).collect()}
     assert got == {2: ("DIFFERENT", 1, 1, "a,v"), 4: ("DIFFERENT", 2, 3, "a,v"), 9: ("EXTRA", 0, 1, None),
                    None: ("DIFFERENT", 1, 1, "v")}
+    crossed = make(spark, (1, "p", 1), (1, "q", 2)), make(spark, (1, "p", 2), (1, "q", 1))
+    assert bag(recon_diff(*crossed, ["k"], ["a", "v"])) == [(1, "DIFFERENT", 2, 2, "")]
+    swapped = make(spark, (1, None, 42), ddl="k int, a int, v int"), make(spark, (1, 42, None), ddl="k int, a int, v int")
+    assert bag(recon_diff(*swapped, ["k"], ["a", "v"])) == [(1, "DIFFERENT", 1, 1, "a,v")]
     assert recon_diff(source, source.repartition(4), ["k"], ["a", "v"]).count() == 0
 
 

@@ -52,3 +52,17 @@ def test_database_targets_only_add(spark):
     tables = DatabaseTables(spark, Connection("MYSQL", "mysql://u:p@h/d"))
     with pytest.raises(NotImplementedError):
         tables.publish("s", "t", spark.range(1), mode="full")
+
+
+def test_a_chunked_root_is_read_in_ranges_of_its_chunk_column(spark, monkeypatch):
+    from rowferry.sources import open as opening
+    from rowferry.spec import Chunking, ColumnMap, Condition, Join, Source, Step, Target
+    asked = {}
+    monkeypatch.setattr(opening, "read_table", lambda spark, c, schema, table, **o: asked.setdefault(table, o))
+    s = Step(1, Target("s", "t", ()), Source("h", "db", "headers", "dbo"),
+             (ColumnMap("id", "DIRECT", "h.id", "BIGINT"),),
+             joins=(Join(Source("l", "db", "lines", "dbo"), (Condition("l.hid", "=", "h.id"),)),),
+             chunking=Chunking("h.id", 25000))
+    places = {"db": Connection("MSSQL", "sqlserver://u:p@h/d")}
+    opening.open_sources(spark, s, places, {"l": {"key": "line_id", "parts": 8}})
+    assert asked == {"headers": {"key": "id", "parts": opening.READ_PARTS}, "lines": {"key": "line_id", "parts": 8}}

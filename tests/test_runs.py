@@ -227,13 +227,27 @@ def test_stream(spark, store):
     assert amounts(store) == {1: None, 10: "5.00", 11: "5.00", 12: "5.00", 13: "5.00"}
 
 
-def test_a_batch_handed_over_twice_is_staged_once(spark, store):
+def test_a_lost_checkpoint_loads_again_and_changes_nothing(spark, store):
     folder = fresh_folder(spark, "in")
     rows(spark, ("1", "1")).coalesce(1).write.parquet(folder)
     schema = rows(spark, ("1", "1")).schema
-    for i in range(2):  # a lost checkpoint makes the stream start again with batch 0
+    for i in range(2):
         run_stream(spark, file_stream(spark, folder, schema), step("IGNORE"), store, "in", fresh_folder(spark, f"c{i}"))
-    assert store.read("staging", "in").count() == 1 and amounts(store) == {1: "1.00"}
+    assert amounts(store) == {1: "1.00"} and store.read("core", "t").count() == 1
+
+
+def test_a_batch_handed_over_twice_is_taken_once(spark, store):
+    """The commit of a batch is lost after the batch was staged and loaded."""
+    import os
+    folder, place = fresh_folder(spark, "in"), fresh_folder(spark, "checkpoint")
+    rows(spark, ("1", "1")).coalesce(1).write.parquet(folder)
+    schema = rows(spark, ("1", "1")).schema
+    s = step("FAIL")
+    run_stream(spark, file_stream(spark, folder, schema), s, store, "in", place)
+    for name in ("commits/0", "commits/.0.crc"):
+        os.remove(f"{place}/{name}")
+    again = run_stream(spark, file_stream(spark, folder, schema), s, store, "in", place)
+    assert again.skipped and store.read("staging", "in").count() == 1 and amounts(store) == {1: "1.00"}
 
 
 def test_a_resumed_run_goes_on_with_its_staged_ranges(spark, store):
