@@ -196,15 +196,20 @@ def upsert(
 def ignore_and_capture(
     target: DataFrame, batch: DataFrame, keys: Sequence[str], order_by: Sequence[str] = (),
     met: DataFrame | None = None, *, log_batch_duplicates: bool = False, hot_rows: int = HOT_ROWS,
+    carried: Sequence[str] = (),
 ) -> Load:
-    """IGNORE, with the rows that met an existing key as rejects (for a log or unprocessed table)."""
+    """IGNORE, with the rows that met an existing key as rejects (for a log or unprocessed table).
+
+    ``carried`` columns of the batch go with the rejects only; they take no part in the load.
+    """
     keys = _needed(keys, "a policy that captures conflicts")
     there = met if met is not None else met_keys(target, batch, keys)
-    load = ignore(target, batch, keys, order_by, there)
-    rejects = captured(target, batch, keys, hot_rows, there).unionByName(load.rejects)
+    plain = batch.drop(*carried)
+    load = ignore(target, plain, keys, order_by, there)
+    rejects = captured(target, batch, keys, hot_rows, there).unionByName(_null_key_rows(batch, keys))
     if log_batch_duplicates:
         rejects = rejects.withColumn("copies", F.lit(1).cast("bigint")).unionByName(
-            batch_duplicates(target, batch, keys, order_by, there))
+            batch_duplicates(target, plain, keys, order_by, there), allowMissingColumns=True)
     return Load(load.append, load.new_target, False, rejects)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowferry.operators.conflict import NULL_KEY, has_key
-from rowferry.operators.shape import ERRORS, IDENTITY
+from rowferry.operators.shape import ERRORS, IDENTITY, KEY_TEXT
 
 LEDGER_SCHEMA = (
     "blueprint_sequence int, batch_number bigint, row_identity map<string,string>, error_code string, "
@@ -41,7 +41,7 @@ def key_errors(evaluated: DataFrame, sequence: int, keys: Sequence[str], batch:
 def loadable(evaluated: DataFrame, *, reject_bad_rows: bool = False) -> DataFrame:
     """The rows to load: all of them with NULL for lost values, or only those without an error."""
     rows = evaluated.filter(F.col(ERRORS).isNull()) if reject_bad_rows else evaluated
-    return rows.drop(ERRORS, IDENTITY)
+    return rows.drop(ERRORS, IDENTITY, KEY_TEXT)
 
 
 class RowErrors(Exception):

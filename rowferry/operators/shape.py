@@ -16,6 +16,7 @@ from rowferry.spec import ColumnMap
 
 ERRORS = "_errors"
 IDENTITY = "_identity"
+KEY_TEXT = "_key_text"
 _PATH = re.compile(r"[\w$ ]+(\.[\w$ ]+)*")
 
 
@@ -68,21 +69,22 @@ def evaluate(
     *,
     check_length: bool = False,
     check_null: bool = False,
-    identify_all: bool = False,
+    key_text: bool = False,
     also: Sequence[Column] = (),
 ) -> DataFrame:
     """``project`` plus what went wrong per row, from the same pass.
 
     ``_errors`` lists (target_column, error_code, message, raw_value) and is NULL for a good row.
     ``_identity`` maps the key columns to their uncast text, so that a row with a bad key can still
-    be found; it is filled for rows with an error or without a key, or with ``identify_all`` always.
+    be found; it is filled for rows with an error or without a key. ``key_text`` adds that text of
+    all rows as the struct ``_key_text``.
     """
     raw, types = _raw(df, columns, also)
     cast = raw.select("*", *[
         safe_cast(F.col(f"_{i}"), c.cast_to, t).alias(f"_c{i}")
         for i, (c, t) in enumerate(zip(columns, types))
     ])
-    found, identity, no_key = [], [], []
+    found, identity, named, no_key = [], [], [], []
     for i, (c, t) in enumerate(zip(columns, types)):
         value, result = F.col(f"_{i}"), F.col(f"_c{i}")
         text = as_text(value, t)
@@ -97,20 +99,20 @@ def evaluate(
                           "No value for a NOT NULL column", text))
         if c.column in keys:
             identity += [F.lit(c.column), text]
+            named.append((c.column, text))
             no_key.append(result.isNull())
     any_error = functools.reduce(lambda a, b: a | b, [when for when, *_ in found])
     errors = F.when(any_error, F.array_compact(F.array(*[_error(*e) for e in found])))
-    if not identity:
-        pairs = F.lit(None).cast("map<string,string>")
-    elif identify_all:
-        pairs = F.create_map(*identity)
-    else:
+    if identity:
         wanted = functools.reduce(lambda a, b: a | b, [any_error, *no_key])
         pairs = F.when(wanted, F.create_map(*identity))
+    else:
+        pairs = F.lit(None).cast("map<string,string>")
+    texts = [F.struct(*[text.alias(name) for name, text in named]).alias(KEY_TEXT)] if key_text and named else []
     extra = [F.col(name) for name in raw.columns[len(columns):]]
     return cast.select(
         *[F.col(f"_c{i}").alias(c.column) for i, c in enumerate(columns)],
-        errors.alias(ERRORS), pairs.alias(IDENTITY), *extra)
+        errors.alias(ERRORS), pairs.alias(IDENTITY), *texts, *extra)
 
 
 def _error(when: Column, column: str, code: str, message: str, value: Column) -> Column:

@@ -16,7 +16,7 @@ from rowferry.operators.chunks import chunk_bounds, chunk_number, load_ranges
 from rowferry.operators.conflict import POLICIES, met_keys, require_no_conflicts
 from rowferry.operators.joins import join_sources
 from rowferry.operators.ledger import key_errors, row_errors, stop_on_errors
-from rowferry.operators.shape import ERRORS, IDENTITY, derive, evaluate, keep_rows, project
+from rowferry.operators.shape import ERRORS, KEY_TEXT, derive, evaluate, keep_rows, project
 from rowferry.sinks.audit import SNAPSHOT, audit_layout, audit_rows, fit, unprocessed_layout, unprocessed_rows
 from rowferry.sinks.tables import TableStore
 from rowferry.spec import DEFAULT_AUDIT_TABLE, Step
@@ -71,7 +71,7 @@ def stage_step(
         written = store.publish("staging", name, rows, mode=mode, tag=f"{tag}b{batch}" if mode == "add" else None)
         return batch, written, (time.monotonic() - began) * 1000
 
-    checks.setdefault("identify_all", step.target.policy in CAPTURING)
+    checks.setdefault("key_text", step.target.policy in CAPTURING)
     chunk = step.chunking
     if chunk is None:
         rows = evaluate(transformed(step, frames), step.columns, step.target.keys,
@@ -126,9 +126,9 @@ def load_step(
     before = tables.read(target.schema, target.table) if there else spark.createDataFrame([], target_layout(step))
     rows = staged.filter(F.col(ERRORS).isNull()) if reject_bad_rows else staged
     captures = target.policy in CAPTURING
-    snapshot = [F.to_json(IDENTITY).alias(SNAPSHOT)] if captures else []
+    snapshot = [F.col(KEY_TEXT).alias(SNAPSHOT)] if captures and KEY_TEXT in staged.columns else []
     batch = rows.select(*columns, *[c for c in order_by if c not in columns], *snapshot)
-    options = {"log_batch_duplicates": log_batch_duplicates} if captures else {}
+    options = {"log_batch_duplicates": log_batch_duplicates, "carried": [SNAPSHOT]} if captures else {}
     # the keys the target already has serve several jobs, so they are found once
     met = met_keys(before, batch, target.keys).persist() if there and target.keys else None
     try:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from rowferry.spec import Target
 
-SNAPSHOT = "_snapshot"  # the uncast key values of a row as JSON
+SNAPSHOT = "_snapshot"  # the uncast key values of a row as a struct
 
 # The columns an audit table has besides those of its target.
 STAMPS = [
@@ -48,7 +48,7 @@ def audit_rows(
     """Rejects as rows of an audit table: mapped columns, when, where, why, and the row as JSON."""
     as_json = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
     if SNAPSHOT in rejects.columns:
-        snapshot = F.col(SNAPSHOT)
+        snapshot = as_json(F.col(SNAPSHOT))
     else:
         snapshot = as_json(F.struct(*target.keys)) if target.keys else F.lit(None).cast("string")
     return rejects.select(

@@ -43,7 +43,7 @@ def stage_stream(
     second time writes nothing. Gives the identity of the checkpoint.
     """
     spark = stream.sparkSession
-    checks.setdefault("identify_all", step.target.policy in CAPTURING)
+    checks.setdefault("key_text", step.target.policy in CAPTURING)
 
     def take(batch: DataFrame, number: int) -> None:
         began = time.monotonic()
