@@ -57,8 +57,11 @@ def join_source(left: DataFrame, right: DataFrame, join: Join) -> DataFrame:
 
     Equalities make it a hash or sort-merge join with the other conditions as its filter; the side
     small enough by its statistics is broadcast by Spark itself. ``salted`` is for a join key that
-    holds a large share of the left rows.
+    holds a large share of the left rows, ``stripe`` for a range without an equality.
     """
+    if join.stripe:
+        at, low, high = _range_of(join.conditions)
+        return range_join(left, right, at, low, high, join.stripe, join.how)
     if join.salted:
         return salted_join(left, right, join.source.alias, join.conditions, join.how)
     condition = functools.reduce(
@@ -132,8 +135,10 @@ def salted_join(
 
     # the salt follows from the row and its partition, so a repeated task gives the same one, and
     # equal rows still spread
-    row = [F.col(n) for n in names] + [F.struct(left["*"]), F.spark_partition_id()]
-    spread = F.pmod(F.xxhash64(*row), F.lit(salts)).cast("int")
+    row = F.struct(left["*"])
+    if any(kind in left.schema.simpleString() for kind in ("map<", "variant")):  # these have no hash
+        row = F.to_json(row)
+    spread = F.pmod(F.xxhash64(row, F.spark_partition_id()), F.lit(salts)).cast("int")
     salted = mark(lkeys, "").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)))
     salted = salted.drop("_hot", *["_h" + n for n in names])
     every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
@@ -164,6 +169,16 @@ def salted_join(
 # ---------------------------------------------------------------------------------------------
 # Ranges and keys
 
+def _range_of(conditions: Sequence[Condition]) -> tuple[str, str, str]:
+    """Point, low and high of the conditions ``point >= low`` and ``point < high``."""
+    by_operator = {c.operator: c for c in conditions}
+    if len(conditions) == 2 and set(by_operator) == {">=", "<"}:
+        low, high = by_operator[">="], by_operator["<"]
+        if low.left == high.left:
+            return low.left, low.right, high.right
+    raise ValueError("a striped join needs the two conditions 'point >= low' and 'point < high'")
+
+
 def range_join(
     left: DataFrame, right: DataFrame, point: str, low: str, high: str, width: float, how: str = "INNER",
 ) -> DataFrame:

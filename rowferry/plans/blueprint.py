@@ -19,7 +19,7 @@ from rowferry.operators.ledger import key_errors, row_errors, stop_on_errors
 from rowferry.operators.shape import ERRORS, KEY_TEXT, derive, evaluate, keep_rows, project
 from rowferry.sinks.audit import SNAPSHOT, audit_layout, audit_rows, fit, unprocessed_layout, unprocessed_rows
 from rowferry.sinks.tables import TableStore
-from rowferry.spec import DEFAULT_AUDIT_TABLE, Step
+from rowferry.spec import DEFAULT_AUDIT_TABLE, SpecError, Step
 
 CAPTURING = ("IGNORE_AND_LOG", "IGNORE_AND_INSERT_UNPROCESSED")
 LEDGER = ("migration_admin", "row_errors")
@@ -124,6 +124,9 @@ def load_step(
     tables = tables or store
     there = tables.exists(target.schema, target.table)
     before = tables.read(target.schema, target.table) if there else spark.createDataFrame([], target_layout(step))
+    unknown = [c for c in columns if c not in before.columns]
+    if unknown:
+        raise SpecError(f"{target.schema}.{target.table} has no columns {unknown}")
     rows = staged.filter(F.col(ERRORS).isNull()) if reject_bad_rows else staged
     captures = target.policy in CAPTURING
     snapshot = [F.col(KEY_TEXT).alias(SNAPSHOT)] if captures and KEY_TEXT in staged.columns else []

@@ -39,6 +39,7 @@ def run_migration(
     reject_bad_rows: bool = False,
     log_batch_duplicates: bool = False,
     commits: int | None = None,
+    lower: int | None = None,
     targets: Callable[[Step], object] | None = None,
     raise_on_failure: bool = True,
 ) -> MigrationRun:
@@ -46,7 +47,8 @@ def run_migration(
 
     Called again with the same ``run_id`` after a failure, it goes on where it stopped: a step
     whose target version carries the run's tag is not loaded again. Targets are tables of
-    ``store`` unless ``targets`` says where a step's target is. The staged rows of a step are
+    ``store`` unless ``targets`` says where a step's target is. ``commits`` and ``lower`` concern
+    chunked steps (see ``stage_step`` and ``chunk_bounds``). The staged rows of a step are
     deleted once they are loaded, or refused by a FAIL policy; after any other failure they stay for
     the run to go on with.
     """
@@ -63,7 +65,7 @@ def run_migration(
         try:
             frames = sources(step) if sources else open_sources(spark, step, migration.connections, read_options)
             staged, batches = stage_step(
-                spark, step, frames, store, name, commits=commits, tag=f"{tag}-")
+                spark, step, frames, store, name, commits=commits, lower=lower, tag=f"{tag}-")
             result = load_step(
                 spark, step, staged, store, migration_id=migration.migration_id, tag=run_id, at=at,
                 reject_bad_rows=reject_bad_rows, log_batch_duplicates=log_batch_duplicates, tables=tables)

@@ -67,12 +67,17 @@ class Condition:
 
 @dataclass(frozen=True)
 class Join:
-    """One joined source. ``salted`` spreads keys that hold a large share of the left rows."""
+    """One joined source.
+
+    ``salted`` spreads keys that hold a large share of the left rows. ``stripe`` joins the range
+    ``point >= low`` and ``point < high`` by stripes of that width in place of a nested loop.
+    """
 
     source: Source
     conditions: tuple[Condition, ...]
     how: str = "INNER"
     salted: bool = False
+    stripe: float | None = None
 
     def __post_init__(self) -> None:
         _one_of(self.how, JOIN_TYPES, "join type")
@@ -206,7 +211,7 @@ def connection_from(entry: Mapping[str, Any]) -> Connection:
 def _source_from(entry: Mapping[str, Any], where: str) -> Source:
     if entry.get("file_name"):
         return Source(entry["alias"], entry["connection_ref"], entry["file_name"])
-    f = _take(entry, where, "connection_ref table_name alias", "schema file_name join_type conditions salted")
+    f = _take(entry, where, "connection_ref table_name alias", "schema file_name join_type conditions salted stripe")
     return Source(f["alias"], f["connection_ref"], f["table_name"], f["schema"])
 
 
@@ -215,7 +220,8 @@ def _join_from(entry: Mapping[str, Any], where: str) -> Join:
     for c in entry.get("conditions", ()):
         f = _take(c, where, "left_expression operator right_expression")
         conditions.append(Condition(f["left_expression"], f["operator"], f["right_expression"]))
-    return Join(_source_from(entry, where), tuple(conditions), entry["join_type"], bool(entry.get("salted")))
+    return Join(_source_from(entry, where), tuple(conditions), entry["join_type"], bool(entry.get("salted")),
+                entry.get("stripe"))
 
 
 def step_from(entry: Mapping[str, Any]) -> Step:

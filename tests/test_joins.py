@@ -115,3 +115,24 @@ def test_range_join(spark, how):
         wanted += hit or ([(p, None)] if how == "LEFT" else [])
     got = range_join(l, r, "l.p", "r.lo", "r.hi", 8.0, how).select("p", "name")
     assert bag(got) == sorted(wanted, key=repr)
+
+
+def test_a_step_may_ask_for_stripes(spark):
+    l = made(spark, [(1.0,), (12.0,)], "p double", "l")
+    r = made(spark, [(0.0, 10.0, "a")], "lo double, hi double, name string", "r")
+    source, both = Source("r", "x", "r"), (Condition("l.p", "<", "r.hi"), Condition("l.p", ">=", "r.lo"))
+    got = join_source(l, r, Join(source, both, "LEFT", stripe=5.0))
+    assert bag(got.select("l.p", "r.name")) == [(1.0, "a"), (12.0, None)]
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    for bad in (both[:1], (both[0], Condition("r.lo", ">=", "l.p"))):
+        with pytest.raises(ValueError):
+            join_source(l, r, Join(source, bad, stripe=5.0))
+
+
+def test_salted_join_later_in_a_chain(spark):
+    """Equal column names on the left, and a column type that has no hash."""
+    a = spark.createDataFrame([(1, {"x": 1}), (2, {})], "id int, m map<string,int>").alias("a")
+    b, c = made(spark, [(1, 7), (2, 7)], "id int, k int", "b"), made(spark, [(7, "w")], "id int, v string", "c")
+    got = join_sources(a, [j("b", "LEFT", ("b.id", "=", "a.id")), j("c", "FULL", ("b.k", "=", "c.id"), salted=True)],
+                       {"b": b, "c": c})
+    assert bag(got.select("a.id", "b.k", "c.v")) == [(1, 7, "w"), (2, 7, "w")]

@@ -11,7 +11,7 @@ from rowferry.operators.ledger import RowErrors
 from rowferry.plans.blueprint import load_step, run_blueprint, stage_step
 from rowferry.plans.migration import run_migration
 from rowferry.sinks.tables import TableStore
-from rowferry.spec import Chunking, ColumnMap, Condition, Connection, Join, Migration, Source, Step, Target
+from rowferry.spec import Chunking, ColumnMap, Condition, Connection, Join, Migration, Source, SpecError, Step, Target
 from rowferry.streaming.batches import file_stream, run_stream, stream_metrics
 from rowferry.workspace import fresh_folder
 
@@ -258,3 +258,16 @@ def test_a_resumed_run_goes_on_with_its_staged_ranges(spark, store):
     done = run_migration(spark, migration(s), store, run_id="r", sources=sources(spark, df), commits=3)
     assert done.results[0].rows_read == 30 and done.results[0].rows_loaded == 30
     assert not store.exists("staging", "r_step1")
+
+
+def test_a_mapped_column_the_target_lacks_is_an_error(spark, store):
+    store.publish("core", "t", spark.createDataFrame([(1,)], "id bigint"))
+    with pytest.raises(SpecError, match="amount"):
+        run(spark, store, step(), rows(spark, ("1", "1")))
+
+
+def test_lower_bound_of_a_migration(spark, store):
+    df = spark.createDataFrame([(i, "1") for i in (-1, 0, 1, 2)], "id int, amount string")
+    s = step("IGNORE", chunking=Chunking("s.id", 10))
+    run_migration(spark, migration(s), store, sources=sources(spark, df), lower=0)
+    assert sorted(amounts(store)) == [1, 2]
