@@ -6,8 +6,7 @@ import pytest
 
 import __spark_entry__ as driver
 from oracle import connect, differences
-
-QUERIES, ORACLE = driver.queries(), driver.oracle_sql()
+from queries import ORACLE, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -19,6 +18,10 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
 
 
+def test_every_query_is_registered():
+    assert set(QUERIES) <= set(driver.queries()) and set(ORACLE) <= set(driver.oracle_sql())
+
+
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, sf, con, name):
     assert differences(QUERIES[name](spark, sf), con, ORACLE[name]) == ""
