@@ -1,0 +1,72 @@
+from __future__ import annotations
+
+import math
+import struct
+import zlib
+from collections import defaultdict
+
+import xxhash
+from pyspark.sql import functions as F
+
+from rowferry.llm import queries, sharding
+
+
+def chained(seed, *values):
+    h = seed
+    for v in values:
+        data = v.encode() if isinstance(v, str) else struct.pack("<q" if v[1] else "<i", v[0])
+        h = xxhash.xxh64_intdigest(data, h)
+    return h
+
+
+def weight(tree):
+    return sum(map(weight, tree.values())) if isinstance(tree, dict) else tree
+
+
+def brute_shard(doc_id, tree):
+    at = tree
+    for level in ("region", "rack", "shard"):
+        def time(child):
+            parts = ([] if doc_id is None else [(doc_id, True)]) + [f"42/{level}", (child, False)]
+            u = ((chained(42, *parts) >> 11) + 0.5) / (1 << 53)
+            return -math.log(u) / weight(at[child]), child
+        chosen = min(at, key=time)
+        at = at[chosen]
+    return chosen
+
+
+def check(rows, docs, tree):
+    wanted = sorted(((r.doc_id is None, r.doc_id or 0, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode()),
+                      brute_shard(r.doc_id, tree), brute_shard(r.doc_id, sharding.grown(tree)))
+                     for r in docs.select("doc_id", "text").collect()))
+    assert sorted((r.doc_id is None, r.doc_id or 0, r["size"], r.text_crc32, r.shard, r.grown_shard) for r in rows) == wanted
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+        assert r.law == "key" and (r.grown_shard == r.shard or r.grown_shard == len({s for g in tree.values() for k in g.values() for s in k}))
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_query_against_brute_force(spark, sf):
+    rows = queries.QUERIES["op4_shards"](spark, sf).collect()
+    check(rows, spark.read.parquet(f"{sf}/documents.parquet"), sharding.grid(40))
+
+
+def test_odd_rows(odd_documents, no_documents):
+    check(sharding.shards(odd_documents, sharding.grid(40)).collect(), odd_documents, sharding.grid(40))
+    assert sharding.shards(no_documents, sharding.grid(40)).count() == 0
+
+
+def test_shares_follow_weights_and_changes_stay_in_their_subtree(spark):
+    tree = {0: {0: {0: 1.0, 1: 3.0}, 1: {2: 4.0}}, 1: {2: {3: 8.0}}}
+    lighter = {0: {0: {0: 1.0, 1: 1.0}, 1: {2: 4.0}}, 1: {2: {3: 8.0}}}
+    rows = spark.range(40_000).select(sharding.shard_of(F.col("id"), tree).alias("old"),
+                                      sharding.shard_of(F.col("id"), lighter).alias("new")).collect()
+    counts = defaultdict(int)
+    for r in rows:
+        counts[r.old] += 1
+    for shard, share in {0: 1 / 16, 1: 3 / 16, 2: 4 / 16, 3: 8 / 16}.items():
+        assert abs(counts[shard] / 40_000 - share) < 0.01
+    # Shard 1, rack 0 and region 0 lost weight: nothing comes into region 0, nothing leaves region 1.
+    assert all(r.new == 3 for r in rows if r.old == 3)
+    assert all(r.new in (2, 3) for r in rows if r.old == 2)
