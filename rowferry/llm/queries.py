@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from rowferry.llm import decontaminate, language, mixing, sharding, simhash
+from rowferry.llm import decontaminate, language, mixing, packing, pii, quality, secret_scan, sharding, simhash, warc
 from rowferry.llm.common import table
+from rowferry.workspace import fresh_folder
 
 SHARDS = 40
 
 
+def surrogates(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.replaced(table(spark, sf, "documents"))
+
+
+def quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Trusted are the documents that the labels call good and not toxic."""
+    trusted = table(spark, sf, "labels").where("quality = 1 and toxic = 0")
+    return quality.judged(table(spark, sf, "documents"), trusted)
+
+
 def near_copies(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf, "documents"), width=3, distance=3)
     return found.select("doc_id", "fingerprint", "component_id")
@@ -24,6 +35,10 @@ def languages(spark: SparkSession, sf: str) -> DataFrame:
     return language.identified(table(spark, sf, "documents"))
 
 
+def archives(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.archived(table(spark, sf, "pages"), fresh_folder(spark, "archives"))
+
+
 def contamination(spark: SparkSession, sf: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"), span=10)
     return found.drop("key")
@@ -34,12 +49,25 @@ def mix(spark: SparkSession, sf: str) -> DataFrame:
     return documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def packs(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.packed(table(spark, sf, "documents"))
+
+
+def secret_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, sf, "documents"))
+
+
 QUERIES = {
+    "op1_pii": surrogates,
+    "op2_quality": quality_rules,
     "op3_simhash": near_copies,
     "op4_shards": shards,
     "op5_language": languages,
+    "op6_warc": archives,
     "op7_decontaminate": contamination,
     "op8_mix": mix,
+    "op9_packing": packs,
+    "op10_secrets": secret_spans,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE: dict[str, str] = {}

@@ -1,0 +1,78 @@
+from __future__ import annotations
+
+import random
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from rowferry.llm import packing, queries
+
+
+def unpacked(rows, length):
+    """{(doc_id, part): ids}, after checks of each sequence."""
+    found = defaultdict(list)
+    for r in rows:
+        ids, position = np.frombuffer(r.ids, "<u2"), np.frombuffer(r.position_ids, "<u2")
+        cuts = r.cu_seqlens
+        assert len(ids) == len(position) == length and cuts[0] == 0 and len(cuts) == len(r.doc_ids) + 1 == len(r.parts) + 1
+        for d, p, a, b in zip(r.doc_ids, r.parts, cuts, cuts[1:]):
+            assert position[a:b].tolist() == list(range(b - a)) and b > a
+            found[d, p].append(ids[a:b].tolist())
+        assert (ids[cuts[-1]:] == packing.END).all() and position[cuts[-1]:].tolist() == list(range(length - cuts[-1]))
+    return found
+
+
+def test_query_round_trip(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = queries.QUERIES["op9_packing"](spark, sf).collect()
+    found = unpacked(rows, 2048)
+    decode = packing.encoding(packing.VOCABULARY).decode
+    for d, text in texts.items():
+        ids = []
+        for part in range(sum(k[0] == d for k in found)):
+            [piece] = found[d, part]
+            ids += piece
+        assert ids[-1] == packing.END and decode(ids[:-1]) == text
+    used = sum(len(x) for v in found.values() for x in v)
+    assert used > 0.95 * 2048 * len(rows)
+
+
+def test_odd_rows_short_rows_and_many_shards(spark, odd_documents, no_documents):
+    rows = packing.packed(odd_documents, length=64, shard_bytes=50_000).collect()
+    assert len({r.shard for r in rows}) > 1
+    found = unpacked(rows, 64)
+    copies = defaultdict(int)
+    for r in odd_documents.collect():
+        copies[r.doc_id, r.text] += r.text is not None
+    decode = packing.encoding(packing.VOCABULARY).decode
+    assert found[1, 0] == [[packing.END]] and (0, 0) not in found
+    assert len(found[5, 0]) == copies[5, packing_text(odd_documents, 5)] == 3 and None in {d for d, _ in found}
+    ids = [i for p in range(sum(k[0] == 10 for k in found)) for i in found[10, p][0]]
+    assert decode(ids[:-1]) == packing_text(odd_documents, 10)
+    assert packing.packed(no_documents).count() == 0
+
+
+def packing_text(docs, doc_id):
+    return docs.where(docs["doc_id"] == doc_id).first().text
+
+
+def test_best_fit_decreasing_against_a_plain_search():
+    rng = random.Random(3)
+    for capacity in (1, 2, 7, 64, 100):
+        lengths = [rng.randint(1, capacity) for _ in range(200)]
+        rows = packing.best_fit_decreasing(lengths, capacity)
+        assert sorted(i for r in rows for i in r) == list(range(200))
+        free: list[int] = []
+        for n in sorted(lengths, reverse=True):
+            fits = [i for i, f in enumerate(free) if f >= n]
+            if fits:
+                free[min(fits, key=lambda i: free[i])] -= n
+            else:
+                free.append(capacity - n)
+        assert sorted(capacity - sum(lengths[i] for i in r) for r in rows) == sorted(free)
+
+
+def test_row_length_has_a_bound(no_documents):
+    with pytest.raises(ValueError):
+        packing.packed(no_documents, length=1 << 17)
