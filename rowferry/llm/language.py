@@ -182,9 +182,10 @@ def train(labelled: DataFrame, *, id: str = "doc_id", text: str = "text", lang:
     spark = labelled.sparkSession
     known = (labelled.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
              .where("lang is not null and text is not null"))
-    share = known.groupBy("lang").count().select("lang", (F.lit(float(train_rows)) / F.col("count")).alias("share"))
+    counts = known.groupBy("lang").count().collect()  # one row for each language, as the model has
     luck = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.join(share, "lang").where(luck < F.col("share")).select("lang", "text")
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], train_rows / r["count"])])
+    sample = known.where(luck < share[F.col("lang")]) if counts else known
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
