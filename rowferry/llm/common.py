@@ -57,7 +57,7 @@ def discard(df: DataFrame) -> None:
 
 
 def running_sum(df: DataFrame, group: str, value: str, order: Sequence[str], name: str, rows: int,
-                rows_per_chunk: int = 20_000) -> DataFrame:
+                rows_per_chunk: int = 4_000) -> DataFrame:
     """Add ``name``: the sum of ``value`` over the rows before a row, within its group.
 
     A group may hold a third of all rows, so it is cut into chunks by a hash of ``order``. Sums

@@ -11,7 +11,7 @@ from rowferry.llm.common import running_sum, words, written
 #: Rounds of the swap-or-not shuffle; its keys are hashes of seed and round.
 ROUNDS = 32
 #: Slots that one row of the slot table unfolds into.
-SLOTS_PER_ROW = 65_536
+SLOTS_PER_ROW = 20_000
 
 
 def permuted(index: Column, count: Column, seed: Column, rounds: int = ROUNDS) -> Column:
@@ -72,8 +72,8 @@ def slots(targets: DataFrame, block: int, shard_slots: int, seed: int) -> DataFr
     ahead = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     plan = (plan.withColumn("offset", F.coalesce(F.sum("count").over(ahead), F.lit(0)))
             .withColumn("all", F.sum("count").over(Window.partitionBy(F.lit(0)))).where("count > 0"))
-    pieces = plan.withColumn("piece", F.explode(F.expr(f"sequence(0L, (count - 1) div {SLOTS_PER_ROW})")))
-    each = (pieces.repartition("number", "piece")
+    pieces = written(plan.withColumn("piece", F.explode(F.expr(f"sequence(0L, (count - 1) div {SLOTS_PER_ROW})"))), "pieces")
+    each = (pieces.repartition(max(1, pieces.count()), "number", "piece")
             .withColumn("j", F.explode(F.expr(f"sequence(piece * {SLOTS_PER_ROW}, "
                                               f"least(count, (piece + 1) * {SLOTS_PER_ROW}) - 1)")))
             .withColumn("pass", F.expr("j div blocks")).withColumn("at", F.expr("j % blocks")))
@@ -118,7 +118,8 @@ def mixed(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: st
                   f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
               .withColumn("from", F.greatest(F.col("start") - F.col("block") * block, F.lit(0)))
               .withColumn("to", F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))))
-    parts = (slots(targets, block, shard_slots, seed).join(pieces, ["number", "block"])
+    # Slots unfold from few rows, by which Spark would take them for small and broadcast them.
+    parts = (slots(targets, block, shard_slots, seed).hint("merge").join(pieces, ["number", "block"])
              .withColumn("length", F.least("to", "length") - F.col("from")).where("length > 0")
              .select("shard", "slot", "doc_id", "number", "start", "length"))
     taken = parts.groupBy("number", "start").agg(F.sum("length").alias("taken"))
