@@ -142,10 +142,11 @@ _ORDERS = """
           FROM s WHERE NOT (o_orderstatus = 'P' AND price > 400000)
           UNION ALL SELECT -o_orderkey - 1, o_custkey, o_orderstatus, price, priority FROM s WHERE priority IS NULL)
 """
+_TEXT = " || ".join(f"coalesce(length({c})::VARCHAR || chr(31) || {c}, '\\N')" for c in (
+    "o_orderkey::VARCHAR", "o_custkey::VARCHAR", "o_orderstatus", "price::VARCHAR", "priority"))
 _CHECKSUM = """
     SELECT (o_custkey % {n})::BIGINT AS bucket, count(*)::BIGINT AS rows,
-           sum(('0x' || substr(md5(concat_ws(chr(31), o_orderkey::VARCHAR, o_custkey::VARCHAR, o_orderstatus, price::VARCHAR,
-               coalesce(priority, '\\N'))), 1, 15))::BIGINT::HUGEINT)::DECIMAL(38,0) AS checksum
+           sum(('0x' || substr(md5({text}), 1, 15))::BIGINT::HUGEINT)::DECIMAL(38,0) AS checksum
     FROM {t} GROUP BY 1"""
 _DIFF = f"""{_ORDERS}, diff AS (
     SELECT coalesce(s.o_orderkey, t.o_orderkey) AS o_orderkey,
@@ -180,8 +181,8 @@ ORACLE = {
         SELECT count(*)::BIGINT AS source_rows, (count(*) FILTER (WHERE l_returnflag IN ('A', 'N')))::BIGINT AS loaded_rows,
                (count(*) FILTER (WHERE l_returnflag = 'R'))::BIGINT AS rejected_rows, 0::BIGINT AS difference, TRUE AS balanced
         FROM lineitem""",
-    "recon_checksum": _ORDERS + _CHECKSUM.format(n=16, t="s"),
-    "recon_checksum_differs": f"""{_ORDERS}, a AS ({_CHECKSUM.format(n=64, t='s')}), b AS ({_CHECKSUM.format(n=64, t='t')})
+    "recon_checksum": _ORDERS + _CHECKSUM.format(text=_TEXT, n=16, t="s"),
+    "recon_checksum_differs": f"""{_ORDERS}, a AS ({_CHECKSUM.format(text=_TEXT, n=64, t='s')}), b AS ({_CHECKSUM.format(text=_TEXT, n=64, t='t')})
         SELECT coalesce(a.bucket, b.bucket) AS bucket, a.rows AS source_rows, b.rows AS target_rows
         FROM a FULL JOIN b ON a.bucket = b.bucket WHERE a.checksum IS DISTINCT FROM b.checksum""",
     "recon_diff": f"{_DIFF} SELECT * FROM diff WHERE status IS NOT NULL",

@@ -19,7 +19,7 @@ def _pair(how):
     def query(spark, sf):
         s = step("c", PAIR, pre_filters=["c.c_acctbal > 5000"],
                  joins=[join("o", how, ("o.o_custkey", "=", "c.c_custkey"))])
-        orders = table(spark, sf, "orders").filter("o_orderstatus = 'F' and o_totalprice > 300000")
+        orders = table(spark, sf, "orders").filter("o_orderstatus = 'F'")
         return run(s, c=table(spark, sf, "customer"), o=orders)
     return query
 
@@ -119,7 +119,7 @@ QUERIES = {
 _PAIR_SQL = """
     SELECT o_orderkey AS order_key, c_custkey AS customer_key, c_name AS name, o_totalprice::DECIMAL(12,2) AS price
     FROM (SELECT * FROM customer WHERE c_acctbal > 5000) {how} JOIN
-         (SELECT * FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 300000) ON o_custkey = c_custkey"""
+         (SELECT * FROM orders WHERE o_orderstatus = 'F') ON o_custkey = c_custkey"""
 _MATCH_SQL = """
     SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice::DECIMAL(12,2) AS price{more}
     FROM lineitem l WHERE EXISTS (SELECT 1 FROM lineitem t WHERE t.l_returnflag = 'R'

@@ -183,6 +183,55 @@ def chunked_resume(spark, sf):
     return store.read("migrated", "result")
 
 
+def _staged_in_ranges(spark, orders):
+    store = _store(spark)
+    staged, _ = stage_step(spark, ORDERS, {"o": orders}, store, "orders", commits=4, tag="run-")
+    load_step(spark, ORDERS, staged, store, tag="run")
+    return store.read("migrated", "result")
+
+
+def chunked_commits_text_key(spark, sf):
+    """Ranges over keys that are text, as those of CSV files are."""
+    return _staged_in_ranges(spark, table(spark, sf, "orders").withColumn("o_orderkey", F.col("o_orderkey").cast("string")))
+
+
+def chunked_commits_decimal_key(spark, sf):
+    """Ranges over keys with fractions, the greatest key among them; rounded when loaded."""
+    key = (F.col("o_orderkey") + F.lit(0.25)).cast("decimal(12,2)")
+    s = replace(ORDERS, columns=(replace(ORDERS.columns[0], value="o.o_custkey"), *ORDERS.columns[1:]),
+                target=replace(ORDERS.target, policy="FAIL", keys=()))
+    store = _store(spark)
+    staged, _ = stage_step(spark, s, {"o": table(spark, sf, "orders").withColumn("o_orderkey", key)}, store, "orders",
+                           commits=4, tag="run-")
+    load_step(spark, s, staged, store, tag="run")
+    return store.read("migrated", "result")
+
+
+def chunked_resume_grown(spark, sf):
+    """A first run that had fewer rows and staged its ranges; the second has all rows and other commits."""
+    store, orders = _store(spark), table(spark, sf, "orders")
+    first = orders.filter("o_orderkey < 5000")
+    stage_step(spark, replace(ORDERS, pre_filters=("o.o_orderkey < 2500",)), {"o": first}, store, "early", commits=2, tag="old-")
+    store.publish("staging", "orders_ranges", store.read("staging", "early_ranges"), tag="run-ranges")
+    staged, _ = stage_step(spark, ORDERS, {"o": orders}, store, "orders", commits=3, tag="run-")
+    load_step(spark, ORDERS, staged, store, tag="run")
+    return store.read("migrated", "result")
+
+
+def _in_chunk_order(policy):
+    """Lines keyed by order and line number, which repeat, and loaded in chunks of parts."""
+    def query(spark, sf):
+        s = replace(step("l", maps(
+            ("order_key", "DIRECT", "l.l_orderkey", "BIGINT"), ("line", "DIRECT", "l.l_linenumber", "INT"),
+            ("part", "DIRECT", "l.l_partkey", "BIGINT"), ("price", "DIRECT", "l.l_extendedprice", "DECIMAL(12,2)")),
+            keys=["order_key", "line"], policy=policy), chunking=Chunking("l.l_partkey", 40))
+        store = _store(spark)
+        staged, _ = stage_step(spark, s, {"l": table(spark, sf, "lineitem")}, store, "lines")
+        result = load_step(spark, s, staged, store)
+        return store.read("migrated", "result").withColumn("logged", F.lit(result.rejects).cast("bigint"))
+    return query
+
+
 # Target tables ---------------------------------------------------------------------------------
 
 def structure_copy(spark, sf):
@@ -253,7 +302,10 @@ def batch_metrics(spark, sf):
 QUERIES = {
     "run_blueprint": run_blueprint_query, "run_migration": run_migration_query,
     "migration_customers": migration_customers, "migration_rerun": migration_rerun,
-    "migration_report": migration_report, "chunked_load": chunked_load, "chunked_resume": chunked_resume, "chunk_metrics": chunk_metrics,
+    "migration_report": migration_report, "chunked_load": chunked_load, "chunked_resume": chunked_resume,
+    "chunked_commits_text_key": chunked_commits_text_key, "chunked_commits_decimal_key": chunked_commits_decimal_key,
+    "chunked_resume_grown": chunked_resume_grown, "chunked_upsert_order": _in_chunk_order("UPSERT"),
+    "chunked_ignore_log_order": _in_chunk_order("IGNORE_AND_LOG"), "chunk_metrics": chunk_metrics,
     "structure_copy": structure_copy, "table_exists_skip": table_exists_skip, "stream_load": stream_load,
     "stream_ignore": stream_ignore, "batch_metrics": batch_metrics,
 }
@@ -280,6 +332,14 @@ _BILLING_ROWS = _BILLING + """
     FROM ranked WHERE n = 1"""
 _ORDER_ROWS = "SELECT o_orderkey AS order_key, o_orderstatus AS status, o_totalprice::DECIMAL(12,2) AS price"
 
+_CHUNK_ORDER = """
+    WITH chunked AS (
+      SELECT l_orderkey AS order_key, l_linenumber AS line, l_partkey AS part, l_extendedprice::DECIMAL(12,2) AS price,
+             (l_partkey - (SELECT min(l_partkey) FROM lineitem)) // 40 + 1 AS chunk FROM lineitem),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY order_key, line ORDER BY chunk {way}, part {way}, price {way}) AS n
+               FROM chunked)
+    SELECT order_key, line, part, price, {logged}::BIGINT AS logged FROM ranked WHERE n = 1"""
+
 ORACLE = {
     "run_blueprint": """
         SELECT c_custkey AS id, c_name AS company_name, regexp_replace(c_name, '[^0-9+]', '', 'g') AS phone,
@@ -299,6 +359,13 @@ ORACLE = {
     "chunked_load": f"""{_ORDER_ROWS}, ((o_orderkey - (SELECT min(o_orderkey) FROM orders)) // 2500 + 1)::BIGINT AS chunk
         FROM orders""",
     "chunked_resume": f"{_ORDER_ROWS} FROM orders",
+    "chunked_commits_text_key": f"{_ORDER_ROWS} FROM orders",
+    "chunked_commits_decimal_key": f"{_ORDER_ROWS} FROM orders".replace("o_orderkey", "o_custkey"),
+    "chunked_resume_grown": f"{_ORDER_ROWS} FROM orders",
+    "chunked_upsert_order": _CHUNK_ORDER.format(way="DESC", logged="0"),
+    "chunked_ignore_log_order": _CHUNK_ORDER.format(
+        way="ASC", logged="(SELECT count(*) FROM chunked c WHERE chunk > (SELECT min(chunk) FROM chunked f "
+        "WHERE f.order_key = c.order_key AND f.line = c.line))"),
     "chunk_metrics": """
         SELECT 1 AS blueprint_sequence, ((o_orderkey - (SELECT min(o_orderkey) FROM orders)) // 2500 + 1)::BIGINT AS batch_number,
                count(*)::BIGINT AS rows_processed FROM orders GROUP BY 2""",

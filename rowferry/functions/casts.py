@@ -127,8 +127,10 @@ def safe_cast(value: Column, to: str, source: T.DataType | None = None) -> Colum
     if base == "DECIMAL":
         # values with too many digits are kept away from the cast for the same reason as bad dates
         whole = target.precision - target.scale
-        if is_number:
+        if is_float:
             return F.when(F.abs(value) < F.lit(float(10 ** whole)), value.try_cast(sql_type))
+        if is_number:  # exact: a bound as a double would take the greatest numbers for too large
+            return value.try_cast(sql_type)
         fits = text.rlike(rf"^-?0*[0-9]{{0,{whole}}}(\.[0-9]+)?$")
         return F.when(fits & text.rlike(NUMBER_PATTERN), text.try_cast(sql_type))
     if base in FLOAT_TYPES:

@@ -42,9 +42,10 @@ def recon_counts(source: DataFrame, loaded: DataFrame, rejected: DataFrame) -> D
 
 
 def row_text(columns: Sequence[str]) -> Column:
-    """All values of a row as one text that tells NULL from empty and keeps the fields apart."""
-    return F.concat_ws(FIELD_END, *[
-        F.coalesce(F.col(c).cast("string"), F.lit(NULL_TEXT)) for c in columns])
+    """All values of a row as one text: each with its length before it, a NULL with a mark that is no
+    length. So rows have equal texts only if all their values are equal."""
+    return F.concat(F.lit(""), *[F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(FIELD_END),
+                                              F.col(c).cast("string")), F.lit(NULL_TEXT)) for c in columns])
 
 
 def row_hash(text: Column) -> Column:
@@ -65,7 +66,8 @@ def compare_checksums(source: DataFrame, target: DataFrame) -> DataFrame:
     """Buckets whose checksums differ, from two ``recon_checksum`` results."""
     s = source.select("bucket", F.col("rows").alias("source_rows"), F.col("checksum").alias("source_checksum"))
     t = target.select("bucket", F.col("rows").alias("target_rows"), F.col("checksum").alias("target_checksum"))
-    return s.join(t, "bucket", "full").filter(~F.col("source_checksum").eqNullSafe(F.col("target_checksum")))
+    return s.join(t, "bucket", "full").filter(
+        ~F.col("source_checksum").eqNullSafe(F.col("target_checksum")) | ~F.col("source_rows").eqNullSafe(F.col("target_rows")))
 
 
 def recon_diff(

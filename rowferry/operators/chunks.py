@@ -6,12 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def whole(key: Column) -> Column:
+    """The least whole number that is not below a key of any type; NULL for text that is no number.
+    A range ``(lo, hi]`` of whole numbers holds a key exactly if it holds this."""
+    return F.ceil(key.try_cast("decimal(38,9)")).try_cast("bigint")
+
+
 def chunk_bounds(df: DataFrame, key: str, lower: int | None = None) -> DataFrame:
     """One row (lo, hi). Ranges are ``(lo, lo + size]``; without ``lower`` they start below the
     least key so that no row is left out; ``lower=0`` leaves out keys of 0 and less."""
-    k = F.col(key)
+    k = whole(F.col(key))
     low = F.coalesce(F.min(k) - 1, F.lit(0)) if lower is None else F.lit(lower)
-    return df.agg(low.cast("bigint").alias("lo"), F.coalesce(F.max(k), F.lit(0)).cast("bigint").alias("hi"))
+    return df.agg(low.cast("bigint").alias("lo"), F.coalesce(F.max(k), F.lit(0)).alias("hi"))
 
 
 def chunk_filter(df: DataFrame, key: str, lo: int, size: int) -> DataFrame:
@@ -21,10 +27,11 @@ def chunk_filter(df: DataFrame, key: str, lo: int, size: int) -> DataFrame:
 
 
 def chunk_number(key: Column, lo: Column | int, size: int) -> Column:
-    """1 for ``(lo, lo + size]``, 2 for the next range; 0 for a NULL key."""
-    start = lo if isinstance(lo, Column) else F.lit(lo)
-    whole = F.floor((key.cast("bigint") - start - 1) / F.lit(size)) + 1
-    return F.coalesce(whole.cast("bigint"), F.lit(0).cast("bigint"))
+    """1 for ``(lo, lo + size]``, 2 for the next range; 0 for a NULL key and text that is no number."""
+    start = (lo if isinstance(lo, Column) else F.lit(lo)).cast("bigint")
+    above, width = whole(key) - start - 1, F.lit(size).cast("bigint")
+    number = F.call_function("div", above - F.pmod(above, width), width) + 1
+    return F.coalesce(number, F.lit(0).cast("bigint"))
 
 
 def with_chunk(df: DataFrame, key: str, size: int, lower: int | None = None) -> DataFrame:

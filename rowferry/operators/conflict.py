@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from rowferry.operators.joins import HOT_ROWS, hot_keys, key_counts, rows_with_key_in
 
 DUPLICATE_KEY = "DUPLICATE_KEY"
+#: The column that tells which batch or chunk of a load a row came in.
+BATCH = "_batch"
 DUPLICATE_IN_BATCH = "DUPLICATE_IN_BATCH"
 NULL_KEY = "NULL_KEY"
 
@@ -127,6 +129,17 @@ def batch_duplicates(
             .filter("copies > 0").withColumn("reject_reason", F.lit(DUPLICATE_IN_BATCH)))
 
 
+def of_earlier_batches(batch: DataFrame, keys: Sequence[str], met: DataFrame) -> DataFrame:
+    """Rows whose key came in an earlier batch and was new then: had the batches been loaded one
+    after the other, these would have met it in the target. Only keys of several batches are joined."""
+    keys = list(keys)
+    rows = batch.filter(has_key(keys))
+    first = (rows.groupBy(*keys).agg(F.min(BATCH).alias("_first"), F.max(BATCH).alias("_last"))
+             .filter("_first < _last").join(met, keys, "left_anti"))
+    return (rows.join(first, keys).filter(F.col(BATCH) > F.col("_first")).select(*batch.columns)
+            .withColumn("reject_reason", F.lit(DUPLICATE_KEY)))
+
+
 def fail(
     target: DataFrame, batch: DataFrame, keys: Sequence[str], order_by: Sequence[str] = (),
     met: DataFrame | None = None,
@@ -207,6 +220,8 @@ def ignore_and_capture(
     plain = batch.drop(*carried)
     load = ignore(target, plain, keys, order_by, there)
     rejects = captured(target, batch, keys, hot_rows, there).unionByName(_null_key_rows(batch, keys))
+    if order_by and order_by[0] == BATCH:
+        rejects = rejects.unionByName(of_earlier_batches(batch, keys, there))
     if log_batch_duplicates:
         rejects = rejects.withColumn("copies", F.lit(1).cast("bigint")).unionByName(
             batch_duplicates(target, plain, keys, order_by, there), allowMissingColumns=True)

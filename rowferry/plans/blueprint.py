@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowferry.functions.casts import spark_type
-from rowferry.operators.chunks import chunk_bounds, chunk_number, load_ranges
-from rowferry.operators.conflict import POLICIES, met_keys, require_no_conflicts
+from rowferry.operators.chunks import chunk_bounds, chunk_number, load_ranges, whole
+from rowferry.operators.conflict import BATCH, POLICIES, met_keys, require_no_conflicts
 from rowferry.operators.joins import join_sources
 from rowferry.operators.ledger import key_errors, row_errors, stop_on_errors
 from rowferry.operators.shape import ERRORS, KEY_TEXT, derive, evaluate, keep_rows, project
@@ -65,6 +65,11 @@ def stage_step(
     the memory, and the chunk number is a column. With it, the chunks are written in that many
     ranges, so that a run which is resumed skips the ranges already staged under its tag. Their
     number is the caller's; it does not grow with the data. Staging in one job starts afresh.
+
+    The ranges are kept in the store when the first run draws them, and a resumed run reads them
+    there. The last one is open above; keys below the first, NULL keys and text keys that are no
+    number come in a part of their own at the end. So every root row is in one part whatever its
+    key, and rows that came since the first run are in a part that is still to come.
     """
     def write(batch: int, rows: DataFrame, mode: str = "full") -> tuple[int, int, float]:
         began = time.monotonic()
@@ -87,14 +92,22 @@ def stage_step(
         return evaluate(transformed(step, frames, root_filter=root_filter), step.columns,
                         step.target.keys, also=[number], **checks)
 
-    above = None if lower is None else key > lower
+    above = None if lower is None else whole(key) > lower
     # a RIGHT or FULL join would give its unmatched rows once per range
     if commits is None or any(j.how in ("RIGHT", "FULL") for j in step.joins):
         return _staged(store, name, [write(0, part(above))])
-    ranges = load_ranges(bounds["lo"], bounds["hi"], chunk.size, commits)
-    done = [write(i, part((key > lo) & (key <= hi)), "add") for i, (lo, hi) in enumerate(ranges, 1)]
+    drawn = load_ranges(bounds["lo"], bounds["hi"], chunk.size, commits) or [(bounds["lo"], bounds["hi"])]
+    kept = spark.createDataFrame(drawn, "lo bigint, hi bigint")
+    if not store.has_tag("staging", f"{name}_ranges", f"{tag}ranges"):
+        store.publish("staging", f"{name}_ranges", kept, mode="full", tag=f"{tag}ranges")
+    ranges = sorted((r["lo"], r["hi"]) for r in store.read("staging", f"{name}_ranges").collect())
+    lowest, highest = ranges[0][0], ranges[-1][1]
+    # whole keys are compared as they are, so that the filter reaches the scan
+    at = key if isinstance(root.select(key).schema[0].dataType, T.IntegralType) else whole(key)
+    done = [write(i, part((at > lo) & (at <= hi) if hi < highest else at > lo), "add")
+            for i, (lo, hi) in enumerate(ranges, 1)]
     if lower is None:
-        done.append(write(0, part(key.isNull()), "add"))
+        done.append(write(0, part(at.isNull() | (at <= lowest)), "add"))
     return _staged(store, name, done)
 
 
@@ -115,6 +128,8 @@ def load_step(
     dies half-way leaves the target as it was and can be repeated under the same tag.
     """
     target, result = step.target, StepResult(step.order)
+    if step.chunking and not order_by:
+        order_by = [BATCH]  # chunks are loaded as if one after the other
     columns = [c.column for c in step.columns]
     ledger = row_errors(staged, step.order)
     if reject_bad_rows and target.policy == "FAIL":

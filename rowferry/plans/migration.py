@@ -76,16 +76,21 @@ def run_migration(
         except Exception as error:  # noqa: BLE001 - the steps before stay, the report says which failed
             failure = error
             if isinstance(error, (KeyConflict, ledgers.RowErrors)):
-                store.drop("staging", name)
+                _drop_staged(store, name)
             results.append(StepResult(step.order))
             if raise_on_failure:
                 raise
             break
-        store.drop("staging", name)
+        _drop_staged(store, name)
         results.append(result)
     return MigrationRun(run_id, results, report(spark, migration, store, run_id, failure), failure)
 
 
+def _drop_staged(store: TableStore, name: str) -> None:
+    store.drop("staging", name)
+    store.drop("staging", f"{name}_ranges")
+
+
 def report(
     spark: SparkSession, migration: Migration, store: TableStore, run_id: str, failure: Exception | None = None,
 ) -> DataFrame:

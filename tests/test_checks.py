@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowferry.operators.checks import (
-    compare_checksums, key_check, null_check, recon_checksum, recon_counts, recon_diff)
+    compare_checksums, key_check, null_check, recon_checksum, recon_counts, recon_diff, row_text)
 from rowferry.operators.chunks import chunk_bounds, chunk_filter, chunk_plan, load_ranges
 from rowferry.operators.ledger import LEDGER_SCHEMA, METRICS_SCHEMA, empty, execution_report, row_errors, stop_on_errors
 from rowferry.operators.shape import align, evaluate
@@ -116,3 +116,16 @@ def test_rows_are_the_same_multiset_after_evaluate(spark):
     columns = [ColumnMap("k", "DIRECT", "k", "INT"), ColumnMap("v", "DIRECT", "v", "INT")]
     got = Counter((r.k, r.v) for r in evaluate(df, columns).collect())
     assert got == Counter((i % 3, i % 2) for i in range(12))
+
+
+def test_chunk_numbers_near_the_end_of_the_range(spark):
+    start = 2 ** 60
+    df = spark.createDataFrame([(start + i,) for i in range(40)], "k long")
+    assert [r.rows for r in chunk_plan(df, "k", 10).orderBy("chunk").collect()] == [10, 10, 10, 10]
+
+
+def test_checksums_tell_null_from_its_mark_and_fields_apart(spark):
+    one = spark.createDataFrame([(None, "a"), ("x\x1fy", "z")], "p string, q string")
+    two = spark.createDataFrame([("\\N", "a"), ("x", "y\x1fz")], "p string, q string")
+    texts = [[r[0] for r in df.select(row_text(["p", "q"])).collect()] for df in (one, two)]
+    assert not set(texts[0]) & set(texts[1])
