@@ -81,7 +81,7 @@ def map_derived(spark, sf):
 def map_expression(spark, sf):
     return _customers(spark, sf, maps(
         ("id", "DIRECT", "c.c_custkey", "BIGINT"),
-        ("tax", "EXPRESSION", "CASE WHEN c.c_mktsegment = 'BUILDING' THEN 0.0000 ELSE derivations.cents * 0.18 END",
+        ("owed", "EXPRESSION", "CASE WHEN derivations.cents < 0 THEN 0 - derivations.cents ELSE derivations.cents * 0.25 END",
          "DECIMAL(12,4)"),
         ("place", "EXPRESSION", "COALESCE(n.n_name, 'none')", "VARCHAR(64)")),
         derivations={"cents": "CAST(c.c_acctbal AS DECIMAL(12,2))"})
@@ -89,8 +89,8 @@ def map_expression(spark, sf):
 
 def map_constant(spark, sf):
     return _customers(spark, sf, maps(
-        ("id", "DIRECT", "c.c_custkey", "BIGINT"), ("tenant", "CONSTANT", "'RETAIL_ENTERPRISE_GLOBAL'", "VARCHAR(64)"),
-        ("one", "CONSTANT", "1", "INT"), ("rate", "CONSTANT", "0.18", "DECIMAL(5,3)"),
+        ("id", "DIRECT", "c.c_custkey", "BIGINT"), ("origin", "CONSTANT", "'TESTDATA'", "VARCHAR(64)"),
+        ("one", "CONSTANT", "1", "INT"), ("rate", "CONSTANT", "0.25", "DECIMAL(5,3)"),
         ("nothing", "CONSTANT", "NULL", "TEXT")))
 
 
@@ -235,11 +235,11 @@ ORACLE = {
         FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey""",
     "map_expression": """
         SELECT c_custkey AS id,
-               CASE WHEN c_mktsegment = 'BUILDING' THEN 0 ELSE c_acctbal::DECIMAL(12,2) * 0.18::DECIMAL(3,2) END::DECIMAL(12,4) AS tax,
+               CASE WHEN c_acctbal::DECIMAL(12,2) < 0 THEN -c_acctbal::DECIMAL(12,2) ELSE c_acctbal::DECIMAL(12,2) * 0.25::DECIMAL(3,2) END::DECIMAL(12,4) AS owed,
                coalesce(n_name, 'none') AS place
         FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey""",
     "map_constant": """
-        SELECT c_custkey AS id, 'RETAIL_ENTERPRISE_GLOBAL' AS tenant, 1 AS one, 0.180::DECIMAL(5,3) AS rate,
+        SELECT c_custkey AS id, 'TESTDATA' AS origin, 1 AS one, 0.250::DECIMAL(5,3) AS rate,
                NULL::VARCHAR AS nothing
         FROM customer""",
     "projection": """

@@ -29,5 +29,5 @@ def test_query(spark, sf, con, name):
 
 def test_entry(spark):
     df = driver.entry(spark)
-    assert df.columns == ["id", "company_name", "phone", "country_iso", "tenant_id"]
+    assert df.columns == ["account", "label", "nation", "origin"]
     assert df.count() > 0

@@ -15,12 +15,11 @@ def test_document():
     m = migration_from({"$schema": "x", "output_format": "SQL", **DOC})
     assert [s.order for s in m.steps] == [1, 2, 3]
     two = m.steps[1]
-    assert two.chunking == Chunking("tih.o_orderkey", 2500)
+    assert two.chunking == Chunking("ln.l_orderkey", 2500)
     assert [j.how for j in two.joins] == ["INNER", "LEFT"] and two.joins[0].conditions[0].operator == "="
-    assert two.target == Target("billing", "billing_details", ("tenant_id", "invoice_no", "line_item_id"), "UPSERT",
-                                connection="lake")
-    assert two.columns[0] == ColumnMap("tenant_id", "CONSTANT", "'RETAIL_ENTERPRISE_GLOBAL'", "VARCHAR(64)", False)
-    assert m.steps[0].chunking is None and m.steps[2].root == Source("hih", "archive", "headers.csv")
+    assert two.target == Target("shipping", "lines", ("order_key", "line_no"), "UPSERT", connection="lake")
+    assert two.columns[5] == ColumnMap("origin", "CONSTANT", "'LIVE'", "VARCHAR(8)", False)
+    assert m.steps[0].chunking is None and m.steps[2].root == Source("it", "archive", "items.csv")
     assert m.connections["archive"] == Connection("CSV_S3_BUCKET", "s3://bucket/archive/", {"aws_region": "us-west-2"})
 
 
@@ -44,13 +43,13 @@ def changed(path, value):
     (("blueprints", 0, "mappings"), []),
     (("blueprints", 0, "mappings", 0, "cast_to"), "BLOB"),
     (("blueprints", 0, "mappings", 0, "source_value"), " "),
-    (("blueprints", 0, "mappings", 0, "target_column"), "company_name"),
+    (("blueprints", 0, "mappings", 0, "target_column"), "label"),
     (("blueprints", 0, "sources", "joins", 0, "join_type"), "CROSS"),
     (("blueprints", 0, "sources", "joins", 0, "conditions"), []),
-    (("blueprints", 0, "sources", "joins", 0, "alias"), "cm"),
+    (("blueprints", 0, "sources", "joins", 0, "alias"), "cu"),
     (("blueprints", 0, "sources", "root_table", "connection_ref"), "nowhere"),
     (("blueprints", 0, "sources", "root_table", "alias"), "derivations"),
-    (("blueprints", 1, "mappings", 1, "source_value"), "system_invoice_key"),
+    (("blueprints", 1, "mappings", 3, "source_value"), "net"),
     (("blueprints", 1, "chunking_strategy", "chunk_size"), 0),
     (("connections", "lake", "type"), "ORACLE"),
 ])
