@@ -12,8 +12,7 @@ from pyspark.sql import types as T
 
 from rowferry.functions.casts import DATE_PATTERN, DATETIME_PATTERN, INTEGER_PATTERN, NUMBER_PATTERN
 
-# The bytes read for a header and the parse options of a plain file.
-HEADER_BYTES = 65_536
+# The parse options of a plain file.
 DELIMITER, QUOTE, ENCODING = ",", '"', "utf-8"
 
 
@@ -30,33 +29,46 @@ def _one_character(value: str, what: str) -> str:
     return value
 
 
-def _header_reader(delimiter: str, quote: str, header_row: int):
-    """A function from the start of a file to its column names.
-
-    It stands alone, so that it can be sent to workers which do not have this package.
-    """
-    def names(sample: str) -> list[str]:
-        import csv
-        import io
-        if not sample.strip():
-            raise ValueError("the file is empty")
-        for number, cells in enumerate(csv.reader(io.StringIO(sample), delimiter=delimiter, quotechar=quote), 1):
-            if number == header_row:
-                if not any(cell.strip() for cell in cells):
-                    raise ValueError("the header row is empty")
-                return [cell.strip() or f"_c{i}" for i, cell in enumerate(cells)]
-        raise ValueError(f"the file has no row {header_row}")
-
+def _check_options(delimiter: str, quote: str, header_row: int) -> None:
     _one_character(delimiter, "delimiter")
     _one_character(quote, "quote")
     if header_row < 1:
         raise ValueError("header_row must be at least 1")
-    return names
+
+
+def _header_cells():
+    """A function (lines, delimiter, quote, row) -> the column names in that record.
+
+    Lines are drawn until the record is whole, which an even number of quotes tells, so a header of
+    any length is read and no more than it. The function stands alone, so that it can be sent to
+    workers which do not have this package.
+    """
+    def cells(lines, delimiter: str, quote: str, row: int) -> list[str]:
+        import csv
+        held, found = [], 0
+        for line in lines:
+            held.append(line if found or held else line.removeprefix("\ufeff"))
+            if sum(part.count(quote) for part in held) % 2:
+                continue
+            found += 1
+            if found == row:
+                break
+            held = []
+        else:
+            raise ValueError("a quote is left open" if held else f"no record {row}, the file has {found}")
+        record = next(csv.reader(held, delimiter=delimiter, quotechar=quote), [])
+        names = [c.strip() or f"_c{at}" for at, c in enumerate(record)]
+        if not "".join(record).strip():
+            raise ValueError(f"record {row} names no column")
+        return names
+
+    return cells
 
 
 def header_names(sample: str, delimiter: str = DELIMITER, quote: str = QUOTE, header_row: int = 1) -> list[str]:
-    """Column names from the start of a file: trimmed, a blank one is called ``_c<position>``."""
-    return _header_reader(delimiter, quote, header_row)(sample)
+    """Column names from the text of a file: trimmed, a blank one is called ``_c<position>``."""
+    _check_options(delimiter, quote, header_row)
+    return _header_cells()(sample.splitlines(keepends=True), delimiter, quote, header_row)
 
 
 def list_csv_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,12 +96,15 @@ def csv_columns(
 ) -> DataFrame:
     """(file, position, column_name, data_type) of every CSV file under a folder.
 
-    The listing is spread over tasks and each reads the first 64 KiB of its files, so the cost
-    follows the number of files, not their size.
+    The listing is spread over tasks and each reads its files' headers, as far as they reach, so the
+    cost follows the number of files, not their size. A file without a header is an error.
     """
-    names, size = _header_reader(delimiter, quote, header_row), HEADER_BYTES
+    _check_options(delimiter, quote, header_row)
+    cells = _header_cells()
 
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+
         from pyarrow import fs
         for files in batches:
             rows = []
@@ -97,14 +112,14 @@ def csv_columns(
                 uri = "s3" + key[3:] if key.startswith(("s3a:", "s3n:")) else key
                 system, place = fs.FileSystem.from_uri(uri)
                 with system.open_input_stream(place) as stream:
-                    text = stream.read(size).decode(encoding, errors="replace")
-                try:
-                    rows += [(name, i, column) for i, column in enumerate(names(text))]
-                except ValueError as error:
-                    raise ValueError(f"{key}: {error}") from None
+                    lines = io.TextIOWrapper(stream, encoding=encoding, errors="replace", newline="")
+                    try:
+                        rows += [(name, i, column) for i, column in enumerate(cells(lines, delimiter, quote, header_row))]
+                    except ValueError as error:
+                        raise ValueError(f"{key}: {error}") from None
             yield pd.DataFrame(rows, columns=["file", "position", "column_name"])
 
-    listing = list_csv_files(spark, folder).select("name", "key")
+    listing = list_csv_files(spark, folder).select("name", "key").repartition("key")
     found = listing.mapInPandas(heads, "file string, position int, column_name string")
     return found.withColumn("data_type", F.lit("string"))
 
@@ -119,7 +134,7 @@ def read_csv(
     Files are split over tasks. ``multiline`` is for quoted cells with line breaks; it reads each
     file in one task, so it suits small files only.
     """
-    _header_reader(delimiter, quote, header_row)
+    _check_options(delimiter, quote, header_row)
     if header_row > 1:
         return _read_below(spark, path, delimiter, quote, header_row, encoding, schema)
     reader = (spark.read.option("header", True).option("sep", delimiter).option("quote", quote)

@@ -119,3 +119,12 @@ def test_open_source(spark, folder):
         "local": Connection("LOCAL_CSV", f"{folder}/a.csv", {"parse_options": {"delimiter": ";"}})}
     assert open_source(spark, Source("a", "bucket", "a.csv"), places).columns == ["id;n"]
     assert bag(open_source(spark, Source("a", "local", "a.csv"), places)) == [("1", "x")]
+
+
+def test_long_headers_marks_and_quoted_breaks(spark, tmp_path):
+    wide = [f"column_number_{i:05d}" for i in range(5000)]
+    (tmp_path / "wide.csv").write_text("﻿" + ",".join(wide) + "\n1\n", encoding="utf-8")
+    (tmp_path / "broken.csv").write_text('"a\nb",c\n1,2\n', encoding="utf-8")
+    rows = csv_columns(spark, str(tmp_path)).orderBy("file", "position").collect()
+    assert [r.column_name for r in rows if r.file == "wide.csv"] == wide
+    assert [r.column_name for r in rows if r.file == "broken.csv"] == ["a\nb", "c"]
