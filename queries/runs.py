@@ -28,8 +28,8 @@ ACCOUNTS = step("cu", maps(
     keys=["account"], policy="UPSERT",
     joins=[join("na", "LEFT", ("na.n_nationkey", "=", "cu.c_nationkey"), ("na.n_regionkey", "<", "4"))],
     pre_filters=["cu.c_acctbal > 0"],
-    derivations={"label": "LOWER(CONCAT(cu.c_mktsegment, '/', cu.c_name))"},
-    post_filters=["label <> 'building/'"])
+    derivations={"label": "LOWER(CONCAT('Account/', cu.c_name))"},
+    post_filters=["label <> 'account/'"])
 
 
 def run_blueprint_query(spark, sf):
@@ -325,7 +325,7 @@ _CHUNK_ORDER = """
 
 ORACLE = {
     "run_blueprint": """
-        SELECT c_custkey AS account, lower(c_mktsegment || '/' || c_name) AS label, coalesce(n_name, 'abroad') AS nation,
+        SELECT c_custkey AS account, lower('Account/' || c_name) AS label, coalesce(n_name, 'abroad') AS nation,
                'TESTDATA' AS origin
         FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_regionkey < 4 WHERE c_acctbal > 0""",
     "run_migration": _SHIPPED_ROWS,
