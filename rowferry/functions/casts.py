@@ -157,6 +157,16 @@ def safe_cast(value: Column, to: str, source: T.DataType | None = None) -> Colum
     return _when_like(text, TIME_PATTERN, text)
 
 
+def fitted(value: Column, to: T.DataType, source: T.DataType) -> Column:
+    """``value`` as the type a table has; NULL when it does not fit."""
+    if to == source:
+        return value
+    try:
+        return safe_cast(value, type_name(to), source).try_cast(to)
+    except ValueError:  # a type that no mapping can name
+        return value.try_cast(to)
+
+
 def has_value(value: Column, source: T.DataType | None = None) -> Column:
     """True for what is neither NULL nor blank text."""
     if source is None or isinstance(source, T.StringType):

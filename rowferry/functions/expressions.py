@@ -3,8 +3,9 @@
 Expressions are Spark SQL text. A few names mean something else in MySQL, for which the
 configurations are written; ``spark_text`` renames those and leaves the rest to Spark:
 
-* ``LENGTH`` counts bytes; ``CAST`` and ``DATE`` give NULL for a bad value;
-* ``DATE_FORMAT`` and ``STR_TO_DATE`` take ``%Y-%m-%d`` patterns;
+* ``LENGTH`` counts bytes; ``CAST`` and ``DATE`` give NULL for a bad value; ``CHAR(n)`` cuts;
+* ``DATE_FORMAT`` and ``STR_TO_DATE`` take ``%Y-%m-%d`` patterns; ``%y`` reads 70 to 99 as 1970 to 1999;
+* ``SUBSTRING`` from 0, or from before the first character, is empty;
 * ``/`` and ``%`` give NULL for a zero divisor.
 """
 
@@ -66,25 +67,54 @@ def _date_format(arguments: str) -> str:
 
 def _str_to_date(arguments: str) -> str:
     value, pattern = _pattern_argument(arguments)
-    has_time = any(code in TIME_CODES for code in re.findall(r"%(.)", pattern))
-    reader = "try_to_timestamp" if has_time else "try_to_date"
-    return f"{reader}(trim(cast({value} as string)), {_quoted(date_pattern(pattern, READ_CODES))})"
+    codes = re.findall(r"%(.)", pattern, re.S)
+    reader = "try_to_timestamp" if any(code in TIME_CODES for code in codes) else "try_to_date"
+    read = f"{reader}(trim(cast({value} as string)), {_quoted(date_pattern(pattern, READ_CODES))})"
+    if "y" in codes:  # Spark takes every two digits for 2000 to 2099
+        return f"if(year({read}) >= 2070, {read} - interval '100' year, {read})"
+    return read
 
 
 def _cast(arguments: str) -> str:
     def rename(m: re.Match) -> str:
         return f" as {CAST_TYPES[m[1].upper()]}"
+    cut = re.fullmatch(r"(.*)\s+as\s+char\s*\(\s*(\d+)\s*\)\s*", arguments, flags=re.I | re.S)
+    if cut:
+        return f"left(try_cast({cut[1]} as string), {cut[2]})"
     names = "|".join(CAST_TYPES)
     return "try_cast(" + re.sub(
         rf"\s+as\s+({names})\b(\s+integer)?(\s*\(\s*\d+\s*\))?\s*$", rename, arguments, flags=re.I) + ")"
 
 
+def _arguments(text: str) -> list[str]:
+    """The arguments of a call, parted at the commas outside of parentheses."""
+    parts, depth = [""], 0
+    for token in _TOKEN.findall(text):
+        depth += (token == "(") - (token == ")")
+        if token == "," and depth == 0:
+            parts.append("")
+        else:
+            parts[-1] += token
+    return [part.strip() for part in parts]
+
+
+def _substring(arguments: str) -> str:
+    given = _arguments(arguments)
+    call = f"substring({', '.join(given)})"
+    if len(given) < 2 or re.fullmatch(r"[1-9]\d*", given[1]):
+        return call
+    text, start = given[:2]
+    return f"if(({start}) = 0 or ({start}) < -char_length({text}), left({text}, 0), {call})"
+
+
 _CALLS = {
     "LENGTH": lambda a: f"octet_length({a})",
     "DATE": lambda a: f"try_cast(({a}) as date)",
     "CAST": _cast,
     "DATE_FORMAT": _date_format,
     "STR_TO_DATE": _str_to_date,
+    "SUBSTRING": _substring,
+    "SUBSTR": _substring,
 }
 
 

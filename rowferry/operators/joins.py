@@ -111,8 +111,8 @@ def salted_join(
     """Equi-join whose hot left keys are spread over ``salts`` tasks; same rows as a plain join.
 
     Left rows of a hot key get a salt, the right rows of those keys are repeated once per salt, and
-    the salt joins the key. Only hot keys repeat. RIGHT and FULL add the right rows without a
-    partner in a second step, as a repeated right row must not count as unmatched once per salt.
+    the salt joins the key. Only hot keys repeat. RIGHT and FULL add the right rows none of whose
+    copies has a partner in a second step, which is salted as well.
     ``alias`` is the alias of ``right``; it tells which side of an equality is whose.
     """
     sides = _sides(left, right, conditions)
@@ -142,28 +142,42 @@ def salted_join(
     salted = mark(lkeys, "").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)))
     salted = salted.drop("_hot", *["_h" + n for n in names])
     every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = mark(rkeys, "_r").select("*", F.explode(every).alias("_rsalt"))
+    repeated = mark(_numbered(rkeys), "_r").select("*", F.size(every).alias("_copies"), F.explode(every).alias("_rsalt"))
     repeated = repeated.drop("_hot", *["_h" + n for n in names])
 
     on = [F.col(n) == F.col("_r" + n) for n in names] + [F.col("_salt") == F.col("_rsalt")] + rest
     condition = functools.reduce(lambda a, b: a & b, on)
     inner = "inner" if how in ("INNER", "RIGHT") else "left"
-    helpers = [*names, "_salt", "_rsalt", *["_r" + n for n in names]]
+    helpers = [*names, "_salt", "_rsalt", "_id", "_copies", *["_r" + n for n in names]]
     joined = salted.join(repeated, condition, inner).drop(*helpers)
     if how in ("INNER", "LEFT"):
         return joined
 
     if rest:
-        lone_on = functools.reduce(lambda a, b: a & b, [_compare(*s) for s in sides])
-        lone = right.join(left, lone_on, "left_anti")
+        lone = _without_partner(repeated, salted, condition, right.columns)
     else:
         present = lkeys.select(*names).filter(_all_present(names)).distinct()
         lone = rkeys.join(present, functools.reduce(
             lambda a, b: a & b, [F.col("_r" + n) == F.col(n) for n in names]), "left_anti")
         lone = lone.drop(*["_r" + n for n in names])
-    # a left join from the lone rows to no left rows at all gives them NULL left columns
-    nothing = left.filter(F.lit(False))
-    return joined.union(nothing.join(lone, F.lit(True), "right"))
+    return joined.union(_beside_nulls(left, lone))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    return rows.select("*", F.monotonically_increasing_id().alias("_id"))
+
+
+def _without_partner(copies: DataFrame, others: DataFrame, condition: Column, columns: Sequence[str]) -> DataFrame:
+    """The rows that meet no row of ``others`` in any copy. Copies of a row share its ``_id`` and
+    each has their number as ``_copies``, so a row is alone if that many copies are."""
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    return (copies.join(others, condition, "left_anti").groupBy("_id")
+            .agg(F.count(F.lit(1)).alias("_n"), F.max("_copies").alias("_copies"), F.any_value(row).alias("_row"))
+            .filter("_n = _copies").select("_row.*"))
+
+
+def _beside_nulls(left: DataFrame, lone: DataFrame) -> DataFrame:
+    return lone.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in left.schema.fields], "*")
 
 
 # ---------------------------------------------------------------------------------------------
@@ -185,17 +199,37 @@ def range_join(
     """Left rows with the right rows whose ``low <= point < high``, without a nested loop.
 
     A point falls in one stripe of ``width``; a range is repeated once per stripe it touches, and
-    the join is on the stripe. Choose ``width`` near the usual length of a range. INNER and LEFT.
+    the join is on the stripe. Choose ``width`` near the usual length of a range: a number, days for
+    dates, seconds for moments. RIGHT and FULL add the ranges that hold no point, and the empty ones.
     """
-    if how not in ("INNER", "LEFT"):
-        raise ValueError("range_join does INNER and LEFT")
-    stripe = lambda c: F.floor(c / F.lit(width)).cast("bigint")
     lo, hi, at = expression(low), expression(high), expression(point)
+    kinds = [left.select(at).schema[0].dataType, *(f.dataType for f in right.select(lo, hi).schema.fields)]
+    moments = [k for k in kinds if isinstance(k, (T.TimestampType, T.TimestampNTZType))]
+    common = moments[0] if moments else kinds[0]
+    stripe = lambda c: F.floor(_place(c, common) / F.lit(width)).cast("bigint")
     points = left.select("*", stripe(at).alias("_stripe"))
-    ranges = (right.filter(lo < hi)
-              .select("*", F.explode(F.sequence(stripe(lo), stripe(hi))).alias("_rstripe")))
     on = (F.col("_stripe") == F.col("_rstripe")) & (at >= lo) & (at < hi)
-    return points.join(ranges, on, how.lower()).drop("_stripe", "_rstripe")
+    touched = F.sequence(stripe(lo), stripe(hi))
+    if how in ("INNER", "LEFT"):
+        ranges = right.filter(lo < hi).select("*", F.explode(touched).alias("_rstripe"))
+        return points.join(ranges, on, how.lower()).drop("_stripe", "_rstripe")
+    touched = F.when(lo < hi, touched).otherwise(F.array(F.lit(None).cast("bigint")))
+    ranges = _numbered(right).select("*", F.size(touched).alias("_copies"), F.explode(touched).alias("_rstripe"))
+    joined = points.join(ranges, on, "left" if how == "FULL" else "inner").drop("_stripe", "_rstripe", "_id", "_copies")
+    return joined.union(_beside_nulls(left, _without_partner(ranges, points, on, right.columns)))
+
+
+def _place(value: Column, kind: T.DataType) -> Column:
+    """A number that rises with the value: itself, the days of a date, the seconds of a moment."""
+    if isinstance(kind, T.DateType):
+        return F.unix_date(value)
+    if isinstance(kind, T.TimestampType):
+        return F.unix_seconds(value.cast(kind))
+    if isinstance(kind, T.TimestampNTZType):  # without a zone, so that no hour comes twice
+        at = value.cast(kind)
+        days = F.unix_date(at.cast("date")).cast("bigint")
+        return days * 86400 + F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
+    return value
 
 
 def rows_with_key_in(rows: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowferry.functions.casts import as_text, cast_failed, parse_type, safe_cast, type_name
+from rowferry.functions.casts import as_text, cast_failed, fitted, parse_type, safe_cast, type_name
 from rowferry.functions.expressions import expression
 from rowferry.spec import ColumnMap
 
 ERRORS = "_errors"
 IDENTITY = "_identity"
 KEY_TEXT = "_key_text"
+#: The column of a source that holds the text of records with another number of cells than the header.
+MALFORMED = "_malformed"
 _PATH = re.compile(r"[\w$ ]+(\.[\w$ ]+)*")
 
 
@@ -70,6 +72,7 @@ def evaluate(
     check_length: bool = False,
     check_null: bool = False,
     key_text: bool = False,
+    malformed: str | None = None,
     also: Sequence[Column] = (),
 ) -> DataFrame:
     """``project`` plus what went wrong per row, from the same pass.
@@ -77,9 +80,11 @@ def evaluate(
     ``_errors`` lists (target_column, error_code, message, raw_value) and is NULL for a good row.
     ``_identity`` maps the key columns to their uncast text, so that a row with a bad key can still
     be found; it is filled for rows with an error or without a key. ``key_text`` adds that text of
-    all rows as the struct ``_key_text``.
+    all rows as the struct ``_key_text``. ``malformed`` names the column that holds the text of
+    records with too few or too many cells.
     """
-    raw, types = _raw(df, columns, also)
+    records = [F.col(malformed).alias(MALFORMED)] if malformed else []
+    raw, types = _raw(df, columns, [*also, *records])
     cast = raw.select("*", *[
         safe_cast(F.col(f"_{i}"), c.cast_to, t).alias(f"_c{i}")
         for i, (c, t) in enumerate(zip(columns, types))
@@ -101,6 +106,9 @@ def evaluate(
             identity += [F.lit(c.column), text]
             named.append((c.column, text))
             no_key.append(result.isNull())
+    if malformed:
+        found.append((F.col(MALFORMED).isNotNull(), None, "MALFORMED_RECORD",
+                      "Not as many cells as the header", F.col(MALFORMED)))
     any_error = functools.reduce(lambda a, b: a | b, [when for when, *_ in found])
     errors = F.when(any_error, F.array_compact(F.array(*[_error(*e) for e in found])))
     if identity:
@@ -109,15 +117,41 @@ def evaluate(
     else:
         pairs = F.lit(None).cast("map<string,string>")
     texts = [F.struct(*[text.alias(name) for name, text in named]).alias(KEY_TEXT)] if key_text and named else []
-    extra = [F.col(name) for name in raw.columns[len(columns):]]
+    extra = [F.col(name) for name in raw.columns[len(columns):] if name != MALFORMED]
     return cast.select(
         *[F.col(f"_c{i}").alias(c.column) for i, c in enumerate(columns)],
         errors.alias(ERRORS), pairs.alias(IDENTITY), *texts, *extra)
 
 
-def _error(when: Column, column: str, code: str, message: str, value: Column) -> Column:
+def fit_target(evaluated: DataFrame, target: T.StructType, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Evaluated rows with the types of the table they go to, where the mappings say others.
+
+    A value that does not fit there is NULL and one more error of its row.
+    """
+    have = {f.name: f.dataType for f in evaluated.schema.fields}
+    want = {f.name: f.dataType for f in target.fields}
+    other = [c for c in columns if want.get(c, have[c]) != have[c]]
+    if not other:
+        return evaluated
+    wide = evaluated.select("*", *[fitted(F.col(c), want[c], have[c]).alias(f"_fit_{c}") for c in other])
+    lost = {c: cast_failed(F.col(c), F.col(f"_fit_{c}"), have[c]) for c in other}
+    any_lost = functools.reduce(lambda a, b: a | b, lost.values())
+    new = F.array_compact(F.array(*[
+        _error(when, c, "CAST_FAILED", f"Does not fit {want[c].simpleString()}", as_text(F.col(c), have[c]))
+        for c, when in lost.items()]))
+    before = F.coalesce(F.col(ERRORS), F.array().cast(have[ERRORS]))
+    identity = F.col(IDENTITY)
+    if keys:
+        pairs = [part for k in keys for part in (F.lit(k), as_text(F.col(k), have[k]))]
+        identity = F.when(any_lost & identity.isNull(), F.create_map(*pairs)).otherwise(identity)
+    changed = {ERRORS: F.when(any_lost, F.concat(before, new)).otherwise(F.col(ERRORS)), IDENTITY: identity,
+               **{c: F.col(f"_fit_{c}") for c in other}}
+    return wide.select(*[changed.get(c, F.col(c)).alias(c) for c in evaluated.columns])
+
+
+def _error(when: Column, column: str | None, code: str, message: str, value: Column) -> Column:
     return F.when(when, F.struct(
-        F.lit(column).alias("target_column"), F.lit(code).alias("error_code"),
+        F.lit(column).cast("string").alias("target_column"), F.lit(code).alias("error_code"),
         F.lit(message).alias("message"), value.alias("raw_value")))
 
 

@@ -16,7 +16,7 @@ from rowferry.operators.chunks import chunk_bounds, chunk_number, load_ranges, w
 from rowferry.operators.conflict import BATCH, POLICIES, met_keys, require_no_conflicts
 from rowferry.operators.joins import join_sources
 from rowferry.operators.ledger import key_errors, row_errors, stop_on_errors
-from rowferry.operators.shape import ERRORS, KEY_TEXT, derive, evaluate, keep_rows, project
+from rowferry.operators.shape import ERRORS, KEY_TEXT, MALFORMED, derive, evaluate, fit_target, keep_rows, project
 from rowferry.sinks.audit import SNAPSHOT, audit_layout, audit_rows, fit, unprocessed_layout, unprocessed_rows
 from rowferry.sinks.tables import TableStore
 from rowferry.spec import DEFAULT_AUDIT_TABLE, SpecError, Step
@@ -49,6 +49,8 @@ class StepResult:
     order: int
     rows_read: int = 0
     rows_loaded: int = 0
+    rows_inserted: int = 0
+    rows_updated: int = 0
     rejects: int = 0
     errors: int = 0
     batches: list[tuple[int, int, float]] = field(default_factory=list)
@@ -77,6 +79,8 @@ def stage_step(
         return batch, written, (time.monotonic() - began) * 1000
 
     checks.setdefault("key_text", step.target.policy in CAPTURING)
+    if MALFORMED in frames[step.root.alias].columns:
+        checks["malformed"] = f"{step.root.alias}.{MALFORMED}"
     chunk = step.chunking
     if chunk is None:
         rows = evaluate(transformed(step, frames), step.columns, step.target.keys,
@@ -125,23 +129,27 @@ def load_step(
     ``store`` keeps the error ledger; ``tables`` holds the target if that is elsewhere.
 
     Errors and refused rows are written first, then the target gets its new version, so a load that
-    dies half-way leaves the target as it was and can be repeated under the same tag.
+    dies half-way leaves the target as it was and can be repeated under the same tag. Values take the
+    target's types. FAIL refuses the step when any row has an error; the other policies load such rows
+    with NULL for what was lost, or leave them out with ``reject_bad_rows``.
     """
     target, result = step.target, StepResult(step.order)
-    if step.chunking and not order_by:
-        order_by = [BATCH]  # chunks are loaded as if one after the other
+    if not order_by:  # chunks are loaded as if one after the other
+        order_by = [*([BATCH] if step.chunking else []), *target.order_by]
     columns = [c.column for c in step.columns]
-    ledger = row_errors(staged, step.order)
-    if reject_bad_rows and target.policy == "FAIL":
-        stop_on_errors(ledger)
-    if target.keys:
-        ledger = ledger.unionByName(key_errors(staged, step.order, target.keys))
     tables = tables or store
     there = tables.exists(target.schema, target.table)
+    base = tables.newest(target.schema, target.table) if isinstance(tables, TableStore) else None
     before = tables.read(target.schema, target.table) if there else spark.createDataFrame([], target_layout(step))
     unknown = [c for c in columns if c not in before.columns]
     if unknown:
         raise SpecError(f"{target.schema}.{target.table} has no columns {unknown}")
+    staged = fit_target(staged, before.schema, columns, target.keys)
+    ledger = row_errors(staged, step.order)
+    if target.policy == "FAIL":
+        stop_on_errors(ledger)
+    if target.keys:
+        ledger = ledger.unionByName(key_errors(staged, step.order, target.keys))
     rows = staged.filter(F.col(ERRORS).isNull()) if reject_bad_rows else staged
     captures = target.policy in CAPTURING
     snapshot = [F.col(KEY_TEXT).alias(SNAPSHOT)] if captures and KEY_TEXT in staged.columns else []
@@ -156,10 +164,15 @@ def load_step(
         if captures:
             result.rejects = _keep_rejects(step, load.rejects, before, tables, migration_id, tag, at)
         # a load of new keys alone adds its rows and spares the target a rewrite
-        rewrite = load.rewrites and met is not None and not met.isEmpty()
-        result.rows_loaded = tables.publish(
+        result.rows_updated = met.count() if load.rewrites and met is not None else 0
+        rewrite = result.rows_updated > 0
+        was = before.count() if rewrite else 0
+        written = tables.publish(
             target.schema, target.table, load.new_target if rewrite else fit(load.append, before.schema),
-            mode="full" if rewrite or not there else "add", tag=_tag(tag, step, "load"))
+            mode="full" if rewrite or not there else "add", tag=_tag(tag, step, "load"),
+            **({} if base is None else {"base": base}))
+        result.rows_inserted = written - was
+        result.rows_loaded = result.rows_inserted + result.rows_updated
     finally:
         if met is not None:
             met.unpersist()

@@ -40,6 +40,8 @@ def run_migration(
     log_batch_duplicates: bool = False,
     commits: int | None = None,
     lower: int | None = None,
+    check_null: bool = False,
+    check_length: bool = False,
     targets: Callable[[Step], object] | None = None,
     raise_on_failure: bool = True,
 ) -> MigrationRun:
@@ -48,7 +50,8 @@ def run_migration(
     Called again with the same ``run_id`` after a failure, it goes on where it stopped: a step
     whose target version carries the run's tag is not loaded again. Targets are tables of
     ``store`` unless ``targets`` says where a step's target is. ``commits`` and ``lower`` concern
-    chunked steps (see ``stage_step`` and ``chunk_bounds``). The staged rows of a step are
+    chunked steps (see ``stage_step`` and ``chunk_bounds``). ``check_null`` and ``check_length`` list
+    missing values of columns that are not nullable, and texts that are too long. The staged rows of a step are
     deleted once they are loaded, or refused by a FAIL policy; after any other failure they stay for
     the run to go on with.
     """
@@ -65,7 +68,8 @@ def run_migration(
         try:
             frames = sources(step) if sources else open_sources(spark, step, migration.connections, read_options)
             staged, batches = stage_step(
-                spark, step, frames, store, name, commits=commits, lower=lower, tag=f"{tag}-")
+                spark, step, frames, store, name, commits=commits, lower=lower, tag=f"{tag}-",
+                check_null=check_null, check_length=check_length)
             result = load_step(
                 spark, step, staged, store, migration_id=migration.migration_id, tag=run_id, at=at,
                 reject_bad_rows=reject_bad_rows, log_batch_duplicates=log_batch_duplicates, tables=tables)
@@ -104,5 +108,6 @@ def report(
 
 
 def _of_run(spark: SparkSession, store: TableStore, table: tuple[str, str], run_id: str, schema: str) -> DataFrame:
-    paths = [v.path for v in store.versions(*table) if v.tag and v.tag.startswith(f"{run_id}-")]
+    own = re.compile(rf"{re.escape(run_id)}-step\d+-(errors|metrics)")
+    paths = [v.path for v in store.versions(*table) if v.tag and own.fullmatch(v.tag)]
     return spark.read.schema(schema).parquet(*paths) if paths else ledgers.empty(spark, schema)

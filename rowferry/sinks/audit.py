@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowferry.functions.casts import fitted
 from rowferry.spec import Target
 
 SNAPSHOT = "_snapshot"  # the uncast key values of a row as a struct
@@ -64,7 +65,8 @@ def unprocessed_rows(rejects: DataFrame, columns: Sequence[str], at: datetime |
 
 
 def fit(rows: DataFrame, layout: T.StructType) -> DataFrame:
-    """The rows with exactly the columns of a table; those they lack are NULL."""
+    """The rows with exactly the columns of a table; what they lack, or what does not fit, is NULL."""
+    have = {f.name: f.dataType for f in rows.schema.fields}
     return rows.select(*[
-        (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        (fitted(F.col(f.name), f.dataType, have[f.name]) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name)
         for f in layout.fields])

@@ -33,6 +33,10 @@ class TableMissing(Exception):
     pass
 
 
+class StaleTable(Exception):
+    """Another load changed the table meanwhile; nothing was published."""
+
+
 @dataclass(frozen=True)
 class Version:
     number: int
@@ -84,10 +88,19 @@ class TableStore:
         layout = self.spark.read.parquet(paths[0]).schema
         return self.spark.read.schema(layout).parquet(*paths)
 
-    def publish(self, schema: str, table: str, rows: DataFrame, *, mode: str = "full", tag: str | None = None) -> int:
+    def newest(self, schema: str, table: str) -> int:
+        """The number of the last finished version, 0 without one."""
+        return max((v.number for v in self.versions(schema, table)), default=0)
+
+    def publish(
+        self, schema: str, table: str, rows: DataFrame, *, mode: str = "full", tag: str | None = None,
+        base: int | None = None,
+    ) -> int:
         """Write ``rows`` as the next version; gives its number of rows.
 
         Writes nothing when a version with this tag is there already; the number is then that one's.
+        ``base`` is the ``newest`` version that ``rows`` were computed from. If another load has
+        published since, before or during the write, this one is withdrawn: its rows would undo the other's.
         """
         if mode not in ("full", "add"):
             raise ValueError("mode is full or add")
@@ -97,9 +110,14 @@ class TableStore:
                     return self.spark.read.parquet(version.path).count()
         taken = [c[0] for c in self._children(schema, table)]
         name = f"{max(taken, default=0) + 1:06d}.{mode}" + (f".{tag}" if tag else "")
+        if base is not None and self.newest(schema, table) != base:
+            raise StaleTable(f"{schema}.{table}")
+        place = f"{self.folder(schema, table)}/{name}"
         written = Observation()
-        (rows.observe(written, F.count(F.lit(1)).alias("rows"))
-         .write.mode("error").parquet(f"{self.folder(schema, table)}/{name}"))
+        rows.observe(written, F.count(F.lit(1)).alias("rows")).write.mode("error").parquet(place)
+        if base is not None and any(v.number > base and v.path != place for v in self.versions(schema, table)):
+            self.drop_versions([place])
+            raise StaleTable(f"{schema}.{table}")
         return written.get.get("rows", 0)
 
     def create(self, schema: str, table: str, layout: T.StructType) -> None:
@@ -139,7 +157,10 @@ class TableStore:
         current = set(self._current(schema, table))
         newest = max(v.number for v in self.versions(schema, table))
         old = [c for c in self._children(schema, table) if c[3] not in current and c[0] < newest]
-        for _, _, _, path, _ in old:
+        self.drop_versions([path for _, _, _, path, _ in old])
+        return len(old)
+
+    def drop_versions(self, paths: Sequence[str]) -> None:
+        for path in paths:
             fs, where = file_system(self.spark, path)
             fs.delete(where, True)
-        return len(old)

@@ -127,26 +127,44 @@ def csv_columns(
 def read_csv(
     spark: SparkSession, path: str | Sequence[str], *, delimiter: str = DELIMITER, quote: str = QUOTE,
     header_row: int = 1, encoding: str = ENCODING, schema: T.StructType | str | None = None,
-    multiline: bool = False,
+    multiline: bool = False, malformed: str | None = None,
 ) -> DataFrame:
-    """A CSV file, or files of one layout. Without a schema every column is a string.
+    """A CSV file, or files of one layout. Without a schema every column is a string, and a file whose
+    header differs from the first one's is an error, unless a header cell is blank or repeated; a
+    schema says what the columns are, whatever the headers. ``malformed`` adds a column of that name
+    with the text of records that have more or fewer cells than there are columns.
 
     Files are split over tasks. ``multiline`` is for quoted cells with line breaks; it reads each
     file in one task, so it suits small files only.
     """
     _check_options(delimiter, quote, header_row)
     if header_row > 1:
-        return _read_below(spark, path, delimiter, quote, header_row, encoding, schema)
+        return _read_below(spark, path, delimiter, quote, header_row, encoding, schema, malformed)
     reader = (spark.read.option("header", True).option("sep", delimiter).option("quote", quote)
               .option("escape", quote).option("encoding", _charset(encoding)).option("multiLine", multiline)
               .option("enforceSchema", True))
-    if schema is not None:
-        reader = reader.schema(schema)
-    df = reader.csv(path if isinstance(path, str) else list(path))
+    path = path if isinstance(path, str) else list(path)
+    if schema is None:
+        schema = reader.csv(path).schema
+        # blank and repeated cells get names that end with their position, so no file has them
+        if not any(name.endswith(str(i)) for i, name in enumerate(schema.names)):
+            reader = reader.option("enforceSchema", False)
+    schema = _with_malformed(_struct(schema), malformed)
+    if malformed:
+        reader = reader.option("columnNameOfCorruptRecord", malformed)
+    df = reader.schema(schema).csv(path)
     return df.toDF(*[name.strip() or f"_c{i}" for i, name in enumerate(df.columns)])
 
 
-def _read_below(spark, path, delimiter, quote, header_row, encoding, schema) -> DataFrame:
+def _struct(schema: T.StructType | str) -> T.StructType:
+    return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+
+def _with_malformed(schema: T.StructType, malformed: str | None) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField(malformed, T.StringType())]) if malformed else schema
+
+
+def _read_below(spark, path, delimiter, quote, header_row, encoding, schema, malformed) -> DataFrame:
     """Rows below a header that is not line 1.
 
     The lines above are the first ones of the block that starts a file. A task meets the lines of a
@@ -175,9 +193,10 @@ def _read_below(spark, path, delimiter, quote, header_row, encoding, schema) ->
             raise ValueError(f"the file has no row {header_row}")
         names = header_names(head[0], delimiter, quote)
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    elif isinstance(schema, str):
-        schema = T.StructType.fromDDL(schema)
-    parsed = F.from_csv("value", _ddl(schema), {"sep": delimiter, "quote": quote, "escape": quote})
+    options = {"sep": delimiter, "quote": quote, "escape": quote}
+    if malformed:
+        options["columnNameOfCorruptRecord"] = malformed
+    parsed = F.from_csv("value", _ddl(_with_malformed(_struct(schema), malformed)), options)
     return (rows.filter((F.col("line") >= header_row) & (F.col("value") != ""))
             .select(parsed.alias("r")).select("r.*"))
 

@@ -124,6 +124,7 @@ class Target:
     unprocessed_table: str | None = None
     audit_table: str | None = None
     connection: str | None = None
+    order_by: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
         _one_of(self.policy, POLICIES, "conflict policy")
@@ -156,6 +157,9 @@ class Step:
         missing = [k for k in self.target.keys if k not in names]
         if missing:
             raise SpecError(f"step {self.order} does not map key columns {missing}")
+        missing = [c for c in self.target.order_by if c not in names]
+        if missing:
+            raise SpecError(f"step {self.order} orders by columns it does not map: {missing}")
         aliases = [self.root.alias, *(j.source.alias for j in self.joins)]
         if len(set(aliases)) != len(aliases):
             raise SpecError(f"step {self.order} uses a source alias twice")
@@ -229,7 +233,7 @@ def step_from(entry: Mapping[str, Any]) -> Step:
     f = _take(entry, where, "sequence_order target sources mappings",
               "chunking_strategy pre_filters derivations post_filters")
     t = _take(f["target"], f"{where} target", "schema table_name primary_keys on_conflict",
-              "connection_ref unprocessed_table audit_table")
+              "connection_ref unprocessed_table audit_table order_by")
     audit = t["audit_table"]
     if isinstance(audit, Mapping):
         audit = ".".join(filter(None, (audit.get("schema"), audit.get("table_name"))))
@@ -243,7 +247,7 @@ def step_from(entry: Mapping[str, Any]) -> Step:
     return Step(
         order=f["sequence_order"],
         target=Target(t["schema"], t["table_name"], tuple(t["primary_keys"]), t["on_conflict"],
-                      t["unprocessed_table"], audit, t["connection_ref"]),
+                      t["unprocessed_table"], audit, t["connection_ref"], tuple(t["order_by"] or ())),
         root=_source_from(f["sources"]["root_table"], f"{where} root"),
         joins=tuple(_join_from(j, f"{where} join") for j in f["sources"].get("joins", ())),
         columns=tuple(columns),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable
 
@@ -66,7 +67,8 @@ def stage_stream(
 
 def stream_metrics(spark: SparkSession, store: TableStore, name: str) -> DataFrame:
     """(blueprint_sequence, batch_number, rows_processed, duration_ms) of a staged stream."""
-    paths = [v.path for v in store.versions(*METRICS) if v.tag and v.tag.startswith(f"{name}-")]
+    own = re.compile(rf"{re.escape(name)}-[0-9a-f-]{{36}}-b\d+")
+    paths = [v.path for v in store.versions(*METRICS) if v.tag and own.fullmatch(v.tag)]
     if not paths:
         return ledgers.empty(spark, ledgers.METRICS_SCHEMA)
     return spark.read.schema(ledgers.METRICS_SCHEMA).parquet(*paths)
@@ -80,7 +82,7 @@ def run_stream(
 
     Where batches share a key, a later batch counts as later. The load is tagged with the last batch
     it holds: the next run loads the batches after that one, and a load that is repeated after a
-    failure is not applied twice.
+    failure is not applied twice. Staged batches are deleted once they are loaded.
     """
     query = stage_stream(stream, step, store, name, checkpoint, frames=frames)
     target, mark = step.target, f"{name}-{query}-upto"
@@ -92,4 +94,7 @@ def run_stream(
     if not new:
         return StepResult(step.order, skipped=True)
     rows = store.read("staging", name, [staged[n] for n in new])
-    return load_step(spark, step, rows, store, tag=f"{mark}{new[-1]}", order_by=["_batch"], **load_options)
+    result = load_step(spark, step, rows, store, tag=f"{mark}{new[-1]}", order_by=["_batch", *target.order_by],
+                       **load_options)
+    store.drop_versions(list(staged.values()))
+    return result
