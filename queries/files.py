@@ -49,6 +49,20 @@ def csv_options(spark, sf):
     return df.select(F.col("id").cast("bigint"), "name", F.col("nation").cast("int"))
 
 
+def csv_malformed(spark, sf):
+    """Records with a cell too many or too few beside good ones."""
+    folder = fresh_folder(spark, "csv")
+    line = F.expr("concat_ws(',', c_custkey, IF(c_custkey % 7 = 0, NULL, c_name), IF(c_custkey % 5 = 0, c_mktsegment, NULL))")
+
+    def with_head(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": ["id,name"]})
+        yield from batches
+
+    table(spark, sf, "customer").select(line.alias("value")).mapInPandas(with_head, "value string").write.text(folder)
+    df = read_csv(spark, folder, malformed="record")
+    return df.select(F.col("id").cast("bigint"), "name", "record")
+
+
 def csv_columns_query(spark, sf):
     found = csv_columns(spark, _documents_csv(spark, sf))
     return found.select("position", "column_name", "data_type").distinct()
@@ -94,7 +108,7 @@ def source_ranges(spark, sf):
 
 
 QUERIES = {
-    "csv_scan": csv_scan, "csv_options": csv_options, "csv_columns": csv_columns_query, "csv_files": csv_files,
+    "csv_scan": csv_scan, "csv_options": csv_options, "csv_malformed": csv_malformed, "csv_columns": csv_columns_query, "csv_files": csv_files,
     "csv_types": csv_types_query, "stage_source": stage_source, "source_ranges": source_ranges,
 }
 
@@ -104,6 +118,12 @@ ORACLE = {
                nullif(source, 'web') AS source
         FROM documents""",
     "csv_options": "SELECT c_custkey AS id, c_name || '; ' || c_mktsegment AS name, c_nationkey AS nation FROM customer",
+    "csv_malformed": """
+        SELECT c_custkey AS id, CASE WHEN c_custkey % 7 <> 0 THEN c_name WHEN c_custkey % 5 = 0 THEN c_mktsegment END AS name,
+               CASE WHEN (c_custkey % 7 = 0) <> (c_custkey % 5 = 0) THEN
+                 concat_ws(',', c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_name END,
+                           CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment END) END AS record
+        FROM customer""",
     "csv_columns": """
         SELECT * FROM (VALUES (0, 'doc_id', 'string'), (1, 'text', 'string'), (2, 'lang', 'string'), (3, 'source', 'string'))
           t(position, column_name, data_type)""",

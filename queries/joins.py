@@ -58,6 +58,33 @@ def join_range_striped(spark, sf):
     return found.select(F.col("o.o_orderkey").alias("order_key"), F.col("n.n_name").alias("band"))
 
 
+def join_range_striped_full(spark, sf):
+    """Bands above the greatest price, which hold no order, and orders between two bands."""
+    orders, bands = table(spark, sf, "orders").alias("o"), table(spark, sf, "nation").alias("n")
+    found = range_join(orders, bands, "o.o_totalprice", "n.n_nationkey * 40000.0", "n.n_nationkey * 40000.0 + 30000.0",
+                       20000.0, "FULL")
+    return found.select(F.col("o_orderkey").alias("order_key"), F.col("n_name").alias("band"))
+
+
+def join_range_dates(spark, sf):
+    """Moments in ranges of days."""
+    orders, spans = table(spark, sf, "orders").alias("o"), table(spark, sf, "nation").alias("n")
+    found = range_join(orders, spans, "o.o_orderdate", "date_add(DATE'1995-01-01', n.n_nationkey * 90)",
+                       "date_add(DATE'1995-01-01', n.n_nationkey * 90 + 60)", 90 * 86400, "RIGHT")
+    return found.select(F.col("o_orderkey").alias("order_key"), F.col("n_name").alias("span"))
+
+
+def join_salted_full_range(spark, sf):
+    """Hot keys in a FULL join that also compares prices."""
+    orders = table(spark, sf, "orders").alias("o")
+    tops = (orders.groupBy("o_orderpriority", "o_orderstatus")
+            .agg((F.max("o_totalprice") + F.when(F.col("o_orderstatus") == "P", 1.0).otherwise(0.0)).alias("top")).alias("r"))
+    out = salted_join(orders, tops, "r", [Condition("o.o_orderpriority", "=", "r.o_orderpriority"),
+                                          Condition("o.o_totalprice", ">=", "r.top")], "FULL", hot_rows=100)
+    return out.toDF(*[f"{'r_' if i >= len(orders.columns) else ''}{c}" for i, c in enumerate(out.columns)]).select(
+        F.col("o_orderkey").alias("order_key"), F.col("r_o_orderpriority").alias("priority"), F.col("r_o_orderstatus").alias("status"))
+
+
 def join_salted(spark, sf):
     # hot_rows low enough that the fixture has hot keys: priorities hold a fifth of all orders each
     orders = table(spark, sf, "orders").alias("o")
@@ -112,7 +139,8 @@ def conflict_capture(spark, sf):
 QUERIES = {
     **{f"join_{how.lower()}": _pair(how) for how in ("INNER", "LEFT", "RIGHT", "FULL")},
     "join_chain": join_chain, "join_case_key": join_case_key, "join_range": join_range,
-    "join_range_striped": join_range_striped, "join_salted": join_salted,
+    "join_range_striped": join_range_striped, "join_range_striped_full": join_range_striped_full,
+    "join_range_dates": join_range_dates, "join_salted": join_salted, "join_salted_full_range": join_salted_full_range,
     "join_cross_source": join_cross_source, "pk_match": pk_match, "conflict_capture": conflict_capture,
 }
 
@@ -143,6 +171,23 @@ ORACLE = {
     "join_range_striped": """
         SELECT o_orderkey AS order_key, n_name AS band FROM orders
         LEFT JOIN nation ON o_totalprice >= n_nationkey * 20000.0 AND o_totalprice < n_nationkey * 20000.0 + 15000.0""",
+    "join_range_striped_full": """
+        WITH bands AS (SELECT n_name, n_nationkey * 40000.0 AS lo, n_nationkey * 40000.0 + 30000.0 AS hi FROM nation)
+        SELECT o_orderkey AS order_key, n_name AS band FROM orders LEFT JOIN bands ON o_totalprice >= lo AND o_totalprice < hi
+        UNION ALL SELECT NULL, n_name FROM bands
+        WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_totalprice >= lo AND o_totalprice < hi)""",
+    "join_range_dates": """
+        SELECT o_orderkey AS order_key, n_name AS span FROM nation LEFT JOIN orders
+          ON o_orderdate >= DATE '1995-01-01' + (n_nationkey * 90)::INT
+         AND o_orderdate < DATE '1995-01-01' + (n_nationkey * 90 + 60)::INT""",
+    "join_salted_full_range": """
+        WITH tops AS (SELECT o_orderpriority AS p, o_orderstatus AS s,
+                             max(o_totalprice) + CASE WHEN o_orderstatus = 'P' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS top
+                      FROM orders GROUP BY 1, 2)
+        SELECT o_orderkey AS order_key, p AS priority, s AS status
+        FROM orders LEFT JOIN tops ON p = o_orderpriority AND o_totalprice >= top
+        UNION ALL SELECT NULL, p, s FROM tops
+        WHERE NOT EXISTS (SELECT 1 FROM orders WHERE p = o_orderpriority AND o_totalprice >= top)""",
     "join_salted": """
         SELECT o_orderkey AS order_key, top_key FROM orders o
         LEFT JOIN (SELECT o_orderpriority AS p, max(o_orderkey) AS top_key FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)

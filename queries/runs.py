@@ -245,6 +245,22 @@ def table_exists_skip(spark, sf):
         F.lit(second["skipped_existing"]).alias("skipped_existing"))
 
 
+def load_type_fit(spark, sf):
+    """A target column narrower than its mapping, before and after its keys are met: what does not fit is
+    NULL and listed, and the column keeps its type."""
+    store, orders = _store(spark), table(spark, sf, "orders")
+    store.create("migrated", "result", spark.createDataFrame([], "order_key bigint, cents int").schema)
+    s = step("o", maps(
+        ("order_key", "DIRECT", "o.o_orderkey", "BIGINT"),
+        ("cents", "EXPRESSION", "CAST(CAST(o.o_totalprice AS DECIMAL(12,2)) * 10000 AS SIGNED)", "BIGINT")),
+        keys=["order_key"], policy="UPSERT")
+    listed = 0
+    for name in ("first", "second"):
+        staged, _ = stage_step(spark, s, {"o": orders}, store, name)
+        listed += load_step(spark, s, staged, store).errors
+    return store.read("migrated", "result").withColumn("listed", F.lit(listed).cast("bigint"))
+
+
 # Streams ---------------------------------------------------------------------------------------
 
 EVENTS = replace(step("e", maps(
@@ -280,6 +296,23 @@ def stream_ignore(spark, sf):
     return store.read("migrated", "kinds")
 
 
+def _stream_in_thirds(policy):
+    """A stream whose files come in three thirds of the event ids, loaded after each; users have one row."""
+    def query(spark, sf):
+        store, folder = _store(spark), fresh_folder(spark, "events")
+        events = table(spark, sf, "events")
+        last = events.agg(F.max("event_id")).first()[0]
+        s = replace(EVENTS, columns=(EVENTS.columns[0], EVENTS.columns[2], EVENTS.columns[3]),
+                    target=replace(EVENTS.target, keys=("user_id",), policy=policy))
+        logged = 0
+        for third in range(3):
+            events.filter(F.expr(f"event_id * 3 div ({last} + 1) = {third}")).write.mode("append").parquet(folder)
+            stream = file_stream(spark, folder, events.schema)
+            logged += run_stream(spark, stream, s, store, "events", f"{folder}-checkpoint").rejects
+        return store.read("migrated", "last_events").withColumn("logged", F.lit(logged).cast("bigint"))
+    return query
+
+
 def batch_metrics(spark, sf):
     store, (stream, folder) = _store(spark), _event_files(spark, sf)
     stage_stream(stream, EVENTS, store, "events", f"{folder}-checkpoint")
@@ -296,7 +329,8 @@ QUERIES = {
     "chunked_resume_grown": chunked_resume_grown, "chunked_upsert_order": _in_chunk_order("UPSERT"),
     "chunked_ignore_log_order": _in_chunk_order("IGNORE_AND_LOG"), "chunk_metrics": chunk_metrics,
     "structure_copy": structure_copy, "table_exists_skip": table_exists_skip, "stream_load": stream_load,
-    "stream_ignore": stream_ignore, "batch_metrics": batch_metrics,
+    "load_type_fit": load_type_fit, "stream_upsert_keys": _stream_in_thirds("UPSERT"),
+    "stream_ignore_log": _stream_in_thirds("IGNORE_AND_LOG"), "stream_ignore": stream_ignore, "batch_metrics": batch_metrics,
 }
 
 _SHIPPED = """
@@ -315,6 +349,11 @@ _SHIPPED = """
 _SHIPPED_ROWS = _SHIPPED + " SELECT order_key, line_no, part_name, net, shipped, origin FROM ranked WHERE n = 1"
 _ORDER_ROWS = "SELECT o_orderkey AS order_key, o_orderstatus AS status, o_totalprice::DECIMAL(12,2) AS price"
 
+_THIRDS = """
+    WITH thirds AS (SELECT *, event_id * 3 // ((SELECT max(event_id) FROM events) + 1) AS third FROM events),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id {way}) AS n FROM thirds)
+    SELECT user_id, event_id, value::DECIMAL(10,2) AS value, {logged}::BIGINT AS logged FROM ranked WHERE n = 1"""
+
 _CHUNK_ORDER = """
     WITH chunked AS (
       SELECT l_orderkey AS order_key, l_linenumber AS line, l_partkey AS part, l_extendedprice::DECIMAL(12,2) AS price,
@@ -356,6 +395,14 @@ ORACLE = {
     "structure_copy": "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, 0::BIGINT AS rows_after_copy FROM orders",
     "table_exists_skip": "SELECT c_custkey, c_name, TRUE AS created, TRUE AS skipped_existing FROM customer",
     "stream_load": "SELECT event_id, user_id, event_type, value::DECIMAL(10,2) AS value FROM events",
+    "load_type_fit": """
+        WITH o AS (SELECT o_orderkey AS order_key, (o_totalprice::DECIMAL(12,2) * 10000)::BIGINT AS cents FROM orders)
+        SELECT order_key, CASE WHEN cents <= 2147483647 THEN cents END::INT AS cents,
+               (2 * (SELECT count(*) FROM o WHERE cents > 2147483647))::BIGINT AS listed FROM o""",
+    "stream_upsert_keys": _THIRDS.format(way="DESC", logged="0"),
+    "stream_ignore_log": _THIRDS.format(
+        way="ASC", logged="(SELECT count(*) FROM thirds t WHERE third > (SELECT min(third) FROM thirds f "
+        "WHERE f.user_id = t.user_id))"),
     "stream_ignore": "SELECT DISTINCT user_id, event_type FROM events",
     "batch_metrics": """
         SELECT 3::BIGINT AS batches, count(*)::BIGINT AS rows_processed, 3::BIGINT AS timed, 2::BIGINT AS last_batch

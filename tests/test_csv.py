@@ -128,3 +128,14 @@ def test_long_headers_marks_and_quoted_breaks(spark, tmp_path):
     rows = csv_columns(spark, str(tmp_path)).orderBy("file", "position").collect()
     assert [r.column_name for r in rows if r.file == "wide.csv"] == wide
     assert [r.column_name for r in rows if r.file == "broken.csv"] == ["a\nb", "c"]
+
+
+def test_headers_that_differ_and_records_of_another_width(spark, folder):
+    write(folder, "m/a.csv", "id,name\n1,x,more\n2\n3,y\n")
+    got = bag(read_csv(spark, f"{folder}/m", malformed="record"))
+    assert got == [("1", "x", "1,x,more"), ("2", None, "2"), ("3", "y", None)]
+    below = write(folder, "n/a.csv", "remark\nid,name\n1,x,more\n3,y\n")
+    assert bag(read_csv(spark, below, header_row=2, malformed="record")) == [("1", "x", "1,x,more"), ("3", "y", None)]
+    write(folder, "o/a.csv", "id,name\n1,x\n"), write(folder, "o/b.csv", "name,id\ny,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_csv(spark, f"{folder}/o").collect()

@@ -24,6 +24,10 @@ from rowferry.functions.expressions import date_pattern, expression, spark_text
     ("LPAD('abc', 2, '*')", "ab"), ("REGEXP_REPLACE('a1b22', '[0-9]', '')", "ab"), ("SUBSTRING('abcdef', -3, 2)", "de"),
     ("TRIM('  a\t ')", "a\t"), ("ROUND(CAST('2.5' AS DECIMAL(3,1)), 0)", Decimal("3")), ("REPLACE('aXa', 'X', '%')", "a%a"),
     ("LEFT('abc', 2)", "ab"), ("RIGHT('abc', 2)", "bc"), ("NULLIF(1, 1)", None), ("'it''s'", "it's"),
+    ("CAST('abcdef' AS CHAR(3))", "abc"), ("STR_TO_DATE('1/2/70', '%d/%m/%y')", dt.date(1970, 2, 1)),
+    ("STR_TO_DATE('1/2/69', '%d/%m/%y')", dt.date(2069, 2, 1)), ("SUBSTRING('abc', 0)", ""), ("SUBSTR('abc', 0, 2)", ""),
+    ("SUBSTRING('abc', -5, 3)", ""), ("SUBSTRING('abc', 1 + 1)", "bc"), ("SUBSTRING(CONCAT('a', ',b'), 2)", ",b"),
+    ("SUBSTRING('abc', NULL)", None), ("SUBSTRING(NULL, 0)", None),
     ("'50%' LIKE '%0!%' ESCAPE '!'", True), ("'a/b'", "a/b"),
 ])
 def test_meaning(spark, text, wanted):

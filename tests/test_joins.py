@@ -136,3 +136,29 @@ def test_salted_join_later_in_a_chain(spark):
     got = join_sources(a, [j("b", "LEFT", ("b.id", "=", "a.id")), j("c", "FULL", ("b.k", "=", "c.id"), salted=True)],
                        {"b": b, "c": c})
     assert bag(got.select("a.id", "b.k", "c.v")) == [(1, 7, "w"), (2, 7, "w")]
+
+
+@pytest.mark.parametrize("how", ["RIGHT", "FULL"])
+def test_outer_ranges(spark, how):
+    left = [(i, i * 1.5) for i in range(20)] + [(20, None), (21, 3.0)]
+    right = [(1, 2.0, 9.0), (2, 8.0, 8.0), (3, 100.0, 120.0), (4, None, 5.0), (1, 2.0, 9.0), (5, 0.0, 1000.0)]
+    got = range_join(made(spark, left, "i int, v double", "l"), made(spark, right, "r int, lo double, hi double", "r"),
+                     "l.v", "r.lo", "r.hi", 4.0, how)
+    inside = lambda a, b: None not in (a[1], b[1], b[2]) and b[1] <= a[1] < b[2]
+    wanted = [(*a, *b) for a in left for b in right if inside(a, b)]
+    wanted += [(None, None, *b) for b in right if not any(inside(a, b) for a in left)]
+    if how == "FULL":
+        wanted += [(*a, None, None, None) for a in left if not any(inside(a, b) for b in right)]
+    assert bag(got) == sorted(wanted, key=repr)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("how", ["RIGHT", "FULL"])
+def test_salted_outer_join_with_a_range(spark, how):
+    left = [(1, i) for i in range(40)] + [(2, 5), (None, 1), (7, 7)]
+    right = [(1, 35), (1, 50), (1, 50), (2, 1), (2, 9), (3, 0), (None, 0)]
+    got = salted_join(made(spark, left, "k int, v int", "l"), made(spark, right, "k int, low int", "r"), "r",
+                      [Condition("l.k", "=", "r.k"), Condition("l.v", ">=", "r.low")], how, hot_rows=10, salts=4)
+    on = lambda a, b: a[0] is not None and a[0] == b[0] and a[1] >= b[1]
+    assert bag(got) == sorted(brute(left, right, on, how), key=repr)

@@ -271,3 +271,36 @@ def test_lower_bound_of_a_migration(spark, store):
     s = step("IGNORE", chunking=Chunking("s.id", 10))
     run_migration(spark, migration(s), store, sources=sources(spark, df), lower=0)
     assert sorted(amounts(store)) == [1, 2]
+
+
+def test_values_take_the_type_of_the_target(spark, store):
+    store.create("core", "t", spark.createDataFrame([], "id bigint, amount int").schema)
+    for amount in ("5000000000", "7"):
+        s = step(columns=(COLUMNS[0], ColumnMap("amount", "DIRECT", "s.amount", "BIGINT")))
+        result = run(spark, store, s, rows(spark, ("1", amount), ("2", "6")))
+        assert result.errors == (amount != "7") and result.rows_loaded == 2
+    assert (result.rows_inserted, result.rows_updated) == (0, 2)
+    assert dict(store.read("core", "t").dtypes)["amount"] == "int"
+    assert amounts(store) == {1: "7", 2: "6"}
+    entry = store.read("migration_admin", "row_errors").first()
+    assert (entry.error_code, entry.raw_value, entry.row_identity) == ("CAST_FAILED", "5000000000", {"id": "1"})
+
+
+def test_reports_hold_their_own_run_and_fail_stops_on_errors(spark, store):
+    m = migration(step("IGNORE"))
+    for run_id in ("r-2", "r"):
+        done = run_migration(spark, m, store, run_id=run_id, sources=sources(spark, rows(spark, ("1", "x"), (run_id, "1"))))
+        report = done.report.first()
+        assert (report.rows_processed, report.batches_processed) == (2, 1)
+    with pytest.raises(RowErrors):
+        run(spark, store, step("FAIL", table="f"), rows(spark, ("1", "x")))
+
+
+def test_order_and_checks_of_a_migration(spark, store):
+    columns = (COLUMNS[0], ColumnMap("a", "EXPRESSION", "NULLIF(s.amount, '9')", "VARCHAR(2)", False),
+               ColumnMap("z", "EXPRESSION", "0 - s.amount", "BIGINT"))
+    s = step(columns=columns, target=Target("core", "t", ("id",), "UPSERT", order_by=("z",)))
+    done = run_migration(spark, migration(s), store, check_null=True, check_length=True, sources=sources(
+        spark, rows(spark, ("1", "3"), ("1", "2"), ("2", "9"), ("3", "444"))))
+    assert bag(store.read("core", "t"), "id", "z") == [(1, -2), (2, -9), (3, -444)]
+    assert [tuple(e) for e in done.report.first().error_counts] == [(1, "NULL_VALUE", 1), (1, "TOO_LONG", 1)]

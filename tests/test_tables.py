@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowferry.sinks.audit import audit_layout, audit_rows, unprocessed_layout
-from rowferry.sinks.tables import TableExists, TableMissing, TableStore
+from rowferry.sinks.tables import StaleTable, TableExists, TableMissing, TableStore
 from rowferry.sources.staging import stage
 from rowferry.spec import Target
 from rowferry.workspace import fresh_folder
@@ -108,3 +108,20 @@ def test_audit_rows(spark):
     assert (row.migration_id, row.blueprint_sequence, row.target_schema, row.target_table) == ("m", 3, "core", "users")
     assert row.source_snapshot == '{"id":7}' and row.raw_row == '{"id":7,"email":null}'
     assert row.reject_reason == "DUPLICATE_KEY"
+
+
+def test_a_load_from_an_older_state_is_withdrawn(spark, store):
+    store.publish("s", "t", spark.range(3))
+    base = store.newest("s", "t")
+    store.publish("s", "t", spark.range(3, 5), mode="add")
+    with pytest.raises(StaleTable):
+        store.publish("s", "t", spark.range(1), base=base)
+    assert ids(store.read("s", "t")) == [0, 1, 2, 3, 4]
+    assert store.publish("s", "t", spark.range(1), base=store.newest("s", "t")) == 1
+
+
+def test_private_and_replaced_copies(spark, store):
+    one, two = stage(spark, spark.range(2), "x"), stage(spark, spark.range(3), "x")
+    assert (one.count(), two.count()) == (2, 3)
+    stage(spark, spark.range(2), "x", store), stage(spark, spark.range(3), "x", store)
+    assert [v.number for v in store.versions("staging", "x")] == [2]
