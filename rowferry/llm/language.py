@@ -27,7 +27,7 @@ WORD = re.compile(r"[^\W\d_]+")
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 #: Probability of a character that is no piece, and the count every piece has before any is seen.
 STRAY, PRIOR_COUNT = 1e-7, 0.05
-#: Words scored at a time, and scores of words that a task remembers.
+#: Words of up to 64 characters scored at a time (of longer ones fewer), and scores of words that a task remembers.
 AT_ONCE, REMEMBERED = 8192, 200_000
 
 
@@ -136,9 +136,10 @@ class Model:
         for i, w in enumerate(words):
             if any(map(str.isalpha, w)):
                 by_length.setdefault(len(w), []).append(i)
-        for some in by_length.values():
-            for at in range(0, len(some), AT_ONCE):
-                part = some[at:at + AT_ONCE]
+        for length, some in by_length.items():
+            step = max(1, AT_ONCE * 64 // max(length, 64))
+            for at in range(0, len(some), step):
+                part = some[at:at + step]
                 out[part] = forward(self.pieces.ids(_codes([words[i] for i in part])), self.chance)[1]
         return out
 

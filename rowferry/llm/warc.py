@@ -38,7 +38,7 @@ def digest(data: bytes) -> str:
 
 def arc_record(version: int, url: str, ip: str, date: str, mime: str, block: bytes, status: str = "200") -> bytes:
     """Header line and block. A version 2 line has the result code, a checksum and four places more."""
-    url = re.sub(r"[\s\x00-\x1f]", lambda m: "%%%02X" % ord(m.group()), url) or "-"
+    url = re.sub(r"[\s\x00-\x1f]", lambda m: "".join(f"%{b:02X}" for b in m.group().encode()), url) or "-"
     middle = [] if version == 1 else [status, hashlib.md5(block).hexdigest(), "-", "0", "-"]
     return " ".join([url, ip, date, mime, *middle, str(len(block))]).encode("utf-8", "surrogatepass") + b"\n" + block
 

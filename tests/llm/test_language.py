@@ -76,6 +76,17 @@ def test_long_words_keep_their_scale():
     assert np.isfinite(found).all() and found[0] > found[1] > -len(word) * 10
 
 
+def test_long_words_scored_in_parts_are_scored_alike(monkeypatch):
+    pieces = language.Pieces(language.VOCABULARY)
+    chance = np.random.default_rng(2).random((pieces.count + 2, 2)) / 50
+    chance[-1] = 0
+    model = language.Model(["a", "b"], pieces, chance)
+    words = ["haus" * 40 + c for c in "abcdefg"] + ["house", "maison", "1"]
+    whole = model.log_chances(words)
+    monkeypatch.setattr(language, "AT_ONCE", 4)
+    assert np.allclose(model.log_chances(words), whole) and not whole[-1].any()
+
+
 def test_expected_counts_are_those_of_all_segmentations():
     pieces = language.Pieces(language.VOCABULARY)
     chance = np.full(pieces.count + 2, 0.01)

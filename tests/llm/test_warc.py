@@ -74,6 +74,12 @@ def test_legacy_files_of_both_versions(spark, tmp_path):
     assert any(f.get("WARC-Truncated") for f in records) and any(f.get("WARC-IP-Address") == "10.0.0.1" for f in records)
 
 
+def test_blanks_in_addresses_are_escaped_by_their_bytes():
+    record = warc.arc_record(1, "http://a/ b\u2028c\td", "1.1.1.1", "20240101000000", "text/html", b"x")
+    header, block = next(warc.parse_arc(record))[2:]
+    assert header["URL"] == "http://a/%20b%E2%80%A8c%09d" and block == b"x"
+
+
 def test_bad_archives_are_errors():
     with pytest.raises(ValueError):
         list(warc.parse_arc(b"filedesc://x 0.0.0.0 1 text/plain 5\n1 0 x\nhttp://a no length\n"))
