@@ -20,8 +20,10 @@ LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 KEYWORDS = (b"passw", b"secret", b"token", b"api")
 #: Encodings that a token may have, the smallest alphabet first.
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-ENCODINGS = (DIGITS, DIGITS + "abcdef", DIGITS + "ABCDEF", UPPER + "234567", DIGITS + LOWER, DIGITS + UPPER,
-             UPPER + LOWER + DIGITS + "+/", UPPER + LOWER + DIGITS + "-_", UPPER + LOWER + DIGITS + "+/-_")
+ENCODINGS = (DIGITS, DIGITS + "abcdef", DIGITS + "ABCDEF", LOWER, UPPER, UPPER + "234567", DIGITS + LOWER, DIGITS + UPPER,
+             UPPER + LOWER, UPPER + LOWER + DIGITS + "+/", UPPER + LOWER + DIGITS + "-_", UPPER + LOWER + DIGITS + "+/-_")
+#: How often words have each letter from a to z, in hundredths, about the mean of English and German.
+FREQUENCIES = (7, 2, 3, 4.5, 15, 2, 2.2, 4.5, 7.5, .3, 1, 4, 2.6, 8.5, 5, 1.7, .2, 6.5, 6.8, 7.5, 3.8, .9, 1.5, .2, 1, .8)
 TOKEN = re.compile(rb"[A-Za-z0-9+/_-]{20,}={0,2}")
 LEAST_TOKEN = 20
 #: Upper ends of the length classes within which false discoveries are controlled.
@@ -41,6 +43,9 @@ _IN_TOKEN = bytes(120 if chr(b) in UPPER + LOWER + DIGITS + "+/_-" else 32 for b
 _CLASSES = np.zeros(256, np.int64)  # digits, lower case, upper case, others
 for _i, _chars in enumerate((DIGITS, LOWER, UPPER)):
     _CLASSES[np.frombuffer(_chars.encode(), np.uint8)] = _i + 1
+_WEIGHTS = np.zeros(256)  # of letters, with mean 0 and variance 1 over the alphabet
+for _chars in (LOWER, UPPER):
+    _WEIGHTS[np.frombuffer(_chars.encode(), np.uint8)] = (np.log(FREQUENCIES) - np.log(FREQUENCIES).mean()) / np.log(FREQUENCIES).std()
 
 
 def _two_sided(z: float) -> float:
@@ -89,16 +94,27 @@ def serial_correlation(values: np.ndarray, size: int) -> float:
     return _two_sided(float((centred[1:] * centred[:-1]).sum()) / spread / math.sqrt(len(values) - 1))
 
 
+def frequent_letters(raw: np.ndarray) -> float:
+    """p of letters as frequent in words as these, or more, among random letters: by the mean logarithm
+    of their frequencies, whose upper tail is lighter than the normal one's."""
+    return 0.5 * math.erfc(float(_WEIGHTS[raw].sum()) / math.sqrt(2 * len(raw)))
+
+
 def randomness(token: bytes) -> float:
     """p of the token being random in the smallest alphabet that has all its characters: the least of
-    the tests, times their number."""
+    the tests, times their number. Words have letters only too, so such tokens have a test of letters;
+    it takes the place of that of character classes where the alphabet has one class."""
     raw = np.frombuffer(token.rstrip(b"="), np.uint8)
     for table, alphabet in zip(_VALUES, ENCODINGS):
         values = table[raw]
         if (values >= 0).all():
             size = len(alphabet)
-            return min(1.0, 4 * min(chi_squared(values, size), classes(raw, alphabet), runs(values, size),
-                                    serial_correlation(values, size)))
+            tests = [chi_squared(values, size), runs(values, size), serial_correlation(values, size)]
+            if alphabet not in (LOWER, UPPER):
+                tests.append(classes(raw, alphabet))
+            if alphabet.isalpha():
+                tests.append(frequent_letters(raw))
+            return min(1.0, len(tests) * min(tests))
     return 0.0
 
 

@@ -78,3 +78,16 @@ def test_limits_follow_benjamini_and_hochberg():
         passed = [x for i, x in enumerate(p, 1) if x <= 0.05 * i / len(p)]
         rejected = {c for k, c in cells if k == kind and (c >= 40 or passed and 10 ** (-c / 20) <= max(passed))}
         assert rejected == {c for k, c in cells if k == kind and c >= first}
+
+
+def test_tokens_of_letters_only_are_found_among_long_words(spark):
+    rng = random.Random(13)
+    lower, upper = secret_scan.LOWER, secret_scan.UPPER
+    rows = [(i, "ab " + "".join(rng.choices((lower, upper, lower + upper)[i % 3], k=(20, 32, 40, 64)[i // 3 % 4])) + " cd")
+            for i in range(240)]
+    words = ["thtionerandhestouringly", "internationalization", "ungkeitverenpflicheinheit", "antidisestablishmentarianism",
+             "getApplicationContextFromRequest", "createDefaultConnectionHandler", "incomprehensibilities"]
+    rows += [(1000 + i, f"x {words[i % len(words)]} y") for i in range(280)]
+    got = {r.doc_id: r.spans for r in secret_scan.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] == f"random:3:{len(t) - 3}" for i, t in rows[:240]) >= 216
+    assert not any("random" in got[i] for i, _ in rows[240:])
