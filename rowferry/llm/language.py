@@ -95,28 +95,38 @@ def forward(ids: list[np.ndarray], chance: np.ndarray) -> tuple[np.ndarray, np.n
     return alpha, np.log(np.maximum(alpha[:, n], 1e-300)) + scale
 
 
+def _rescaled(values: np.ndarray, logs: np.ndarray, part: slice) -> None:
+    """Divide the positions ``part`` by their greatest value and add its logarithm to theirs."""
+    top = np.maximum(values[:, part].max(axis=1), 1e-300)[:, None]
+    values[:, part] /= top
+    logs[:, part] += np.log(top)
+
+
 def expected(ids: list[np.ndarray], chance: np.ndarray, times: np.ndarray) -> np.ndarray:
     """Expected counts of pieces over all segmentations of words seen ``times`` times (one language).
-    Words are at most 48 characters here."""
+    Sums from both ends are rescaled every 16 positions, with a logarithm for each, so words have any length."""
     words, n = ids[0].shape
-    p = chance[:, None]
-    alpha, _ = forward(ids, p)
-    beta = np.zeros((words, n + 1))
-    beta[:, n] = 1
+    alpha, beta = np.zeros((words, n + 1)), np.zeros((words, n + 1))
+    ahead, behind = np.zeros((words, n + 1)), np.zeros((words, n + 1))
+    alpha[:, 0] = beta[:, n] = 1
+    for end in range(1, n + 1):
+        ahead[:, end] = ahead[:, end - 1]
+        for length in range(1, min(end, len(ids)) + 1):
+            alpha[:, end] += alpha[:, end - length] * chance[ids[length - 1][:, end - length]]
+        if end % 16 == 0:
+            _rescaled(alpha, ahead, slice(max(0, end + 1 - len(ids)), end + 1))
     for start in range(n - 1, -1, -1):
+        behind[:, start] = behind[:, start + 1]
         for length in range(1, min(n - start, len(ids)) + 1):
             beta[:, start] += chance[ids[length - 1][:, start]] * beta[:, start + length]
-    weight = times / np.maximum(beta[:, 0], 1e-300)
-    if n > 32:  # alpha was rescaled there: run it backwards as plain sums instead
-        alpha = np.zeros((words, n + 1, 1))
-        alpha[:, 0] = 1
-        for end in range(1, n + 1):
-            for length in range(1, min(end, len(ids)) + 1):
-                alpha[:, end, 0] += alpha[:, end - length, 0] * chance[ids[length - 1][:, end - length]]
+        if start % 16 == 0:
+            _rescaled(beta, behind, slice(start, min(n, start + len(ids) - 1) + 1))
+    whole = np.log(np.maximum(beta[:, 0], 1e-300)) + behind[:, 0]
     counts = np.zeros(len(chance))
     for length, found in enumerate(ids, 1):
         width = n - length + 1
-        share = alpha[:, :width, 0] * chance[found] * beta[:, length:length + width] * weight[:, None]
+        scale = np.exp(ahead[:, :width] + behind[:, length:length + width] - whole[:, None])
+        share = alpha[:, :width] * chance[found] * beta[:, length:length + width] * scale * times[:, None]
         counts += np.bincount(found.ravel(), share.ravel(), len(chance))
     return counts
 
@@ -192,7 +202,7 @@ def train(labelled: DataFrame, *, id: str = "doc_id", text: str = "text", lang:
         for batch in batches:
             counts: Counter = Counter()
             for language, content in zip(batch["lang"], batch["text"]):
-                counts.update((language, w) for w in text_words(content) if len(w) <= 47)
+                counts.update((language, w) for w in text_words(content))
             yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["lang", "word", "n"])
 
     words = written(sample.mapInPandas(count, "lang string, word string, n long")
@@ -211,8 +221,9 @@ def train(labelled: DataFrame, *, id: str = "doc_id", text: str = "text", lang:
             for batch in batches:
                 for (language, _), rows in batch.groupby(["lang", batch["word"].str.len()]):
                     at = now.languages.index(language)
-                    for k in range(0, len(rows), AT_ONCE):
-                        part = rows.iloc[k:k + AT_ONCE]
+                    step = max(1, AT_ONCE * 64 // max(len(rows["word"].iloc[0]), 64))
+                    for k in range(0, len(rows), step):
+                        part = rows.iloc[k:k + step]
                         sums[:, at] += expected(now.pieces.ids(_codes(list(part["word"]))), now.chance[:, at],
                                                 part["n"].to_numpy(float))
             piece, at = np.nonzero(sums)

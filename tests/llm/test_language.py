@@ -101,3 +101,24 @@ def test_expected_counts_are_those_of_all_segmentations():
         more[piece] += small
         slope = (language.forward(ids, more[:, None])[1] - language.forward(ids, chance[:, None])[1])[0, 0] / small
         assert np.isclose(counts[piece], 2 * chance[piece] * slope, rtol=1e-2)
+
+
+def test_expected_counts_of_long_words_cover_every_character():
+    pieces = language.Pieces(language.VOCABULARY)
+    chance = np.random.default_rng(3).random(pieces.count + 2) / 50
+    chance[-2:] = language.STRAY, 0
+    for word in ["tion" * 8, "haus" * 30, "abcdefghij" * 300, "ⴰⴱⴲ" * 200]:
+        ids = pieces.ids(language._codes([word, word]))
+        share = np.zeros(len(chance))
+        for length, found in enumerate(ids, 1):
+            own = found[0][found[0] <= pieces.count]
+            share[own] = length
+        counts = language.expected(ids, chance, np.array([2.0, 1.0]))
+        assert np.isfinite(counts).all() and np.isclose(counts @ share, 3 * (len(word) + 1))
+
+
+def test_long_words_are_learned(spark):
+    rows = [(i, ("haus" if i % 2 else "ville") * 30, ["fr", "de"][i % 2]) for i in range(20)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["de", "fr"]
+    assert model.predict(["haus" * 15, "ville" * 15], {})[0] == ["de", "fr"]
