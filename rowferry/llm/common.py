@@ -40,11 +40,11 @@ def indexes(count: Column) -> Column:
         F.array().cast("array<int>"))
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
+def written(df: DataFrame, purpose: str, **options: str) -> DataFrame:
     """``df`` as a table in the shared folder, read again: its lineage ends there."""
     spark = df.sparkSession
     path = fresh_folder(spark, purpose)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
