@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections import Counter
 
 import corpus_pipeline
+import xxhash
 from rowferry.llm import language, mixing, queries
 from test_decontaminate import brute as brute_contamination
+from test_near_copies import brute_classes
 from test_sharding import brute_shard, sharding
-from test_simhash import brute_components, brute_fingerprint
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -18,10 +19,20 @@ def rows_of(df):
 
 
 def check_near_copies(before, after):
+    """Of each group, linked by comparing all pairs of five-word sets, the row of the least id is left."""
     groups = {}
-    for (d, f, c), row in zip(brute_components([(r[0], brute_fingerprint(r[1])) for r in before]), before):
+    for row, c in zip(before, brute_classes([r[1] for r in before])):
         groups.setdefault(c, []).append(row)
-    assert sorted(r[0] for r in after) == sorted(groups) and all(r in groups[r[0]] for r in after)
+    assert sorted(after) == sorted(min(rows) for rows in groups.values()) and len(after) < len(before)
+
+
+def brute_copies(row):
+    """A mixed document's part that is no whole copy is rounded up by a keyed hash of id and text."""
+    drawn = 42
+    for part in (b"copies", row.doc_id.to_bytes(8, "little", signed=True), row.key.to_bytes(8, "little", signed=True)):
+        drawn = xxhash.xxh64_intdigest(part, seed=drawn)
+    drawn -= (drawn >> 63) << 64
+    return row.taken // row["size"] + (drawn % row["size"] < row.taken % row["size"])
 
 
 def test_stages_against_brute_force(spark, sf):
@@ -41,7 +52,7 @@ def test_stages_against_brute_force(spark, sf):
     check_near_copies(known, single)
     hit = {r[0] for r in brute_contamination([(r[0], r[1]) for r in single], items) if r[5]}
     assert sorted(clean) == sorted(r for r in single if r[0] not in hit) and hit
-    taken = {r["doc_id"]: (2 * r["taken"] + r["size"]) // (2 * r["size"]) for r in mixing.mixed(
+    taken = {r.doc_id: brute_copies(r) for r in mixing.mixed(
         spark.createDataFrame(clean, docs.schema))[0].where("size > 0").collect()}
     assert Counter(r[0] for r in mix) == Counter({d: n for d, n in taken.items() if n}) and set(mix) <= set(clean)
     assert set(taken.values()) <= {0, 1, 2}
@@ -52,15 +63,18 @@ def test_stages_against_brute_force(spark, sf):
 
 
 def test_odd_rows_in_every_stage(spark, sf, odd_documents, no_documents):
-    odd = odd_documents.withColumnRenamed("key", "copy")
+    odd = odd_documents.withColumnsRenamed({"key": "copy", "size": "score", "count": "lang_pred"})
+    before = {(r.doc_id, r.text, r.score, r.lang_pred) for r in odd.collect()}
     given = {r.doc_id: r.text for r in odd.where("doc_id is not null").collect()}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         for docs in (odd, no_documents):
             got = stage(spark, docs, sf)
             assert got.columns == docs.columns
             assert {r.doc_id for r in got.collect()} <= {*given, None}
+            assert {(r.doc_id, r.text, r.score, r.lang_pred) for r in got.collect()} <= before
     single = corpus_pipeline.without_near_copies(spark, odd, sf).collect()
-    classes = {c for _, _, c in brute_components([(r.doc_id, brute_fingerprint(r.text)) for r in odd.collect()])}
-    assert len(single) >= len(classes)
+    rows = sorted({(r.doc_id is None, r.doc_id or 0, r.text or "") for r in odd.collect()})
+    kept = [r for r, c in zip(rows, brute_classes([t for *_, t in rows])) if rows[c] == r]
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in single) == kept
     letters = corpus_pipeline.in_known_language(spark, odd, sf).collect()
     assert all(any(map(str.isalpha, r.text)) for r in letters) and language.UNKNOWN == "und"
