@@ -18,18 +18,21 @@ SHARDS = 40
 
 
 def in_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that language identification rejects: no letters, or no language stands out."""
+    """Drop documents that language identification rejects: no letters, or no language stands out. NULL and
+    empty texts go, repeated rows and NULL ids stay, an empty table stays empty, other columns are kept whatever their names."""
     model = language.train(docs.where(F.coalesce(~language.held_out(F.col("doc_id")), F.lit(True))))
-    return (language.languages(docs, model)
-            .where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns))
+    rows = docs.select("text", F.struct(*docs.columns).alias("row"))  # columns called as the model's are safe in it
+    return (language.languages(rows, model)
+            .where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies, texts of a similarity of 0.8 or more by shingles of
-    five words: that with the least id. Of its repeated rows one stays; of different texts under that
-    id, the one with the least checksum."""
-    kept = (near_copies.near_copies(docs).groupBy("class").agg(F.min(F.struct("doc_id", "key")).alias("kept"))
-            .select("kept.*"))
+    five words: that with the least id, one without an id only if none has one. Of its repeated rows one stays; of
+    different texts under that id, the one with the least checksum. Texts without a word, NULL ones among them, are one
+    group; an empty table stays empty."""
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    kept = near_copies.near_copies(docs).groupBy("class").agg(F.min(rank).alias("kept")).select("kept.*")
     key = unused(docs, "key")
     rows = docs.withColumn(key, F.xxhash64("text"))
     same = rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows[key] == kept["key"])
@@ -37,7 +40,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a window of a benchmark item."""
+    """Drop documents that hold a window of a benchmark item. NULL and empty texts hold none; repeated rows
+    go or stay together, whatever their ids; an empty table stays empty."""
     hit = (decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
            .where("contaminated").select(F.col("key").alias("hit")).distinct())
     return docs.join(hit, F.md5(docs["text"]) == hit["hit"], "left_anti")
@@ -59,7 +63,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place every row in a shard."""
+    """Place every row in a shard, NULL ids and texts and repeated rows as well; an empty table stays empty."""
     return sharding.shards(docs, sharding.grid(SHARDS))
 
 
