@@ -217,12 +217,15 @@ class Digest:
     def add(self, said: bytes, learnt: bytes, counts: tuple[int, ...]) -> None:
         self.said.update(said)
         self.learnt.update(learnt)
+        self.count(counts)
+
+    def count(self, counts: tuple[int, ...]) -> None:
         self.turns, self.loss_chars, self.chars, self.attached, self.tokens = (
             a + b for a, b in zip((self.turns, self.loss_chars, self.chars, self.attached, self.tokens), counts))
 
-    def row(self) -> tuple:
-        return (self.conv_id, self.turns, self.said.hexdigest(), self.loss_chars, self.learnt.hexdigest(), self.chars,
-                self.attached, self.tokens)
+    def row(self, said: str | None = None, learnt: str | None = None) -> tuple:
+        return (self.conv_id, self.turns, said or self.said.hexdigest(), self.loss_chars, learnt or self.learnt.hexdigest(),
+                self.chars, self.attached, self.tokens)
 
 
 DIGESTS = ("conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, "
@@ -231,38 +234,48 @@ _COUNTS = ["n_turns", "loss_chars", "formatted_chars", "n_attachments", "expande
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each segment read back: its turns, the text under its loss mask, counts."""
+    """Each segment read back: its turns, the text under its loss mask, counts. Of a whole conversation the
+    digests take the place of the texts."""
     for batch in batches:
         rows = []
-        for text, starts, ends, attached in zip(batch["formatted"], batch["loss_from"], batch["loss_to"], batch["attachments"]):
+        for whole, text, starts, ends, attached in zip(batch["whole"], *(batch[c] for c in ("formatted", "loss_from", "loss_to", "attachments"))):
             turns = list(turns_of(text))
-            learnt = [unescaped(text[i:j]) for i, j in zip(starts, ends)]
-            rows.append(("".join(f"{who}\n{what}\n" for who, what in turns).encode(), "".join(learnt).encode(), len(turns),
-                         sum(map(len, learnt)), len(text), len(attached), sum(a["tokens"] for a in attached)))
-        yield pd.concat([batch[["conv_id", "segment"]], pd.DataFrame(rows, columns=["said", "learnt", *_COUNTS])], axis=1)
+            parts = [unescaped(text[i:j]) for i, j in zip(starts, ends)]
+            said, learnt = "".join(f"{who}\n{what}\n" for who, what in turns).encode(), "".join(parts).encode()
+            if whole:
+                said, learnt = hashlib.sha256(said).digest(), hashlib.sha256(learnt).digest()
+            rows.append((whole, said, learnt, len(turns), sum(map(len, parts)), len(text), len(attached),
+                         sum(a["tokens"] for a in attached)))
+        yield pd.concat([batch[["conv_id", "segment"]], pd.DataFrame(rows, columns=["whole", "said", "learnt", *_COUNTS])], axis=1)
 
 
 def digests(segments: DataFrame) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_attachments, expanded_tokens) of
     each conversation, read back from ``formatted`` ones.
 
-    A digest runs over a conversation from its first turn to its last, so its segments go through one
-    task in order, one at a time; none holds more than one.
+    A digest runs over a conversation from its first turn to its last. Those of one segment are digested
+    where they are; the segments of the others go through one task in order, which holds one at a time.
     """
     kind = segments.schema["conv_id"].dataType
-    read = segments.select(F.col("conv_id").cast("string").alias("conv_id"), "segment", "formatted", "loss_from", "loss_to",
-                           "attachments").mapInPandas(
-        _read, "conv_id string, segment long, said binary, learnt binary, n_turns long, loss_chars long, formatted_chars long, "
+    read = segments.select(F.col("conv_id").cast("string").alias("conv_id"), "segment", F.expr("first and last").alias("whole"),
+                           "formatted", "loss_from", "loss_to", "attachments").mapInPandas(
+        _read, "conv_id string, segment long, whole boolean, said binary, learnt binary, n_turns long, loss_chars long, formatted_chars long, "
                "n_attachments long, expanded_tokens long")
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in DIGESTS.split(", ")]
         current, out = None, []
         for batch in batches:
-            for conv, said, learnt, *counts in batch[["conv_id", "said", "learnt", *_COUNTS]].itertuples(index=False):
-                if current is None or conv != current.conv_id:
-                    out += [current.row()] if current is not None else []
-                    current = Digest(conv)
+            for conv, whole, said, learnt, *counts in batch[["conv_id", "whole", "said", "learnt", *_COUNTS]].itertuples(index=False):
+                if current is not None and (whole or conv != current.conv_id):
+                    out.append(current.row())
+                    current = None
+                if whole:
+                    told = Digest(conv)
+                    told.count(tuple(counts))
+                    out.append(told.row(said.hex(), learnt.hex()))
+                    continue
+                current = current or Digest(conv)
                 current.add(said, learnt, tuple(counts))
             yield pd.DataFrame(out, columns=names)
             out = []
