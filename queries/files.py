@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from queries.casts import DAYS, MOMENTS, NUMBERS
 from queries.common import table
+from rowferry.plans.migration import run_migration
 from rowferry.sources.csv_files import csv_columns, csv_types, list_csv_files, read_csv
 from rowferry.sources.jdbc import key_ranges, range_number
 from rowferry.sources.staging import stage
 from rowferry.sinks.tables import TableStore
+from rowferry.spec import migration_from
 from rowferry.workspace import fresh_folder
 
 
@@ -49,6 +51,73 @@ def csv_options(spark, sf):
     return df.select(F.col("id").cast("bigint"), "name", F.col("nation").cast("int"))
 
 
+def csv_options_utf16(spark, sf):
+    """Two-byte characters, with the header in row 3; names get letters beyond Latin ones."""
+    folder = fresh_folder(spark, "csv")
+    line = F.concat_ws(";", "c_custkey", F.concat(F.lit("'"), "c_name", F.lit("; \u0a0a\u4e0a'")), "c_nationkey")
+    remarks = spark.createDataFrame([("", "exported; by hand"), ("", "--"), ("", "id; name ;nation")], "part string, value string")
+    parts = table(spark, sf, "customer").select(F.pmod("c_custkey", F.lit(3)).cast("string").alias("part"), line.alias("value"))
+    files = remarks.crossJoin(parts.select(F.col("part").alias("file")).distinct()).select("file", "value", F.monotonically_increasing_id().alias("n"))
+    rows = files.unionByName(parts.select(F.col("part").alias("file"), "value", F.lit(1 << 60).alias("n")))
+    (rows.repartition("file").sortWithinPartitions("file", "n").drop("n").write.partitionBy("file").option("encoding", "UTF-16LE")
+     .option("sep", "\u0001").option("quote", "\u0000").csv(folder))
+    df = read_csv(spark, f"{folder}/*", delimiter=";", quote="'", header_row=3, encoding="utf-16-le")
+    return df.select(F.col("id").cast("bigint"), "name", F.col("nation").cast("int"))
+
+
+def csv_mixed_headers(spark, sf):
+    """Files of one folder whose headers have the same names in another order, in row 1 and in row 3: refused
+    together, and read one by one."""
+    both = None
+    for row in (1, 3):
+        folder = fresh_folder(spark, "csv")
+        for names in (("key0", "name1"), ("name1", "key0")):
+            part = table(spark, sf, "customer").select(F.col("c_custkey").alias("key0"), F.col("c_name").alias("name1")).filter(
+                F.col("key0") % 2 == ("key0", "name1").index(names[0]))
+            line = F.concat_ws(",", *names)
+
+            def with_head(batches: Iterator[pd.DataFrame], head=["remark"] * (row - 1) + [",".join(names)]) -> Iterator[pd.DataFrame]:
+                yield pd.DataFrame({"value": head})
+                yield from batches
+
+            part.select(line.alias("value")).coalesce(1).mapInPandas(with_head, "value string").write.mode("append").text(f"{folder}/{names[0]}")
+        try:
+            read_csv(spark, f"{folder}/*", header_row=row).collect()
+            refused = False
+        except Exception as error:  # noqa: BLE001 - Spark's own error or ours
+            refused = "header" in str(error).lower()
+        for name in ("key0", "name1"):
+            df = read_csv(spark, f"{folder}/{name}", header_row=row).select(
+                F.col("key0").cast("bigint"), "name1", F.lit(row).alias("header_row"), F.lit(refused).alias("refused"))
+            both = df if both is None else both.unionByName(df)
+    return both
+
+
+def csv_malformed_joined(spark, sf):
+    """Malformed records of a joined file are listed, also those that meet no root row."""
+    folder, store = fresh_folder(spark, "csv"), TableStore(spark, fresh_folder(spark, "tables"))
+    line = F.expr("concat_ws(',', c_custkey, IF(c_custkey % 7 = 0, NULL, c_name), IF(c_custkey % 5 = 0, c_mktsegment, NULL))")
+
+    def with_head(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": ["id,name"]})
+        yield from batches
+
+    table(spark, sf, "customer").select(line.alias("value")).mapInPandas(with_head, "value string").write.text(f"{folder}/names.csv")
+    migration = migration_from({
+        "migration_id": "m", "client_id": "c", "version": "1", "connections": {
+            "lake": {"type": "PARQUET", "path": sf}, "files": {"type": "CSV_S3_BUCKET", "s3_bucket_uri": f"{folder}/", "aws_region": "eu"}},
+        "blueprints": [{
+            "sequence_order": 1, "target": {"connection_ref": "lake", "on_conflict": "UPSERT", "schema": "a", "table_name": "b", "primary_keys": ["key"]},
+            "sources": {"root_table": {"connection_ref": "lake", "schema": "x", "table_name": "orders", "alias": "o"},
+                        "joins": [{"join_type": "INNER", "connection_ref": "files", "file_name": "names.csv", "alias": "n",
+                                   "conditions": [{"left_expression": "n.id", "operator": "=", "right_expression": "o.o_custkey"}]}]},
+            "chunking_strategy": {"is_enabled": False}, "pre_filters": ["o.o_custkey < 20"], "post_filters": [], "derivations": [],
+            "mappings": [{"target_column": "key", "source_type": "DIRECT", "source_value": "o.o_orderkey", "cast_to": "BIGINT", "is_nullable": False}]}]})
+    run_migration(spark, migration, store)
+    return store.read("migration_admin", "row_errors").select(
+        "error_code", F.col("row_identity")["n"].alias("record"), F.col("raw_value").alias("raw"))
+
+
 def csv_malformed(spark, sf):
     """Records with a cell too many or too few beside good ones."""
     folder = fresh_folder(spark, "csv")
@@ -64,18 +133,25 @@ def csv_malformed(spark, sf):
 
 
 def csv_columns_query(spark, sf):
-    found = csv_columns(spark, _documents_csv(spark, sf))
-    return found.select("position", "column_name", "data_type").distinct()
+    """The headers of the files of three tables."""
+    found = None
+    for name in ("nation", "customer", "lineitem"):
+        folder = fresh_folder(spark, "csv")
+        table(spark, sf, name).write.option("header", True).csv(folder)
+        columns = csv_columns(spark, folder).select(F.lit(name).alias("name"), "position", "column_name", "data_type").distinct()
+        found = columns if found is None else found.unionByName(columns)
+    return found
 
 
 def csv_files(spark, sf):
-    """Every listed file against the rows read from it."""
-    folder = _documents_csv(spark, sf)
+    """Listed files, one for each language by its folder, with their sizes in bytes."""
+    folder = fresh_folder(spark, "csv")
+    (table(spark, sf, "documents").select("doc_id", F.md5("text").alias("digest"), F.coalesce("lang", F.lit("none")).alias("lang"))
+     .coalesce(1).write.partitionBy("lang").option("header", True).csv(folder))
     listed = list_csv_files(spark, folder)
-    rows = (read_csv(spark, folder, schema="doc_id string, text string, lang string, source string")
-            .groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count(F.lit(1)).alias("rows")))
-    return (listed.join(rows, "name", "full")
-            .agg(F.sum("rows").alias("rows"), F.count_if(F.col("size").isNull()).alias("not_listed")))
+    return listed.select(
+        F.regexp_extract("key", "/lang=([^/]+)/[^/]+$", 1).alias("lang"), F.col("size").cast("bigint").alias("size"),
+        F.expr("endswith(name, '.csv') AND endswith(key, concat('/', name))").alias("named"), F.col("modified").isNotNull().alias("dated"))
 
 
 def csv_types_query(spark, sf):
@@ -108,7 +184,8 @@ def source_ranges(spark, sf):
 
 
 QUERIES = {
-    "csv_scan": csv_scan, "csv_options": csv_options, "csv_malformed": csv_malformed, "csv_columns": csv_columns_query, "csv_files": csv_files,
+    "csv_scan": csv_scan, "csv_options": csv_options, "csv_options_utf16": csv_options_utf16,
+    "csv_mixed_headers": csv_mixed_headers, "csv_malformed_joined": csv_malformed_joined, "csv_malformed": csv_malformed, "csv_columns": csv_columns_query, "csv_files": csv_files,
     "csv_types": csv_types_query, "stage_source": stage_source, "source_ranges": source_ranges,
 }
 
@@ -124,10 +201,18 @@ ORACLE = {
                  concat_ws(',', c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_name END,
                            CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment END) END AS record
         FROM customer""",
-    "csv_columns": """
-        SELECT * FROM (VALUES (0, 'doc_id', 'string'), (1, 'text', 'string'), (2, 'lang', 'string'), (3, 'source', 'string'))
-          t(position, column_name, data_type)""",
-    "csv_files": "SELECT count(*)::BIGINT AS rows, 0::BIGINT AS not_listed FROM documents",
+    "csv_options_utf16": "SELECT c_custkey AS id, c_name || '; \u0a0a\u4e0a' AS name, c_nationkey AS nation FROM customer",
+    "csv_mixed_headers": "SELECT c_custkey AS key0, c_name AS name1, n::INT AS header_row, TRUE AS refused FROM customer, (VALUES (1), (3)) r(n)",
+    "csv_malformed_joined": """
+        SELECT 'MALFORMED_RECORD' AS error_code, concat_ws(',', c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_name END,
+               CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment END) AS record, record AS raw
+        FROM customer WHERE (c_custkey % 7 = 0) <> (c_custkey % 5 = 0)""",
+    "csv_columns": " UNION ALL ".join(f"""
+        SELECT '{name}' AS name, (row_number() OVER () - 1)::INT AS position, column_name, 'string' AS data_type FROM (DESCRIBE {name})"""
+        for name in ("nation", "customer", "lineitem")),
+    "csv_files": """
+        SELECT coalesce(lang, 'none') AS lang, (sum(length(doc_id::VARCHAR) + 34) + 14)::BIGINT AS size, TRUE AS named, TRUE AS dated
+        FROM documents GROUP BY 1""",
     "csv_types": f"""
         WITH n AS (SELECT count(*)::BIGINT AS filled FROM orders)
         SELECT p AS position, c AS column_name, filled, t AS suggested FROM n, (VALUES

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowferry.operators.conflict import NULL_KEY, has_key
-from rowferry.operators.shape import ERRORS, IDENTITY, KEY_TEXT
+from rowferry.operators.shape import ERRORS, IDENTITY, KEY_TEXT, MALFORMED
 
 LEDGER_SCHEMA = (
     "blueprint_sequence int, batch_number bigint, row_identity map<string,string>, error_code string, "
@@ -38,6 +39,23 @@ def key_errors(evaluated: DataFrame, sequence: int, keys: Sequence[str], batch:
         F.lit(None).cast("string").alias("raw_value"))
 
 
+def joined_errors(frames: Mapping[str, DataFrame], aliases: Sequence[str], sequence: int) -> DataFrame | None:
+    """One row per malformed record of the joined sources that list them, whether or not it met a root
+    row; None if no source does. The identity is the source's alias and the record."""
+    found = []
+    for alias in aliases:
+        if MALFORMED in frames[alias].columns:
+            record = F.col(MALFORMED)
+            # a record is told malformed only when its cells are asked for as well
+            whole = F.length(F.concat_ws("", *[F.col(f"`{c}`") for c in frames[alias].columns])) >= 0
+            found.append(frames[alias].filter(record.isNotNull() & whole).select(
+                F.lit(sequence).cast("int").alias("blueprint_sequence"), F.lit(0).cast("bigint").alias("batch_number"),
+                F.create_map(F.lit(alias), record).alias("row_identity"), F.lit("MALFORMED_RECORD").alias("error_code"),
+                F.lit("Not as many cells as the header").alias("message"),
+                F.lit(None).cast("string").alias("target_column"), record.alias("raw_value")))
+    return functools.reduce(DataFrame.unionByName, found) if found else None
+
+
 def loadable(evaluated: DataFrame, *, reject_bad_rows: bool = False) -> DataFrame:
     """The rows to load: all of them with NULL for lost values, or only those without an error."""
     rows = evaluated.filter(F.col(ERRORS).isNull()) if reject_bad_rows else evaluated

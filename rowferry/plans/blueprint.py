@@ -123,10 +123,12 @@ def load_step(
     spark: SparkSession, step: Step, staged: DataFrame, store: TableStore, *,
     migration_id: str = "", tag: str = "", at: datetime | None = None, order_by: Sequence[str] = (),
     reject_bad_rows: bool = False, log_batch_duplicates: bool = False, tables=None,
+    source_errors: DataFrame | None = None,
 ) -> StepResult:
     """Load staged rows under the target's policy.
 
-    ``store`` keeps the error ledger; ``tables`` holds the target if that is elsewhere.
+    ``store`` keeps the error ledger; ``tables`` holds the target if that is elsewhere. ``source_errors``
+    are entries of the ledger that belong to no staged row.
 
     Errors and refused rows are written first, then the target gets its new version, so a load that
     dies half-way leaves the target as it was and can be repeated under the same tag. Values take the
@@ -146,6 +148,8 @@ def load_step(
         raise SpecError(f"{target.schema}.{target.table} has no columns {unknown}")
     staged = fit_target(staged, before.schema, columns, target.keys)
     ledger = row_errors(staged, step.order)
+    if source_errors is not None:
+        ledger = ledger.unionByName(source_errors)
     if target.policy == "FAIL":
         stop_on_errors(ledger)
     if target.keys:

@@ -72,7 +72,8 @@ def run_migration(
                 check_null=check_null, check_length=check_length)
             result = load_step(
                 spark, step, staged, store, migration_id=migration.migration_id, tag=run_id, at=at,
-                reject_bad_rows=reject_bad_rows, log_batch_duplicates=log_batch_duplicates, tables=tables)
+                reject_bad_rows=reject_bad_rows, log_batch_duplicates=log_batch_duplicates, tables=tables,
+                source_errors=ledgers.joined_errors(frames, [j.source.alias for j in step.joins], step.order))
             result.batches, result.rows_read = batches, sum(b[1] for b in batches)
             metrics = spark.createDataFrame(
                 [(step.order, batch, rows, ms) for batch, rows, ms in batches], ledgers.METRICS_SCHEMA)

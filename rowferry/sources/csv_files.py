@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -130,32 +131,44 @@ def read_csv(
     multiline: bool = False, malformed: str | None = None,
 ) -> DataFrame:
     """A CSV file, or files of one layout. Without a schema every column is a string, and a file whose
-    header differs from the first one's is an error, unless a header cell is blank or repeated; a
-    schema says what the columns are, whatever the headers. ``malformed`` adds a column of that name
-    with the text of records that have more or fewer cells than there are columns.
+    header differs from the others' is an error; a schema says what the columns are, whatever the
+    headers. ``malformed`` adds a column of that name with the text of records that have more or fewer
+    cells than there are columns.
 
-    Files are split over tasks. ``multiline`` is for quoted cells with line breaks; it reads each
-    file in one task, so it suits small files only.
+    Files are split over tasks, but those in UTF-16 and UTF-32 with a header below line 1 are one row each.
+    ``multiline`` is for quoted cells with line breaks; it reads each file in one task, so it suits small
+    files only.
     """
     _check_options(delimiter, quote, header_row)
+    path = path if isinstance(path, str) else list(path)
     if header_row > 1:
         return _read_below(spark, path, delimiter, quote, header_row, encoding, schema, malformed)
-    reader = (spark.read.option("header", True).option("sep", delimiter).option("quote", quote)
-              .option("escape", quote).option("encoding", _charset(encoding)).option("multiLine", multiline)
-              .option("enforceSchema", True))
-    path = path if isinstance(path, str) else list(path)
+
+    def reader(**options):
+        return (spark.read.options(header=True, sep=delimiter, quote=quote, escape=quote, encoding=_charset(encoding),
+                                   multiLine=multiline, enforceSchema=True).options(**options))
+
+    options = {}
     if schema is None:
-        schema = reader.csv(path).schema
-        # blank and repeated cells get names that end with their position, so no file has them
-        if not any(name.endswith(str(i)) for i, name in enumerate(schema.names)):
-            reader = reader.option("enforceSchema", False)
+        schema = reader().csv(path).schema
+        cells = reader(header=False).csv(path).first()
+        if cells is not None and _all_named([c or "" for c in cells]):
+            options["enforceSchema"] = False  # Spark compares every file's header with these names
+        elif cells is not None:  # it has made up names, so the headers themselves are compared
+            lines = _lines(spark, path, encoding).filter(F.trim("value") != "")
+            _header_of_all(lines, 1, delimiter, quote)
     schema = _with_malformed(_struct(schema), malformed)
     if malformed:
-        reader = reader.option("columnNameOfCorruptRecord", malformed)
-    df = reader.schema(schema).csv(path)
+        options["columnNameOfCorruptRecord"] = malformed
+    df = reader(**options).schema(schema).csv(path)
     return df.toDF(*[name.strip() or f"_c{i}" for i, name in enumerate(df.columns)])
 
 
+def _all_named(cells: Sequence[str]) -> bool:
+    """Whether no header cell is blank or occurs twice."""
+    return all(c.strip() for c in cells) and len({c.lower() for c in cells}) == len(cells)
+
+
 def _struct(schema: T.StructType | str) -> T.StructType:
     return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
@@ -164,41 +177,83 @@ def _with_malformed(schema: T.StructType, malformed: str | None) -> T.StructType
     return T.StructType([*schema.fields, T.StructField(malformed, T.StringType())]) if malformed else schema
 
 
-def _read_below(spark, path, delimiter, quote, header_row, encoding, schema, malformed) -> DataFrame:
-    """Rows below a header that is not line 1.
+# The encodings that Spark decodes from bytes.
+DECODED = ("utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16le", "utf-16be", "utf-32")
+
 
-    The lines above are the first ones of the block that starts a file. A task meets the lines of a
-    block in order, so it drops them while it reads: one pass, no shuffle.
+def _lines(spark: SparkSession, path: str | list[str], encoding: str) -> DataFrame:
+    """(value, file, at): every line of the files. ``file`` is the path for the lines of the block that
+    starts a file and NULL for the others; ``at`` rises from line to line within a block.
+
+    Wide encodings cannot be split at line ends by their bytes, so such a file is read as one row.
     """
-    if _charset(encoding) != "utf-8":
-        raise ValueError("header_row above 1 needs UTF-8 files")
+    charset = _charset(encoding)
+    wide = charset.startswith(("utf-16", "utf-32"))
+    if wide:
+        whole = F.decode("content", charset.upper())
+        return (spark.read.format("binaryFile").load(path)
+                .select(F.col("path").alias("file"), F.posexplode(F.split(whole, "\r\n|\r|\n")).alias("at", "value")))
+    text, value = spark.read.text(path), F.col("value")
+    if charset in DECODED[1:]:
+        value = F.decode(value.cast("binary"), charset.upper())
     starts_file = F.col("_metadata.file_block_start") == 0
-    lines = spark.read.text(path if isinstance(path, str) else list(path)).select(
-        "value", F.when(starts_file, F.xxhash64("_metadata.file_path")).alias("file"))
-
-    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[int, int] = {}
-        for batch in batches:
-            head = batch["file"].notna()
-            at = batch["file"].map(seen).fillna(0) + batch.groupby("file").cumcount()
-            for file, n in batch.loc[head, "file"].value_counts().items():
-                seen[file] = seen.get(file, 0) + n
-            batch["line"] = at.where(head, header_row).astype("int64")
-            yield batch[["value", "line"]]
-
-    rows = lines.mapInPandas(numbered, "value string, line bigint")
+    return text.select(value.alias("value"), F.when(starts_file, F.col("_metadata.file_path")).alias("file"),
+                       F.monotonically_increasing_id().alias("at"))
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    """``lines`` with their number in the file, ``line``, from 0; NULL outside the block that starts it.
+
+    A file's first line is the least of its first block, one row per file, which is broadcast: the
+    driver has listed all these files already.
+    """
+    begins = lines.filter("file is not null").groupBy("file").agg(F.min("at").alias("begin"))
+    return lines.join(F.broadcast(begins), "file", "left").withColumn("line", F.col("at") - F.col("begin"))
+
+
+def _header_of_all(lines: DataFrame, header_row: int, delimiter: str, quote: str) -> list[str]:
+    """The column names in that line of every file; a file that lacks it or has others is an error.
+
+    The driver gets one header, and one of those that differ.
+    """
+    firsts = _numbered(lines).filter(F.col("line") < header_row).groupBy("file").agg(
+        F.max_by("value", "line").alias("value"), F.max("line").alias("line")).persist()
+    try:
+        short = firsts.filter(F.col("line") < header_row - 1).first()
+        head = firsts.orderBy("file").first()
+        if head is None or short is not None:
+            raise ValueError(f"{short['file'] if short else 'the source'} has no row {header_row}")
+        names = header_names(head["value"], delimiter, quote)
+        cells = F.from_csv(F.regexp_replace("value", "^\ufeff", ""), F.lit(", ".join(f"_{i} string" for i in range(len(names) + 1))),
+                           {"sep": delimiter, "quote": quote, "escape": quote})
+        trimmed = [F.coalesce(F.nullif(F.regexp_replace(cells[f"_{i}"], r"^\s+|\s+$", ""), F.lit("")), F.lit(f"_c{i}"))
+                   for i in range(len(names))]
+        same = F.array(*trimmed) == F.array(*[F.lit(n) for n in names])
+        other = firsts.filter(~same | cells[f"_{len(names)}"].isNotNull()).first()
+        if other is not None:
+            raise ValueError(f"{other['file']}: its header is {other['value']!r}, that of {head['file']} is {head['value']!r}")
+    finally:
+        firsts.unpersist()
+    return names
+
+
+def _read_below(spark, path, delimiter, quote, header_row, encoding, schema, malformed) -> DataFrame:
+    """Rows below a header that is not line 1: the lines are numbered by file, those down to the header
+    are dropped and the others parsed."""
+    if _charset(encoding) not in DECODED:
+        raise ValueError(f"header_row above 1 needs one of the encodings {', '.join(DECODED)}")
+    lines = _lines(spark, path, encoding)
     if schema is None:
-        head = rows.filter(F.col("line") == header_row - 1).select("value").first()
-        if head is None:
-            raise ValueError(f"the file has no row {header_row}")
-        names = header_names(head[0], delimiter, quote)
+        names = _header_of_all(lines, header_row, delimiter, quote)
+        count = Counter(n.lower() for n in names)
+        names = [n if count[n.lower()] == 1 else f"{n}{i}" for i, n in enumerate(names)]
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     options = {"sep": delimiter, "quote": quote, "escape": quote}
     if malformed:
         options["columnNameOfCorruptRecord"] = malformed
     parsed = F.from_csv("value", _ddl(_with_malformed(_struct(schema), malformed)), options)
-    return (rows.filter((F.col("line") >= header_row) & (F.col("value") != ""))
-            .select(parsed.alias("r")).select("r.*"))
+    below = F.col("line").isNull() | (F.col("line") >= header_row)
+    return (_numbered(lines).filter(below & (F.col("value") != "")).select(parsed.alias("r")).select("r.*"))
 
 
 def _ddl(schema: T.StructType) -> Column:

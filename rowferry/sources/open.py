@@ -49,15 +49,16 @@ def open_sources(
 
     ``read_options`` are per alias: ``key`` and ``parts`` of a database read in key ranges, ``schema``
     of a CSV file. The root of a chunked step is read in ranges of its chunk column unless they say
-    otherwise; any other database table is one task without them, so give them for large ones. A
-    root of CSV files also has the text of its malformed records, for the error ledger.
+    otherwise; any other database table is one task without them, so give them for large ones. CSV
+    files also have the text of their malformed records, for the error ledger.
     """
     given = {alias: dict(options) for alias, options in (read_options or {}).items()}
     root = step.root
     if step.chunking and connections[root.connection].kind in DRIVERS:
         key = step.chunking.column.rsplit(".", 1)[-1]
         given[root.alias] = {"key": key, "parts": READ_PARTS, **given.get(root.alias, {})}
-    if connections[root.connection].kind in ("CSV_S3_BUCKET", "LOCAL_CSV"):
-        given[root.alias] = {"malformed": MALFORMED, **given.get(root.alias, {})}
     every = [root, *(j.source for j in step.joins)]
+    for source in every:
+        if connections[source.connection].kind in ("CSV_S3_BUCKET", "LOCAL_CSV"):
+            given[source.alias] = {"malformed": MALFORMED, **given.get(source.alias, {})}
     return {s.alias: open_source(spark, s, connections, **given.get(s.alias, {})) for s in every}

@@ -139,3 +139,50 @@ def test_headers_that_differ_and_records_of_another_width(spark, folder):
     write(folder, "o/a.csv", "id,name\n1,x\n"), write(folder, "o/b.csv", "name,id\ny,2\n")
     with pytest.raises(Exception, match="(?i)header"):
         read_csv(spark, f"{folder}/o").collect()
+
+
+@pytest.mark.parametrize("heads", [("a0,b", "b,a0"), ("id,line1", "line1,id"), ("a,,b1", "b1,,a"), ("a,a,c", "a,c,a"), ("id,b", "id,c"), ("a,b", "a,b,c")])
+@pytest.mark.parametrize("row", [1, 3])
+def test_other_headers_are_refused(spark, folder, heads, row):
+    """Whatever the names look like, and wherever the header stands."""
+    for i, head in enumerate(heads):
+        write(folder, f"{i}.csv", "remark\n" * (row - 1) + f"{head}\nx,{i},z\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_csv(spark, folder, header_row=row).collect()
+
+
+@pytest.mark.parametrize("row", [1, 2])
+def test_equal_headers_with_made_up_names(spark, folder, row):
+    for i, head in enumerate(("id,,v1,v1", 'id, ,"v1",v1')):
+        write(folder, f"{i}.csv", "remark\n" * (row - 1) + f"{head}\n{i},a,b,c\n")
+    df = read_csv(spark, folder, header_row=row)
+    assert df.columns == ["id", "_c1", "v12", "v13"] and bag(df) == [("0", "a", "b", "c"), ("1", "a", "b", "c")]
+
+
+def test_a_file_without_the_header_row(spark, folder):
+    write(folder, "a.csv", "remark\nid,v\n1,2\n")
+    write(folder, "b.csv", "remark\n")
+    with pytest.raises(ValueError, match="b.csv has no row 2"):
+        read_csv(spark, folder, header_row=2)
+    assert bag(read_csv(spark, folder, header_row=2, schema="id int, v int")) == [(1, 2)]
+
+
+@pytest.mark.parametrize("encoding", ["utf-16", "utf-16-le", "utf-16-be", "latin-1", "utf-8", "ascii"])
+def test_header_below_line_1_in_any_encoding(spark, folder, encoding):
+    name = "Zo\xeb āਊ" if encoding.startswith("utf") else "Zoe" if encoding == "ascii" else "Zo\xeb"
+    for i, end in enumerate(("\n", "\r\n")):
+        write(folder, f"{i}.csv", end.join(["remark; \xe4" if encoding != "ascii" else "remark", "id;name", f"{i};'{name}; x'", "", "8;"]), encoding)
+    df = read_csv(spark, folder, delimiter=";", quote="'", header_row=2, encoding=encoding)
+    assert bag(df) == sorted([("0", f"{name}; x"), ("1", f"{name}; x"), ("8", None), ("8", None)], key=repr)
+
+
+def test_a_mark_of_the_byte_order_before_the_header(spark, folder):
+    write(folder, "a.csv", "﻿remark\nid,v\n1,2\n")
+    write(folder, "b.csv", "remark\n﻿id,v\n3,4\n")
+    assert bag(read_csv(spark, folder, header_row=2)) == [("1", "2"), ("3", "4")]
+
+
+def test_encodings_that_spark_does_not_decode(spark, folder):
+    path = write(folder, "a.csv", "remark\nid,v\n1,€\n", "cp1252")
+    with pytest.raises(ValueError, match="encodings"):
+        read_csv(spark, path, header_row=2, encoding="cp1252")
