@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 from rowferry.plans.blueprint import run_blueprint
+from rowferry.sinks.tables import TableStore
 from rowferry.spec import ColumnMap, Condition, Join, Source, Step, Target
 
 
@@ -38,3 +39,20 @@ def expressions(spark: SparkSession, sf: str, source: str, alias: str, *columns:
     """Expression mappings (column, text, type) over one table."""
     return run(step(alias, maps(*[(c, "EXPRESSION", text, to) for c, text, to in columns])),
                **{alias: table(spark, sf, source)})
+
+
+class Interrupted(TableStore):
+    """Tables whose loads are disturbed: ``before(schema, table)`` is called ahead of each write, and may
+    fail, or write something itself."""
+
+    def __init__(self, spark: SparkSession, root: str, before: Callable[[str, str], None]) -> None:
+        super().__init__(spark, root)
+        self.before = before
+
+    def publish(self, schema: str, table: str, rows: DataFrame, **options) -> int:
+        self.before(schema, table)
+        return super().publish(schema, table, rows, **options)
+
+
+class Died(Exception):
+    """The failure that a query makes."""

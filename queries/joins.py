@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from queries.common import join, maps, run, step, table
 from rowferry.operators.conflict import captured
-from rowferry.operators.joins import range_join, rows_with_key_in, salted_join
+from rowferry.operators.joins import join_source, range_join, rows_with_key_in, salted_join
 from rowferry.sources.open import open_sources
-from rowferry.spec import Condition, Connection
+from rowferry.spec import Condition, Connection, Join, Source
 from rowferry.workspace import fresh_folder
 
 PAIR = maps(("order_key", "DIRECT", "o.o_orderkey", "BIGINT"), ("customer_key", "DIRECT", "c.c_custkey", "BIGINT"),
@@ -95,6 +95,32 @@ def join_salted(spark, sf):
     return out.select(F.col("o.o_orderkey").alias("order_key"), F.col("r.top_key").alias("top_key"))
 
 
+def join_range_dyadic(spark, sf):
+    """Ranges of 1 to 10^12 keys in all kinds of join, by the kind and the range: rows and sum of keys. The last
+    ranges lie above all keys, the first keys below all ranges."""
+    orders = table(spark, sf, "orders").select("o_orderkey").alias("o")
+    ranges = table(spark, sf, "nation").select(
+        "n_name", F.expr("CAST(IF(n_nationkey < 20, 500 + n_nationkey * 10, pow(10, 13)) AS BIGINT)").alias("low"),
+        F.expr("CAST(pow(10, n_nationkey % 13) AS BIGINT)").alias("width")).alias("n")
+    found = None
+    for how in ("INNER", "LEFT", "RIGHT", "FULL"):
+        conditions = Condition("o.o_orderkey", ">=", "n.low"), Condition("n.low + n.width", ">", "o.o_orderkey")
+        rows = join_source(orders, ranges, Join(Source("n", "data", "nation"), conditions, how))
+        counts = rows.groupBy("n_name").agg(F.count(F.lit(1)).alias("rows"), F.sum("o_orderkey").alias("keys"))
+        counts = counts.withColumn("kind", F.lit(how))
+        found = counts if found is None else found.unionByName(counts)
+    return found
+
+
+def join_salted_zipf(spark, sf):
+    """Most keys are hot, small ones most; each is spread by the number of its rows."""
+    lines = table(spark, sf, "lineitem").withColumn("k", F.expr("l_partkey div l_linenumber")).alias("l")
+    parts = table(spark, sf, "part").alias("p")
+    out = salted_join(lines, parts, "p", [Condition("l.k", "=", "p.p_partkey"), Condition("l.l_quantity", ">=", "p.p_size / 2")],
+                      "LEFT", hot_rows=3)
+    return out.select(F.col("l.l_orderkey").alias("order_key"), F.col("l.k").alias("k"), F.col("p.p_name").alias("part"))
+
+
 def join_cross_source(spark, sf):
     folder = fresh_folder(spark, "csv")
     table(spark, sf, "nation").write.option("header", True).csv(f"{folder}/nations.csv")
@@ -141,6 +167,7 @@ QUERIES = {
     "join_chain": join_chain, "join_case_key": join_case_key, "join_range": join_range,
     "join_range_striped": join_range_striped, "join_range_striped_full": join_range_striped_full,
     "join_range_dates": join_range_dates, "join_salted": join_salted, "join_salted_full_range": join_salted_full_range,
+    "join_range_dyadic": join_range_dyadic, "join_salted_zipf": join_salted_zipf,
     "join_cross_source": join_cross_source, "pk_match": pk_match, "conflict_capture": conflict_capture,
 }
 
@@ -153,7 +180,18 @@ _MATCH_SQL = """
     FROM lineitem l WHERE EXISTS (SELECT 1 FROM lineitem t WHERE t.l_returnflag = 'R'
       AND t.l_orderkey = l.l_orderkey AND t.l_linenumber = l.l_linenumber)"""
 
+_DYADIC_SQL = """
+    WITH n AS (SELECT n_name, (CASE WHEN n_nationkey < 20 THEN 500 + n_nationkey * 10 ELSE 10000000000000 END)::BIGINT AS low,
+                      (10 ** (n_nationkey % 13))::BIGINT AS width FROM nation)
+    """ + " UNION ALL ".join(f"""
+    SELECT n_name, count(*)::BIGINT AS rows, sum(o_orderkey)::BIGINT AS keys, '{how}' AS kind
+    FROM orders {how} JOIN n ON o_orderkey >= low AND o_orderkey < low + width GROUP BY 1""" for how in ("INNER", "LEFT", "RIGHT", "FULL"))
+
 ORACLE = {
+    "join_range_dyadic": _DYADIC_SQL,
+    "join_salted_zipf": """
+        SELECT l_orderkey AS order_key, l_partkey // l_linenumber AS k, p_name AS part
+        FROM lineitem LEFT JOIN part ON p_partkey = l_partkey // l_linenumber AND l_quantity >= p_size / 2""",
     **{f"join_{how.lower()}": _PAIR_SQL.format(how=how) for how in ("INNER", "LEFT", "RIGHT", "FULL")},
     "join_chain": """
         SELECT l_orderkey AS order_key, l_linenumber AS line, l_extendedprice::DECIMAL(12,2) AS price,

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from queries.common import maps, step, table
+from queries.common import Interrupted, maps, step, table
 from rowferry.operators import conflict
 from rowferry.plans.blueprint import load_step, stage_step
 from rowferry.sinks.audit import audit_layout, audit_rows
-from rowferry.sinks.tables import TableStore
+from rowferry.sinks.tables import StaleTable, TableStore
 from rowferry.spec import Target
 from rowferry.workspace import fresh_folder
 
@@ -94,6 +94,49 @@ def load_unprocessed(spark, sf):
     return done.unionByName(left)
 
 
+ORDER_COLUMNS = maps(("order_key", "DIRECT", "o.o_orderkey", "BIGINT"), ("status", "DIRECT", "o.o_orderstatus", "TEXT"),
+                     ("price", "DIRECT", "o.o_totalprice", "DECIMAL(12,2)"))
+
+
+def load_upsert_bucketed(spark, sf):
+    """A target in 32 buckets of its key: loaded, then a few keys of it and a few new ones, then new ones only."""
+    store, orders = TableStore(spark, fresh_folder(spark, "tables")), table(spark, sf, "orders")
+    s = _with_target(step("o", ORDER_COLUMNS, keys=["order_key"]), Target("migrated", "orders", ("order_key",), "UPSERT", buckets=32))
+    loads = orders.filter("o_orderstatus <> 'P'").withColumn("o_totalprice", F.lit(0)), orders.filter("o_orderkey < 40"), orders.filter(
+        "o_orderstatus = 'P' AND o_orderkey >= 40")
+    for number, rows in enumerate(loads):
+        staged, _ = stage_step(spark, s, {"o": rows}, store, f"load{number}")
+        load_step(spark, s, staged, store)
+    return store.read("migrated", "orders")
+
+
+def load_log_after_stale(spark, sf):
+    """Another load adds keys while ours is written, so ours is withdrawn and done again under its tag: the
+    log has the rows that meet either's keys, once."""
+    orders = table(spark, sf, "orders")
+    rows = orders.select(F.col("o_orderkey").alias("order_key"), F.col("o_orderstatus").alias("status"),
+                         F.col("o_totalprice").cast("decimal(12,2)").alias("price"))
+    root, seen = fresh_folder(spark, "tables"), []
+
+    def intrude(schema, name):
+        if (schema, name) == ("migrated", "orders") and not seen:
+            seen.append(name)
+            TableStore(spark, root).publish(schema, name, rows.filter("status = 'O'"), mode="add")
+
+    plain, store = TableStore(spark, root), Interrupted(spark, root, intrude)
+    plain.publish("migrated", "orders", rows.filter("status = 'F'"))
+    s = _with_target(step("o", ORDER_COLUMNS, keys=["order_key"]), Target("migrated", "orders", ("order_key",), "IGNORE_AND_LOG"))
+    staged, _ = stage_step(spark, s, {"o": orders}, store, "orders")
+    refused = 0
+    for _ in range(2):
+        try:
+            load_step(spark, s, staged, store, tag="run")
+        except StaleTable:
+            refused += 1
+    logged = store.read("migrated", "migration_conflict_log").select("order_key", "status", "reject_reason")
+    return logged.withColumns({"withdrawn": F.lit(refused), "target_rows": F.lit(store.read("migrated", "orders").count()).cast("bigint")})
+
+
 def _with_target(s, t):
     from dataclasses import replace
     return replace(s, target=t)
@@ -122,6 +165,7 @@ def append_sources(spark, sf):
 QUERIES = {
     "load_ignore": load_ignore, "load_upsert": load_upsert, "load_upsert_partial": load_upsert_partial,
     "load_upsert_keys_only": load_upsert_keys_only, "load_ignore_log": load_ignore_log,
+    "load_upsert_bucketed": load_upsert_bucketed, "load_log_after_stale": load_log_after_stale,
     "load_batch_duplicates": load_batch_duplicates, "load_fail_clean": load_fail_clean,
     "load_fail_conflicts": load_fail_conflicts, "load_unprocessed": load_unprocessed,
     "audit_rows": audit_rows_query, "append_sources": append_sources,
@@ -146,6 +190,12 @@ _OLD = "(l_orderkey, l_linenumber) IN (SELECT (l_orderkey, l_linenumber) FROM ta
 _COLUMNS = "l_orderkey, l_linenumber, l_partkey, l_suppkey, price"
 
 ORACLE = {
+    "load_upsert_bucketed": """
+        SELECT o_orderkey AS order_key, o_orderstatus AS status,
+               (CASE WHEN o_orderkey < 40 OR o_orderstatus = 'P' THEN o_totalprice ELSE 0 END)::DECIMAL(12,2) AS price FROM orders""",
+    "load_log_after_stale": """
+        SELECT o_orderkey AS order_key, o_orderstatus AS status, 'DUPLICATE_KEY' AS reject_reason, 1 AS withdrawn,
+               (SELECT count(*) FROM orders)::BIGINT AS target_rows FROM orders WHERE o_orderstatus <> 'P'""",
     "load_ignore": f"{_WITH} SELECT * FROM target UNION ALL SELECT {_COLUMNS} FROM first WHERE {_NEW}",
     "load_upsert": f"""{_WITH} SELECT {_COLUMNS} FROM last
         UNION ALL SELECT * FROM target WHERE (l_orderkey, l_linenumber) NOT IN (SELECT (l_orderkey, l_linenumber) FROM lines)""",

@@ -6,7 +6,8 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from queries.common import join, maps, run, step, table
+from queries.common import Died, Interrupted, join, maps, run, step, table
+from rowferry.operators.chunks import chunk_bounds, even_ends, load_ranges, part_number
 from rowferry.operators.ledger import rows_per_batch
 from rowferry.plans.blueprint import load_step, stage_step
 from rowferry.plans.migration import run_migration
@@ -196,15 +197,52 @@ def chunked_commits_decimal_key(spark, sf):
     return store.read("migrated", "result")
 
 
-def chunked_resume_grown(spark, sf):
-    """A first run that had fewer rows and staged its ranges; the second has all rows and other commits."""
-    store, orders = _store(spark), table(spark, sf, "orders")
-    first = orders.filter("o_orderkey < 5000")
-    stage_step(spark, replace(ORDERS, pre_filters=("o.o_orderkey < 2500",)), {"o": first}, store, "early", commits=2, tag="old-")
-    store.publish("staging", "orders_ranges", store.read("staging", "early_ranges"), tag="run-ranges")
-    staged, _ = stage_step(spark, ORDERS, {"o": orders}, store, "orders", commits=3, tag="run-")
+def _resumed(spark, first, then, commits, parts):
+    """A run that dies when it has staged some parts, and goes on under its name and tag with other rows and
+    another number of commits."""
+    left = [parts]
+
+    def die(schema, name):
+        if (schema, name) == ("staging", "orders"):
+            left[0] -= 1
+            if left[0] < 0:
+                raise Died
+
+    root = fresh_folder(spark, "tables")
+    store = TableStore(spark, root)
+    try:
+        stage_step(spark, ORDERS, {"o": first}, Interrupted(spark, root, die), "orders", commits=commits[0], tag="run-")
+    except Died:
+        pass
+    before = {v.path for v in store.versions("staging", "orders")}
+    staged, _ = stage_step(spark, ORDERS, {"o": then}, store, "orders", commits=commits[1], tag="run-")
+    kept = len(before & {v.path for v in store.versions("staging", "orders")})
     load_step(spark, ORDERS, staged, store, tag="run")
-    return store.read("migrated", "result")
+    return store.read("migrated", "result").withColumns({
+        "found": F.lit(len(before)), "kept": F.lit(kept)})
+
+
+def chunked_resume_grown(spark, sf):
+    """The first run had only the keys below 5000; the ranges it drew and the two parts it staged are kept."""
+    orders = table(spark, sf, "orders")
+    return _resumed(spark, orders.filter("o_orderkey < 5000"), orders, (2, 3), 1)
+
+
+def chunked_resume_late(spark, sf):
+    """Keys that come late in the first of two ranges that the first run had finished: it is staged again."""
+    orders = table(spark, sf, "orders")
+    low = orders.agg(F.min("o_orderkey")).first()[0]
+    return _resumed(spark, orders.filter(f"o_orderkey < {low} OR o_orderkey >= {low + 20}"), orders, (4, 4), 2)
+
+
+def chunk_plan_even(spark, sf):
+    """Eight ranges of a key that is dense at its low end: their rows, and whether none has over 1.5 times the mean."""
+    lines = table(spark, sf, "lineitem").select(F.expr("l_partkey * l_partkey * l_partkey").alias("key"))
+    lo, hi = chunk_bounds(lines, "key").first()
+    ranges = load_ranges(lo, hi, 1, 8, even_ends(lines, "key", 8))
+    counts = lines.groupBy(part_number(F.col("key"), ranges).alias("part")).count()
+    return counts.agg(F.count(F.lit(1)).alias("ranges"), F.sum("count").alias("rows"),
+                      (F.max("count") <= 1.5 * F.avg("count")).alias("even"))
 
 
 def _in_chunk_order(policy):
@@ -313,6 +351,33 @@ def _stream_in_thirds(policy):
     return query
 
 
+def stream_retry_ledger(spark, sf):
+    """A load of two batches that dies after its errors and refused rows are written; then a third batch comes. Each
+    bad value is listed once, with its batch, and each refused row is logged once."""
+    folder, root = fresh_folder(spark, "events"), fresh_folder(spark, "tables")
+    events = table(spark, sf, "events").withColumn("value", F.expr("IF(event_id % 5 = 0, 'n/a', CAST(CAST(value AS DECIMAL(10,2)) AS STRING))"))
+    last = events.agg(F.max("event_id")).first()[0]
+    s = replace(EVENTS, columns=(EVENTS.columns[2], EVENTS.columns[3]), target=replace(EVENTS.target, keys=("event_id",), policy="IGNORE_AND_LOG"))
+    plain = TableStore(spark, root)
+    plain.publish("migrated", "last_events", events.filter("event_id % 7 = 0").select("event_id", F.lit(0).cast("decimal(10,2)").alias("value")))
+
+    def die(schema, name):
+        if (schema, name) == ("migrated", "last_events"):
+            raise Died
+
+    for third, store in ((0, Interrupted(spark, root, die)), (1, Interrupted(spark, root, die)), (2, plain)):
+        events.filter(F.expr(f"event_id * 3 div ({last} + 1) = {third}")).coalesce(1).write.mode("append").parquet(folder)
+        try:
+            run_stream(spark, file_stream(spark, folder, events.schema), s, store, "events", f"{folder}-checkpoint")
+        except Died:
+            pass
+    errors = plain.read("migration_admin", "row_errors").select(F.col("row_identity")["event_id"].cast("bigint").alias("event_id"),
+                                                                "batch_number", F.col("raw_value").alias("what"))
+    log = plain.read("migrated", "migration_conflict_log").select("event_id", F.lit(None).cast("bigint").alias("batch_number"),
+                                                                  F.col("reject_reason").alias("what"))
+    return errors.unionByName(log)
+
+
 def batch_metrics(spark, sf):
     store, (stream, folder) = _store(spark), _event_files(spark, sf)
     stage_stream(stream, EVENTS, store, "events", f"{folder}-checkpoint")
@@ -326,7 +391,8 @@ QUERIES = {
     "migration_customers": migration_customers, "migration_rerun": migration_rerun,
     "migration_report": migration_report, "chunked_load": chunked_load, "chunked_resume": chunked_resume,
     "chunked_commits_text_key": chunked_commits_text_key, "chunked_commits_decimal_key": chunked_commits_decimal_key,
-    "chunked_resume_grown": chunked_resume_grown, "chunked_upsert_order": _in_chunk_order("UPSERT"),
+    "chunked_resume_grown": chunked_resume_grown, "chunked_resume_late": chunked_resume_late,
+    "chunk_plan_even": chunk_plan_even, "stream_retry_ledger": stream_retry_ledger, "chunked_upsert_order": _in_chunk_order("UPSERT"),
     "chunked_ignore_log_order": _in_chunk_order("IGNORE_AND_LOG"), "chunk_metrics": chunk_metrics,
     "structure_copy": structure_copy, "table_exists_skip": table_exists_skip, "stream_load": stream_load,
     "load_type_fit": load_type_fit, "stream_upsert_keys": _stream_in_thirds("UPSERT"),
@@ -384,7 +450,13 @@ ORACLE = {
     "chunked_resume": f"{_ORDER_ROWS} FROM orders",
     "chunked_commits_text_key": f"{_ORDER_ROWS} FROM orders",
     "chunked_commits_decimal_key": f"{_ORDER_ROWS} FROM orders".replace("o_orderkey", "o_custkey"),
-    "chunked_resume_grown": f"{_ORDER_ROWS} FROM orders",
+    "chunked_resume_grown": f"{_ORDER_ROWS}, 1 AS found, 1 AS kept FROM orders",
+    "chunked_resume_late": f"{_ORDER_ROWS}, 2 AS found, 1 AS kept FROM orders",
+    "chunk_plan_even": "SELECT 8::BIGINT AS ranges, count(*)::BIGINT AS rows, TRUE AS even FROM lineitem",
+    "stream_retry_ledger": """
+        WITH e AS (SELECT event_id, event_id * 3 // ((SELECT max(event_id) FROM events) + 1) AS batch_number FROM events)
+        SELECT event_id, batch_number::BIGINT AS batch_number, 'n/a' AS what FROM e WHERE event_id % 5 = 0
+        UNION ALL SELECT event_id, NULL, 'DUPLICATE_KEY' FROM e WHERE event_id % 7 = 0""",
     "chunked_upsert_order": _CHUNK_ORDER.format(way="DESC", logged="0"),
     "chunked_ignore_log_order": _CHUNK_ORDER.format(
         way="ASC", logged="(SELECT count(*) FROM chunked c WHERE chunk > (SELECT min(chunk) FROM chunked f "

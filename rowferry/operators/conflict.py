@@ -17,13 +17,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowferry.operators.joins import HOT_ROWS, hot_keys, key_counts, rows_with_key_in
+from rowferry.operators.joins import HOT_ROWS, key_counts, rows_with_key_in, spread_join
 
 DUPLICATE_KEY = "DUPLICATE_KEY"
 #: The column that tells which batch or chunk of a load a row came in.
 BATCH = "_batch"
 DUPLICATE_IN_BATCH = "DUPLICATE_IN_BATCH"
 NULL_KEY = "NULL_KEY"
+#: The column with the fate of a key, and its values.
+FLAG = "flag"
+MET, SEVERAL, NEW = "met", "several", "new"
 
 
 class KeyConflict(Exception):
@@ -91,52 +94,42 @@ def met_keys(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFr
     return rows_with_key_in(target.select(*keys), key_counts(batch, keys).filter("count > 0"), keys)
 
 
-def captured(
-    target: DataFrame, batch: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS,
-    met: DataFrame | None = None,
-) -> DataFrame:
-    """All batch rows whose key is in the target before the load.
+def key_flags(target: DataFrame, batch: DataFrame, keys: Sequence[str], order_by: Sequence[str] = ()) -> DataFrame:
+    """The fate of every key of a batch, from one scan of the batch and one of the target's keys.
 
-    A key with very many batch rows is looked up once and its rows are found by a broadcast of
-    those few keys, so they are never shuffled to one task; the other rows join as usual.
+    Both are one tagged union with one aggregate per key, which combines before its shuffle: FLAG is
+    MET (the target has the key), SEVERAL (new, with several batch rows) or NEW. Besides, the row that IGNORE picks, the rows of the key
+    and the batch it first came in.
     """
     keys = list(keys)
-    rows = batch.filter(has_key(keys))
-    there = met if met is not None else met_keys(target, batch, keys)
-    hot = hot_keys(rows, keys, hot_rows)
-    hot_there = hot.join(there, keys, "left_semi")
-    of_hot = rows.join(F.broadcast(hot_there), keys, "left_semi")
-    others = rows.join(F.broadcast(hot), keys, "left_anti").join(there, keys, "left_semi")
-    return of_hot.unionByName(others).withColumn("reject_reason", F.lit(DUPLICATE_KEY))
+    rest = [c for c in batch.columns if c not in keys]
+    first = [c for c in order_by if c in rest]
+    row = F.struct(*[*first, *[c for c in rest if c not in first]]) if rest else F.struct(F.lit(0).alias("_none"))
+    number = F.col(BATCH) if BATCH in batch.columns else F.lit(0).cast("bigint")
+    ours = batch.filter(has_key(keys)).select(*keys, row.alias("_row"), number.alias("_number"), F.lit(0).alias("_there"))
+    theirs = target.select(*keys, F.lit(None).cast(ours.schema["_row"].dataType).alias("_row"),
+                           F.lit(None).cast("bigint").alias("_number"), F.lit(1).alias("_there"))
+    each = ours.unionByName(theirs).groupBy(*keys).agg(
+        F.max("_there").alias("_there"), F.min("_row").alias("_row"), F.count("_row").alias("_rows"), F.min("_number").alias("_first"))
+    flag = F.when(F.col("_there") == 1, MET).when(F.col("_rows") > 1, SEVERAL).otherwise(NEW)
+    return each.filter("_rows > 0").select(*keys, "_row", "_rows", "_first", flag.alias(FLAG))
+
+
+def flagged(batch: DataFrame, keys: Sequence[str], flags: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The batch rows whose key was met or came several times, with the flag, winner and first batch of
+    the key: one scan and one join, in which rows of hot keys are spread by the number of their rows."""
+    wanted = flags.filter(F.col(FLAG) != NEW).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                                                     F.col("_row").alias("_winner"), "_rows", "_first", FLAG)
+    return spread_join(batch.filter(has_key(keys)), wanted, keys, [f"_k{i}" for i in range(len(keys))],
+                       wanted.select(*[f"_k{i}" for i in range(len(keys))], F.col("_rows").alias("count")), hot_rows=hot_rows)
 
 
-def batch_duplicates(
-    target: DataFrame, batch: DataFrame, keys: Sequence[str], order_by: Sequence[str] = (),
-    met: DataFrame | None = None,
+def captured(
+    target: DataFrame, batch: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, flags: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows that lose to another batch row of the same new key: one row per distinct loser, with
-    ``copies`` telling how often it occurred."""
-    keys = list(keys)
-    columns = batch.columns
-    there = met if met is not None else met_keys(target, batch, keys)
-    rows = batch.filter(has_key(keys)).join(there, keys, "left_anti")
-    counted = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies"))
-    # the winner of a key loses one copy; a multi-row key is told by its total
-    winner = one_per_key(rows, keys, order_by, greatest=False).withColumn("_winner", F.lit(1))
-    marked = counted.join(winner, _every([counted[c].eqNullSafe(winner[c]) for c in columns]), "left")
-    left_over = F.col("copies") - F.coalesce(F.col("_winner"), F.lit(0))
-    return (marked.select(*[counted[c] for c in columns], left_over.alias("copies"))
-            .filter("copies > 0").withColumn("reject_reason", F.lit(DUPLICATE_IN_BATCH)))
-
-
-def of_earlier_batches(batch: DataFrame, keys: Sequence[str], met: DataFrame) -> DataFrame:
-    """Rows whose key came in an earlier batch and was new then: had the batches been loaded one
-    after the other, these would have met it in the target. Only keys of several batches are joined."""
-    keys = list(keys)
-    rows = batch.filter(has_key(keys))
-    first = (rows.groupBy(*keys).agg(F.min(BATCH).alias("_first"), F.max(BATCH).alias("_last"))
-             .filter("_first < _last").join(met, keys, "left_anti"))
-    return (rows.join(first, keys).filter(F.col(BATCH) > F.col("_first")).select(*batch.columns)
+    """All batch rows whose key is in the target before the load."""
+    flags = flags if flags is not None else key_flags(target, batch, keys)
+    return (flagged(batch, list(keys), flags, hot_rows).filter(F.col(FLAG) == MET).select(*batch.columns)
             .withColumn("reject_reason", F.lit(DUPLICATE_KEY)))
 
 
@@ -209,23 +202,39 @@ def upsert(
 def ignore_and_capture(
     target: DataFrame, batch: DataFrame, keys: Sequence[str], order_by: Sequence[str] = (),
     met: DataFrame | None = None, *, log_batch_duplicates: bool = False, hot_rows: int = HOT_ROWS,
-    carried: Sequence[str] = (),
+    carried: Sequence[str] = (), flags: DataFrame | None = None,
 ) -> Load:
     """IGNORE, with the rows that met an existing key as rejects (for a log or unprocessed table).
 
-    ``carried`` columns of the batch go with the rejects only; they take no part in the load.
+    Where batches are loaded in order, rows whose key came in an earlier batch and was new then are
+    rejects too: loaded one after the other, they would have met it. ``log_batch_duplicates`` adds
+    the rows that lose to another one of their batch, one for equal copies with their number in ``copies``.
+    ``carried`` columns of the batch go with the rejects only. ``flags`` are ``key_flags`` of the batch without them.
     """
     keys = _needed(keys, "a policy that captures conflicts")
-    there = met if met is not None else met_keys(target, batch, keys)
     plain = batch.drop(*carried)
-    load = ignore(target, plain, keys, order_by, there)
-    rejects = captured(target, batch, keys, hot_rows, there).unionByName(_null_key_rows(batch, keys))
+    flags = flags if flags is not None else key_flags(target, plain, keys, order_by)
+    rest = [c for c in plain.columns if c not in keys]
+    append = flags.filter(F.col(FLAG) != MET).select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in plain.columns])
+    found = flagged(batch, keys, flags, hot_rows)
+    refused = F.col(FLAG) == MET
     if order_by and order_by[0] == BATCH:
-        rejects = rejects.unionByName(of_earlier_batches(batch, keys, there))
+        refused = refused | (F.col(BATCH) > F.col("_first"))
+    rejects = (found.filter(refused).select(*batch.columns).withColumn("reject_reason", F.lit(DUPLICATE_KEY))
+               .unionByName(_null_key_rows(batch, keys)))
     if log_batch_duplicates:
+        own = F.struct(*[F.col(f"_winner.{c}") for c in rest]) if rest else F.lit(None)
+        losers = found.filter(~refused).select(*plain.columns, _same_row(rest, own).alias("_won"))
+        # the winner of a key loses one copy
+        lost = losers.groupBy(*plain.columns).agg((F.count(F.lit(1)) - F.max(F.col("_won").cast("int"))).alias("copies"))
         rejects = rejects.withColumn("copies", F.lit(1).cast("bigint")).unionByName(
-            batch_duplicates(target, plain, keys, order_by, there), allowMissingColumns=True)
-    return Load(load.append, load.new_target, False, rejects)
+            lost.filter("copies > 0").withColumn("reject_reason", F.lit(DUPLICATE_IN_BATCH)), allowMissingColumns=True)
+    return Load(append, _add(target, append), False, rejects)
+
+
+def _same_row(columns: Sequence[str], winner: Column) -> Column:
+    """Whether a row's columns are those of the winner of its key."""
+    return F.struct(*columns).eqNullSafe(winner) if columns else F.lit(True)
 
 
 def _needed(keys: Sequence[str], what: str) -> list[str]:

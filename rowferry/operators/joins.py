@@ -6,6 +6,7 @@ import functools
 import re
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,9 +14,9 @@ from pyspark.sql import types as T
 from rowferry.functions.expressions import expression
 from rowferry.spec import Condition, Join
 
+#: Rows of one key that a task may get, and the number of keys that can be spread (see ``salts_of``).
 HOT_ROWS = 1_000_000
-HOT_KEYS = 1_000
-SALTS = 64
+MOST_HOT = 100_000
 
 
 def _operand_types(left: DataFrame, right: DataFrame, conditions: Sequence[Condition]):
@@ -57,11 +58,15 @@ def join_source(left: DataFrame, right: DataFrame, join: Join) -> DataFrame:
 
     Equalities make it a hash or sort-merge join with the other conditions as its filter; the side
     small enough by its statistics is broadcast by Spark itself. ``salted`` is for a join key that
-    holds a large share of the left rows, ``stripe`` for a range without an equality.
+    holds a large share of the left rows. A range without an equality is joined by dyadic intervals,
+    or by stripes of the width ``stripe``.
     """
     if join.stripe:
-        at, low, high = _range_of(join.conditions)
-        return range_join(left, right, at, low, high, join.stripe, join.how)
+        at, low, high, bounds = _range_of(join.conditions)
+        return range_join(left, right, at, low, high, join.stripe, join.how, **bounds)
+    if _is_range(left, right, join.conditions):
+        at, low, high, bounds = _range_of(join.conditions)
+        return interval_join(left, right, at, low, high, join.how, hot_rows=HOT_ROWS if join.salted else None, **bounds)
     if join.salted:
         return salted_join(left, right, join.source.alias, join.conditions, join.how)
     condition = functools.reduce(
@@ -85,13 +90,52 @@ def key_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.filter(_all_present(keys)).groupBy(*keys).count()
 
 
-def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The keys with more than ``hot_rows`` rows, at most HOT_KEYS of them.
+def salts_of(counts: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(keys, _salts) of the keys with more than ``hot_rows`` rows: among how many tasks each is to be spread,
+    by its ``count``. In a table of more than MOST_HOT times as many rows the bound rises with it, so
+    no data has more than MOST_HOT such keys and the result can be broadcast."""
+    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).scalar()
+    bound = F.greatest(F.lit(hot_rows).cast("double"), total / MOST_HOT)
+    return counts.filter(F.col("count") > bound).select(*keys, F.ceil(F.col("count") / bound).cast("int").alias("_salts"))
 
-    The result is small whatever the data holds; any key left out has at most 1/HOT_KEYS of all rows.
-    """
-    return (key_counts(rows, keys).filter(F.col("count") > hot_rows)
-            .orderBy(F.desc("count"), *keys).limit(HOT_KEYS).select(*keys))
+
+def _same(names: Sequence[str], others: Sequence[str]) -> Column:
+    return functools.reduce(lambda a, b: a & b, [F.col(n) == F.col(o) for n, o in zip(names, others)])
+
+
+def _salted_sides(
+    left: DataFrame, right: DataFrame, lnames: Sequence[str], rnames: Sequence[str], salts: DataFrame, row: Column,
+) -> tuple[DataFrame, DataFrame]:
+    """``left`` with ``_salt`` and ``right`` with ``_rsalt``, repeated once per salt of its key, and the
+    number of these copies. ``salts`` has a hot key in the columns _h0, _h1, ..."""
+    hot = F.broadcast(salts)
+    names = [f"_h{i}" for i in range(len(lnames))]
+    # the salt follows from the row and its partition, so a repeated task gives the same one, and
+    # equal rows still spread
+    spread = F.pmod(F.xxhash64(row, F.spark_partition_id()), F.col("_salts")).cast("int")
+    salted = (left.join(hot, _same(lnames, names), "left").withColumn("_salt", F.coalesce(spread, F.lit(0)))
+              .drop("_salts", *names))
+    every = F.when(F.col("_salts").isNotNull(), F.sequence(F.lit(0), F.col("_salts") - 1)).otherwise(F.array(F.lit(0)))
+    repeated = (right.join(hot, _same(rnames, names), "left").select("*", F.size(every).alias("_copies"), F.explode(every).alias("_rsalt"))
+                .drop("_salts", *names))
+    return salted, repeated
+
+
+def _hashable(rows: DataFrame) -> Column:
+    """A whole row as a value that can be hashed and grouped; maps and variants become text."""
+    row = F.struct(rows["*"])  # by their plan, as names may repeat
+    return F.to_json(row) if any(kind in rows.schema.simpleString() for kind in ("map<", "variant")) else row
+
+
+def spread_join(
+    left: DataFrame, right: DataFrame, lkeys: Sequence[str], rkeys: Sequence[str], counts: DataFrame, *, hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Inner equi-join of named keys whose hot ones, by ``counts`` of left rows per right key, are spread over
+    tasks. The right key columns are dropped."""
+    hot = salts_of(counts, rkeys, hot_rows).toDF(*[f"_h{i}" for i in range(len(rkeys))], "_salts")
+    salted, repeated = _salted_sides(left, right, lkeys, rkeys, hot, _hashable(left))
+    on = _same(lkeys, rkeys) & (F.col("_salt") == F.col("_rsalt"))
+    return salted.join(repeated, on).drop("_salt", "_rsalt", "_copies", *rkeys)
 
 
 def _all_present(keys: Sequence[str]) -> Column:
@@ -106,12 +150,11 @@ def salted_join(
     how: str = "INNER",
     *,
     hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
 ) -> DataFrame:
-    """Equi-join whose hot left keys are spread over ``salts`` tasks; same rows as a plain join.
+    """Equi-join whose hot left keys are spread over tasks; same rows as a plain join.
 
-    Left rows of a hot key get a salt, the right rows of those keys are repeated once per salt, and
-    the salt joins the key. Only hot keys repeat. RIGHT and FULL add the right rows none of whose
+    One count of the left keys says among how many tasks each is spread. Left rows of a hot key get a salt, the right rows of
+    those keys are repeated once per salt, and the salt joins the key. Only hot keys repeat. RIGHT and FULL add the right rows none of whose
     copies has a partner in a second step, which is salted as well.
     ``alias`` is the alias of ``right``; it tells which side of an equality is whose.
     """
@@ -121,59 +164,44 @@ def salted_join(
              for c, (a, op, b) in zip(conditions, sides) if op == "="]
     if not equal:
         raise ValueError("a salted join needs an equality")
-    names = [f"_k{i}" for i in range(len(equal))]
-    lkeys = left.select("*", *[a.alias(n) for n, (a, _) in zip(names, equal)])
-    rkeys = right.select("*", *[b.alias(f"_r{n}") for n, (_, b) in zip(names, equal)])
     rest = [_compare(*s) for s in sides if s[1] != "="]
+    return _keyed_join(left, right, equal, rest, how, hot_rows)
 
-    hot = hot_keys(lkeys.select(*names), names, hot_rows)
-    hot = F.broadcast(hot.select(*[F.col(n).alias(f"_h{n}") for n in names], F.lit(True).alias("_hot")))
-
-    def mark(df: DataFrame, prefix: str) -> DataFrame:
-        return df.join(hot, functools.reduce(
-            lambda a, b: a & b, [F.col(prefix + n) == F.col("_h" + n) for n in names]), "left")
 
-    # the salt follows from the row and its partition, so a repeated task gives the same one, and
-    # equal rows still spread
-    row = F.struct(left["*"])
-    if any(kind in left.schema.simpleString() for kind in ("map<", "variant")):  # these have no hash
-        row = F.to_json(row)
-    spread = F.pmod(F.xxhash64(row, F.spark_partition_id()), F.lit(salts)).cast("int")
-    salted = mark(lkeys, "").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)))
-    salted = salted.drop("_hot", *["_h" + n for n in names])
-    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = mark(_numbered(rkeys), "_r").select("*", F.size(every).alias("_copies"), F.explode(every).alias("_rsalt"))
-    repeated = repeated.drop("_hot", *["_h" + n for n in names])
-
-    on = [F.col(n) == F.col("_r" + n) for n in names] + [F.col("_salt") == F.col("_rsalt")] + rest
-    condition = functools.reduce(lambda a, b: a & b, on)
-    inner = "inner" if how in ("INNER", "RIGHT") else "left"
-    helpers = [*names, "_salt", "_rsalt", "_id", "_copies", *["_r" + n for n in names]]
-    joined = salted.join(repeated, condition, inner).drop(*helpers)
+def _keyed_join(
+    left: DataFrame, right: DataFrame, equal: Sequence[tuple[Column, Column]], rest: Sequence[Column], how: str, hot_rows: int,
+) -> DataFrame:
+    names, rnames = [f"_k{i}" for i in range(len(equal))], [f"_r_k{i}" for i in range(len(equal))]
+    lkeys = left.select("*", *[a.alias(n) for n, (a, _) in zip(names, equal)])
+    rkeys = right.select("*", *[b.alias(n) for n, (_, b) in zip(rnames, equal)])
+    hot = salts_of(key_counts(lkeys.select(*names), names), names, hot_rows)
+    salted, repeated = _salted_sides(lkeys, rkeys, names, rnames, hot.toDF(*[f"_h{i}" for i in range(len(names))], "_salts"), _hashable(left))
+    condition = functools.reduce(lambda a, b: a & b, [_same(names, rnames), F.col("_salt") == F.col("_rsalt"), *rest])
+    helpers = [*names, *rnames, "_salt", "_rsalt", "_copies"]
+    joined = salted.join(repeated, condition, "inner" if how in ("INNER", "RIGHT") else "left").drop(*helpers)
     if how in ("INNER", "LEFT"):
         return joined
-
     if rest:
-        lone = _without_partner(repeated, salted, condition, right.columns)
+        lone = _without_partner(repeated, salted, condition, right, "_rsalt")
     else:
         present = lkeys.select(*names).filter(_all_present(names)).distinct()
-        lone = rkeys.join(present, functools.reduce(
-            lambda a, b: a & b, [F.col("_r" + n) == F.col(n) for n in names]), "left_anti")
-        lone = lone.drop(*["_r" + n for n in names])
+        lone = rkeys.join(present, _same(rnames, names), "left_anti").drop(*rnames)
     return joined.union(_beside_nulls(left, lone))
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    return rows.select("*", F.monotonically_increasing_id().alias("_id"))
+def _without_partner(copies: DataFrame, others: DataFrame, condition: Column, rows: DataFrame, *copy: str) -> DataFrame:
+    """The rows of ``rows`` that meet none of ``others`` in any of their ``copies``, told apart by the columns
+    ``copy`` and counted in ``_copies``.
 
-
-def _without_partner(copies: DataFrame, others: DataFrame, condition: Column, columns: Sequence[str]) -> DataFrame:
-    """The rows that meet no row of ``others`` in any copy. Copies of a row share its ``_id`` and
-    each has their number as ``_copies``, so a row is alone if that many copies are."""
-    row = F.struct(*[F.col(f"`{c}`") for c in columns])
-    return (copies.join(others, condition, "left_anti").groupBy("_id")
-            .agg(F.count(F.lit(1)).alias("_n"), F.max("_copies").alias("_copies"), F.any_value(row).alias("_row"))
-            .filter("_n = _copies").select("_row.*"))
+    Copies find each other by the row itself, not by a number, which a repeated task might give to another
+    row. Equal rows meet the same others, so all of them are alone or none.
+    """
+    alone = (copies.join(others, condition, "left_anti").withColumns({"_key": _hashable(rows), "_row": F.struct(rows["*"])})
+             .groupBy("_key", *[F.col(c).alias(f"_c{i}") for i, c in enumerate(copy)])
+             .agg(F.count(F.lit(1)).alias("_n"), F.max("_copies").alias("_copies"), F.any_value("_row").alias("_row")))
+    return (alone.groupBy("_key").agg(F.count(F.lit(1)).alias("_met"), F.max("_copies").alias("_copies"), F.max("_n").alias("_n"),
+                                      F.any_value("_row").alias("_row"))
+            .filter("_met = _copies").select("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), "_n"))).select("_row.*"))
 
 
 def _beside_nulls(left: DataFrame, lone: DataFrame) -> DataFrame:
@@ -183,40 +211,142 @@ def _beside_nulls(left: DataFrame, lone: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------------------------
 # Ranges and keys
 
-def _range_of(conditions: Sequence[Condition]) -> tuple[str, str, str]:
-    """Point, low and high of the conditions ``point >= low`` and ``point < high``."""
-    by_operator = {c.operator: c for c in conditions}
-    if len(conditions) == 2 and set(by_operator) == {">=", "<"}:
-        low, high = by_operator[">="], by_operator["<"]
-        if low.left == high.left:
-            return low.left, low.right, high.right
-    raise ValueError("a striped join needs the two conditions 'point >= low' and 'point < high'")
+_FLIPPED = {">=": "<=", ">": "<", "<=": ">=", "<": ">"}
+
+
+def _range_of(conditions: Sequence[Condition]) -> tuple[str, str, str, dict[str, bool]]:
+    """Point, low and high of two conditions that hold a point between two bounds, and whether the low and
+    the high bound itself is in."""
+    found = {}
+    for at in {c.left for c in conditions} | {c.right for c in conditions}:
+        told = [c if c.left == at else Condition(c.right, _FLIPPED[c.operator], c.left)
+                for c in conditions if at in (c.left, c.right) and c.operator in _FLIPPED]
+        low = [c for c in told if c.operator in (">=", ">")]
+        high = [c for c in told if c.operator in ("<=", "<")]
+        if len(conditions) == 2 and len(low) == len(high) == 1:
+            found[at] = low[0].left, low[0].right, high[0].right, {
+                "low_in": low[0].operator == ">=", "high_in": high[0].operator == "<="}
+    if len(found) != 1:
+        raise ValueError("a range join needs two conditions like 'point >= low' and 'point < high'")
+    return next(iter(found.values()))
+
+
+def _is_range(left: DataFrame, right: DataFrame, conditions: Sequence[Condition]) -> bool:
+    """Whether the conditions are a point of the left and a range of the right side, all numbers, or all times."""
+    try:
+        at, low, high, *_ = _range_of(conditions)
+        kinds = [left.select(expression(at)).schema[0].dataType,
+                 *(f.dataType for f in right.select(expression(low).alias("l"), expression(high).alias("h")).schema.fields)]
+    except (ValueError, AnalysisException):
+        return False
+    return all(isinstance(k, T.NumericType) for k in kinds) or all(
+        isinstance(k, (T.DateType, T.TimestampType, T.TimestampNTZType)) for k in kinds)
+
+
+def _between(at: Column, lo: Column, hi: Column, low_in: bool, high_in: bool) -> Column:
+    return (at >= lo if low_in else at > lo) & (at <= hi if high_in else at < hi)
 
 
 def range_join(
-    left: DataFrame, right: DataFrame, point: str, low: str, high: str, width: float, how: str = "INNER",
+    left: DataFrame, right: DataFrame, point: str, low: str, high: str, width: float, how: str = "INNER", *,
+    low_in: bool = True, high_in: bool = False,
 ) -> DataFrame:
-    """Left rows with the right rows whose ``low <= point < high``, without a nested loop.
+    """Left rows with the right rows whose range holds the point, without a nested loop.
 
     A point falls in one stripe of ``width``; a range is repeated once per stripe it touches, and
     the join is on the stripe. Choose ``width`` near the usual length of a range: a number, days for
     dates, seconds for moments. RIGHT and FULL add the ranges that hold no point, and the empty ones.
     """
     lo, hi, at = expression(low), expression(high), expression(point)
-    kinds = [left.select(at).schema[0].dataType, *(f.dataType for f in right.select(lo, hi).schema.fields)]
-    moments = [k for k in kinds if isinstance(k, (T.TimestampType, T.TimestampNTZType))]
-    common = moments[0] if moments else kinds[0]
+    common = _common_kind(left, right, at, lo, hi)
     stripe = lambda c: F.floor(_place(c, common) / F.lit(width)).cast("bigint")
     points = left.select("*", stripe(at).alias("_stripe"))
-    on = (F.col("_stripe") == F.col("_rstripe")) & (at >= lo) & (at < hi)
+    on = (F.col("_stripe") == F.col("_rstripe")) & _between(at, lo, hi, low_in, high_in)
     touched = F.sequence(stripe(lo), stripe(hi))
     if how in ("INNER", "LEFT"):
-        ranges = right.filter(lo < hi).select("*", F.explode(touched).alias("_rstripe"))
+        ranges = right.filter(lo <= hi).select("*", F.explode(touched).alias("_rstripe"))
         return points.join(ranges, on, how.lower()).drop("_stripe", "_rstripe")
-    touched = F.when(lo < hi, touched).otherwise(F.array(F.lit(None).cast("bigint")))
-    ranges = _numbered(right).select("*", F.size(touched).alias("_copies"), F.explode(touched).alias("_rstripe"))
-    joined = points.join(ranges, on, "left" if how == "FULL" else "inner").drop("_stripe", "_rstripe", "_id", "_copies")
-    return joined.union(_beside_nulls(left, _without_partner(ranges, points, on, right.columns)))
+    touched = F.when(lo <= hi, touched).otherwise(F.array(F.lit(None).cast("bigint")))
+    ranges = right.select("*", F.size(touched).alias("_copies"), F.explode(touched).alias("_rstripe"))
+    joined = points.join(ranges, on, "left" if how == "FULL" else "inner").drop("_stripe", "_rstripe", "_copies")
+    return joined.union(_beside_nulls(left, _without_partner(ranges, points, on, right, "_rstripe")))
+
+
+def _common_kind(left: DataFrame, right: DataFrame, at: Column, lo: Column, hi: Column) -> T.DataType:
+    kinds = [left.select(at).schema[0].dataType, *(f.dataType for f in right.select(lo.alias("l"), hi.alias("h")).schema.fields)]
+    moments = [k for k in kinds if isinstance(k, (T.TimestampType, T.TimestampNTZType))]
+    return moments[0] if moments else kinds[0]
+
+
+#: Places of dyadic intervals: 0 .. 2^61, the middle for 0; what lies beyond is at the ends.
+TOP, MIDDLE = 61, 1 << 60
+
+
+def interval_join(
+    left: DataFrame, right: DataFrame, point: str, low: str, high: str, how: str = "INNER", *,
+    low_in: bool = True, high_in: bool = False, hot_rows: int | None = None,
+) -> DataFrame:
+    """Left rows with the right rows whose range holds the point, for ranges of any length.
+
+    A range from a to b is the union of at most two dyadic intervals of each length 2^k, and a point
+    lies in one of each length: a range is repeated for its intervals, at most 2 log2(b - a) of them, a
+    point for the lengths that any range has, and the join is an equality on length and number. Exactly one interval of a range holds a point, so no
+    pair comes twice. LEFT, RIGHT and FULL add the rows without a partner in any copy. With ``hot_rows``
+    intervals with more points are spread over tasks.
+    """
+    lo, hi, at = expression(low), expression(high), expression(point)
+    common = _common_kind(left, right, at, lo, hi)
+    place = lambda c: _whole_place(c, common)
+    first, last = place(lo), place(hi)
+    # at length 2^k the rest of the range begins at ceil(first / 2^k) and ends before floor((last + 1) / 2^k);
+    # an odd number at either end has no sibling inside, so it is one of the intervals
+    ranges = right.select("*", F.when(lo <= hi, first).alias("_first"), F.when(lo <= hi, last + 1).alias("_end"))
+    nodes = F.expr("""
+        filter(flatten(transform(sequence(0, greatest(0, cast(ceil(log2(_end - _first)) AS int))), k -> array(
+          if(shiftrightunsigned(_first + shiftleft(1L, k) - 1, k) % 2 = 1
+             AND shiftrightunsigned(_first + shiftleft(1L, k) - 1, k) < shiftrightunsigned(_end, k),
+             struct(k AS k, shiftrightunsigned(_first + shiftleft(1L, k) - 1, k) AS n), NULL),
+          if(shiftrightunsigned(_end, k) % 2 = 1
+             AND shiftrightunsigned(_first + shiftleft(1L, k) - 1, k) < shiftrightunsigned(_end, k),
+             struct(k AS k, shiftrightunsigned(_end, k) - 1 AS n), NULL)))), x -> x IS NOT NULL)""")
+    none = F.lit(None).cast("struct<k int, n bigint>")
+    nodes = F.when(F.col("_first").isNotNull() & F.col("_end").isNotNull(), nodes).otherwise(F.array(none))
+    ranges = ranges.select("*", nodes.alias("_nodes"))
+    ranges = ranges.select("*", F.size("_nodes").alias("_copies"), F.explode("_nodes").alias("_node")).select(
+        "*", F.col("_node.k").alias("_rk"), F.col("_node.n").alias("_rn")).drop("_first", "_end", "_nodes", "_node")
+    # the lengths that occur, at most TOP + 2 numbers
+    lengths = sorted(r[0] for r in ranges.select("_rk").distinct().collect() if r[0] is not None) or [0]
+    probes = F.transform(F.array(*[F.lit(k) for k in lengths]), lambda k: F.struct(
+        k.alias("k"), F.call_function("shiftrightunsigned", F.col("_at"), k).alias("n")))
+    points = (left.select("*", place(at).alias("_at")).select("*", F.explode(probes).alias("_node"))
+              .select("*", F.col("_node.k").alias("_lk"), F.col("_node.n").alias("_ln")).drop("_at", "_node")
+              .withColumn("_lcopies", F.lit(len(lengths))))
+    inside = _between(at, lo, hi, low_in, high_in)
+    equal = [(F.col("_lk"), F.col("_rk")), (F.col("_ln"), F.col("_rn"))]
+    on = (F.col("_lk") == F.col("_rk")) & (F.col("_ln") == F.col("_rn")) & inside
+    helpers = ["_lk", "_ln", "_rk", "_rn", "_copies", "_lcopies"]
+    if hot_rows:
+        joined = _keyed_join(points, ranges.drop("_copies"), equal, [inside], "INNER", hot_rows)
+    else:
+        joined = points.join(ranges, on)
+    joined = joined.drop(*helpers)
+    if how in ("LEFT", "FULL"):
+        alone = points.withColumn("_copies", F.col("_lcopies"))
+        lone = _without_partner(alone.drop("_lcopies"), ranges.drop("_copies"), on, left, "_lk")
+        joined = joined.union(lone.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields]))
+    if how in ("RIGHT", "FULL"):
+        joined = joined.union(_beside_nulls(left, _without_partner(ranges, points, on, right, "_rk", "_rn")))
+    return joined
+
+
+def _whole_place(value: Column, kind: T.DataType) -> Column:
+    """A whole number from 0 to 2^61 that does not fall when the value rises."""
+    number = F.unix_micros(value.cast(kind)) if isinstance(kind, T.TimestampType) else _place(value, kind)
+    if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
+        limit, number = F.lit(float(MIDDLE)), number.cast("double")
+        number = F.when(F.isnan(number), limit).otherwise(F.floor(F.greatest(F.least(number, limit), -limit)))
+    whole = F.greatest(F.least(number.cast("bigint"), F.lit(MIDDLE - 1)), F.lit(1 - MIDDLE))
+    return whole + F.lit(MIDDLE)
 
 
 def _place(value: Column, kind: T.DataType) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -40,6 +40,7 @@ def run_migration(
     log_batch_duplicates: bool = False,
     commits: int | None = None,
     lower: int | None = None,
+    watch: Sequence[str] = (),
     check_null: bool = False,
     check_length: bool = False,
     targets: Callable[[Step], object] | None = None,
@@ -49,8 +50,8 @@ def run_migration(
 
     Called again with the same ``run_id`` after a failure, it goes on where it stopped: a step
     whose target version carries the run's tag is not loaded again. Targets are tables of
-    ``store`` unless ``targets`` says where a step's target is. ``commits`` and ``lower`` concern
-    chunked steps (see ``stage_step`` and ``chunk_bounds``). ``check_null`` and ``check_length`` list
+    ``store`` unless ``targets`` says where a step's target is. ``commits``, ``lower`` and
+    ``watch`` concern chunked steps (see ``stage_step`` and ``chunk_bounds``). ``check_null`` and ``check_length`` list
     missing values of columns that are not nullable, and texts that are too long. The staged rows of a step are
     deleted once they are loaded, or refused by a FAIL policy; after any other failure they stay for
     the run to go on with.
@@ -68,7 +69,7 @@ def run_migration(
         try:
             frames = sources(step) if sources else open_sources(spark, step, migration.connections, read_options)
             staged, batches = stage_step(
-                spark, step, frames, store, name, commits=commits, lower=lower, tag=f"{tag}-",
+                spark, step, frames, store, name, commits=commits, lower=lower, watch=watch, tag=f"{tag}-",
                 check_null=check_null, check_length=check_length)
             result = load_step(
                 spark, step, staged, store, migration_id=migration.migration_id, tag=run_id, at=at,

@@ -125,9 +125,12 @@ class Target:
     audit_table: str | None = None
     connection: str | None = None
     order_by: tuple[str, ...] = ()
+    buckets: int | None = None  # keep the table by the hash of its key, so that updates rewrite parts of it
 
     def __post_init__(self) -> None:
         _one_of(self.policy, POLICIES, "conflict policy")
+        if self.buckets is not None and (self.buckets < 1 or not self.keys):
+            raise SpecError("buckets need primary key columns and a number of at least 1")
         if not self.keys and self.policy not in ("FAIL", "IGNORE"):
             raise SpecError(f"{self.policy} needs primary key columns")
         if self.policy == "IGNORE_AND_INSERT_UNPROCESSED" and not self.unprocessed_table:
@@ -233,7 +236,7 @@ def step_from(entry: Mapping[str, Any]) -> Step:
     f = _take(entry, where, "sequence_order target sources mappings",
               "chunking_strategy pre_filters derivations post_filters")
     t = _take(f["target"], f"{where} target", "schema table_name primary_keys on_conflict",
-              "connection_ref unprocessed_table audit_table order_by")
+              "connection_ref unprocessed_table audit_table order_by buckets")
     audit = t["audit_table"]
     if isinstance(audit, Mapping):
         audit = ".".join(filter(None, (audit.get("schema"), audit.get("table_name"))))
@@ -247,7 +250,7 @@ def step_from(entry: Mapping[str, Any]) -> Step:
     return Step(
         order=f["sequence_order"],
         target=Target(t["schema"], t["table_name"], tuple(t["primary_keys"]), t["on_conflict"],
-                      t["unprocessed_table"], audit, t["connection_ref"], tuple(t["order_by"] or ())),
+                      t["unprocessed_table"], audit, t["connection_ref"], tuple(t["order_by"] or ()), t["buckets"]),
         root=_source_from(f["sources"]["root_table"], f"{where} root"),
         joins=tuple(_join_from(j, f"{where} join") for j in f["sources"].get("joins", ())),
         columns=tuple(columns),

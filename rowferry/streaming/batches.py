@@ -86,15 +86,16 @@ def run_stream(
     """
     query = stage_stream(stream, step, store, name, checkpoint, frames=frames)
     target, mark = step.target, f"{name}-{query}-upto"
-    loaded = [int(v.tag.removeprefix(mark).split("-")[0]) for v in store.versions(target.schema, target.table)
-              if v.tag and v.tag.startswith(mark)]
+    upto = lambda tag: int(tag.removeprefix(mark).split("-")[0]) if tag.startswith(mark) else -1
+    loaded = max((upto(v.tag) for v in store.versions(target.schema, target.table) if v.tag), default=-1)
     staged = {int(v.tag.removeprefix(f"{query}-b")): v.path for v in store.versions("staging", name)
               if v.tag and v.tag.startswith(f"{query}-b")}
-    new = sorted(n for n in staged if n > max(loaded, default=-1))
+    new = sorted(n for n in staged if n > loaded)
     if not new:
         return StepResult(step.order, skipped=True)
     rows = store.read("staging", name, [staged[n] for n in new])
+    # errors and refused rows of a load that died are in this one again, whose last batch may be a later one
     result = load_step(spark, step, rows, store, tag=f"{mark}{new[-1]}", order_by=["_batch", *target.order_by],
-                       **load_options)
+                       superseded=lambda tag: upto(tag) > loaded, **load_options)
     store.drop_versions(list(staged.values()))
     return result

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rowferry.operators.joins import hot_keys, join_source, join_sources, range_join, salted_join
+from rowferry.operators.joins import MOST_HOT, salts_of, interval_join, join_source, join_sources, range_join, salted_join
 from rowferry.spec import JOIN_TYPES, Condition, Join, Source, SpecError
 
 
@@ -52,7 +52,7 @@ def test_join_equals_brute_force(spark, sides, how, salted, extra):
         return a[0] is not None and a[0] == b[0] and (not extra or a[1] > b[1])
 
     if salted:
-        got = salted_join(l, r, "r", conditions, how, hot_rows=5, salts=4)
+        got = salted_join(l, r, "r", conditions, how, hot_rows=5)
     else:
         got = join_source(l, r, j("r", how, *[(c.left, c.operator, c.right) for c in conditions]))
     assert bag(got.select("l.k", "l.v", "r.k", "r.w")) == brute(left, right, on, how)
@@ -61,16 +61,28 @@ def test_join_equals_brute_force(spark, sides, how, salted, extra):
 def test_salting_spreads_a_hot_key(spark):
     l = spark.range(0, 9000, 1, 8).select(F.lit(1).alias("k"), F.lit("same").alias("v")).alias("l")
     r = made(spark, [(1, "x")], "k int, w string", "r")
-    joined = salted_join(l, r, "r", [Condition("l.k", "=", "r.k")], hot_rows=100, salts=8)
+    joined = salted_join(l, r, "r", [Condition("l.k", "=", "r.k")], hot_rows=100)
     assert joined.count() == 9000
     plan = joined._jdf.queryExecution().toString()
     assert "_salt" in plan and "spark_partition_id" in plan.lower()
 
 
-def test_hot_keys_are_few(spark):
-    df = spark.range(10_000).select((F.col("id") % 2000).alias("k"))
-    assert hot_keys(df, ["k"], hot_rows=1).count() == 1000
-    assert hot_keys(df, ["k"], hot_rows=5).count() == 0
+def test_salts_follow_the_rows_of_a_key(spark):
+    """Key k has k + 1 rows; any number of keys may be hot, and in a large table the bound rises with it."""
+    counts = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") + 1).alias("count"))
+    got = {r.k: r._salts for r in salts_of(counts, ["k"], hot_rows=1000).collect()}
+    assert got == {k: -(-(k + 1) // 1000) for k in range(1000, 3000)}
+    large = counts.withColumn("count", F.lit(MOST_HOT * 10).cast("bigint"))  # 3,000 keys with a million rows each
+    assert {r._salts for r in salts_of(large, ["k"], hot_rows=1000).collect()} == {34}
+
+
+def test_more_than_a_thousand_hot_keys(spark):
+    l = spark.range(0, 20_000, 1, 4).select((F.col("id") % 2000).alias("k"), "id").alias("l")
+    r = spark.range(2000).select(F.col("id").alias("k"), (F.col("id") * 3).alias("w")).alias("r")
+    joined = salted_join(l, r, "r", [Condition("l.k", "=", "r.k")], hot_rows=5)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" in plan and "GlobalLimit" not in plan and "CollectLimit" not in plan
+    assert joined.count() == joined.distinct().count() == 20_000 and joined.filter("w <> id % 2000 * 3").count() == 0
 
 
 def test_text_key_against_number(spark):
@@ -159,6 +171,60 @@ def test_salted_outer_join_with_a_range(spark, how):
     left = [(1, i) for i in range(40)] + [(2, 5), (None, 1), (7, 7)]
     right = [(1, 35), (1, 50), (1, 50), (2, 1), (2, 9), (3, 0), (None, 0)]
     got = salted_join(made(spark, left, "k int, v int", "l"), made(spark, right, "k int, low int", "r"), "r",
-                      [Condition("l.k", "=", "r.k"), Condition("l.v", ">=", "r.low")], how, hot_rows=10, salts=4)
+                      [Condition("l.k", "=", "r.k"), Condition("l.v", ">=", "r.low")], how, hot_rows=10)
     on = lambda a, b: a[0] is not None and a[0] == b[0] and a[1] >= b[1]
     assert bag(got) == sorted(brute(left, right, on, how), key=repr)
+
+
+WIDTHS = [10 ** k for k in range(13)]
+
+
+def spread_ranges():
+    rng = random.Random(5)
+    ranges = [(i, low, low + w) for i, (w, low) in enumerate((w, rng.randrange(-10 ** 12, 10 ** 12)) for w in WIDTHS for _ in range(3))]
+    ranges += [(90, 5, 5), (91, 9, 4), (92, None, 3), (93, -(1 << 62), 1 << 62), (93, -(1 << 62), 1 << 62), (94, 1 << 62, (1 << 62) + 9), (95, 7, 8)]
+    points = [(i, p) for i, p in enumerate([x for _, lo, hi in ranges if lo is not None for x in (lo - 1, lo, hi - 1, hi, (lo + hi) // 2)])]
+    return [*points, (900, None), (901, (1 << 62) + 5), (902, 7), (902, 7)], ranges
+
+
+@pytest.mark.parametrize("kind", ["bigint", "double", "decimal(30,2)"])
+@pytest.mark.parametrize("how", ["INNER", "LEFT", "RIGHT", "FULL"])
+def test_intervals_of_any_length(spark, how, kind):
+    points, ranges = spread_ranges()
+    l = made(spark, points, "i int, p bigint", "a").select("i", F.col("p").cast(kind)).alias("l")
+    r = made(spark, ranges, "r int, lo bigint, hi bigint", "b").select("r", F.col("lo").cast(kind), F.col("hi").cast(kind)).alias("r")
+    real = float if kind == "double" else int
+    for ops, test in (((">=", "<"), lambda a, b, c: b <= a < c), ((">", "<="), lambda a, b, c: b < a <= c)):
+        got = join_source(l, r, j("r", how, ("l.p", ops[0], "r.lo"), ("l.p", ops[1], "r.hi")))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+        on = lambda a, b: None not in (a[1], b[1], b[2]) and test(*(real(x) for x in (a[1], b[1], b[2])))  # noqa: E731, B023
+        assert bag(got.selectExpr("i", "r")) == sorted([(a[0], b[0]) for a, b in brute_pairs(points, ranges, on, how)], key=repr)
+
+
+def brute_pairs(left, right, on, how):
+    out = [(a, b) for a in left for b in right if on(a, b)]
+    none = (None, None, None)
+    if how in ("LEFT", "FULL"):
+        out += [(a, none) for a in left if not any(on(a, b) for b in right)]
+    if how in ("RIGHT", "FULL"):
+        out += [(none, b) for b in right if not any(on(a, b) for a in left)]
+    return out
+
+
+def test_intervals_of_times_and_of_hot_places(spark):
+    l = spark.range(0, 5000).select(F.expr("timestamp'2024-01-01' + make_interval(0,0,0,0,0,0,id % 50 / 4)").alias("t")).alias("l")
+    r = made(spark, [("a", "2024-01-01 00:00:00", "2024-01-01 00:00:05"), ("b", "2024-01-01 00:00:02.5", "2024-01-01 09:00:00")], "n string, f string, u string", "b")
+    r = r.select("n", F.col("f").cast("timestamp").alias("f"), F.col("u").cast("timestamp").alias("u")).alias("r")
+    conditions = ("l.t", ">=", "r.f"), ("l.t", "<", "r.u")
+    plain = join_source(l, r, j("r", "INNER", *conditions))
+    assert bag(plain.groupBy("n").count()) == [("a", 2000), ("b", 4000)]
+    salted = interval_join(l, r, "l.t", "r.f", "r.u", hot_rows=100)
+    assert "_salt" in salted._jdf.queryExecution().toString() and bag(salted.groupBy("n").count()) == [("a", 2000), ("b", 4000)]
+
+
+def test_outer_rows_do_not_depend_on_row_numbers(spark):
+    got = salted_join(made(spark, [(1, 1)], "k int, v int", "l"), made(spark, [(1, 9)] * 3, "k int, low int", "r"), "r",
+                      [Condition("l.k", "=", "r.k"), Condition("l.v", ">=", "r.low")], "RIGHT")
+    assert bag(got) == [(None, None, 1, 9)] * 3
+    assert "monotonically" not in got._jdf.queryExecution().toString().lower()

@@ -6,11 +6,11 @@ import datetime as dt
 
 import pytest
 
-from rowferry.operators.conflict import KeyConflict
+from rowferry.operators.conflict import KeyConflict, ignore_and_capture, key_flags
 from rowferry.operators.ledger import RowErrors
 from rowferry.plans.blueprint import load_step, run_blueprint, stage_step
 from rowferry.plans.migration import run_migration
-from rowferry.sinks.tables import TableStore
+from rowferry.sinks.tables import Buckets, TableStore
 from rowferry.spec import Chunking, ColumnMap, Condition, Connection, Join, Migration, Source, SpecError, Step, Target
 from rowferry.streaming.batches import file_stream, run_stream, stream_metrics
 from rowferry.workspace import fresh_folder
@@ -304,3 +304,114 @@ def test_order_and_checks_of_a_migration(spark, store):
         spark, rows(spark, ("1", "3"), ("1", "2"), ("2", "9"), ("3", "444"))))
     assert bag(store.read("core", "t"), "id", "z") == [(1, -2), (2, -9), (3, -444)]
     assert [tuple(e) for e in done.report.first().error_counts] == [(1, "NULL_VALUE", 1), (1, "TOO_LONG", 1)]
+
+
+BUCKETED = Target("core", "t", ("id",), "UPSERT", buckets=16)
+
+
+def folders(store, number):
+    import os
+    (version,) = [v for v in store.versions("core", "t") if v.number == number]
+    return {f for f in os.listdir(version.path) if f.startswith("_part=")}
+
+
+def test_an_update_reads_and_writes_the_buckets_it_meets(spark, store, monkeypatch):
+    s = step(target=BUCKETED)
+    run(spark, store, s, spark.range(500).selectExpr("id", "'1' AS amount"))
+    assert [v.layout for v in store.versions("core", "t")] == [store.layout("core", "t")] and len(folders(store, 1)) == 16
+    taken = []
+    read = store.read
+    monkeypatch.setattr(store, "read", lambda *a, buckets=None, **k: (taken.append(buckets), read(*a, buckets=buckets, **k))[1])
+    result = run(spark, store, s, rows(spark, ("7", "2"), ("8", "3"), ("9001", "4"), ("9002", "5")))
+    assert (result.rows_updated, result.rows_inserted) == (2, 2)
+    batch = Buckets(16, ("id",)).of(spark.createDataFrame([(7,), (8,), (9001,), (9002,)], "id bigint"))
+    met = Buckets(16, ("id",)).of(spark.createDataFrame([(7,), (8,)], "id bigint"))
+    assert [b for b in taken if b is not None] == [batch, met]
+    assert folders(store, 2) == {f"_part=new-{b}" for b in met} | {f"_part=add-{b}" for b in batch if b not in met}
+    monkeypatch.undo()
+    pruned = store.read("core", "t", buckets=met).inputFiles()
+    assert pruned and all(any(f"_part=new-{b}/" in f for b in met) and "000002" in f for f in pruned)
+    run(spark, store, s, rows(spark, ("9003", "6")))  # a new key adds to its bucket
+    assert {f.split("-")[0] for f in folders(store, 3)} == {"_part=add"}
+    now = amounts(store)
+    assert len(now) == 503 and {k: now[k] for k in (6, 7, 8, 9001, 9003)} == {6: "1.00", 7: "2.00", 8: "3.00", 9001: "4.00", 9003: "6.00"}
+    assert store.read("core", "t").columns == ["id", "amount"] and store.drop_old_versions("core", "t") == 0
+    store.compact("core", "t")
+    assert store.layout("core", "t") is None and store.drop_old_versions("core", "t") == 3 and amounts(store) == now
+
+
+@pytest.mark.parametrize("policy", ["FAIL", "IGNORE", "UPSERT", "IGNORE_AND_LOG"])
+def test_policies_on_a_table_in_buckets(spark, store, policy):
+    """A table without buckets gets them with the first load that asks for them; then loads agree with plain ones."""
+    for buckets, table in ((None, "t"), (4, "u")):
+        run(spark, store, step("IGNORE", table=table), rows(spark, *[(str(i), "1") for i in range(0, 40, 2)]))
+        for batch in ([(str(i), "2") for i in range(1, 20, 2)], [(str(i), "3") for i in range(41, 60)] + ([("4", "5"), ("4", "6")] if policy != "FAIL" else [])):
+            run(spark, store, step(target=Target("core", table, ("id",), policy, buckets=buckets)), rows(spark, *batch))
+    assert amounts(store, "u") == amounts(store, "t")
+    assert store.layout("core", "u").startswith("4k")
+    if policy == "IGNORE_AND_LOG":
+        assert store.read("core", "migration_conflict_log").groupBy("target_table").count().collect()[0]["count"] == 2
+
+
+def test_a_resumed_run_loses_no_late_row(spark, store):
+    """Key 5 comes after its range is staged and the run died; a changed column counts if it is watched."""
+    s = step(chunking=Chunking("s.id", 10))
+    make = lambda ids, amount="1": spark.createDataFrame([(i, amount) for i in ids], "id int, amount string")
+    stage_step(spark, s, {"s": make([i for i in range(30) if i != 5])}, store, "r_step1", commits=3, tag="r-step1-")
+    done = run_migration(spark, migration(s), store, run_id="r", sources=sources(spark, make(range(30))), commits=3)
+    assert done.results[0].rows_read == done.results[0].rows_loaded == 30 and sorted(amounts(store)) == list(range(30))
+    for watch, amount in (((), "1.00"), (("s.amount",), "2.00")):
+        name = f"w{len(watch)}"
+        stage_step(spark, s, {"s": make(range(30))}, store, name, commits=3, tag=f"{name}-", watch=watch)
+        staged, _ = stage_step(spark, s, {"s": make(range(30), "2")}, store, name, commits=3, tag=f"{name}-", watch=watch)
+        assert {str(r.amount) for r in staged.collect()} == {amount}
+    staged, batches = stage_step(spark, s, {"s": make(range(0))}, store, "w0", commits=3, tag="w0-")
+    assert staged.count() == 0 and [b[1] for b in batches] == [0, 0, 0, 0]
+
+
+def test_a_source_that_never_stands_still_is_an_error(spark, store, monkeypatch):
+    from rowferry.plans import blueprint
+    counter = iter(range(100))
+    monkeypatch.setattr(blueprint, "fingerprints", lambda *a: {1: f"1-{next(counter)}"})
+    with pytest.raises(blueprint.SourceChanged):
+        stage_step(spark, step(chunking=Chunking("s.id", 10)), {"s": rows(spark, ("1", "1"))}, store, "x", commits=1, tag="x-")
+
+
+def test_a_load_that_died_before_its_target_is_logged_anew(spark, store, monkeypatch):
+    """Refused rows and errors are out, the run dies, another load adds a key, the run is called again."""
+    s = step(target=Target("core", "t", ("id",), "IGNORE_AND_LOG"))
+    batch = rows(spark, ("1", "7"), ("2", "x"), ("3", "9"))
+    run(spark, store, step("IGNORE"), rows(spark, ("2", "1")))
+    publish = store.publish
+
+    def dies(schema, table, *a, **k):
+        if (schema, table) == ("core", "t"):
+            raise RuntimeError("gone")
+        return publish(schema, table, *a, **k)
+
+    monkeypatch.setattr(store, "publish", dies)
+    with pytest.raises(RuntimeError):
+        run_migration(spark, migration(s), store, run_id="r", sources=sources(spark, batch))
+    monkeypatch.undo()
+    run(spark, store, step("IGNORE"), rows(spark, ("1", "1")))
+    run_migration(spark, migration(s), store, run_id="r", sources=sources(spark, batch))
+    assert bag(store.read("core", "migration_conflict_log"), "id") == [(1,), (2,)]
+    assert bag(store.read("migration_admin", "row_errors"), "raw_value") == [("x",)]
+    assert amounts(store) == {1: "1.00", 2: "1.00", 3: "9.00"}
+    again = run_migration(spark, migration(s), store, run_id="r", sources=sources(spark, batch))
+    assert again.results[0].skipped and store.read("core", "migration_conflict_log").count() == 2
+
+
+def test_capture_reads_the_batch_twice_and_the_targets_keys_once(spark, store):
+    folder = fresh_folder(spark, "files")
+    spark.range(100).selectExpr("id", "id % 7 AS v").write.parquet(f"{folder}/batch")
+    spark.range(50).selectExpr("id * 3 AS id", "-1L AS v", "'x' AS w").write.parquet(f"{folder}/target")
+    batch, target = (spark.read.parquet(f"{folder}/{n}") for n in ("batch", "target"))
+    flags = key_flags(target, batch, ["id"])
+    scans = lambda df, name: sum(f"{name}]" in line for line in df._jdf.queryExecution().executedPlan().toString().splitlines())
+    flags.write.partitionBy("flag").parquet(f"{folder}/flags")
+    assert (scans(flags, "batch"), scans(flags, "target")) == (1, 1)
+    kept = spark.read.schema(flags.schema).parquet(f"{folder}/flags")
+    load = ignore_and_capture(target, batch, ["id"], flags=kept)
+    assert (scans(load.rejects, "batch") - 1, scans(load.rejects, "target"), scans(load.append, "batch")) == (1, 0, 0)  # NULL keys
+    assert load.append.count() == 66 and load.rejects.count() == 34
