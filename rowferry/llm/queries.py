@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
@@ -14,7 +16,9 @@ SHARDS = 40
 
 
 def surrogates(spark: SparkSession, sf: str) -> DataFrame:
-    return pii.replaced(table(spark, sf, "documents"))
+    """Under the key of the setting; without one, under a new key that nobody keeps."""
+    secret = spark.conf.get("spark.rowferry.surrogate.key", None) or secrets.token_hex(32)
+    return pii.replaced(table(spark, sf, "documents"), secret=secret)
 
 
 def quality_rules(spark: SparkSession, sf: str) -> DataFrame:
