@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from queries.casts import NUMBERS, UUIDS
 from queries.common import maps, step, table
 from rowferry.operators.checks import (
-    compare_checksums, diff_summary, key_check, null_check, recon_checksum, recon_counts, recon_diff)
+    compare_checksums, diff_summary, key_check, null_check, recon_checksum, recon_counts, recon_diff, recon_tree)
 from rowferry.operators.ledger import METRICS_SCHEMA, execution_report, loadable, row_errors
 from rowferry.operators.shape import evaluate
 from rowferry.plans.blueprint import stage_step, transformed
@@ -100,6 +100,11 @@ def recon_diff_query(spark, sf):
     return recon_diff(_orders(spark, sf), _altered(spark, sf), ["o_orderkey"], COLUMNS[1:])
 
 
+def recon_tree_query(spark, sf):
+    """The same differences, by checksum trees and the rows of differing leaves."""
+    return recon_tree(_orders(spark, sf), _altered(spark, sf), ["o_orderkey"], COLUMNS[1:])
+
+
 def recon_diff_multi(spark, sf):
     """Keys with several rows on both sides, against a copy without the returned lines."""
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
@@ -116,7 +121,7 @@ QUERIES = {
     "execution_report": execution_report_query, "key_check": key_check_query, "null_check": null_check_query,
     "recon_counts": recon_counts_query, "recon_checksum": recon_checksum_query,
     "recon_checksum_differs": recon_checksum_differs, "recon_diff": recon_diff_query,
-    "recon_diff_multi": recon_diff_multi, "recon_summary": recon_summary,
+    "recon_tree": recon_tree_query, "recon_diff_multi": recon_diff_multi, "recon_summary": recon_summary,
 }
 
 _NUMBER = r"regexp_full_match(n, '-?[0-9]+(\.[0-9]+)?')"
@@ -187,6 +192,7 @@ ORACLE = {
         FROM a FULL JOIN b ON a.bucket = b.bucket WHERE a.checksum IS DISTINCT FROM b.checksum""",
     "recon_diff": f"{_DIFF} SELECT * FROM diff WHERE status IS NOT NULL",
     "recon_summary": f"{_DIFF} SELECT status, count(*)::BIGINT AS keys FROM diff WHERE status IS NOT NULL GROUP BY 1",
+    "recon_tree": f"{_DIFF} SELECT * FROM diff WHERE status IS NOT NULL",
     "recon_diff_multi": """
         SELECT l_orderkey, l_linenumber, CASE WHEN kept = 0 THEN 'MISSING' ELSE 'DIFFERENT' END AS status,
                source_rows, kept AS target_rows, CASE WHEN kept > 0 THEN 'l_partkey,l_returnflag' END AS columns

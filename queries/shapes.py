@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from queries.common import expressions, join, maps, run, step, table
 from rowferry.operators.chunks import chunk_bounds, chunk_filter, chunk_plan
 from rowferry.operators.shape import align
+from rowferry.sources.open import open_sources
+from rowferry.spec import Connection
 
 ORDER_COLUMNS = maps(
     ("order_key", "DIRECT", "o.o_orderkey", "BIGINT"),
@@ -192,7 +196,32 @@ def predicates(spark, sf):
         ("unknown", "NULLIF(o.o_orderstatus, 'F') = 'O'", "INT"), ("yes", "TRUE", "INT"), ("no", "FALSE", "INT"))
 
 
+def _nocase(spark, sf, s):
+    """A step whose connections compare text without case."""
+    lake = {"data": Connection("PARQUET", sf, {"collation": "UTF8_LCASE"})}
+    return run(s, **open_sources(spark, s, lake))
+
+
+def predicates_nocase(spark, sf):
+    return _nocase(spark, sf, _of_table(step("o", ORDER_COLUMNS, pre_filters=[
+        "o.o_orderstatus IN ('f', 'O')", "o.o_orderpriority LIKE '%h' OR o.o_orderpriority = '1-urgent' OR o.o_orderpriority >= '5-lo'"],
+        derivations={"kind": "CASE o.o_orderstatus WHEN 'o' THEN 1 ELSE 0 END"}, post_filters=["kind = 0 OR o.o_orderpriority <> '1-Urgent'"]), o="orders"))
+
+
+def join_nocase(spark, sf):
+    return _nocase(spark, sf, _of_table(step("c", maps(
+        ("id", "DIRECT", "c.c_custkey", "BIGINT"), ("name", "DIRECT", "c.c_name", "TEXT"), ("same", "DIRECT", "d.c_custkey", "BIGINT")),
+        joins=[join("d", "LEFT", ("LOWER(d.c_name)", "=", "c.c_name"), ("d.c_mktsegment", "=", "'building'"))]), c="customer", d="customer"))
+
+
+def _of_table(s, **tables):
+    """The step with its sources' aliases standing for tables."""
+    return replace(s, root=replace(s.root, table=tables[s.root.alias]),
+                   joins=tuple(replace(j, source=replace(j.source, table=tables[j.source.alias])) for j in s.joins))
+
+
 QUERIES = {
+    "predicates_nocase": predicates_nocase, "join_nocase": join_nocase,
     "pre_filter": pre_filter, "post_filter": post_filter, "chunk_filter": chunk_filter_query,
     "chunk_plan": chunk_plan_query, "chunk_bounds": chunk_bounds_query, "derivations": derivations,
     "map_direct": map_direct, "map_derived": map_derived, "map_expression": map_expression,
@@ -202,6 +231,14 @@ QUERIES = {
 }
 
 ORACLE = {
+    "predicates_nocase": """
+        SELECT o_orderkey AS order_key, o_orderstatus AS status, o_totalprice::DECIMAL(12,2) AS price FROM orders
+        WHERE lower(o_orderstatus) IN ('f', 'o')
+          AND (lower(o_orderpriority) LIKE '%h' OR lower(o_orderpriority) = '1-urgent' OR lower(o_orderpriority) >= '5-lo')
+          AND (lower(o_orderstatus) <> 'o' OR lower(o_orderpriority) <> '1-urgent')""",
+    "join_nocase": """
+        SELECT c.c_custkey AS id, c.c_name AS name, d.c_custkey AS same
+        FROM customer c LEFT JOIN customer d ON lower(d.c_name) = lower(c.c_name) AND lower(d.c_mktsegment) = 'building'""",
     "pre_filter": """
         SELECT o_orderkey AS order_key, o_orderstatus AS status, o_totalprice::DECIMAL(12,2) AS price
         FROM orders WHERE o_orderstatus = 'F' AND o_orderdate >= TIMESTAMP '1997-01-01'""",

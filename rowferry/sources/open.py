@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowferry.operators.shape import MALFORMED
 from rowferry.sources.csv_files import DELIMITER, ENCODING, QUOTE, read_csv
@@ -18,11 +20,23 @@ def _under(base: str, name: str) -> str:
     return base + name if base.endswith("/") else f"{base}/{name}"
 
 
+def collated(df: DataFrame, collation: str) -> DataFrame:
+    """The rows with all text compared under a collation of Spark, such as UTF8_LCASE or UNICODE_CI: in
+    predicates, derivations, join conditions and orders. The values stay as they are."""
+    return df.withColumns({f.name: F.collate(F.col(f"`{f.name}`"), collation) for f in df.schema.fields if isinstance(f.dataType, T.StringType)})
+
+
 def open_source(
     spark: SparkSession, source: Source, connections: Mapping[str, Connection], **read_options,
 ) -> DataFrame:
-    """The rows of a source: a database table, a CSV file or a Parquet folder."""
+    """The rows of a source: a database table, a CSV file or a Parquet folder. A connection may name the
+    ``collation`` that its text is compared under."""
     connection = connections[source.connection]
+    rows = _rows(spark, source, connection, **read_options)
+    return collated(rows, connection.options["collation"]) if connection.options.get("collation") else rows
+
+
+def _rows(spark: SparkSession, source: Source, connection: Connection, **read_options) -> DataFrame:
     if connection.kind == "CSV_S3_BUCKET":
         base = connection.location
         base = "s3a" + base[2:] if base.startswith("s3:") else base

@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from rowferry.operators.checks import (
-    compare_checksums, key_check, null_check, recon_checksum, recon_counts, recon_diff, row_text)
+    checksum_tree, compare_checksums, different_leaves, key_check, null_check, recon_checksum, recon_counts, recon_diff, recon_tree,
+    row_text, tree_leaf)
 from rowferry.operators.chunks import chunk_bounds, chunk_filter, chunk_plan, load_ranges
 from rowferry.operators.ledger import LEDGER_SCHEMA, METRICS_SCHEMA, empty, execution_report, row_errors, stop_on_errors
 from rowferry.operators.shape import align, evaluate
@@ -129,3 +131,27 @@ def test_checksums_tell_null_from_its_mark_and_fields_apart(spark):
     two = spark.createDataFrame([("\\N", "a"), ("x", "y\x1fz")], "p string, q string")
     texts = [[r[0] for r in df.select(row_text(["p", "q"])).collect()] for df in (one, two)]
     assert not set(texts[0]) & set(texts[1])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_tree_finds_what_the_whole_comparison_finds(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice([i, i, None]) if i % 50 == 0 else i, rng.choice("xy"), rng.randrange(5)) for i in range(400)]
+    other = [r for r in rows if rng.random() > 0.02]
+    other = [(a, b, 9 if rng.random() < 0.02 else v) for a, b, v in other] + [(900, "z", 1), rows[0]]
+    s, t = (spark.createDataFrame(x, "a int, b string, v int") for x in (rows, other))
+    wanted = Counter(map(tuple, recon_diff(s, t, ["a", "b"], ["v"]).collect()))
+    for levels, fanout in ((1, 2), (2, 8), (3, 32)):
+        assert Counter(map(tuple, recon_tree(s, t, ["a", "b"], ["v"], levels=levels, fanout=fanout).collect())) == wanted
+    assert recon_tree(s, s, ["a", "b"], ["v"]).count() == 0 and recon_tree(s.limit(0), t.limit(0), ["a"], ["v"]).count() == 0
+
+
+def test_tree_compares_few_rows_when_few_differ(spark):
+    s = spark.range(20_000).selectExpr("id", "id % 7 AS v")
+    t = s.filter("id <> 77").selectExpr("id", "IF(id = 5, -1, v) AS v")
+    trees = [checksum_tree(df, ["id"], ["v"]).persist() for df in (s, t)]
+    assert trees[0].filter("level = 0").first()["rows"] == 20_000
+    leaves = different_leaves(*trees)
+    assert len(leaves) == 2 and s.filter(tree_leaf(["id"]).isin(leaves)).count() < 20
+    found = recon_tree(s, t, ["id"], ["v"], source_tree=trees[0], target_tree=trees[1])
+    assert sorted((r.id, r.status) for r in found.collect()) == [(5, "DIFFERENT"), (77, "MISSING")]
