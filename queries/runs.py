@@ -13,7 +13,7 @@ from rowferry.plans.blueprint import load_step, stage_step
 from rowferry.plans.migration import run_migration
 from rowferry.sinks.tables import TableStore
 from rowferry.spec import Chunking, Target, migration_from
-from rowferry.streaming.batches import file_stream, run_stream, stage_stream, stream_metrics
+from rowferry.streaming.batches import file_stream, row_stream, run_stream, stage_row_batches, stage_stream, stream_metrics
 from rowferry.workspace import fresh_folder
 
 
@@ -378,6 +378,22 @@ def stream_retry_ledger(spark, sf):
     return errors.unionByName(log)
 
 
+def stream_rows(spark, sf):
+    """Batches of at most a tenth of the events by number of rows: the first half, then, from the checkpoint on, the
+    other. The loaded events, whether any batch was larger, and whether the batches have all rows once."""
+    store, folder, events = _store(spark), fresh_folder(spark, "events"), table(spark, sf, "events")
+    last, rows = events.agg(F.max("event_id"), F.count(F.lit(1))).first()
+    size = rows // 10
+    s = replace(EVENTS, columns=(EVENTS.columns[2], EVENTS.columns[0], EVENTS.columns[3]), target=replace(EVENTS.target, keys=("event_id",)))
+    counts = []
+    for half in (f"event_id <= {last // 2}", f"event_id > {last // 2}"):
+        stage_row_batches(events.filter(half), folder, size, "event_id")
+        run_stream(spark, row_stream(spark, folder, events.schema), s, store, "events", f"{folder}-checkpoint")
+        counts = [r["rows_processed"] for r in stream_metrics(spark, store, "events").select("rows_processed").collect()]
+    return store.read("migrated", "last_events").withColumns({
+        "bounded": F.lit(max(counts) <= size), "whole": F.lit(sum(counts) == rows and len(counts) >= 10)})
+
+
 def batch_metrics(spark, sf):
     store, (stream, folder) = _store(spark), _event_files(spark, sf)
     stage_stream(stream, EVENTS, store, "events", f"{folder}-checkpoint")
@@ -392,7 +408,7 @@ QUERIES = {
     "migration_report": migration_report, "chunked_load": chunked_load, "chunked_resume": chunked_resume,
     "chunked_commits_text_key": chunked_commits_text_key, "chunked_commits_decimal_key": chunked_commits_decimal_key,
     "chunked_resume_grown": chunked_resume_grown, "chunked_resume_late": chunked_resume_late,
-    "chunk_plan_even": chunk_plan_even, "stream_retry_ledger": stream_retry_ledger, "chunked_upsert_order": _in_chunk_order("UPSERT"),
+    "chunk_plan_even": chunk_plan_even, "stream_retry_ledger": stream_retry_ledger, "stream_rows": stream_rows, "chunked_upsert_order": _in_chunk_order("UPSERT"),
     "chunked_ignore_log_order": _in_chunk_order("IGNORE_AND_LOG"), "chunk_metrics": chunk_metrics,
     "structure_copy": structure_copy, "table_exists_skip": table_exists_skip, "stream_load": stream_load,
     "load_type_fit": load_type_fit, "stream_upsert_keys": _stream_in_thirds("UPSERT"),
@@ -453,6 +469,7 @@ ORACLE = {
     "chunked_resume_grown": f"{_ORDER_ROWS}, 1 AS found, 1 AS kept FROM orders",
     "chunked_resume_late": f"{_ORDER_ROWS}, 2 AS found, 1 AS kept FROM orders",
     "chunk_plan_even": "SELECT 8::BIGINT AS ranges, count(*)::BIGINT AS rows, TRUE AS even FROM lineitem",
+    "stream_rows": "SELECT event_id, user_id, value::DECIMAL(10,2) AS value, TRUE AS bounded, TRUE AS whole FROM events",
     "stream_retry_ledger": """
         WITH e AS (SELECT event_id, event_id * 3 // ((SELECT max(event_id) FROM events) + 1) AS batch_number FROM events)
         SELECT event_id, batch_number::BIGINT AS batch_number, 'n/a' AS what FROM e WHERE event_id % 5 = 0

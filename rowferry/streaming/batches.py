@@ -32,6 +32,28 @@ def file_stream(
     return reader.load(path)
 
 
+def stage_row_batches(df: DataFrame, folder: str, batch_size: int, key: str | None = None) -> None:
+    """Rows of a table as files of at most ``batch_size`` rows under ``folder``, for ``row_stream``.
+
+    Files hold neighbouring keys, in order, so a batch touches a narrow range of the target. Range partitions
+    have about ``batch_size`` rows; one that a dense key makes larger is cut into several files by its writer. Called again
+    with later rows, it adds files.
+    """
+    if batch_size < 1:
+        raise ValueError("a batch has at least one row")
+    rows = df
+    if key is not None:
+        parts = max(1, -(-df.count() // batch_size))
+        rows = df.repartitionByRange(parts, key).sortWithinPartitions(key)
+    rows.write.mode("append").option("maxRecordsPerFile", batch_size).parquet(folder)
+
+
+def row_stream(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """What ``stage_row_batches`` wrote, as a stream of one file per batch: no batch has more rows than a
+    file, and a run that is restarted from its checkpoint goes on behind the last file it finished."""
+    return file_stream(spark, folder, schema, files_per_batch=1)
+
+
 def stage_stream(
     stream: DataFrame, step: Step, store: TableStore, name: str, checkpoint: str, *,
     frames: dict[str, DataFrame] | None = None, on_batch: Callable[[int, int, float], None] | None = None,

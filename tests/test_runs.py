@@ -12,7 +12,7 @@ from rowferry.plans.blueprint import load_step, run_blueprint, stage_step
 from rowferry.plans.migration import run_migration
 from rowferry.sinks.tables import Buckets, TableStore
 from rowferry.spec import Chunking, ColumnMap, Condition, Connection, Join, Migration, Source, SpecError, Step, Target
-from rowferry.streaming.batches import file_stream, run_stream, stream_metrics
+from rowferry.streaming.batches import file_stream, row_stream, run_stream, stage_row_batches, stream_metrics
 from rowferry.workspace import fresh_folder
 
 COLUMNS = (ColumnMap("id", "DIRECT", "s.id", "BIGINT"), ColumnMap("amount", "DIRECT", "s.amount", "DECIMAL(8,2)"))
@@ -415,3 +415,19 @@ def test_capture_reads_the_batch_twice_and_the_targets_keys_once(spark, store):
     load = ignore_and_capture(target, batch, ["id"], flags=kept)
     assert (scans(load.rejects, "batch") - 1, scans(load.rejects, "target"), scans(load.append, "batch")) == (1, 0, 0)  # NULL keys
     assert load.append.count() == 66 and load.rejects.count() == 34
+
+
+def test_batches_of_rows(spark, store):
+    """Dense keys, and a second lot that comes after a stop."""
+    folder, place = fresh_folder(spark, "in"), fresh_folder(spark, "checkpoint")
+    first = spark.createDataFrame([("5", "1")] * 25 + [(str(i), "2") for i in range(17)], "id string, amount string")
+    stage_row_batches(first, folder, 10, "id")
+    s = step("IGNORE", target=Target("core", "t", (), "IGNORE"))
+    result = run_stream(spark, row_stream(spark, folder, first.schema), s, store, "in", place)
+    assert result.rows_loaded == 42 and store.read("core", "t").count() == 42
+    stage_row_batches(rows(spark, ("77", "3")), folder, 10)
+    assert run_stream(spark, row_stream(spark, folder, first.schema), s, store, "in", place).rows_loaded == 1
+    sizes = [r.rows_processed for r in stream_metrics(spark, store, "in").collect()]
+    assert max(sizes) <= 10 and sum(sizes) == 43 and len(sizes) >= 6
+    with pytest.raises(ValueError):
+        stage_row_batches(first, folder, 0)
