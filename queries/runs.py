@@ -229,10 +229,10 @@ def chunked_resume_grown(spark, sf):
 
 
 def chunked_resume_late(spark, sf):
-    """Keys that come late in the first of two ranges that the first run had finished: it is staged again."""
+    """Keys that come late in the first of two parts that the first run had finished: it is staged again."""
     orders = table(spark, sf, "orders")
     low = orders.agg(F.min("o_orderkey")).first()[0]
-    return _resumed(spark, orders.filter(f"o_orderkey < {low} OR o_orderkey >= {low + 20}"), orders, (4, 4), 2)
+    return _resumed(spark, orders.filter(f"o_orderkey < {low + 10} OR o_orderkey >= {low + 30}"), orders, (4, 4), 2)
 
 
 def chunk_plan_even(spark, sf):
