@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowferry.llm import decontaminate, language, mixing, near_copies, sharding
+from rowferry.llm import decontaminate, language, mixing, sharding, simhash
 from rowferry.llm.common import table, unused, written
 
 #: A document goes when it has no letters, or when no language has so much of the probability.
 LEAST_SCORE = 0.5
+#: Words of a shingle and most differing bits of SimHash near copies, as in op3_simhash.
+SHINGLE, BITS = 3, 3
 SHARDS = 40
 
 
@@ -27,12 +29,13 @@ def in_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies, texts of a similarity of 0.8 or more by shingles of
-    five words: that with the least id, one without an id only if none has one. Of its repeated rows one stays; of
-    different texts under that id, the one with the least checksum. Texts without a word, NULL ones among them, are one
-    group; an empty table stays empty."""
+    """Keep one document of each SimHash group, fingerprints of three-word shingles that differ in at most 3 bits
+    and chains of them: that with the least id, one without an id only if none has one. Of its repeated rows one stays; of
+    different texts under that id, the one with the least checksum. Texts without a word, NULL ones among them, have
+    fingerprint 0 and are one group; an empty table stays empty."""
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    kept = near_copies.near_copies(docs).groupBy("class").agg(F.min(rank).alias("kept")).select("kept.*")
+    found = simhash.near_duplicates(docs, width=SHINGLE, distance=BITS)
+    kept = found.groupBy("class").agg(F.min(rank).alias("kept")).select("kept.*")
     key = unused(docs, "key")
     rows = docs.withColumn(key, F.xxhash64("text"))
     same = rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows[key] == kept["key"])
