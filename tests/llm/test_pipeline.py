@@ -8,8 +8,8 @@ import corpus_pipeline
 import xxhash
 from rowferry.llm import language, mixing, queries
 from test_decontaminate import brute as brute_contamination
-from test_near_copies import brute_classes
 from test_sharding import brute_shard, sharding
+from test_simhash import brute_components, brute_fingerprint
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -18,12 +18,24 @@ def rows_of(df):
     return [tuple(r) for r in df.select(COLUMNS).collect()]
 
 
+def brute_kept(rows):
+    """Of each group, linked by comparing all pairs of fingerprints, the least row. rows: (rank, text); rank is unique."""
+    prints = [brute_fingerprint(text) for _, text in rows]
+    numbered = [(i, prints[i]) for i in sorted(range(len(rows)), key=lambda i: rows[i][0])]
+    place = {i: at for at, (i, _) in enumerate(numbered)}
+    least = brute_components([(place[i], f) for i, f in numbered])
+    return [rows[numbered[at][0]] for at, _, first in least if at == first]
+
+
 def check_near_copies(before, after):
-    """Of each group, linked by comparing all pairs of five-word sets, the row of the least id is left."""
-    groups = {}
-    for row, c in zip(before, brute_classes([r[1] for r in before])):
-        groups.setdefault(c, []).append(row)
-    assert sorted(after) == sorted(min(rows) for rows in groups.values()) and len(after) < len(before)
+    """Of each group the row of the least id is left."""
+    assert sorted(after) == sorted(row for row, _ in brute_kept([(r, r[1]) for r in before])) and len(after) < len(before)
+
+
+def xxhash64_of(text):
+    """Spark's checksum of a text, signed; the seed for NULL."""
+    drawn = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), seed=42)
+    return drawn - (drawn >> 63 << 64)
 
 
 def brute_copies(row):
@@ -73,8 +85,8 @@ def test_odd_rows_in_every_stage(spark, sf, odd_documents, no_documents):
             assert {r.doc_id for r in got.collect()} <= {*given, None}
             assert {(r.doc_id, r.text, r.score, r.lang_pred) for r in got.collect()} <= before
     single = corpus_pipeline.without_near_copies(spark, odd, sf).collect()
-    rows = sorted({(r.doc_id is None, r.doc_id or 0, r.text or "") for r in odd.collect()})
-    kept = [r for r, c in zip(rows, brute_classes([t for *_, t in rows])) if rows[c] == r]
-    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in single) == kept
+    rows = sorted({(r.doc_id is None, r.doc_id or 0, xxhash64_of(r.text), r.text or "") for r in odd.collect()})
+    kept = [rank for rank, _ in brute_kept([(r, r[3]) for r in rows])]
+    assert sorted((r.doc_id is None, r.doc_id or 0, xxhash64_of(r.text), r.text or "") for r in single) == sorted(kept)
     letters = corpus_pipeline.in_known_language(spark, odd, sf).collect()
     assert all(any(map(str.isalpha, r.text)) for r in letters) and language.UNKNOWN == "und"
