@@ -60,18 +60,27 @@ def running_sum(df: DataFrame, group: str, value: str, order: Sequence[str], nam
                 rows_per_chunk: int = 4_000) -> DataFrame:
     """Add ``name``: the sum of ``value`` over the rows before a row, within its group.
 
-    A group may hold a third of all rows, so it is cut into chunks by a hash of ``order``. Sums
-    inside a chunk are a window over some ``rows_per_chunk`` rows; chunks are then put one after the
-    other by a window over one row per chunk. ``rows`` is the number of rows of ``df``, ``group`` has
-    no NULL, and ``order`` tells all rows of a group apart that must not swap places.
+    Equal rows are counted first, so however often one repeats it is one row of the windows; its
+    copies are dealt out afterwards, those of a frequent row by many tasks. A group may hold a third
+    of all rows, so it is cut into chunks by a hash of ``order``. Sums inside a chunk are a window over
+    some ``rows_per_chunk`` rows; chunks are then put one after the other by a window over one row per
+    chunk. ``rows`` is the number of rows of ``df``, ``group`` has no NULL, and ``order`` tells all
+    different rows of a group apart.
     """
     chunks = max(1, -(-rows // rows_per_chunk))
-    df = df.withColumn("_chunk", F.pmod(F.xxhash64(*order), F.lit(chunks)))
+    sums = F.col(value) * F.col("_copies")
     inside = Window.partitionBy(group, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (df.groupBy(group, "_chunk").agg(F.sum(value).alias("_sum"))
+    distinct = (df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+                .withColumn("_chunk", F.pmod(F.xxhash64(*order), F.lit(chunks))))
+    starts = (distinct.groupBy(group, "_chunk").agg(F.sum(sums).alias("_sum"))
               .select(group, "_chunk", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start")))
-    return (df.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-            .join(starts, [group, "_chunk"])
-            .withColumn(name, F.col("_start") + F.col("_inside"))
-            .drop("_chunk", "_start", "_inside"))
+    summed = (distinct.withColumn("_inside", F.coalesce(F.sum(sums).over(inside), F.lit(0)))
+              .join(starts, [group, "_chunk"]).withColumn("_first", F.col("_start") + F.col("_inside")))
+    few = summed.where(F.col("_copies") <= rows_per_chunk).withColumn("_from", F.lit(0).cast("long"))
+    many = (summed.where(F.col("_copies") > rows_per_chunk)
+            .withColumn("_from", F.explode(F.expr(f"sequence(0L, _copies - 1, {rows_per_chunk}L)")))
+            .repartition(*order, "_from"))
+    last = F.least(F.col("_copies"), F.col("_from") + rows_per_chunk) - 1
+    return (few.unionByName(many).withColumn("_copy", F.explode(F.sequence(F.col("_from"), last)))
+            .select(*df.columns, (F.col("_first") + F.col("_copy") * F.col(value)).alias(name)))

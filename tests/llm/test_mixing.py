@@ -86,3 +86,15 @@ def test_targets_reshare_the_excess(spark):
     rows = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
     got = {r.source: r.target for r in mixing.source_targets(rows).collect()}
     assert got == pytest.approx(brute_targets(sizes))
+
+
+def test_rows_repeated_fifty_thousand_times_are_mixed_like_others(spark):
+    rows = [("a", 7, "one two three"), ("b", 8, "four"), ("a", 9, None)]
+    docs = spark.createDataFrame(rows, "source string, doc_id long, text string").withColumn(
+        "copy", F.explode(F.sequence(F.lit(1), F.when(F.col("doc_id") == 8, 100).otherwise(50_000)))).drop("copy")
+    documents, _ = mixing.mixed(docs)
+    got = {r.doc_id: r for r in documents.groupBy("doc_id").agg(
+        F.count("*").alias("rows"), F.sum("taken").alias("taken"), F.max("taken").alias("most"), F.max("target").alias("target")).collect()}
+    assert {k: r.rows for k, r in got.items()} == {7: 50_000, 8: 100, 9: 50_000}
+    assert got[7].taken == round(got[7].target) and got[8].taken == round(got[8].target) and got[9].taken == 0
+    assert got[7].most <= 6 and got[8].most <= 2

@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from rowferry.llm import queries, sharding
+from rowferry.llm.common import running_sum
 
 
 def chained(seed, *values):
@@ -70,3 +71,28 @@ def test_shares_follow_weights_and_changes_stay_in_their_subtree(spark):
     # Shard 1, rack 0 and region 0 lost weight: nothing comes into region 0, nothing leaves region 1.
     assert all(r.new == 3 for r in rows if r.old == 3)
     assert all(r.new in (2, 3) for r in rows if r.old == 2)
+
+
+def test_rows_repeated_fifty_thousand_times_have_a_slot_each(spark):
+    rows = spark.createDataFrame([(7, "the same row"), (None, None)], "doc_id long, text string")
+    docs = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(50_000)))).drop("copy").unionByName(
+        spark.range(100).select(F.col("id").alias("doc_id"), F.lit("another").alias("text"))).repartition(5)
+    tree = sharding.grid(40)
+    found = sharding.shards(docs, tree)
+    check(found.collect(), docs, tree)
+    again = found.groupBy("doc_id", "size").agg(F.count("*").alias("n"), F.sum("slot").alias("slots"))
+    assert sorted(map(str, again.collect())) == sorted(map(str, again.collect()))
+
+
+def test_copies_are_dealt_out_by_several_tasks(spark):
+    rows = spark.createDataFrame([("g", 1, 3)] * 25 + [("g", 2, 5), ("g", 2, 5), ("h", 1, 7)], "name string, k int, v long")
+    found = running_sum(rows, "name", "v", ["k"], "ahead", rows.count(), rows_per_chunk=4)
+    got = defaultdict(list)
+    for r in found.collect():
+        got[r.name].append((r.ahead, r.v))
+    for spans in got.values():
+        at = 0
+        for ahead, v in sorted(spans):
+            assert ahead == at
+            at += v
+    assert len(got["g"]) == 27 and got["h"] == [(0, 7)] and found.columns == [*rows.columns, "ahead"]
