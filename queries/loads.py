@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from queries.common import Interrupted, maps, step, table
 from rowferry.operators import conflict
 from rowferry.plans.blueprint import load_step, stage_step
+from rowferry.plans.migration import run_migration
 from rowferry.sinks.audit import audit_layout, audit_rows
 from rowferry.sinks.tables import StaleTable, TableStore
-from rowferry.spec import Target
+from rowferry.spec import Connection, Migration, Target
 from rowferry.workspace import fresh_folder
 
 KEYS = ["l_orderkey", "l_linenumber"]
@@ -110,6 +111,34 @@ def load_upsert_bucketed(spark, sf):
     return store.read("migrated", "orders")
 
 
+NAME_COLUMNS = maps(("name", "DIRECT", "c.name", "TEXT"), ("id", "DIRECT", "c.c_custkey", "BIGINT"), ("version", "DIRECT", "c.version", "INT"))
+
+
+def _loaded_nocase(spark, sf, policy):
+    """A target keyed by names in lower case; then all customers, each as it is and in upper case, through a
+    target connection that compares text without case."""
+    store = TableStore(spark, fresh_folder(spark, "tables"))
+    customers = table(spark, sf, "customer").withColumns({"name": F.col("c_name"), "version": F.lit(1)})
+    first = customers.filter("c_acctbal >= 0").withColumns({"name": F.lower("c_name"), "version": F.lit(0)})
+    both = customers.unionByName(customers.withColumns({"name": F.upper("c_name"), "version": F.lit(2)}))
+    names = Target("migrated", "names", ("name",), policy, connection="lake", order_by=("version",))
+    lake = {"data": Connection("PARQUET", sf), "lake": Connection("PARQUET", sf, {"collation": "UTF8_LCASE"})}
+    for run, rows in (("first", first), ("both", both)):
+        s = _with_target(step("c", NAME_COLUMNS, keys=["name"]), names)
+        run_migration(spark, Migration("m", "c", "1", lake, (s,)), store, run_id=run, sources=lambda _, rows=rows: {"c": rows})
+    return store
+
+
+def load_upsert_nocase(spark, sf):
+    return _loaded_nocase(spark, sf, "UPSERT").read("migrated", "names")
+
+
+def load_log_nocase(spark, sf):
+    store = _loaded_nocase(spark, sf, "IGNORE_AND_LOG")
+    log = store.read("migrated", "migration_conflict_log").select("name", "id", "version").withColumn("goes_to", F.lit("log"))
+    return store.read("migrated", "names").withColumn("goes_to", F.lit("target")).unionByName(log)
+
+
 def load_log_after_stale(spark, sf):
     """Another load adds keys while ours is written, so ours is withdrawn and done again under its tag: the
     log has the rows that meet either's keys, once."""
@@ -166,6 +195,7 @@ QUERIES = {
     "load_ignore": load_ignore, "load_upsert": load_upsert, "load_upsert_partial": load_upsert_partial,
     "load_upsert_keys_only": load_upsert_keys_only, "load_ignore_log": load_ignore_log,
     "load_upsert_bucketed": load_upsert_bucketed, "load_log_after_stale": load_log_after_stale,
+    "load_upsert_nocase": load_upsert_nocase, "load_log_nocase": load_log_nocase,
     "load_batch_duplicates": load_batch_duplicates, "load_fail_clean": load_fail_clean,
     "load_fail_conflicts": load_fail_conflicts, "load_unprocessed": load_unprocessed,
     "audit_rows": audit_rows_query, "append_sources": append_sources,
@@ -190,6 +220,13 @@ _OLD = "(l_orderkey, l_linenumber) IN (SELECT (l_orderkey, l_linenumber) FROM ta
 _COLUMNS = "l_orderkey, l_linenumber, l_partkey, l_suppkey, price"
 
 ORACLE = {
+    "load_upsert_nocase": """
+        SELECT CASE WHEN c_acctbal >= 0 THEN lower(c_name) ELSE upper(c_name) END AS name, c_custkey AS id, 2 AS version FROM customer""",
+    "load_log_nocase": """
+        SELECT CASE WHEN c_acctbal >= 0 THEN lower(c_name) ELSE c_name END AS name, c_custkey AS id,
+               CASE WHEN c_acctbal >= 0 THEN 0 ELSE 1 END AS version, 'target' AS goes_to FROM customer
+        UNION ALL SELECT c_name, c_custkey, 1, 'log' FROM customer WHERE c_acctbal >= 0
+        UNION ALL SELECT upper(c_name), c_custkey, 2, 'log' FROM customer WHERE c_acctbal >= 0""",
     "load_upsert_bucketed": """
         SELECT o_orderkey AS order_key, o_orderstatus AS status,
                (CASE WHEN o_orderkey < 40 OR o_orderstatus = 'P' THEN o_totalprice ELSE 0 END)::DECIMAL(12,2) AS price FROM orders""",

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowferry.operators.joins import HOT_ROWS, key_counts, rows_with_key_in, spread_join
 
@@ -73,6 +74,20 @@ def one_per_key(
         F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in rows.columns])
 
 
+def keys_compared_as(collation: str, keys: Sequence[str], *frames: DataFrame) -> tuple[list[str], list[DataFrame]]:
+    """The frames with their keys once more, text compared under ``collation``, and the names of these columns.
+
+    A policy that is given these names finds 'Ab' and 'aB' one key under UTF8_LCASE, while the keys themselves are
+    columns like others, so that every row keeps its spelling and ties are broken by it.
+    """
+    names = [f"_like_{k}" for k in keys]
+
+    def like(frame: DataFrame, key: str) -> Column:
+        return F.collate(F.col(key), collation) if isinstance(frame.schema[key].dataType, T.StringType) else F.col(key)
+
+    return names, [f.withColumns({n: like(f, k) for n, k in zip(names, keys)}) for f in frames]
+
+
 def _add(target: DataFrame, rows: DataFrame) -> DataFrame:
     return target.unionByName(rows.select(*[c for c in target.columns if c in rows.columns]),
                               allowMissingColumns=True).select(*target.columns)
@@ -175,25 +190,31 @@ def ignore(
 
 def upsert(
     target: DataFrame, batch: DataFrame, keys: Sequence[str], order_by: Sequence[str] = (),
-    met: DataFrame | None = None,
+    met: DataFrame | None = None, *, stays: Sequence[str] = (),
 ) -> Load:
     """Insert new keys, replace the mapped non-key columns of existing ones.
 
     Target columns that the batch does not have keep their value. When the batch has all of them,
     the kept target rows are found by an anti join, which only scans the target if the keys to
-    replace are few; otherwise old and new rows meet in one full join of unique keys.
+    replace are few; otherwise old and new rows meet in one full join of unique keys. ``stays`` are columns
+    that an existing row keeps as well, such as the spelling of a key that is compared without case.
     """
     keys = _needed(keys, "UPSERT")
     rows = one_per_key(batch.filter(has_key(keys)), keys, order_by, greatest=True)
     rejects = _null_key_rows(batch, keys)
     mapped = [c for c in target.columns if c in rows.columns]
-    if len(mapped) == len(target.columns):
+    if len(mapped) == len(target.columns) and not stays:
         there = met if met is not None else rows.select(*keys)
         kept = target.join(there, keys, "left_anti").select(*target.columns)
         return Load(rows, _add(kept, rows), True, rejects)
     new = rows.select(*[F.col(c).alias(f"_n_{c}") for c in mapped], F.lit(True).alias("_new"))
     on = _every([F.col(k) == F.col(f"_n_{k}") for k in keys])
-    value = lambda c: F.when(F.col("_new"), F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c)
+    old = _every([F.col(k).isNotNull() for k in keys])
+
+    def value(c: str) -> Column:
+        taken = F.col("_new") & ~old if c in stays else F.col("_new")
+        return F.when(taken, F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c)
+
     merged = target.join(new, on, "full").select(
         *[value(c) if c in mapped else F.col(c) for c in target.columns])
     return Load(rows, merged, True, rejects)

@@ -15,7 +15,9 @@ from pyspark.sql import types as T
 
 from rowferry.functions.casts import spark_type
 from rowferry.operators.chunks import chunk_bounds, chunk_number, even_ends, fingerprints, load_ranges, whole
-from rowferry.operators.conflict import BATCH, FLAG, POLICIES, has_key, key_flags, met_keys, require_no_conflicts
+from rowferry.operators.conflict import (
+    BATCH, FLAG, POLICIES, has_key, key_flags, keys_compared_as, met_keys, require_no_conflicts,
+)
 from rowferry.operators.joins import join_sources
 from rowferry.operators.ledger import key_errors, row_errors, stop_on_errors
 from rowferry.operators.shape import ERRORS, KEY_TEXT, MALFORMED, derive, evaluate, fit_target, keep_rows, project
@@ -143,7 +145,7 @@ def load_step(
     spark: SparkSession, step: Step, staged: DataFrame, store: TableStore, *,
     migration_id: str = "", tag: str = "", at: datetime | None = None, order_by: Sequence[str] = (),
     reject_bad_rows: bool = False, log_batch_duplicates: bool = False, tables=None,
-    source_errors: DataFrame | None = None, superseded: Callable[[str], bool] | None = None,
+    source_errors: DataFrame | None = None, superseded: Callable[[str], bool] | None = None, collation: str | None = None,
 ) -> StepResult:
     """Load staged rows under the target's policy.
 
@@ -158,6 +160,8 @@ def load_step(
     with NULL for what was lost, or leave them out with ``reject_bad_rows``.
 
     A target with ``buckets`` is read only where the batch has keys, and written only where it meets some.
+    Under a ``collation`` of the target, text keys are compared by it: an updated row keeps the spelling it has, a new one that of
+    the row the policy picks. Buckets go by the bytes of a key, so the two exclude each other.
     """
     target, result = step.target, StepResult(step.order)
     if not order_by:  # chunks are loaded as if one after the other
@@ -192,6 +196,13 @@ def load_step(
     kept = there and buckets is not None and tables.layout(target.schema, target.table) == buckets.layout
     if kept:
         before = tables.read(target.schema, target.table, buckets=buckets.of(batch.filter(has_key(target.keys))))
+    keys, layout = list(target.keys), before.schema
+    if collation and keys:
+        if buckets is not None:
+            raise SpecError(f"{target.schema}.{target.table} has buckets, so its keys cannot be compared as {collation}")
+        keys, (before, batch) = keys_compared_as(collation, keys, before, batch)
+        if target.policy == "UPSERT":
+            options["stays"] = target.keys
     refused = _reject_table(target)
 
     def withdraw() -> None:
@@ -202,20 +213,20 @@ def load_step(
     # what several jobs need is found once: the keys the target already has, or the fate of each key
     met = flags = None
     if captures:
-        options["flags"], flags = _written(spark, key_flags(before, batch.drop(*options["carried"]), target.keys, order_by))
-    elif there and target.keys:
-        met = met_keys(before, batch, target.keys).persist()
+        options["flags"], flags = _written(spark, key_flags(before, batch.drop(*options["carried"]), keys, order_by))
+    elif there and keys:
+        met = met_keys(before, batch, keys).persist()
     try:
-        load = POLICIES[target.policy](before, batch, target.keys, order_by, met, **options)
+        load = POLICIES[target.policy](before, batch, keys, order_by, met, **options)
         require_no_conflicts(load)
         withdraw()
         result.errors = store.publish(*LEDGER, ledger, mode="add", tag=f"{own}-errors")
         if captures:
-            result.rejects = _keep_rejects(step, load.rejects, before.schema, tables, migration_id, f"{own}-rejects", at)
+            result.rejects = _keep_rejects(step, load.rejects, layout, tables, migration_id, f"{own}-rejects", at)
         # a load of new keys alone adds its rows and spares the target a rewrite
         result.rows_updated = met.count() if load.rewrites and met is not None else 0
         rewrite = result.rows_updated > 0
-        added, was, how = fit(load.append, before.schema), 0, {"mode": "add" if there else "full"}
+        added, was, how = fit(load.append, layout), 0, {"mode": "add" if there else "full"}
         if kept and rewrite:  # only the buckets that change
             hit = buckets.of(met)
             old = tables.read(target.schema, target.table, buckets=hit)
@@ -225,7 +236,7 @@ def load_step(
         elif kept:
             how = {"mode": "part", "buckets": buckets}
         elif rewrite or buckets is not None:
-            added, was, how = load.new_target, before.count(), {"mode": "full", "buckets": buckets}
+            added, was, how = load.new_target.select(*layout.names), before.count(), {"mode": "full", "buckets": buckets}
         if versioned:
             how["base"] = base
         else:

@@ -15,7 +15,7 @@ from rowferry.operators.conflict import KeyConflict
 from rowferry.plans.blueprint import LEDGER, StepResult, load_step, stage_step
 from rowferry.sinks.tables import TableStore
 from rowferry.sources.open import open_sources
-from rowferry.spec import Migration, Step
+from rowferry.spec import Migration, Step, Target
 
 METRICS = ("migration_admin", "batch_metrics")
 
@@ -74,6 +74,7 @@ def run_migration(
             result = load_step(
                 spark, step, staged, store, migration_id=migration.migration_id, tag=run_id, at=at,
                 reject_bad_rows=reject_bad_rows, log_batch_duplicates=log_batch_duplicates, tables=tables,
+                collation=_collation(migration, target),
                 source_errors=ledgers.joined_errors(frames, [j.source.alias for j in step.joins], step.order))
             result.batches, result.rows_read = batches, sum(b[1] for b in batches)
             metrics = spark.createDataFrame(
@@ -92,6 +93,12 @@ def run_migration(
     return MigrationRun(run_id, results, report(spark, migration, store, run_id, failure), failure)
 
 
+def _collation(migration: Migration, target: Target) -> str | None:
+    """What the connection of a target compares its text keys under."""
+    connection = migration.connections.get(target.connection) if target.connection else None
+    return connection.options.get("collation") if connection else None
+
+
 def _drop_staged(store: TableStore, name: str) -> None:
     store.drop("staging", name)
     store.drop("staging", f"{name}_ranges")

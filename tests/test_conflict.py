@@ -154,3 +154,23 @@ def test_one_task_never_gets_all_rows_of_a_key(spark):
     rows = spark.createDataFrame(random_rows(1, 30), COLUMNS)
     plan = conflict.one_per_key(rows, KEYS)._jdf.queryExecution().executedPlan().toString()
     assert "partial_max" in plan and "Window" not in plan
+
+
+def test_keys_compared_without_case(spark):
+    target = spark.createDataFrame([("ab", 1, "kept"), (None, 0, "none"), ("c", 5, "old")], "name string, v int, note string")
+    rows = [("AB", 7, "x"), ("aB", 8, "y"), ("D", 1, "z"), ("d", 1, "z"), (None, 3, "q")]
+    batch = spark.createDataFrame(rows, "name string, v int, note string")
+    keys, (before, new) = conflict.keys_compared_as("UTF8_LCASE", ["name"], target, batch)
+    names = ["name", "v", "note"]
+    shown = lambda df: sorted((tuple(r) for r in df.select(names).collect()), key=str)
+    done = conflict.upsert(before, new, keys, ["v"], stays=["name"])
+    assert shown(done.new_target) == sorted([("ab", 8, "y"), ("c", 5, "old"), ("d", 1, "z"), (None, 0, "none")], key=str)
+    assert shown(done.rejects) == [(None, 3, "q")]
+    assert shown(conflict.ignore(before, new, keys, ["v"]).append) == [("D", 1, "z")]
+    load = conflict.ignore_and_capture(before, new, keys, ["v"], log_batch_duplicates=True)
+    assert shown(load.append) == [("D", 1, "z")]
+    assert sorted((r.name or "", r.reject_reason) for r in load.rejects.collect()) == [
+        ("", "NULL_KEY"), ("AB", "DUPLICATE_KEY"), ("aB", "DUPLICATE_KEY"), ("d", "DUPLICATE_IN_BATCH")]
+    reasons = {r.reject_reason for r in conflict.fail(before, new, keys).conflicts.collect()}
+    assert reasons == {"DUPLICATE_KEY", "DUPLICATE_IN_BATCH", "NULL_KEY"}
+    assert conflict.upsert(target, batch, ["name"], ["v"]).new_target.count() == 7  # by their bytes, all but NULL are others
