@@ -136,14 +136,12 @@ def _occurrences(rows: DataFrame, benchmark: DataFrame, span: int) -> DataFrame:
                 .join(_sized(marks.where(F.col("n") == n).drop("n"), n_marks), "hash")
                 .select("key", "item", (F.col("doc_at") - F.col("item_at")).alias("shift")))
         seeds = part if seeds is None else seeds.union(part)
-    aligned = (seeds.distinct().groupBy("key").agg(F.collect_list(F.struct("item", "shift")).alias("to"))
-               .join(texts.select("key", "words"), "key")
-               .select("key", F.col("words").alias("text_words"), F.explode("to").alias("to"))
-               .select("key", "to.item", "to.shift", "text_words"))
     item_words = items.select("item", "item_id", "length", F.col("words").alias("item_words"))
     most = (items.agg(F.max(F.size("words"))).first()[0] or 0)
     first = F.greatest(F.col("shift"), F.lit(0))
-    aligned = aligned.select("key", "item", "shift", F.slice("text_words", first + 1, F.lit(most)).alias("text_words"))
+    # Alignments stream past their one text, of which each takes what the item can reach; none are gathered.
+    aligned = (seeds.distinct().join(texts.select("key", "words"), "key")
+               .select("key", "item", "shift", F.slice("words", first + 1, F.lit(most)).alias("text_words")))
     same = F.zip_with(F.col("text_words"), F.slice("item_words", F.greatest(-F.col("shift"), F.lit(0)) + 1,
                                                    F.size("item_words")),
                       lambda a, b: F.coalesce(a == b, F.lit(False)))

@@ -70,3 +70,14 @@ def test_shared_runs_at_every_place(spark):
     got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"),
                                       spark.createDataFrame(items, "item_id long, text string"))
     assert rows_of(got) == brute(docs, items)
+
+
+def test_a_text_with_very_many_alignments(spark):
+    """One passage thousands of times in a text and in many items, so tens of thousands of alignments."""
+    passage = "zero one two three four five six seven eight nine ten eleven".split()
+    docs = [(1, " ".join(f"{' '.join(passage)} gap{i}" for i in range(2_000))), (2, "nothing of it here " * 50)]
+    items = [(i, " ".join([*passage, f"tail{i}"])) for i in range(40)]
+    found = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"),
+                                        spark.createDataFrame(items, "item_id long, text string"))
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in found.collect()}
+    assert got == {1: (26_000, 24_000, 40, True), 2: (200, 0, 0, False)}
