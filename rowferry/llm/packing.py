@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary cuts a text into words, and the free id that ends a document.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END = 50256
+#: Packed rows that a task hands over at once.
+ROWS_PER_FRAME = 512
 
 
 @lru_cache(2)
@@ -24,24 +28,6 @@ def encoding(path: str):
     return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_pieces(text: Column, length: int, vocabulary: str = VOCABULARY) -> Column:
-    """A text's token ids and the end id as little-endian 16-bit numbers, cut every ``length`` ids; NULL for NULL."""
-
-    @F.pandas_udf("array<binary>")
-    def cut(texts: pd.Series) -> pd.Series:
-        encode = encoding(vocabulary).encode_ordinary
-        out = []
-        for t in texts:
-            if t is None:
-                out.append(None)
-                continue
-            ids = np.array([*encode(t), END], "<u2")
-            out.append([ids[i:i + length].tobytes() for i in range(0, len(ids), length)])
-        return pd.Series(out, dtype=object)
-
-    return cut(text)
-
-
 class Capacities:
     """How many open rows have each number of free places, in a segment tree of sums."""
 
@@ -92,16 +78,36 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     return rows
 
 
+def sequences(pieces: list[tuple[str | None, int, np.ndarray]], shard: int, length: int) -> Iterator[pd.DataFrame]:
+    """The packed rows of one shard, in frames of a bounded number of rows. pieces: (document, part, ids)."""
+    packs = best_fit_decreasing([len(ids) for _, _, ids in pieces], length)
+    for first in range(0, len(packs), ROWS_PER_FRAME):
+        out = []
+        for number, items in enumerate(packs[first:first + ROWS_PER_FRAME], first):
+            docs, parts, ids = zip(*[pieces[i] for i in items])
+            sizes = [len(x) for x in ids]
+            pad = length - sum(sizes)
+            row = np.concatenate([*ids, np.full(pad, END, "<u2")])
+            position = np.concatenate([np.arange(n, dtype="<u2") for n in [*sizes, pad]])
+            out.append((shard, number, list(docs), list(parts), [0, *np.cumsum(sizes).tolist()], row.tobytes(), position.tobytes()))
+        yield pd.DataFrame(out, columns=["shard", "row", "doc_ids", "parts", "cu_seqlens", "ids", "position_ids"])
+
+
 def packed(docs: DataFrame, *, id: str = "doc_id", text: str = "text", length: int = 2048, vocabulary: str = VOCABULARY,
-           shard_bytes: int = 32 << 20) -> DataFrame:
+           shard_bytes: int = 16 << 20) -> DataFrame:
     """(shard, row, doc_ids, parts, cu_seqlens, ids, position_ids): one row for each packed sequence.
 
     ids: ``length`` 16-bit little-endian token ids, the end id filling up; all rows of a shard are its
     id matrix. cu_seqlens: 0 and the end of each segment. position_ids: 16-bit numbers that start at 0
     with each segment. doc_ids, parts: the document of each segment, and which part of it, from 0.
     Texts longer than a row are cut every ``length`` ids and lose nothing; all parts of all documents
-    are in the result once. Shards are dealt by a hash, about ``shard_bytes`` of text each, and packed
-    by best fit decreasing on their own, so no task grows with the table.
+    are in the result once.
+
+    Every task packs the documents it reads as they come, without a shuffle: as soon as it holds
+    ``shard_bytes`` of ids they are packed by best fit decreasing, as a shard of their own. So a task holds
+    one shard, however many rows its partition has and however often one repeats. A shard's number has its task's
+    above the lowest 32 bits. Documents that lie together are packed together; order them otherwise before, if
+    that matters, and ``repartition`` a table of few large partitions.
 
     NULL texts have no tokens and no segment; empty ones have the end id alone. Repeated rows are
     packed as often as given; NULL ids stay NULL; an empty table gives no rows; other columns are not
@@ -109,28 +115,27 @@ def packed(docs: DataFrame, *, id: str = "doc_id", text: str = "text", length: i
     """
     if not 1 <= length <= 1 << 16:
         raise ValueError("position ids have 16 bits")
-    rows = docs.select(F.col(id).cast("string").alias("doc_id"), F.col(text).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
-    pieces = (rows.select("doc_id", F.posexplode(token_pieces(F.col("text"), length, vocabulary)).alias("part", "ids"))
-              .withColumn("shard", F.pmod(F.xxhash64("doc_id", "part", F.length("ids")), F.lit(shards))))
-
-    def pack(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values(["doc_id", "part", "ids"], ignore_index=True)  # a repeated task packs the same way
-        ids, docs_, parts = batch["ids"].tolist(), batch["doc_id"].tolist(), batch["part"].tolist()
-        out = []
-        for number, items in enumerate(best_fit_decreasing([len(x) // 2 for x in ids], length)):
-            sizes = [len(ids[i]) // 2 for i in items]
-            filled = b"".join(ids[i] for i in items)
-            pad = length - len(filled) // 2
-            position = np.concatenate([np.arange(n, dtype="<u2") for n in [*sizes, pad]])
-            out.append((int(batch["shard"][0]), number, [docs_[i] for i in items], [parts[i] for i in items],
-                        [0, *np.cumsum(sizes).tolist()], filled + np.full(pad, END, "<u2").tobytes(), position.tobytes()))
-        return pd.DataFrame(out, columns=["shard", "row", "doc_ids", "parts", "cu_seqlens", "ids", "position_ids"])
+    rows = docs.select(F.col(id).cast("string").alias("doc_id"), F.col(text).alias("text")).where("text is not null")
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = encoding(vocabulary).encode_ordinary
+        shard = TaskContext.get().partitionId() << 32
+        held, size = [], 0
+        for batch in batches:
+            for key, content in zip(batch["doc_id"], batch["text"]):
+                ids = np.array([*encode(content), END], "<u2")
+                for part, at in enumerate(range(0, len(ids), length)):
+                    held.append((key, part, ids[at:at + length]))
+                    size += held[-1][2].nbytes
+                    if size >= shard_bytes:
+                        yield from sequences(held, shard, length)
+                        held, size, shard = [], 0, shard + 1
+        if held:
+            yield from sequences(held, shard, length)
 
     schema = ("shard long, row int, doc_ids array<string>, parts array<int>, cu_seqlens array<int>, ids binary, "
               "position_ids binary")
-    return (pieces.groupBy("shard").applyInPandas(pack, schema)
+    return (rows.mapInPandas(pack, schema)
             .withColumn("doc_ids", F.col("doc_ids").cast(f"array<{docs.schema[id].dataType.simpleString()}>")))
 
 

@@ -53,6 +53,20 @@ def test_odd_rows_short_rows_and_many_shards(spark, odd_documents, no_documents)
     assert packing.packed(no_documents).count() == 0
 
 
+def test_equal_rows_fill_bounded_shards(spark):
+    """50,000 equal rows, half of them without an id, in two partitions: no shard has more than its bytes and one part."""
+    equal = spark.range(50_000, numPartitions=2).selectExpr("if(id % 2 = 0, 7L, null) as doc_id", "'the same few words of a text' as text")
+    rows = packing.packed(equal, length=256, shard_bytes=20_000).collect()
+    found, by_shard = unpacked(rows, 256), defaultdict(list)
+    assert {k: len(v) for k, v in found.items()} == {(7, 0): 25_000, (None, 0): 25_000}
+    assert len({tuple(ids) for v in found.values() for ids in v}) == 1
+    for r in rows:
+        by_shard[r.shard].append((r.row, 2 * r.cu_seqlens[-1]))
+    assert {s >> 32 for s in by_shard} == {0, 1} and len(by_shard) > 20
+    assert all(sum(n for _, n in held) <= 20_000 + 512 for held in by_shard.values())
+    assert all(sorted(n for n, _ in held) == list(range(len(held))) for held in by_shard.values())
+
+
 def packing_text(docs, doc_id):
     return docs.where(docs["doc_id"] == doc_id).first().text
 
