@@ -113,7 +113,7 @@ def write_arc(pages: DataFrame, path: str, *, id: str = "page_id", url: str = "u
                 out.append(arc_record(version, address, "0.0.0.0", date, "text/html", head.encode() + bytes(payload)))
             yield pd.DataFrame({"record": out})
 
-    archives = rows.repartition(max(1, -(-total // archive_bytes)), "id", "url")
+    archives = rows.repartition(max(1, -(-total // archive_bytes)))  # in turn, so that equal pages share no archive
     _write(archives.mapInPandas(records, "record binary"), path, ARC_SEPARATOR)
 
 

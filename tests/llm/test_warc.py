@@ -50,6 +50,15 @@ def test_odd_pages(spark):
     assert warc.archived(df.limit(0), fresh_folder(spark, "test")).count() == 0
 
 
+def test_equal_pages_share_no_archive(spark):
+    """20,000 equal pages without an id are dealt among the archives."""
+    equal = spark.range(20_000, numPartitions=2).selectExpr("null as page_id", "'http://a/' as url", "'same page' as html")
+    folder = fresh_folder(spark, "test")
+    warc.write_arc(equal, f"{folder}/arc", archive_bytes=1_000_000)
+    per_file = [r["count"] for r in warc.read_arc(spark, f"{folder}/arc", blocks=False).groupBy("file").count().collect()]
+    assert sum(per_file) == 20_000 and len(per_file) == 11 and max(per_file) < 1.1 * 20_000 / 11
+
+
 def test_legacy_files_of_both_versions(spark, tmp_path):
     body = b"HTTP/1.0 200 OK\r\nContent-Type: text/html\r\n\r\n<p>1</p>"
     first = b"1 0 Alexa\nURL IP-address Archive-date Content-type Archive-length\n\n"
