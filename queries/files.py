@@ -14,7 +14,7 @@ from queries.casts import DAYS, MOMENTS, NUMBERS
 from queries.common import table
 from rowferry.plans.migration import run_migration
 from rowferry.sources.csv_files import csv_columns, csv_types, list_csv_files, read_csv
-from rowferry.sources.jdbc import key_ranges, range_number
+from rowferry.sources.jdbc import key_ranges, range_number, read_ranges
 from rowferry.sources.staging import stage
 from rowferry.sinks.tables import TableStore
 from rowferry.spec import migration_from
@@ -183,13 +183,27 @@ def source_ranges(spark, sf):
         F.count(F.lit(1)).alias("rows"), F.min("o_orderkey").alias("min_key"), F.max("o_orderkey").alias("max_key"))
 
 
+def source_ranges_even(spark, sf):
+    """The ranges of an even read of a key that is dense at its low end: rows by range against the mean, and whether
+    each row is in exactly one."""
+    lines = table(spark, sf, "lineitem").select(F.expr("l_partkey * l_partkey * l_partkey").alias("key"))
+    lo, hi, rows = lines.agg(F.min("key"), F.max("key"), F.count(F.lit(1))).first()
+    ranges = read_ranges("key", lo, hi, rows, 8, None, True, lambda given: lines.where(" OR ".join(f"({r})" for r in given)))
+    hits = [F.when(F.expr(r), 1).otherwise(0) for r in ranges]
+    counts = (lines.select(range_number(F.col("key"), ranges).alias("part"), sum(hits[1:], hits[0]).alias("hits"))
+              .groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.max("hits").alias("hits")))
+    return counts.agg(F.count(F.lit(1)).alias("ranges"), F.sum("rows").alias("rows"), (F.max("hits") == 1).alias("once"),
+                      (F.max("rows") <= 1.5 * F.avg("rows")).alias("even"))
+
+
 QUERIES = {
     "csv_scan": csv_scan, "csv_options": csv_options, "csv_options_utf16": csv_options_utf16,
     "csv_mixed_headers": csv_mixed_headers, "csv_malformed_joined": csv_malformed_joined, "csv_malformed": csv_malformed, "csv_columns": csv_columns_query, "csv_files": csv_files,
-    "csv_types": csv_types_query, "stage_source": stage_source, "source_ranges": source_ranges,
+    "csv_types": csv_types_query, "stage_source": stage_source, "source_ranges": source_ranges, "source_ranges_even": source_ranges_even,
 }
 
 ORACLE = {
+    "source_ranges_even": "SELECT 8::BIGINT AS ranges, count(*)::BIGINT AS rows, TRUE AS once, TRUE AS even FROM lineitem",
     "csv_scan": r"""
         SELECT doc_id, md5(regexp_replace(text, '[\r\n\x{85}\x{2028}\x{2029}]+', ' ', 'g')) AS text_md5, lang,
                nullif(source, 'web') AS source

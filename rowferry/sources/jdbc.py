@@ -5,13 +5,14 @@ The drivers of MySQL, SQL Server and PostgreSQL are the user's to supply (``spar
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowferry.operators.chunks import even_ends
 from rowferry.spec import Connection, SpecError
 
 # Fixed values.
@@ -60,13 +61,15 @@ def jdbc_options(connection: Connection) -> dict[str, str]:
     return options
 
 
-def key_ranges(key: str, lo: int, hi: int, parts: int) -> list[str]:
-    """``parts`` predicates that together cover every row once: keys up to ``hi`` in equal ranges,
-    the first also takes lesser and NULL keys, the last also greater ones."""
+def key_ranges(key: str, lo: int, hi: int, parts: int, ends: Sequence[int] = ()) -> list[str]:
+    """At most ``parts`` predicates that together cover every row once: keys up to ``hi`` in ranges of equal
+    width, or up to the keys in ``ends``; the first also takes lesser and NULL keys, the last also greater ones."""
     if parts < 2 or hi <= lo:
         return ["1 = 1"]
     size = -(-(hi - lo + 1) // parts)
-    cuts = list(range(lo + size, hi + 1, size))
+    cuts = sorted({end + 1 for end in ends if lo <= end < hi}) if ends else list(range(lo + size, hi + 1, size))
+    if not cuts:
+        return ["1 = 1"]
     return [f"{key} < {cuts[0]} OR {key} IS NULL",
             *[f"{key} >= {a} AND {key} < {b}" for a, b in zip(cuts, cuts[1:])],
             f"{key} >= {cuts[-1]}"]
@@ -74,23 +77,44 @@ def key_ranges(key: str, lo: int, hi: int, parts: int) -> list[str]:
 
 def read_table(
     spark: SparkSession, connection: Connection, schema: str | None, table: str, *,
-    key: str | None = None, parts: int = 1, options: Mapping[str, str] | None = None,
+    key: str | None = None, parts: int = 1, part_rows: int | None = None, even: bool = False,
+    options: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """A whole table; with ``key`` and ``parts`` it is read in key ranges, one task each.
 
     The least and greatest key come from one small query. Filters and the columns that are used
-    reach the database.
+    reach the database. ``part_rows`` has that query count the rows as well, and takes as many ranges of
+    about so many rows as that needs, ``parts`` at most. ``even`` is for keys that are dense in places: the key column alone is read first, in
+    ranges of equal width, and a quantile sketch of it gives ranges of about equal numbers of rows.
     """
     name = f"{schema}.{table}" if schema else table
     reader = {"fetchsize": str(FETCH_ROWS), **jdbc_options(connection), **(options or {})}
     if not key or parts < 2:
         return spark.read.format("jdbc").options(**reader, dbtable=name).load()
-    ends = (spark.read.format("jdbc")
-            .options(**reader, query=f"SELECT MIN({key}) AS lo, MAX({key}) AS hi FROM {name}").load()
-            .select(F.col("lo").cast("bigint"), F.col("hi").cast("bigint")).first())
-    ranges = key_ranges(key, ends[0], ends[1], parts) if ends[0] is not None else ["1 = 1"]
+    found = f"SELECT MIN({key}) AS lo, MAX({key}) AS hi, {'COUNT(*)' if part_rows else '0'} AS n FROM {name}"
+    lo, hi, rows = (spark.read.format("jdbc").options(**reader, query=found).load()
+                    .select(*[F.col(c).cast("bigint") for c in ("lo", "hi", "n")]).first())
     properties = {k: v for k, v in reader.items() if k != "url"}
-    return spark.read.jdbc(reader["url"], name, predicates=ranges, properties=properties)
+
+    def within(ranges: list[str]) -> DataFrame:
+        return spark.read.jdbc(reader["url"], name, predicates=ranges, properties=properties)
+
+    return within(read_ranges(key, lo, hi, rows, parts, part_rows, even, lambda ranges: within(ranges).select(key)))
+
+
+def read_ranges(
+    key: str, lo: int | None, hi: int | None, rows: int, parts: int, part_rows: int | None, even: bool,
+    keys: Callable[[list[str]], DataFrame],
+) -> list[str]:
+    """The predicates of a partitioned read. ``keys`` reads the key column alone in the ranges it is given."""
+    if lo is None or hi is None:
+        return ["1 = 1"]
+    if part_rows:
+        parts = min(parts, -(-rows // part_rows))
+    ranges = key_ranges(key, lo, hi, parts)
+    if not even or len(ranges) < 2:
+        return ranges
+    return key_ranges(key, lo, hi, parts, even_ends(keys(ranges), key, parts))
 
 
 def range_number(key: Column, ranges: Sequence[str]) -> Column:

@@ -61,8 +61,8 @@ def open_sources(
 ) -> dict[str, DataFrame]:
     """All sources of a step by alias.
 
-    ``read_options`` are per alias: ``key`` and ``parts`` of a database read in key ranges, ``schema``
-    of a CSV file. The root of a chunked step is read in ranges of its chunk column unless they say
+    ``read_options`` are per alias: ``key``, ``parts``, ``part_rows`` and ``even`` of a database read in key
+    ranges, ``schema`` of a CSV file. The root of a chunked step is read in ranges of its chunk column unless they say
     otherwise; any other database table is one task without them, so give them for large ones. CSV
     files also have the text of their malformed records, for the error ledger.
     """
