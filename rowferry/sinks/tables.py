@@ -160,11 +160,12 @@ class TableStore:
         """
         if mode not in ("full", "add", "part") or (mode == "part") != (buckets is not None and mode != "full"):
             raise ValueError("mode is full or add, or part with buckets")
+        children = self._children(schema, table)
         if tag:
-            for version in self.versions(schema, table):
+            for version in (Version(*c[:5]) for c in children if c[5]):
                 if version.tag == tag:
                     return self.spark.read.parquet(version.path).count()
-        taken = [c[0] for c in self._children(schema, table)]
+        taken = [c[0] for c in children]
         name = f"{max(taken, default=0) + 1:06d}.{mode}" + (buckets.layout if buckets else "") + (f".{tag}" if tag else "")
         if base is not None and self.newest(schema, table) != base:
             raise StaleTable(f"{schema}.{table}")

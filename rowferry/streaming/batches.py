@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import time
 from collections.abc import Callable
 
@@ -15,8 +14,11 @@ from rowferry.operators.shape import evaluate
 from rowferry.plans.blueprint import CAPTURING, StepResult, load_step, transformed
 from rowferry.sinks.tables import TableStore
 from rowferry.spec import Step
+from rowferry.workspace import file_system
 
-METRICS = ("migration_admin", "stream_metrics")
+#: A folder of plain Parquet, partitioned by stream and run: a batch adds one file and lists nothing.
+METRICS = ("migration_admin", "stream_batches")
+METRICS_LAYOUT = f"{ledgers.METRICS_SCHEMA}, noted_at timestamp, stream string, run string"
 
 
 def file_stream(
@@ -70,14 +72,16 @@ def stage_stream(
 
     def take(batch: DataFrame, number: int) -> None:
         began = time.monotonic()
-        tag = f"{spark.sparkContext.getLocalProperty('sql.streaming.queryId')}-b{number}"
+        run = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        tag = f"{run}-b{number}"
         rows = transformed(step, {**(frames or {}), step.root.alias: batch})
         rows = evaluate(rows, step.columns, step.target.keys,
                         also=[F.lit(number).cast("bigint").alias("_batch")], **checks)
         written = store.publish("staging", name, rows, mode="add", tag=tag)
         took = (time.monotonic() - began) * 1000
-        store.publish(*METRICS, ledgers.batch_metrics(spark, step.order, number, written, took),
-                      mode="add", tag=f"{name}-{tag}")
+        (ledgers.batch_metrics(spark, step.order, number, written, took)
+         .select("*", F.current_timestamp().alias("noted_at"), F.lit(name).alias("stream"), F.lit(run).alias("run"))
+         .write.mode("append").partitionBy("stream", "run").parquet(store.folder(*METRICS)))
         if on_batch:
             on_batch(number, written, took)
 
@@ -88,12 +92,15 @@ def stage_stream(
 
 
 def stream_metrics(spark: SparkSession, store: TableStore, name: str) -> DataFrame:
-    """(blueprint_sequence, batch_number, rows_processed, duration_ms) of a staged stream."""
-    own = re.compile(rf"{re.escape(name)}-[0-9a-f-]{{36}}-b\d+")
-    paths = [v.path for v in store.versions(*METRICS) if v.tag and own.fullmatch(v.tag)]
-    if not paths:
+    """(blueprint_sequence, batch_number, rows_processed, duration_ms) of a staged stream; of a batch that Spark
+    handed over twice, the first entry."""
+    names = [f.split()[0] for f in ledgers.METRICS_SCHEMA.split(", ")]
+    system, folder = file_system(spark, store.folder(*METRICS))
+    if not system.exists(folder):
         return ledgers.empty(spark, ledgers.METRICS_SCHEMA)
-    return spark.read.schema(ledgers.METRICS_SCHEMA).parquet(*paths)
+    noted = spark.read.schema(METRICS_LAYOUT).parquet(store.folder(*METRICS)).where(F.col("stream") == name)
+    first = F.min_by(F.struct(*names), F.struct("noted_at", "duration_ms")).alias("first")
+    return noted.groupBy("run", F.col("batch_number").alias("number")).agg(first).select("first.*")
 
 
 def run_stream(
