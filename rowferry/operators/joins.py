@@ -106,8 +106,8 @@ def _same(names: Sequence[str], others: Sequence[str]) -> Column:
 def _salted_sides(
     left: DataFrame, right: DataFrame, lnames: Sequence[str], rnames: Sequence[str], salts: DataFrame, row: Column,
 ) -> tuple[DataFrame, DataFrame]:
-    """``left`` with ``_salt`` and ``right`` with ``_rsalt``, repeated once per salt of its key, and the
-    number of these copies. ``salts`` has a hot key in the columns _h0, _h1, ..."""
+    """``left`` with ``_salt`` and ``right`` with ``_rsalt``, repeated once per salt of its key. ``salts`` has a
+    hot key in the columns _h0, _h1, ..."""
     hot = F.broadcast(salts)
     names = [f"_h{i}" for i in range(len(lnames))]
     # the salt follows from the row and its partition, so a repeated task gives the same one, and
@@ -116,7 +116,7 @@ def _salted_sides(
     salted = (left.join(hot, _same(lnames, names), "left").withColumn("_salt", F.coalesce(spread, F.lit(0)))
               .drop("_salts", *names))
     every = F.when(F.col("_salts").isNotNull(), F.sequence(F.lit(0), F.col("_salts") - 1)).otherwise(F.array(F.lit(0)))
-    repeated = (right.join(hot, _same(rnames, names), "left").select("*", F.size(every).alias("_copies"), F.explode(every).alias("_rsalt"))
+    repeated = (right.join(hot, _same(rnames, names), "left").select("*", F.explode(every).alias("_rsalt"))
                 .drop("_salts", *names))
     return salted, repeated
 
@@ -135,7 +135,7 @@ def spread_join(
     hot = salts_of(counts, rkeys, hot_rows).toDF(*[f"_h{i}" for i in range(len(rkeys))], "_salts")
     salted, repeated = _salted_sides(left, right, lkeys, rkeys, hot, _hashable(left))
     on = _same(lkeys, rkeys) & (F.col("_salt") == F.col("_rsalt"))
-    return salted.join(repeated, on).drop("_salt", "_rsalt", "_copies", *rkeys)
+    return salted.join(repeated, on).drop("_salt", "_rsalt", *rkeys)
 
 
 def _all_present(keys: Sequence[str]) -> Column:
@@ -170,38 +170,37 @@ def salted_join(
 
 def _keyed_join(
     left: DataFrame, right: DataFrame, equal: Sequence[tuple[Column, Column]], rest: Sequence[Column], how: str, hot_rows: int,
+    hint: str | None = None,
 ) -> DataFrame:
     names, rnames = [f"_k{i}" for i in range(len(equal))], [f"_r_k{i}" for i in range(len(equal))]
     lkeys = left.select("*", *[a.alias(n) for n, (a, _) in zip(names, equal)])
     rkeys = right.select("*", *[b.alias(n) for n, (_, b) in zip(rnames, equal)])
     hot = salts_of(key_counts(lkeys.select(*names), names), names, hot_rows)
     salted, repeated = _salted_sides(lkeys, rkeys, names, rnames, hot.toDF(*[f"_h{i}" for i in range(len(names))], "_salts"), _hashable(left))
+    repeated = repeated.hint(hint) if hint else repeated
     condition = functools.reduce(lambda a, b: a & b, [_same(names, rnames), F.col("_salt") == F.col("_rsalt"), *rest])
-    helpers = [*names, *rnames, "_salt", "_rsalt", "_copies"]
+    helpers = [*names, *rnames, "_salt", "_rsalt"]
     joined = salted.join(repeated, condition, "inner" if how in ("INNER", "RIGHT") else "left").drop(*helpers)
     if how in ("INNER", "LEFT"):
         return joined
     if rest:
-        lone = _without_partner(repeated, salted, condition, right, "_rsalt")
+        lone = _without_partner(right, salted.join(repeated.select("*", _hashable(right).alias("_key")), condition))
     else:
         present = lkeys.select(*names).filter(_all_present(names)).distinct()
         lone = rkeys.join(present, _same(rnames, names), "left_anti").drop(*rnames)
     return joined.union(_beside_nulls(left, lone))
 
 
-def _without_partner(copies: DataFrame, others: DataFrame, condition: Column, rows: DataFrame, *copy: str) -> DataFrame:
-    """The rows of ``rows`` that meet none of ``others`` in any of their ``copies``, told apart by the columns
-    ``copy`` and counted in ``_copies``.
+def _without_partner(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``rows`` that are in none of ``pairs``, joined rows with the row itself (``_hashable``) in ``_key``.
 
-    Copies find each other by the row itself, not by a number, which a repeated task might give to another
-    row. Equal rows meet the same others, so all of them are alone or none.
+    Rows find each other by themselves, not by a number, which a repeated task might give to another row. Equal
+    rows meet the same others, so all of them are alone or none. Those with a partner combine before they are
+    shuffled, and the copies that were made for the join stay in its tasks.
     """
-    alone = (copies.join(others, condition, "left_anti").withColumns({"_key": _hashable(rows), "_row": F.struct(rows["*"])})
-             .groupBy("_key", *[F.col(c).alias(f"_c{i}") for i, c in enumerate(copy)])
-             .agg(F.count(F.lit(1)).alias("_n"), F.max("_copies").alias("_copies"), F.any_value("_row").alias("_row")))
-    return (alone.groupBy("_key").agg(F.count(F.lit(1)).alias("_met"), F.max("_copies").alias("_copies"), F.max("_n").alias("_n"),
-                                      F.any_value("_row").alias("_row"))
-            .filter("_met = _copies").select("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), "_n"))).select("_row.*"))
+    met = pairs.select(F.col("_key").alias("_met")).distinct()
+    return (rows.select("*", _hashable(rows).alias("_key")).join(met, F.col("_key") == F.col("_met"), "left_anti")
+            .drop("_key"))
 
 
 def _beside_nulls(left: DataFrame, lone: DataFrame) -> DataFrame:
@@ -267,9 +266,10 @@ def range_join(
         ranges = right.filter(lo <= hi).select("*", F.explode(touched).alias("_rstripe"))
         return points.join(ranges, on, how.lower()).drop("_stripe", "_rstripe")
     touched = F.when(lo <= hi, touched).otherwise(F.array(F.lit(None).cast("bigint")))
-    ranges = right.select("*", F.size(touched).alias("_copies"), F.explode(touched).alias("_rstripe"))
-    joined = points.join(ranges, on, "left" if how == "FULL" else "inner").drop("_stripe", "_rstripe", "_copies")
-    return joined.union(_beside_nulls(left, _without_partner(ranges, points, on, right, "_rstripe")))
+    ranges = right.select("*", F.explode(touched).alias("_rstripe"))
+    joined = points.join(ranges, on, "left" if how == "FULL" else "inner").drop("_stripe", "_rstripe")
+    lone = _without_partner(right, points.join(ranges.select("*", _hashable(right).alias("_key")), on))
+    return joined.union(_beside_nulls(left, lone))
 
 
 def _common_kind(left: DataFrame, right: DataFrame, at: Column, lo: Column, hi: Column) -> T.DataType:
@@ -280,6 +280,8 @@ def _common_kind(left: DataFrame, right: DataFrame, at: Column, lo: Column, hi:
 
 #: Places of dyadic intervals: 0 .. 2^61, the middle for 0; what lies beyond is at the ends.
 TOP, MIDDLE = 61, 1 << 60
+#: Intervals that are broadcast; with more, both sides are shuffled.
+FEW_NODES = 10_000
 
 
 def interval_join(
@@ -291,8 +293,10 @@ def interval_join(
     A range from a to b is the union of at most two dyadic intervals of each length 2^k, and a point
     lies in one of each length: a range is repeated for its intervals, at most 2 log2(b - a) of them, a
     point for the lengths that any range has, and the join is an equality on length and number. Exactly one interval of a range holds a point, so no
-    pair comes twice. LEFT, RIGHT and FULL add the rows without a partner in any copy. With ``hot_rows``
-    intervals with more points are spread over tasks.
+    pair comes twice. LEFT, RIGHT and FULL add the rows without a partner in any copy.
+
+    Spark's sizes do not know how often rows are repeated, so the intervals are counted: up to FEW_NODES are broadcast,
+    else both sides are shuffled. With ``hot_rows`` intervals with more points are spread over tasks.
     """
     lo, hi, at = expression(low), expression(high), expression(point)
     common = _common_kind(left, right, at, lo, hi)
@@ -312,30 +316,34 @@ def interval_join(
     none = F.lit(None).cast("struct<k int, n bigint>")
     nodes = F.when(F.col("_first").isNotNull() & F.col("_end").isNotNull(), nodes).otherwise(F.array(none))
     ranges = ranges.select("*", nodes.alias("_nodes"))
-    ranges = ranges.select("*", F.size("_nodes").alias("_copies"), F.explode("_nodes").alias("_node")).select(
+    ranges = ranges.select("*", F.explode("_nodes").alias("_node")).select(
         "*", F.col("_node.k").alias("_rk"), F.col("_node.n").alias("_rn")).drop("_first", "_end", "_nodes", "_node")
-    # the lengths that occur, at most TOP + 2 numbers
-    lengths = sorted(r[0] for r in ranges.select("_rk").distinct().collect() if r[0] is not None) or [0]
-    probes = F.transform(F.array(*[F.lit(k) for k in lengths]), lambda k: F.struct(
-        k.alias("k"), F.call_function("shiftrightunsigned", F.col("_at"), k).alias("n")))
+    # the intervals by their length, at most TOP + 2 numbers
+    found = {r["_rk"]: r["count"] for r in ranges.groupBy("_rk").count().collect() if r["_rk"] is not None}
+    lengths = sorted(found) or [0]
+    hint = "broadcast" if sum(found.values()) <= FEW_NODES else "merge"
+    probes = F.array(*[F.struct(F.lit(k).alias("k"), F.call_function("shiftrightunsigned", F.col("_at"), F.lit(k)).alias("n"))
+                       for k in lengths])
     points = (left.select("*", place(at).alias("_at")).select("*", F.explode(probes).alias("_node"))
-              .select("*", F.col("_node.k").alias("_lk"), F.col("_node.n").alias("_ln")).drop("_at", "_node")
-              .withColumn("_lcopies", F.lit(len(lengths))))
+              .select("*", F.col("_node.k").alias("_lk"), F.col("_node.n").alias("_ln")).drop("_at", "_node"))
     inside = _between(at, lo, hi, low_in, high_in)
     equal = [(F.col("_lk"), F.col("_rk")), (F.col("_ln"), F.col("_rn"))]
     on = (F.col("_lk") == F.col("_rk")) & (F.col("_ln") == F.col("_rn")) & inside
-    helpers = ["_lk", "_ln", "_rk", "_rn", "_copies", "_lcopies"]
-    if hot_rows:
-        joined = _keyed_join(points, ranges.drop("_copies"), equal, [inside], "INNER", hot_rows)
-    else:
-        joined = points.join(ranges, on)
-    joined = joined.drop(*helpers)
+
+    def pairs(points: DataFrame, ranges: DataFrame) -> DataFrame:
+        if hot_rows:
+            both = _keyed_join(points, ranges, equal, [inside], "INNER", hot_rows, hint)
+        else:
+            both = points.join(ranges.hint(hint), on)
+        return both.drop("_lk", "_ln", "_rk", "_rn")
+
+    joined = pairs(points, ranges)
     if how in ("LEFT", "FULL"):
-        alone = points.withColumn("_copies", F.col("_lcopies"))
-        lone = _without_partner(alone.drop("_lcopies"), ranges.drop("_copies"), on, left, "_lk")
+        lone = _without_partner(left, pairs(points.select("*", _hashable(left).alias("_key")), ranges))
         joined = joined.union(lone.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields]))
     if how in ("RIGHT", "FULL"):
-        joined = joined.union(_beside_nulls(left, _without_partner(ranges, points, on, right, "_rk", "_rn")))
+        lone = _without_partner(right, pairs(points, ranges.select("*", _hashable(right).alias("_key"))))
+        joined = joined.union(_beside_nulls(left, lone))
     return joined
 
 

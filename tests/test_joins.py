@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from rowferry.operators import joins
 from rowferry.operators.joins import MOST_HOT, salts_of, interval_join, join_source, join_sources, range_join, salted_join
 from rowferry.spec import JOIN_TYPES, Condition, Join, Source, SpecError
 
@@ -228,3 +230,30 @@ def test_outer_rows_do_not_depend_on_row_numbers(spark):
                       [Condition("l.k", "=", "r.k"), Condition("l.v", ">=", "r.low")], "RIGHT")
     assert bag(got) == [(None, None, 1, 9)] * 3
     assert "monotonically" not in got._jdf.queryExecution().toString().lower()
+
+
+def broadcast_parts(df):
+    """What the plan broadcasts, as text: the lines below each exchange."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [re.search(r"[A-Za-z]", line).start() if re.search(r"[A-Za-z]", line) else 0 for line in lines]
+    parts = []
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            end = next((k for k in range(i + 1, len(lines)) if depth[k] <= depth[i]), len(lines))
+            parts.append("\n".join(lines[i:end]))
+    return parts
+
+
+@pytest.mark.parametrize("how", JOIN_TYPES)
+@pytest.mark.parametrize("few", [joins.FEW_NODES, 0])
+def test_points_repeated_by_length_are_never_broadcast(spark, monkeypatch, how, few):
+    """Spark takes a few thousand points for small, however often they are repeated."""
+    monkeypatch.setattr(joins, "FEW_NODES", few)
+    points = [(i, i) for i in range(300)] * 2
+    ranges = [(k, 10 * k, 10 * k + 2 ** k) for k in range(12)] + [(90, 400, 500), (90, 400, 500), (91, 7, 3)]
+    l, r = made(spark, points, "i int, p bigint", "l"), made(spark, ranges, "r int, lo bigint, hi bigint", "r")
+    got = join_source(l, r, j("r", how, ("l.p", ">=", "r.lo"), ("l.p", "<", "r.hi")))
+    parts = broadcast_parts(got)
+    assert not any("_lk" in part for part in parts) and bool(parts) == (few > 0)
+    on = lambda a, b: b[1] <= a[1] < b[2]
+    assert bag(got.selectExpr("i", "r")) == sorted([(a[0], b[0]) for a, b in brute_pairs(points, ranges, on, how)], key=repr)
