@@ -97,16 +97,28 @@ def _null_key_rows(batch: DataFrame, keys: Sequence[str]) -> DataFrame:
     return batch.filter(~has_key(keys)).withColumn("reject_reason", F.lit(NULL_KEY))
 
 
-def met_keys(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
+#: Keys of a batch that are broadcast to a scan of the target; with more, both sides are shuffled.
+FEW_KEYS = 100_000
+
+
+def match_hint(batch_rows: int) -> str:
+    """How the keys of a batch of that many rows are joined with a target. Spark's own sizes come from files: after a
+    narrow column of a packed or wide file is picked, millions of keys seem small enough for the driver."""
+    return "broadcast" if batch_rows <= FEW_KEYS else "merge"
+
+
+def met_keys(target: DataFrame, batch: DataFrame, keys: Sequence[str], hint: str | None = None) -> DataFrame:
     """The target's keys that the batch also has.
 
     The target is the streamed side: with a small batch its keys are broadcast and the target is
     only scanned, with a large one both sides shuffle their key columns. What is left is no larger
-    than the batch, so later joins with it do not touch the target again.
+    than the batch, so later joins with it do not touch the target again. ``hint`` is ``match_hint``'s,
+    without it Spark's sizes decide.
     """
     keys = list(keys)
     # the counts are those that ``hot_keys`` needs; asking for them here lets both share one shuffle
-    return rows_with_key_in(target.select(*keys), key_counts(batch, keys).filter("count > 0"), keys)
+    ours = key_counts(batch, keys).filter("count > 0")
+    return rows_with_key_in(target.select(*keys), ours.hint(hint) if hint else ours, keys)
 
 
 def key_flags(target: DataFrame, batch: DataFrame, keys: Sequence[str], order_by: Sequence[str] = ()) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from rowferry.functions.casts import spark_type
 from rowferry.operators.chunks import chunk_bounds, chunk_number, even_ends, fingerprints, load_ranges, whole
 from rowferry.operators.conflict import (
-    BATCH, FLAG, POLICIES, has_key, key_flags, keys_compared_as, met_keys, require_no_conflicts,
+    BATCH, FLAG, POLICIES, has_key, key_flags, keys_compared_as, match_hint, met_keys, require_no_conflicts,
 )
 from rowferry.operators.joins import join_sources
 from rowferry.operators.ledger import key_errors, row_errors, stop_on_errors
@@ -211,11 +211,13 @@ def load_step(
                 _drop_entries(place, *at, lambda t: t == own or superseded is not None and superseded(t))
 
     # what several jobs need is found once: the keys the target already has, or the fate of each key
-    met = flags = None
+    met = found = flags = None
     if captures:
         options["flags"], flags = _written(spark, key_flags(before, batch.drop(*options["carried"]), keys, order_by))
     elif there and keys:
-        met = met_keys(before, batch, keys).persist()
+        hint = match_hint(rows.count())
+        found = met_keys(before, batch, keys, hint).persist()
+        met = found.hint(hint)  # no more than the batch has
     try:
         load = POLICIES[target.policy](before, batch, keys, order_by, met, **options)
         require_no_conflicts(load)
@@ -224,11 +226,11 @@ def load_step(
         if captures:
             result.rejects = _keep_rejects(step, load.rejects, layout, tables, migration_id, f"{own}-rejects", at)
         # a load of new keys alone adds its rows and spares the target a rewrite
-        result.rows_updated = met.count() if load.rewrites and met is not None else 0
+        result.rows_updated = found.count() if load.rewrites and found is not None else 0
         rewrite = result.rows_updated > 0
         added, was, how = fit(load.append, layout), 0, {"mode": "add" if there else "full"}
         if kept and rewrite:  # only the buckets that change
-            hit = buckets.of(met)
+            hit = buckets.of(found)
             old = tables.read(target.schema, target.table, buckets=hit)
             changed = POLICIES[target.policy](old, batch.filter(buckets.number().isin(hit)), target.keys, order_by, met)
             added = changed.new_target.unionByName(added.filter(~buckets.number().isin(hit)))
@@ -249,8 +251,8 @@ def load_step(
         result.rows_inserted = written - was
         result.rows_loaded = result.rows_inserted + result.rows_updated
     finally:
-        if met is not None:
-            met.unpersist()
+        if found is not None:
+            found.unpersist()
         if flags is not None:
             system, path = file_system(spark, flags)
             system.delete(path, True)

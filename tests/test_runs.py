@@ -6,6 +6,7 @@ import datetime as dt
 
 import pytest
 
+from rowferry.operators import conflict
 from rowferry.operators.conflict import KeyConflict, ignore_and_capture, key_flags
 from rowferry.operators.ledger import RowErrors
 from rowferry.plans.blueprint import load_step, run_blueprint, stage_step
@@ -431,3 +432,22 @@ def test_batches_of_rows(spark, store):
     assert max(sizes) <= 10 and sum(sizes) == 43 and len(sizes) >= 6
     with pytest.raises(ValueError):
         stage_row_batches(first, folder, 0)
+
+
+@pytest.mark.parametrize("policy", ["UPSERT", "IGNORE"])
+@pytest.mark.parametrize("few", [0, 100])
+def test_keys_are_broadcast_by_their_number(spark, store, monkeypatch, policy, few):
+    """The sizes of pruned files tell Spark little: what a batch has is counted."""
+    monkeypatch.setattr(conflict, "FEW_KEYS", few, raising=False)
+    run(spark, store, step(policy), rows(spark, ("1", "1"), ("2", "2")))
+    plans, publish = [], TableStore.publish
+
+    def watched(self, schema, table, out, **options):
+        if (schema, table) == ("core", "t"):
+            plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return publish(self, schema, table, out, **options)
+
+    monkeypatch.setattr(TableStore, "publish", watched)
+    run(spark, store, step(policy), rows(spark, ("1", "7"), ("4", "4")))
+    assert len(plans) == 1 and ("BroadcastHashJoin" in plans[0]) == (few > 0)
+    assert amounts(store) == {1: "7.00" if policy == "UPSERT" else "1.00", 2: "2.00", 4: "4.00"}
