@@ -164,21 +164,23 @@ def fail(
     target: DataFrame, batch: DataFrame, keys: Sequence[str], order_by: Sequence[str] = (),
     met: DataFrame | None = None,
 ) -> Load:
-    """Plain insert; any key that repeats, is in the target, or is NULL forbids it."""
+    """Plain insert; any key that repeats, is in the target, or is NULL forbids it.
+
+    The keys of batch and target (or ``met``) are one tagged union with one aggregate, which combines before its shuffle:
+    no join, whose sides a task would sort besides.
+    """
     keys = list(keys)
     append = batch
     if not keys:
         return Load(append, _add(target, append), False, _no_rejects(batch), None)
-    counts = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("batch_rows"))
-    there = met if met is not None else met_keys(target, batch, keys)
-    there = there.select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)], F.lit(True).alias("_hit"))
-    on = _every([F.col(k) == F.col(f"_t{i}") for i, k in enumerate(keys)])
-    hit = F.coalesce(F.col("_hit"), F.lit(False))
-    reason = (F.when(~has_key(keys), NULL_KEY).when(hit, DUPLICATE_KEY)
+    ours = batch.select(*keys, F.lit(1).cast("bigint").alias("_ours"))
+    theirs = (met if met is not None else target).filter(has_key(keys)).select(*keys, F.lit(0).cast("bigint").alias("_ours"))
+    # rows of the batch have 1, those of the target 0
+    counts = ours.unionByName(theirs).groupBy(*keys).agg(
+        F.sum("_ours").alias("batch_rows"), (F.min("_ours") == 0).alias("in_target")).filter("batch_rows > 0")
+    reason = (F.when(~has_key(keys), NULL_KEY).when(F.col("in_target"), DUPLICATE_KEY)
               .when(F.col("batch_rows") > 1, DUPLICATE_IN_BATCH))
-    conflicts = (counts.join(there, on, "left")
-                 .select(*keys, "batch_rows", hit.alias("in_target"), reason.alias("reject_reason"))
-                 .filter("reject_reason is not null"))
+    conflicts = counts.withColumn("reject_reason", reason).filter("reject_reason is not null")
     return Load(append, _add(target, append), False, _no_rejects(batch), conflicts)
 
 

@@ -174,3 +174,15 @@ def test_keys_compared_without_case(spark):
     reasons = {r.reject_reason for r in conflict.fail(before, new, keys).conflicts.collect()}
     assert reasons == {"DUPLICATE_KEY", "DUPLICATE_IN_BATCH", "NULL_KEY"}
     assert conflict.upsert(target, batch, ["name"], ["v"]).new_target.count() == 7  # by their bytes, all but NULL are others
+
+
+def test_fail_counts_keys_in_one_aggregate(spark):
+    """No join: its sides would be sorted beside the counts, or one of them broadcast by a guess of its size."""
+    target = spark.createDataFrame([(1, "x", 1, "p"), (2, "y", 1, "p"), (None, "z", 1, "p")], COLUMNS)
+    batch = spark.createDataFrame([(2, "y", 1, "p"), (3, "x", 1, "p"), (None, "z", 1, "p"), (4, "x", 1, "p"), (4, "x", 2, "p")], COLUMNS)
+    conflicts = conflict.fail(target, batch, KEYS).conflicts
+    text = conflicts._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and text.count("Exchange hashpartitioning") == 1
+    assert bag(conflicts, "a", "b", "batch_rows", "in_target", "reject_reason") == bag(spark.createDataFrame(
+        [(2, "y", 1, True, "DUPLICATE_KEY"), (None, "z", 1, False, "NULL_KEY"), (4, "x", 2, False, "DUPLICATE_IN_BATCH")],
+        "a int, b string, batch_rows bigint, in_target boolean, reject_reason string"), "a", "b", "batch_rows", "in_target", "reject_reason")
