@@ -132,12 +132,17 @@ def csv_malformed(spark, sf):
     return df.select(F.col("id").cast("bigint"), "name", "record")
 
 
+HEADED = ("nation", "customer", "lineitem", "documents")
+
+
 def csv_columns_query(spark, sf):
-    """The headers of the files of three tables."""
+    """The headers of the files of four tables, one with a name between blanks and texts that may have line breaks."""
     found = None
-    for name in ("nation", "customer", "lineitem"):
+    for name in HEADED:
         folder = fresh_folder(spark, "csv")
-        table(spark, sf, name).write.option("header", True).csv(folder)
+        rows = table(spark, sf, name).withColumnsRenamed({"text": " text "})
+        (rows.write.option("header", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).csv(folder))
         columns = csv_columns(spark, folder).select(F.lit(name).alias("name"), "position", "column_name", "data_type").distinct()
         found = columns if found is None else found.unionByName(columns)
     return found
@@ -223,7 +228,7 @@ ORACLE = {
         FROM customer WHERE (c_custkey % 7 = 0) <> (c_custkey % 5 = 0)""",
     "csv_columns": " UNION ALL ".join(f"""
         SELECT '{name}' AS name, (row_number() OVER () - 1)::INT AS position, column_name, 'string' AS data_type FROM (DESCRIBE {name})"""
-        for name in ("nation", "customer", "lineitem")),
+        for name in HEADED),
     "csv_files": """
         SELECT coalesce(lang, 'none') AS lang, (sum(length(doc_id::VARCHAR) + 34) + 14)::BIGINT AS size, TRUE AS named, TRUE AS dated
         FROM documents GROUP BY 1""",

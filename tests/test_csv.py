@@ -5,6 +5,7 @@ import tempfile
 
 import pytest
 
+from queries import files
 from rowferry.sources.csv_files import csv_columns, csv_types, header_names, list_csv_files, read_csv
 from rowferry.sources.open import open_source
 from rowferry.spec import Connection, Source
@@ -186,3 +187,10 @@ def test_encodings_that_spark_does_not_decode(spark, folder):
     path = write(folder, "a.csv", "remark\nid,v\n1,€\n", "cp1252")
     with pytest.raises(ValueError, match="encodings"):
         read_csv(spark, path, header_row=2, encoding="cp1252")
+
+
+def test_headers_are_listed_of_every_table_also_documents(spark, sf):
+    """The query also lists the headers of documents, whose text column is written between blanks."""
+    found = files.csv_columns_query(spark, sf)
+    names = found.filter("name = 'documents'").orderBy("position").collect()
+    assert [r["column_name"] for r in names] == ["doc_id", "text", "lang", "source", "n_chars"]
