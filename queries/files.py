@@ -149,14 +149,19 @@ def csv_columns_query(spark, sf):
 
 
 def csv_files(spark, sf):
-    """Listed files, one for each language by its folder, with their sizes in bytes."""
+    """Listed files by the folder of their language, with all their bytes: the header as a file of its own, the rows in as
+    many files as there are tasks."""
     folder = fresh_folder(spark, "csv")
-    (table(spark, sf, "documents").select("doc_id", F.md5("text").alias("digest"), F.coalesce("lang", F.lit("none")).alias("lang"))
-     .coalesce(1).write.partitionBy("lang").option("header", True).csv(folder))
+    rows = table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.md5("text").alias("digest"), F.coalesce("lang", F.lit("none")).alias("lang"))
+    heads = rows.select(F.lit("doc_id").alias("doc_id"), F.lit("digest").alias("digest"), "lang").distinct()
+    for part in (heads, rows):
+        part.write.mode("append").partitionBy("lang").csv(folder)
     listed = list_csv_files(spark, folder)
-    return listed.select(
-        F.regexp_extract("key", "/lang=([^/]+)/[^/]+$", 1).alias("lang"), F.col("size").cast("bigint").alias("size"),
-        F.expr("endswith(name, '.csv') AND endswith(key, concat('/', name))").alias("named"), F.col("modified").isNotNull().alias("dated"))
+    return listed.groupBy(F.regexp_extract("key", "/lang=([^/]+)/[^/]+$", 1).alias("lang")).agg(
+        F.sum("size").cast("bigint").alias("size"),
+        F.every(F.expr("endswith(name, '.csv') AND endswith(key, concat('/', name))")).alias("named"),
+        F.every(F.col("modified").isNotNull()).alias("dated"))
 
 
 def csv_types_query(spark, sf):

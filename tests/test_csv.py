@@ -194,3 +194,17 @@ def test_headers_are_listed_of_every_table_also_documents(spark, sf):
     found = files.csv_columns_query(spark, sf)
     names = found.filter("name = 'documents'").orderBy("position").collect()
     assert [r["column_name"] for r in names] == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_the_files_of_the_listing_are_written_by_many_tasks(spark, sf, monkeypatch):
+    """No task gets all documents, however many files a language then has."""
+    monkeypatch.setattr(files, "table", lambda spark, sf, name: spark.read.parquet(f"{sf}/{name}.parquet").repartition(5))
+    found, listing = [], files.list_csv_files
+    monkeypatch.setattr(files, "list_csv_files", lambda spark, folder: found.append(listing(spark, folder)) or found[0])
+    rows = files.csv_files(spark, sf).collect()
+    listed = found[0].collect()
+    parts = {f["key"].rsplit("/", 1)[1].split("-c000")[0] for f in listed}
+    assert len(parts) >= 5 and len(listed) > len(rows)
+    assert sum(r["size"] for r in rows) == sum(f["size"] for f in listed)
+    heads = [f for f in listed if f["size"] == len("doc_id,digest\n")]
+    assert len(heads) == len(rows) == len({r["lang"] for r in rows}) and all(r["named"] and r["dated"] for r in rows)
