@@ -14,7 +14,7 @@ import functools
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,6 +107,38 @@ def match_hint(batch_rows: int) -> str:
     return "broadcast" if batch_rows <= FEW_KEYS else "merge"
 
 
+def rows_and_span(batch: DataFrame, keys: Sequence[str]) -> tuple[int, dict[str, tuple] | None]:
+    """The batch's number of rows, and the least and greatest value of each key column that is a whole number or a
+    decimal; None if such a column has no value, so that no key can be met. Only these: their values come to the
+    driver and go back into filters as they are."""
+    kinds = {k: batch.schema[k].dataType for k in keys}
+    spanned = [k for k in keys if isinstance(kinds[k], (T.IntegralType, T.DecimalType))]
+    one = batch.agg(F.count(F.lit(1)).alias("rows"), *[end(k).alias(f"{i}{j}") for i, k in enumerate(spanned)
+                                                       for j, end in enumerate((F.min, F.max))]).first()
+    span = {k: (one[f"{i}0"], one[f"{i}1"]) for i, k in enumerate(spanned)}
+    return one["rows"], None if any(lo is None for lo, _ in span.values()) else span
+
+
+def parted(target: DataFrame, span: dict[str, tuple] | None) -> tuple[DataFrame, DataFrame | None]:
+    """The target's rows whose keys are within a batch's span, and the others, which the batch leaves as they are; a
+    NULL key is among the others. Both filters reach the target's scan, so that it passes over files and row groups.
+    """
+    if span is None:
+        return target.limit(0), target
+    if not span:
+        return target, None
+    ends = [(F.col(k), *[F.lit(end).cast(target.schema[k].dataType) for end in span[k]]) for k in span]
+    outside = functools.reduce(lambda a, b: a | b, [(k < lo) | (k > hi) | k.isNull() for k, lo, hi in ends])
+    return target.filter(_every([(k >= lo) & (k <= hi) for k, lo, hi in ends])), target.filter(outside)
+
+
+def meets_some(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> bool:
+    """True if one of some FEW_KEYS keys of the batch is in the target, which a scan of the target tells, at most.
+    False tells nothing."""
+    some = batch.select(*keys).filter(has_key(keys)).limit(FEW_KEYS)
+    return not rows_with_key_in(target.select(*keys), some.hint("broadcast"), list(keys)).isEmpty()
+
+
 def met_keys(target: DataFrame, batch: DataFrame, keys: Sequence[str], hint: str | None = None) -> DataFrame:
     """The target's keys that the batch also has.
 
@@ -202,9 +234,15 @@ def ignore(
     return Load(append, _add(target, append), False, _null_key_rows(batch, keys))
 
 
+def replaces_rows(target: DataFrame, batch: DataFrame, stays: Sequence[str] = ()) -> bool:
+    """Whether an UPSERT takes whole rows of the batch, and keeps no column of those it meets."""
+    return not stays and set(target.columns) <= set(batch.columns)
+
+
 def upsert(
     target: DataFrame, batch: DataFrame, keys: Sequence[str], order_by: Sequence[str] = (),
-    met: DataFrame | None = None, *, stays: Sequence[str] = (),
+    met: DataFrame | None = None, *, stays: Sequence[str] = (), apart: DataFrame | None = None,
+    kept_rows: Observation | None = None, hint: str | None = None,
 ) -> Load:
     """Insert new keys, replace the mapped non-key columns of existing ones.
 
@@ -212,14 +250,20 @@ def upsert(
     the kept target rows are found by an anti join, which only scans the target if the keys to
     replace are few; otherwise old and new rows meet in one full join of unique keys. ``stays`` are columns
     that an existing row keeps as well, such as the spelling of a key that is compared without case.
+    ``apart`` are rows of the target beside ``target`` that the batch cannot meet. Without ``met`` the anti join is with the
+    batch's keys, under ``hint``. ``kept_rows`` observes the ``rows`` of the target that stay, if the batch has all columns.
     """
     keys = _needed(keys, "UPSERT")
+    both = lambda rows: rows if apart is None else apart.select(*target.columns).unionByName(rows)
     rows = one_per_key(batch.filter(has_key(keys)), keys, order_by, greatest=True)
     rejects = _null_key_rows(batch, keys)
     mapped = [c for c in target.columns if c in rows.columns]
-    if len(mapped) == len(target.columns) and not stays:
+    if replaces_rows(target, batch, stays):
         there = met if met is not None else rows.select(*keys)
-        kept = target.join(there, keys, "left_anti").select(*target.columns)
+        there = there.hint(hint) if met is None and hint else there
+        kept = both(target.join(there, keys, "left_anti").select(*target.columns))
+        if kept_rows is not None:
+            kept = kept.observe(kept_rows, F.count(F.lit(1)).alias("rows"))
         return Load(rows, _add(kept, rows), True, rejects)
     new = rows.select(*[F.col(c).alias(f"_n_{c}") for c in mapped], F.lit(True).alias("_new"))
     on = _every([F.col(k) == F.col(f"_n_{k}") for k in keys])
@@ -231,7 +275,7 @@ def upsert(
 
     merged = target.join(new, on, "full").select(
         *[value(c) if c in mapped else F.col(c) for c in target.columns])
-    return Load(rows, merged, True, rejects)
+    return Load(rows, both(merged), True, rejects)
 
 
 def ignore_and_capture(

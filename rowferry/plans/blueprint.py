@@ -9,14 +9,15 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowferry.functions.casts import spark_type
 from rowferry.operators.chunks import chunk_bounds, chunk_number, even_ends, fingerprints, load_ranges, whole
 from rowferry.operators.conflict import (
-    BATCH, FLAG, POLICIES, has_key, key_flags, keys_compared_as, match_hint, met_keys, require_no_conflicts,
+    BATCH, FLAG, POLICIES, has_key, key_flags, keys_compared_as, match_hint, meets_some, met_keys, parted, replaces_rows,
+    require_no_conflicts, rows_and_span,
 )
 from rowferry.operators.joins import join_sources
 from rowferry.operators.ledger import key_errors, row_errors, stop_on_errors
@@ -211,15 +212,29 @@ def load_step(
                 _drop_entries(place, *at, lambda t: t == own or superseded is not None and superseded(t))
 
     # what several jobs need is found once: the keys the target already has, or the fate of each key
-    met = found = flags = None
+    met = found = flags = kept_rows = None
+    near = before
     if captures:
         options["flags"], flags = _written(spark, key_flags(before, batch.drop(*options["carried"]), keys, order_by))
     elif there and keys:
-        hint = match_hint(rows.count())
-        found = met_keys(before, batch, keys, hint).persist()
-        met = found.hint(hint)  # no more than the batch has
+        number, span = rows_and_span(batch, keys)
+        hint = match_hint(number)
+        if buckets is None:  # rows out of reach of the batch's keys are not matched with it
+            near, apart = parted(before, span)
+            if target.policy == "UPSERT":
+                options["apart"] = apart
+        if near.isEmpty():
+            met = near.select(*keys).limit(0)
+        elif (hint == "merge" and target.policy == "UPSERT" and versioned and buckets is None
+              and replaces_rows(near, batch, options.get("stays", ())) and meets_some(near, batch, keys)):
+            # the target is written anew in any case, so the keys are matched as it is, and counted then
+            kept_rows = options["kept_rows"] = Observation()
+            options["hint"] = hint
+        else:
+            found = met_keys(near, batch, keys, hint).persist()
+            met = found.hint(hint)  # no more than the batch has
     try:
-        load = POLICIES[target.policy](before, batch, keys, order_by, met, **options)
+        load = POLICIES[target.policy](near, batch, keys, order_by, met, **options)
         require_no_conflicts(load)
         withdraw()
         result.errors = store.publish(*LEDGER, ledger, mode="add", tag=f"{own}-errors")
@@ -227,7 +242,7 @@ def load_step(
             result.rejects = _keep_rejects(step, load.rejects, layout, tables, migration_id, f"{own}-rejects", at)
         # a load of new keys alone adds its rows and spares the target a rewrite
         result.rows_updated = found.count() if load.rewrites and found is not None else 0
-        rewrite = result.rows_updated > 0
+        rewrite = result.rows_updated > 0 or kept_rows is not None
         added, was, how = fit(load.append, layout), 0, {"mode": "add" if there else "full"}
         if kept and rewrite:  # only the buckets that change
             hit = buckets.of(found)
@@ -248,6 +263,8 @@ def load_step(
         except StaleTable:
             withdraw()
             raise
+        if kept_rows is not None:
+            result.rows_updated = was - kept_rows.get["rows"]
         result.rows_inserted = written - was
         result.rows_loaded = result.rows_inserted + result.rows_updated
     finally:

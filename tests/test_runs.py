@@ -451,3 +451,44 @@ def test_keys_are_broadcast_by_their_number(spark, store, monkeypatch, policy, f
     run(spark, store, step(policy), rows(spark, ("1", "7"), ("4", "4")))
     assert len(plans) == 1 and ("BroadcastHashJoin" in plans[0]) == (few > 0)
     assert amounts(store) == {1: "7.00" if policy == "UPSERT" else "1.00", 2: "2.00", 4: "4.00"}
+
+
+def matched(monkeypatch):
+    """The targets that loads look for keys in, by a job of its own."""
+    from rowferry.plans import blueprint
+    seen, match = [], blueprint.met_keys
+    monkeypatch.setattr(blueprint, "met_keys", lambda target, *a: (seen.append(target), match(target, *a))[1])
+    return seen
+
+
+@pytest.mark.parametrize("few", [0, 3, 100])
+def test_an_update_matches_only_rows_in_reach_of_its_keys(spark, store, monkeypatch, few):
+    monkeypatch.setattr(conflict, "FEW_KEYS", few)
+    seen = matched(monkeypatch)
+    store.publish("core", "t", spark.createDataFrame([(i, None) for i in (None, 1, 5, 5, 7, 7, 90)], "id bigint, amount decimal(8,2)"))
+    result = run(spark, store, step(), rows(spark, ("91", "1"), ("95", "1"), (None, "1")))  # out of reach
+    assert (result.rows_updated, result.rows_inserted, seen) == (0, 2, [])
+    assert [v.mode for v in store.versions("core", "t")] == ["full", "add"]
+    result = run(spark, store, step(), rows(spark, ("6", "2"), ("7", "2"), ("7", "3"), ("8", "2")))
+    # each row of a repeated key counts, and is replaced by one
+    assert (result.rows_updated, result.rows_inserted) == (2, 1)
+    assert bag(store.read("core", "t").selectExpr("id", "cast(amount AS string) AS amount"), "id", "amount") == sorted(
+        [(i, None) for i in (None, 1, 5, 5, 90)] + [(6, "2.00"), (7, "3.00"), (8, "2.00"), (91, "1.00"), (95, "1.00")], key=repr)
+    assert [bag(t, "id") for t in seen] == ([[(7,), (7,)]] if few != 3 else [])
+    run(spark, store, step(), rows(spark, (None, "1")))  # nothing to load
+    assert store.read("core", "t").count() == 10 and store.versions("core", "t")[-1].mode == "add"
+
+
+def test_a_large_batch_that_meets_a_key_is_matched_by_the_rewrite(spark, store, monkeypatch):
+    monkeypatch.setattr(conflict, "FEW_KEYS", 1)
+    run(spark, store, step(), spark.range(200).selectExpr("id", "'1' AS amount"))
+    seen = matched(monkeypatch)
+    result = run(spark, store, step(), spark.range(50, 300).selectExpr("id", "'2' AS amount"))
+    assert (result.rows_updated, result.rows_inserted, result.rows_loaded, seen) == (150, 100, 250, [])
+    now = amounts(store)
+    assert len(now) == 300 and all(now[i] == ("1.00" if i < 50 else "2.00") for i in range(300))
+    # one whose keys lie between those of the target, and meets none of them
+    run(spark, store, step(table="u"), spark.range(100).selectExpr("id * 2 AS id", "'1' AS amount"))
+    result = run(spark, store, step(table="u"), spark.range(50).selectExpr("id * 2 + 1 AS id", "'2' AS amount"))
+    assert (result.rows_updated, result.rows_inserted, len(seen)) == (0, 50, 1)
+    assert [v.mode for v in store.versions("core", "u")] == ["full", "add"]
